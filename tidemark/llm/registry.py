@@ -5,13 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, packing
+from tidemark.llm import bpe, packing, rules, url_filter
 from tidemark.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    universe, listed = url_filter.listed_keys(pages)
+    return url_filter.judge(pages, url_filter.build(universe, listed)).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ledger = rules.ledger(table(spark, sf_dir, "documents"))
+    base = F.col("failed_bits").bitwiseAND(F.lit(rules.mask("base"))) != 0
+    return rules.apply_policy(ledger, "v1").select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failed_bits"
+    )
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), RANKS, window=1024)
 
@@ -22,10 +37,50 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_url_filter": op1_url_filter,
+        "op6_quality_rules": op6_quality_rules,
         "op4_packing": op4_packing,
         "op10_byte_bpe": op10_byte_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_url_filter": _OP1, "op6_quality_rules": _OP6}
+
+
+_OP1 = r"""
+WITH rest AS (
+  SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
+cut AS (SELECT page_id, regexp_extract(r, '^[^/?#]*') AS raw, r FROM rest),
+parts AS (
+  SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(substr(r, length(raw) + 1), '^[^?#]*') AS path FROM cut),
+rules(rh, rp, rv) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+fits AS (
+  SELECT page_id, rh || rp AS rule, rv, row_number() OVER (PARTITION BY page_id ORDER BY length(rh || rp) DESC) AS k
+  FROM parts JOIN rules ON (host = rh OR host LIKE '%.' || rh) AND starts_with(path, rp))
+SELECT p.page_id, host, path, f.rule,
+       coalesce(f.rv, CASE WHEN regexp_matches(host, '(^|[.-])(adult|ads|bets|casino|pills|spam)([.-]|$)') THEN 'block' ELSE 'allow' END) AS verdict
+FROM parts p LEFT JOIN fits f ON f.page_id = p.page_id AND f.k = 1
+"""
+
+_OP6 = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM t)),
+twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, k) AS c FROM win) WHERE c > 1),
+cover AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY doc_id),
+m AS (
+  SELECT t.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, len(ls)::BIGINT AS n_lines,
+         (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words,
+         length(regexp_replace(text, '[^A-Z]', '', 'g'))::BIGINT AS n_capitals
+  FROM t LEFT JOIN cover c USING (doc_id)),
+b AS (
+  SELECT *, (n_words < 20)::INT + 2 * (100 * n_repeat_words > 30 * n_words)::INT + 4 * (10 * n_symbols > 3 * n_words)::INT
+    + 8 * (n_lines >= 4 AND 10 * n_dup_lines > 4 * n_lines)::INT + 16 * (10 * n_capitals > 5 * word_chars)::INT
+    + 32 * (word_chars > 20 * n_words OR word_chars < 2 * n_words)::INT AS failed_bits FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed_bits & 3) <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits::BIGINT AS failed_bits
+FROM b
+"""
