@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, packing, rules, url_filter
+from tidemark.llm import bpe, langid, licenses, packing, quality, rules, secrets, url_filter
 from tidemark.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -19,6 +19,28 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, url_filter.build(universe, listed)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secrets.digest(secrets.scan(docs, secrets.learn(docs)))
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan(table(spark, sf_dir, "documents"))).drop("notices")
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality.learn(docs, quality.grades(table(spark, sf_dir, "labels"))))
+    return scored.withColumn("kept", quality.select(F.col("p_grade_2"), F.col("text"))).drop("text")
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    model = langid.learn(docs.filter(~held_out))
+    return langid.predict(docs.select("doc_id", "text", held_out.alias("held_out")), model).drop("text")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = rules.ledger(table(spark, sf_dir, "documents"))
     base = F.col("failed_bits").bitwiseAND(F.lit(rules.mask("base"))) != 0
@@ -38,7 +60,11 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": op1_url_filter,
+        "op2_secret_scan": op2_secret_scan,
+        "op3_license_scan": op3_license_scan,
+        "op5_quality_classifier": op5_quality_classifier,
         "op6_quality_rules": op6_quality_rules,
+        "op8_language_id": op8_language_id,
         "op4_packing": op4_packing,
         "op10_byte_bpe": op10_byte_bpe,
     }
