@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, langid, licenses, packing, quality, rules, secrets, url_filter
+from tidemark.llm import bpe, imatch, langid, licenses, packing, parity_join, quality, rules, secrets, url_filter
 from tidemark.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -41,6 +41,15 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text", held_out.alias("held_out")), model).drop("text")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return parity_join.link(docs, width=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
+def op7_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.compare_edited(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = rules.ledger(table(spark, sf_dir, "documents"))
     base = F.col("failed_bits").bitwiseAND(F.lit(rules.mask("base"))) != 0
@@ -64,14 +73,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_license_scan": op3_license_scan,
         "op5_quality_classifier": op5_quality_classifier,
         "op6_quality_rules": op6_quality_rules,
+        "op7_imatch": op7_imatch,
         "op8_language_id": op8_language_id,
+        "op9_jaccard_join": op9_jaccard_join,
         "op4_packing": op4_packing,
         "op10_byte_bpe": op10_byte_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": _OP1, "op6_quality_rules": _OP6}
+    return {"op1_url_filter": _OP1, "op6_quality_rules": _OP6, "op9_jaccard_join": _OP9}
 
 
 _OP1 = r"""
@@ -110,3 +121,18 @@ b AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed_bits & 3) <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits::BIGINT AS failed_bits
 FROM b
 """
+
+_OP9 = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, s FROM (
+    SELECT doc_id, unnest(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))) AS s FROM t WHERE len(ws) >= 4
+    UNION ALL SELECT doc_id, array_to_string(ws, ' ') FROM t WHERE len(ws) BETWEEN 1 AND 3)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM pairs JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)),
+reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, links.y FROM reach JOIN links ON reach.r = links.x)
+SELECT t.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, (SELECT min(r) FROM reach WHERE reach.doc_id = t.doc_id) AS component_id
+FROM t LEFT JOIN n ON n.doc_id = t.doc_id
+"""
