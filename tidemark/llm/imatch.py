@@ -91,7 +91,7 @@ def next_ids(ids: DataFrame, key: str) -> DataFrame:
     n = ids.count()
     buckets = max(1, min(MOST_BUCKETS, n // BUCKET_ROWS))
     cuts = ids.agg(F.percentile_approx(key, [i / buckets for i in range(1, buckets)] or [0.5], 10_000).alias("q")).first().q or []
-    cuts = F.array(*[F.lit(x) for x in sorted(set(cuts))])
+    cuts = F.array(*[F.lit(x) for x in sorted(set(cuts))]).cast(f"array<{dict(ids.dtypes)[key]}>")
     bucket = F.when(F.col(key).isNotNull(), F.size(F.filter(cuts, lambda x: x <= F.col(key))))
     known = ids.withColumn("_bucket", bucket)
     firsts = {r._bucket: r.first for r in known.filter("_bucket IS NOT NULL").groupBy("_bucket").agg(F.min(key).alias("first")).collect()}

@@ -133,7 +133,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", outputs: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """Adds the predicted language and its share of the likelihood. One row per input row; no shuffle."""
+    """Adds the predicted language and its share of the likelihood. Columns of these names are replaced. One row per input row; no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_WORDS + MOST_GRAMS rows
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

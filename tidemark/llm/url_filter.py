@@ -8,6 +8,7 @@ an exact answer from a few bits a key, with no join of keys.
 A level is a row of blocks of 32,768 bits; a key's bits all lie in one block. Up to LITERAL_BYTES all levels are
 constants of the plan. Beyond that they stay a table, and each level is looked up by its block's number.
 
+Columns of a given table that are named like a result (host, path, rule, verdict, listed) are replaced.
 Defined results: a null url, or one without ://, has an empty host and path; so does its key. Repeated urls are judged alike.
 """
 
@@ -53,17 +54,17 @@ def rule_columns(rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def _hashes(key: Column) -> list[Column]:
-    return [F.xxhash64(key).alias("h1"), F.xxhash64(key, F.lit(1)).alias("h2")]
+def _hashes(key: Column) -> dict[str, Column]:
+    return {"_url_h1": F.xxhash64(key), "_url_h2": F.xxhash64(key, F.lit(1))}
 
 
 def _block(level: int, blocks: int) -> Column:
-    return F.pmod(F.xxhash64("h1", F.lit(level)), F.lit(blocks))
+    return F.pmod(F.xxhash64("_url_h1", F.lit(level)), F.lit(blocks))
 
 
 def _bits(level: int) -> list[Column]:
-    step = F.shiftrightunsigned(F.xxhash64("h2", F.lit(level)), 33)
-    start = F.shiftrightunsigned(F.xxhash64("h1", F.lit(level + 1000)), 33)
+    step = F.shiftrightunsigned(F.xxhash64("_url_h2", F.lit(level)), 33)
+    start = F.shiftrightunsigned(F.xxhash64("_url_h1", F.lit(level + 1000)), 33)
     return [F.pmod(start + step * j, F.lit(BLOCK_BITS)) for j in range(KEY_BITS)]
 
 
@@ -85,7 +86,7 @@ class Cascade:
     levels: list[Level]
 
     def matches(self, df: DataFrame) -> DataFrame:
-        """Adds listed (boolean) to rows with h1 and h2."""
+        """Adds listed (boolean) to rows with the hashes of `_hashes`."""
         if all(x.constant is not None for x in self.levels):
             listed = F.lit(len(self.levels) % 2 == 1)
             for k in range(len(self.levels) - 1, -1, -1):
@@ -123,7 +124,7 @@ def build(universe: DataFrame, listed: DataFrame, key: str = "key", literal_byte
     of levels only while they are within literal_bytes.
     """
     keys = universe.select(F.col(key).alias("key"), F.lit(False).alias("in_list")).unionByName(listed.select(F.col(key).alias("key"), F.lit(True).alias("in_list")))
-    keys = written(keys.filter("key IS NOT NULL").groupBy("key").agg(F.max("in_list").alias("in_list")).select(*_hashes(F.col("key")), "in_list"), "url-keys")
+    keys = written(keys.filter("key IS NOT NULL").groupBy("key").agg(F.max("in_list").alias("in_list")).withColumns(_hashes(F.col("key"))).drop("key"), "url-keys")
     sides = [keys.filter("in_list"), keys.filter("NOT in_list")]
     levels: list[Level] = []
     spent = 0
@@ -162,9 +163,9 @@ def build(universe: DataFrame, listed: DataFrame, key: str = "key", literal_byte
 def judge(pages: DataFrame, cascade: Cascade, rules: list[tuple[str, str, str]] = RULES, url: str = "url") -> DataFrame:
     """Adds host, path, rule, verdict to pages: the best rule's verdict, else block for listed keys and allow for others."""
     keyed = with_key(pages, url)
-    looked = cascade.matches(keyed.select("*", *_hashes(F.concat("host", "path"))))
+    looked = cascade.matches(keyed.withColumns(_hashes(F.concat("host", "path"))))
     rule, verdict = rule_columns(rules)
-    return looked.withColumn("rule", rule).withColumn("verdict", F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow"))).drop("h1", "h2", "listed")
+    return looked.withColumn("rule", rule).withColumn("verdict", F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow"))).drop("_url_h1", "_url_h2", "listed")
 
 
 def listed_keys(pages: DataFrame, url: str = "url") -> tuple[DataFrame, DataFrame]:
