@@ -22,6 +22,7 @@ text are linked. Ids are taken as unique; a null id is kept as a row of its own,
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,11 +51,10 @@ class Bands:
 
     def of(self, n: int) -> int:
         self._until(n)
-        return int(np.searchsorted(self.starts, n, side="right")) - 1
+        return bisect_right(self.starts, n) - 1
 
     def difference(self, band: int) -> int:
         """The most shingles in which linked sets differ, of which the smaller one is in the band."""
-        self._until(self.starts[-1])
         while len(self.starts) < band + 2:
             self._until(self.starts[-1])
         return (100 - self.percent) * (self.starts[band + 1] - 1) // self.percent
