@@ -119,7 +119,7 @@ class Predictor:
 
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", learn_docs: int = LEARN_DOCS) -> Model:
-    """A model from rows with a text and a language; words are counted by Spark, and the most frequent MOST_WORDS counts of each language come to the driver."""
+    """A model from rows with a text and a language; words are counted by Spark, and the 2 * MOST_WORDS greatest counts come to the driver."""
     known = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull())
     n = known.count()
     step = -(-n // learn_docs) if n else 1

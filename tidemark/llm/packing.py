@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.bpe import Blocks, vocabulary_path, read_ranks
+from tidemark.llm.bpe import Blocks, read_ranks, vocabulary_path
 from tidemark.llm.common import batches_by_size
 
 #: A shard's documents and, about, its characters. Both bound what a task holds.

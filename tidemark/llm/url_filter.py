@@ -71,7 +71,7 @@ def _bits(level: int) -> list[Column]:
 def _set(bitmap: Column, offset, bit: Column) -> Column:
     """Whether a bit is set in a bitmap that begins at a byte offset."""
     byte = F.conv(F.hex(F.substring(bitmap, (offset + F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return F.shiftright(byte, 0).bitwiseAND(F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (F.pmod(bit, F.lit(8)) + 1).cast("int"))) != 0
+    return F.getbit(byte, F.pmod(bit, F.lit(8)).cast("int")) == 1
 
 
 @dataclass
@@ -90,14 +90,14 @@ class Cascade:
         if all(x.constant is not None for x in self.levels):
             listed = F.lit(len(self.levels) % 2 == 1)
             for k in range(len(self.levels) - 1, -1, -1):
-                listed = F.when(self._constant_match(k), listed).otherwise(F.lit(k % 2 == 1))
+                listed = F.when(self.constant_match(k), listed).otherwise(F.lit(k % 2 == 1))
             return df.withColumn("listed", listed)
         df = df.withColumn("_at", F.lit(0))
         for k, level in enumerate(self.levels):
-            df = self._table_match(df, k, level)
+            df = self.table_match(df, k, level)
         return df.withColumn("listed", F.col("_at") % 2 == 1).drop("_at")
 
-    def _constant_match(self, k: int) -> Column:
+    def constant_match(self, k: int) -> Column:
         level = self.levels[k]
         offset = _block(k, level.blocks) * (BLOCK_BITS // 8)
         hit = F.lit(True)
@@ -106,7 +106,7 @@ class Cascade:
         return hit
 
     @staticmethod
-    def _table_match(df: DataFrame, k: int, level: Level) -> DataFrame:
+    def table_match(df: DataFrame, k: int, level: Level) -> DataFrame:
         """_at: levels matched so far without a gap. Rows of one block may be many; AQE splits such partitions."""
         hit = F.col("_at") == k
         for bit in _bits(k):
@@ -145,15 +145,11 @@ def build(universe: DataFrame, listed: DataFrame, key: str = "key", literal_byte
         else:
             table = written(table, "url-level")
         levels.append(Level(blocks, table, constant))
-        one = Cascade([levels[-1]])
-        hit = one._constant_match if constant is not None else None
-        others = sides[1]
-        if hit:
-            level = Cascade(levels)
-            others = others.filter(level._constant_match(k))
+        if constant is not None:
+            false = sides[1].filter(Cascade(levels).constant_match(k))
         else:
-            others = Cascade._table_match(others.withColumn("_at", F.lit(k)), k, levels[-1]).filter(F.col("_at") == k + 1).drop("_at")
-        sides = [written(others, "url-false") if k else others, sides[0]]
+            false = Cascade.table_match(sides[1].withColumn("_at", F.lit(k)), k, levels[-1]).filter(F.col("_at") == k + 1).drop("_at")
+        sides = [written(false, "url-false"), sides[0]]
     if any(x.constant is None for x in levels):
         for x in levels:
             x.constant = None
