@@ -378,6 +378,7 @@ def test_parity_join(spark, width, percent):
 def test_parity_join_goes_through_large_buckets(spark, monkeypatch):
     """Two halves share parts but aren't linked with the first document; leaders and the last round must find the links."""
     monkeypatch.setattr(parity_join, "LEADER_BUCKET", 3)
+    monkeypatch.setattr(parity_join, "BLOCK", 8)
     draw = random.Random(11)
     base = [f"w{i}" for i in range(200)]
     texts = {}

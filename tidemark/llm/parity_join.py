@@ -11,9 +11,10 @@ are held as the XOR of 64-bit numbers, one for each shingle. Nearly all equal pa
 joins nothing as long as enough parts remain; a text with too many empty parts is cut anew by another hash (RECUTS times).
 
 Equal sets are one class, of which only the first document joins. Within a bucket of equal parts, documents are first
-paired with its first document only; buckets that stay in more than one component are then gone through with further
-leaders, and at last by all pairs across components. So a bucket of copies is never expanded into its pairs, yet no
-component is missed. Buckets and pairs live in tables that Spark shuffles; the driver sees counts.
+paired with its first document only; large buckets that stay in more than one component get a few further leaders. What
+then is open forms families (documents that share open buckets). A family is cut into blocks; the sketches of each pair
+of blocks are compared in one task, and only pairs of different components within the Hamming bound come out. So a bucket
+of copies is never expanded into its pairs, yet no component is missed. The driver sees counts.
 
 Defined results: a null or empty text (or one without words) has no shingles and is linked with nothing, so is its own
 component; a text with fewer words than a shingle has its whole sequence as its only shingle. Repeated rows with equal
@@ -35,7 +36,9 @@ from tidemark.llm.common import BROADCAST_IDS, batches_by_size, mix, shingle_has
 SKETCH_WORDS = 16
 RECUTS = 6
 #: Rounds of further leaders, and members of a bucket from which a round is worth while.
-LEADER_ROUNDS, LEADER_BUCKET = 4, 64
+LEADER_ROUNDS, LEADER_BUCKET = 2, 64
+#: Documents of a block, about: a task compares two blocks.
+BLOCK = 2_048
 _U = np.uint64
 
 
@@ -186,6 +189,44 @@ def _labelled(members: DataFrame, comps: DataFrame) -> DataFrame:
     return members.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
+def near_sketches(a: pd.DataFrame, b: pd.DataFrame | None, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places in a and b (b None: in a twice, each pair once) of pairs of different components whose sizes and sketches allow a link."""
+    own, other = (np.vstack(x["sketch"].to_numpy()).view(_U) for x in (a, a if b is None else b))
+    n, m = a["n"].to_numpy(), (a if b is None else b)["n"].to_numpy()
+    c, d = (pd.factorize(pd.concat([a["component"], (a if b is None else b)["component"]]))[0][x] for x in (slice(len(n)), slice(len(n), None)))
+    for i in range(0, len(n), 32):
+        rows = slice(i, i + 32)
+        allowed = (c[rows, None] != d) & (100 * np.minimum(n[rows, None], m) >= percent * np.maximum(n[rows, None], m))
+        if b is None:
+            allowed &= np.arange(len(m)) > np.arange(i, i + len(n[rows]))[:, None]
+        x, y = np.nonzero(allowed)
+        distance = np.bitwise_count(own[rows][x] ^ other[y]).sum(1, dtype=np.int64)
+        near = (100 + percent) * distance <= (100 - percent) * (n[rows][x] + m[y])
+        yield x[near] + i, y[near]
+
+
+def _family_pairs(labelled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a < b) of different components of a family that may be linked. labelled: part, id, component, a (the part's least id)."""
+    families = components(labelled.select(F.col("id"), "a").filter("id > a").select("a", F.col("id").alias("b")).distinct()).withColumnRenamed("component", "family")
+    rows = labelled.select("id", "component").distinct().join(families, "id").join(sets.select("id", "n", "sketch"), "id")
+    sizes = rows.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = rows.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    tiles = dealt.withColumn("other", other).select(
+        "family", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "component", "n", "sketch"
+    )
+    kind = dict(labelled.dtypes)["id"]
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        p, q = rows["p"].iloc[0], rows["q"].iloc[0]
+        a, b = (rows[rows["block"] == k].reset_index(drop=True) for k in (p, q))
+        found = [(a["id"].to_numpy()[x], (a if p == q else b)["id"].to_numpy()[y]) for x, y in near_sketches(a, None if p == q else b, percent)] if len(a) and len(b) else []
+        x, y = (np.concatenate([z[k] for z in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+
+    return tiles.groupBy("family", "p", "q").applyInPandas(compare, f"a {kind}, b {kind}")
+
+
 def link(docs: DataFrame, width: int = 4, percent: int = 85, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, n_shingles, component_id, class_id (the least id with an equal set): one row per row of docs."""
     sets = written(_sets(docs, width, text, key), "sets")
@@ -225,8 +266,7 @@ def link(docs: DataFrame, width: int = 4, percent: int = 85, text: str = "text",
         labelled = written(labelled.join(open_parts.select("part", "a"), "part"), "open-members")
         last = round_ == LEADER_ROUNDS or state.most <= LEADER_BUCKET
         if last:
-            x, y = labelled.select("part", F.col("id").alias("a"), F.col("component").alias("ca")), labelled.select("part", F.col("id").alias("b"), F.col("component").alias("cb"))
-            pairs = x.join(y, "part").filter("ca <> cb AND a < b").select("a", "b").distinct()
+            pairs = _family_pairs(labelled, sets, percent)
         else:
             leader = labelled.filter("id = a").select("part", F.col("component").alias("ca"))
             pairs = labelled.join(leader, "part").filter("component <> ca").select("a", F.col("id").alias("b")).distinct()
