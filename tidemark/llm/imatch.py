@@ -8,6 +8,7 @@ likeness of two fingerprints is the share of subsets, of those that either has t
 
 Terms are runs of letters and digits in lower case. A text without terms of the lexicon has one hash of all its sorted
 distinct terms. Defined results: a null text counts as empty; empty texts are alike. Equal texts have equal fingerprints.
+A row without an id has no place in the order of documents: it is returned with its length alone, and likeness 0.
 """
 
 from __future__ import annotations
@@ -83,7 +84,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def next_ids(ids: DataFrame, key: str) -> DataFrame:
-    """Adds next_id: the next greater id, and of the greatest the least. Null ids have none.
+    """Adds next_id: the next greater id, and of the greatest the least. Null ids have none; they are passed over.
 
     Ids are cut into buckets at quantiles (MOST_BUCKETS at most, so are the rows that come to the driver), and each
     bucket is ordered by itself. A bucket's last id is followed by the first of the next bucket that has one.
@@ -107,12 +108,13 @@ def compare_edited(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
     Texts are shuffled once by id (both joins use that exchange), beginnings once; terms are counted and matched where the texts are.
     """
-    texts = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    all_texts = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    texts = all_texts.filter("id IS NOT NULL")  # both joins need the same rows, else the texts would be shuffled for each
     chain = written(next_ids(texts.select("id", F.length("text").cast("long").alias("n_chars")), "id"), "next-ids")
     words = written(lexicon(texts), "lexicon")
     words = sized(words, words.count())
 
-    asked = chain.filter("next_id IS NOT NULL").select(F.col("next_id").alias("id"), F.col("id").alias("owner"), F.floor(F.col("n_chars") / 4).cast("int").alias("k"))
+    asked = chain.select(F.col("next_id").alias("id"), F.col("id").alias("owner"), F.floor(F.col("n_chars") / 4).cast("int").alias("k"))
     heads = texts.join(asked, "id").select(F.col("owner").alias("id"), F.substring(F.col("text"), F.lit(1), F.col("k")).alias("head"))
     length = F.length("text")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), (length - F.floor(length / 4)).cast("int")), F.coalesce(F.col("head"), F.lit("")))
@@ -126,8 +128,10 @@ def compare_edited(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
         "prints",
     )
     following = result.select(F.col("id").alias("next_id"), F.col("fingerprint").alias("next_fingerprint"))
-    return result.join(chain, "id", "left").join(following, "next_id", "left").select(
+    found = result.join(chain, "id", "left").join(following, "next_id", "left").select(
         F.col("id").alias(key), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         F.coalesce(likeness(F.col("fingerprint"), F.col("next_fingerprint")), F.lit(0.0)).alias("near_next"),
     )
+    loose = all_texts.filter("id IS NULL").select(F.col("id").alias(key), F.length("text").cast("long").alias("n_chars"), F.lit(0.0).alias("near_edited"), F.lit(0.0).alias("near_next"))
+    return found.unionByName(loose, allowMissingColumns=True)
