@@ -224,7 +224,8 @@ def _family_pairs(labelled: DataFrame, sets: DataFrame, percent: int) -> DataFra
         x, y = (np.concatenate([z[k] for z in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
         return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
 
-    return tiles.groupBy("family", "p", "q").applyInPandas(compare, f"a {kind}, b {kind}")
+    # Else Spark would keep a whole family where the join by family has put it.
+    return tiles.repartition("family", "p", "q").groupBy("family", "p", "q").applyInPandas(compare, f"a {kind}, b {kind}")
 
 
 def link(docs: DataFrame, width: int = 4, percent: int = 85, text: str = "text", key: str = "doc_id") -> DataFrame:
