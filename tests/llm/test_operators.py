@@ -182,6 +182,39 @@ def test_packing_prefers_lexical_neighbours():
     assert [(d, q) for d, _, _, q, _ in pieces][:2] == [(0, 0), (2, 0)]
 
 
+def test_packing_neighbours_of_the_corpus(spark):
+    """Pairs that share rare words meet wherever they lie; shards and sequences don't depend on the partitions."""
+    draw = random.Random(31)
+    letters = lambda x: "".join("abcdefghij"[int(c)] for c in str(x))
+    common = [f"common{letters(i)}" for i in range(300)]
+    texts = [" ".join(["start", *draw.sample(common, 150), *[f"rare{letters(i % 700)}x{letters(k)}" for k in range(6)]]) for i in range(1400)] + [None, "", *["same text of many rows"] * 1100]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    runs = [
+        sorted(map(tuple, packing.pack_documents(df, broadcast_terms=limit).collect()))
+        for df, limit in ((docs.repartition(2), None), (docs.repartition(5), None), (docs.repartition(3), 0))
+    ]
+    assert runs[0] == runs[1] == runs[2]
+    shard = {r[0]: r[5] >> 32 for r in runs[0]}
+    assert len(shard) == len(texts) and all(shard[i] == shard[i + 700] for i in range(700))
+    sequences = {}
+    for r in runs[0]:
+        sequences.setdefault(r[0], set()).add(r[5])
+    assert np.mean([bool(sequences[i] & sequences[i + 700]) for i in range(700)]) > 0.6
+    stats = packing.statistics(docs)
+    terms = bpe.pre_token_hashes([" rarefxa commonh text nowhere"])[3]
+    assert stats.n_docs == len(texts) and stats.lookup()(terms).tolist() == [2, sum(" commonh " in (t or "") for t in texts), 1100, 1]
+
+
+def test_packing_scores_all_words_of_the_seed():
+    seed = list(range(60))
+    docs = [np.array(x) for x in (seed, [*range(0, 30), 90], [*range(30, 60), *range(24)], [91, 92])]
+    words, firsts = np.concatenate(docs), np.concatenate(([0], np.cumsum([len(d) for d in docs])))
+    index = packing.Shard(words, firsts, 100, np.full(100, 5), 1000, 30.0)
+    assert index.neighbours(0, np.array([False, True, True, True])).tolist() == [2, 1]
+    own = packing.Shard(words, firsts, 100)
+    assert len(index.weights) == len(own.weights) and not np.allclose(index.weights, own.weights)
+
+
 def test_ids_equal_those_of_both_libraries(odd, none):
     from tokenizers import Tokenizer
 

@@ -79,28 +79,34 @@ def pre_token_spans(codes: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
+def pre_token_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The codes of all texts; where each pre-token starts and stops in them, and its 64-bit hash; for each text its first pre-token (and the end)."""
+    codes = np.frombuffer("".join(t + "\0" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+    ends = np.cumsum([len(t) + 1 for t in texts]) - 1
+    codes[ends] = _END_CODE
+    edges = pre_token_spans(codes)
+    starts, stops = edges[:-1], edges[1:]
+    real = codes[starts] != _END_CODE
+    firsts = np.concatenate(([0], np.cumsum(real)[np.searchsorted(starts, ends)]))
+    starts, stops = starts[real], stops[real]
+    return codes, starts, stops, span_hashes(mix(codes.astype(np.uint64), 3), starts, stops), firsts
+
+
 class Blocks:
     """Turns blocks of texts into pre-tokens and, for each distinct one, what `encode` makes of it."""
 
     def __init__(self, encode) -> None:
         self.encode = encode  #: list of pre-token strings -> list of results
         self.known: dict[int, object] = {}
+        self.hashes = np.zeros(0, np.uint64)  #: of the last block's distinct pre-tokens, ascending
 
     def __call__(self, texts: list[str]) -> tuple[list, np.ndarray, np.ndarray]:
         """The distinct pre-tokens' results; for each pre-token the place of its result; for each text its first pre-token (and the end)."""
-        codes = np.frombuffer("".join(t + "\0" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32).copy()
-        ends = np.cumsum([len(t) + 1 for t in texts]) - 1
-        codes[ends] = _END_CODE
-        edges = pre_token_spans(codes)
-        starts, stops = edges[:-1], edges[1:]
-        real = codes[starts] != _END_CODE
-        firsts = np.concatenate(([0], np.cumsum(real)[np.searchsorted(starts, ends)]))
-        starts, stops = starts[real], stops[real]
-        hashes = span_hashes(mix(codes.astype(np.uint64), 3), starts, stops)
-        keys, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        codes, starts, stops, hashes, firsts = pre_token_hashes(texts)
+        self.hashes, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.known) > CACHE_ENTRIES:
             self.known.clear()
-        known, keys = self.known, keys.tolist()
+        known, keys = self.known, self.hashes.tolist()
         if missing := [i for i, k in enumerate(keys) if k not in known]:
             raw = codes.tobytes()
             spans = zip(starts[at[missing]].tolist(), stops[at[missing]].tolist(), strict=True)
