@@ -104,6 +104,20 @@ def test_grammar_tells_credentials_from_words():
     assert np.mean(hits) > 0.9 and np.mean(misses) < 0.05
 
 
+def test_whole_runs_are_candidates(spark):
+    grammar = secrets.Grammar(secrets.published_formats())
+    short, long = "ghp_" + secrets.published_formats(n=1, seed=5)["prefixed"][0][4:], "".join(secrets.published_formats(n=9, seed=6)["base64"])
+    for value in (short, long):
+        for before, after in (("", ""), ("", "."), ("see ", ", "), ("=", ""), ("-", ""), ("x=", "/"), ("./", "-+_"), ("", "=="), ("", "==."), ("é", "é")):
+            text = before + value + after
+            spans = [(a, b) for a, _, b, _ in grammar.spans(text, [], secrets.THRESHOLD)]
+            padded = 2 * after.startswith("==")
+            assert spans == [(len(before), len(before) + len(value) + padded)], (before, after, len(value))
+    assert secrets.candidates("a=" * 40 + "." * 400) == []
+    docs = spark.createDataFrame([(1, f"the key is {short}. And {long}")], "doc_id long, text string")
+    assert secrets.scan(docs, grammar, redact="[secret]").first().text == "the key is [secret]. And [secret]"
+
+
 # --- 3 ---
 
 

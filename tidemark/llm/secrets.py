@@ -2,7 +2,7 @@
 
 Grammar inference: the labelled credentials of a kind form a prefix tree over classes of characters. States are merged
 when their frequencies of ending and of each next class don't differ by Hoeffding's bound, and so do those of their
-successors; the tree becomes a probabilistic automaton. A candidate is a long run of credential characters. Its score is
+successors; the tree becomes a probabilistic automaton. A candidate is a run of credential characters of any length, without marks at its ends, cut at '='. Its score is
 the greatest log likelihood of its format under an automaton, less that under the automaton of ordinary tokens, a
 character. Candidates that score above THRESHOLD are secrets of the kind `inferred`; they never replace a base span.
 
@@ -30,8 +30,11 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ["assign", "access", "hex", "inferred"]
-#: A run of characters that credentials have; the ends are letters or digits.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9][A-Za-z0-9+/_=.-]{14,254}[A-Za-z0-9=](?![A-Za-z0-9+/_=.-])")
+#: A piece of a run of characters that credentials have, of any length: it begins with a letter or digit, and ends with one, or at the run's end with up to two '=' of padding.
+#: Marks at the ends of a run are no part of it, and a run is cut at an '=' before something else.
+CANDIDATE = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9+/_.-]*[A-Za-z0-9])?(?:={1,2}(?=[+/_.-]*\Z))?")
+LEAST_CHARS = 16
+_RUN = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
 
 SAMPLE_DOCS, PER_DOC, PER_KIND = 4_000, 20, 300
 ALPHA, DEPTH, THRESHOLD = 0.05, 40, 0.35
@@ -56,6 +59,11 @@ def credential(text: str, span: tuple[int, int, int]) -> str:
     return ASSIGN.match(text, start)[2] if kind == 0 else text[start:end]
 
 
+def candidates(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the pieces of all runs of credential characters, of LEAST_CHARS or more."""
+    return [m.span() for run in _RUN.finditer(text) for m in CANDIDATE.finditer(text, *run.span()) if m.end() - m.start() >= LEAST_CHARS]
+
+
 class Automaton:
     """A probabilistic automaton over classes of characters. state -> counts of the next class (or the end), and successors."""
 
@@ -170,12 +178,12 @@ class Grammar:
     def spans(self, text: str, base: list[tuple[int, int, int]], threshold: float) -> list[tuple[int, int, int, float]]:
         """(start, kind, end, score) of candidates that touch no base span, have a digit and score above the threshold."""
         found = []
-        for m in CANDIDATE.finditer(text):
-            value = m[0]
-            if not any(map(str.isdigit, value)) or any(s < m.end() and m.start() < e for s, _, e in base):
+        for start, end in candidates(text):
+            value = text[start:end]
+            if not any(map(str.isdigit, value)) or any(s < end and start < e for s, _, e in base):
                 continue
             if (score := self.score(value)) > threshold:
-                found.append((m.start(), 3, m.end(), score))
+                found.append((start, 3, end, score))
         return found
 
 
