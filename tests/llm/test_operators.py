@@ -118,6 +118,17 @@ def test_whole_runs_are_candidates(spark):
     assert secrets.scan(docs, grammar, redact="[secret]").first().text == "the key is [secret]. And [secret]"
 
 
+def test_automata_see_whole_values():
+    for kind, char, n in (("dotted", ".", 2), ("long_base64", "=", 1)):
+        values = secrets.published_formats()[kind]
+        own, seen, stack = secrets.Automaton(values), {0}, [0]
+        while stack:
+            new = {*own.next[stack.pop()].values()} - seen
+            seen |= new
+            stack += new
+        assert sum(own.counts[s][secrets._class_of[char]] for s in seen) == n * len(values)
+
+
 # --- 3 ---
 
 

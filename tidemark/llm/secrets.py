@@ -37,7 +37,7 @@ LEAST_CHARS = 16
 _RUN = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
 
 SAMPLE_DOCS, PER_DOC, PER_KIND = 4_000, 20, 300
-ALPHA, DEPTH, THRESHOLD = 0.05, 40, 0.35
+ALPHA, THRESHOLD = 0.05, 0.35
 
 _class_of = {c: k for k, group in enumerate(["0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "+", "/", "_", "=", ".", "-"]) for c in group}
 CLASSES = 11
@@ -72,7 +72,7 @@ class Automaton:
         self.next: list[dict[int, int]] = [{}]
         for value in values:
             s = 0
-            for c in value[:DEPTH]:
+            for c in value:
                 k = _class_of[c]
                 self.counts[s][k] += 1
                 if k not in self.next[s]:
@@ -86,12 +86,11 @@ class Automaton:
         self.logs = [[math.log((x + 0.5) / (sum(row) + 0.5 * (CLASSES + 1))) for x in row] for row in self.counts]
 
     def _differ(self, a: int, b: int) -> bool:
-        stack, steps = [(a, b)], 0
+        stack = [(a, b)]
         while stack:
             a, b = stack.pop()
-            steps += 1
             n, m = sum(self.counts[a]), sum(self.counts[b])
-            if not n or not m or steps > 400:
+            if not n or not m:
                 continue
             most = self.bound * (1 / math.sqrt(n) + 1 / math.sqrt(m))
             if any(abs(x / n - y / m) > most for x, y in zip(self.counts[a], self.counts[b], strict=True)):
