@@ -368,6 +368,15 @@ def test_imatch_prints_are_hashes_of_sorted_terms(spark):
     assert a == b and all(a[i].print0 == a[i + 1].print0 for i in a if i % 2 == 0)
 
 
+def test_imatch_uses_the_whole_band(spark):
+    """Each text has one term of the band; texts of different ones have different fingerprints."""
+    letters = [f"own{i // 2}" for i in range(400)]
+    docs = spark.createDataFrame([(i, f"all share these {x} v{i}") for i, x in enumerate(letters)], "id long, text string")
+    words = imatch.lexicon(docs)
+    assert {r.term for r in words.collect()} >= set(letters)
+    assert len({r.print0 for r in imatch.fingerprints(docs, words.filter("term LIKE 'own%'"), "id", ["text"]).collect()}) == 200
+
+
 # --- 8 ---
 
 

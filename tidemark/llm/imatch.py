@@ -2,8 +2,8 @@
 
 The lexicon holds the terms whose document frequency lies in a band (that of an inverse document frequency). A document
 has avg terms, so at most avg / LOW terms reach the band's lower end, however many documents there are: the lexicon is
-broadcast behind a check of its size, and shuffled beyond it. The lexicon is dealt into DEALT random subsets by a hash of
-the term, of which SUBSETS are used: few terms each, so that an edit changes some of them. For each subset, the document's distinct terms in it are sorted and hashed; the hashes, joined, are the fingerprint. The
+broadcast behind a check of its size, and shuffled beyond it. The lexicon is dealt into SUBSETS random subsets by a hash of
+the term, and all are used: few terms each, so that an edit changes some of them. For each subset, the document's distinct terms in it are sorted and hashed; the hashes, joined, are the fingerprint. The
 likeness of two fingerprints is the share of subsets, of those that either has terms in, whose hashes are equal.
 
 Terms are runs of letters and digits in lower case. A text without terms of the lexicon has one hash of all its sorted
@@ -20,7 +20,7 @@ from tidemark.llm.common import sized, written
 
 #: The band, as shares of all documents.
 LOW, HIGH = 0.002, 0.05
-SUBSETS, DEALT = 32, 64
+SUBSETS = 64
 #: Rows of a bucket of ids, about, and the most buckets.
 BUCKET_ROWS, MOST_BUCKETS = 500, 1_024
 
@@ -35,8 +35,8 @@ def lexicon(docs: DataFrame, text: str = "text", low: float = LOW, high: float =
     n = docs.count()
     counts = docs.select(F.explode(terms(F.col(text))).alias("term")).groupBy("term").count()
     return counts.filter((F.col("count") >= max(2, low * n)) & (F.col("count") <= max(2, high * n))).select(
-        "term", F.pmod(F.xxhash64("term", F.lit(17)), F.lit(DEALT)).cast("int").alias("subset"), F.xxhash64("term").alias("h")
-    ).filter(F.col("subset") < SUBSETS)
+        "term", F.pmod(F.xxhash64("term", F.lit(17)), F.lit(SUBSETS)).cast("int").alias("subset"), F.xxhash64("term").alias("h")
+    )
 
 
 def _hash(values: Column) -> Column:
