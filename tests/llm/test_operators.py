@@ -296,6 +296,12 @@ def test_quality(spark, odd, none):
     assert quality.score(none, model).count() == 0
 
 
+def test_capitals_are_counted_over_the_whole_text():
+    for n in (10, 2500, 4000):
+        text = "aB" * n
+        assert quality.shape(text, [text], 1)[3] == 0.5
+
+
 # --- 6 ---
 
 

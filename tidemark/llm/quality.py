@@ -64,7 +64,7 @@ def shape(text: str, words: list[str], distinct: int) -> list[float]:
     n, chars = len(words), max(1, len(text))
     symbols = sum(map(text.count, "#*$%&|<>"))
     marks = text.count("!")
-    capitals = sum(map(str.isupper, text[:: max(1, chars // 2000)])) / max(1, len(text[:: max(1, chars // 2000)]))
+    capitals = sum(map(str.isupper, text)) / chars
     repeats = sum(a == b for a, b in zip(words, words[1:], strict=False))
     return [1.0, min(1.0, symbols / max(1, n)), min(1.0, marks / max(1, n)), capitals, min(1.0, 2 * repeats / max(1, n)), 1 - distinct / max(1, n), 1 / (1 + n / 10)]
 
