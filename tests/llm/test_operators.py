@@ -255,6 +255,18 @@ def test_ids_equal_those_of_both_libraries(odd, none):
     assert bpe.encode_documents(none, bpe.vocabulary_path("byte_bpe_50k.tiktoken")).count() == 0
 
 
+def test_added_tokens_in_texts_are_ordinary_text(spark):
+    """As public_tokenizers describes it: tokenizers with encode_special_tokens."""
+    from tokenizers import Tokenizer
+
+    other = Tokenizer.from_file(bpe.vocabulary_path("byte_bpe_50k.json"))
+    other.encode_special_tokens = True
+    text = "a <|endoftext|> b"
+    ids = other.encode(text, add_special_tokens=False).ids
+    row = packing.pack_documents(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row.length == row.doc_tokens == len(ids) + 1 and row.ids_crc32 == zlib.crc32(np.array([*ids, 0], "<u4").tobytes())
+
+
 def test_pre_tokens_against_the_library():
     encoding, own = _encoding(), bpe.codec(bpe.vocabulary_path("byte_bpe_50k.tiktoken"))
     draw = random.Random(1)
