@@ -395,6 +395,17 @@ def test_imatch_uses_the_whole_band(spark):
     assert len({r.print0 for r in imatch.fingerprints(docs, words.filter("term LIKE 'own%'"), "id", ["text"]).collect()}) == 200
 
 
+def test_imatch_near_copies_without_terms_of_the_band(spark):
+    base = " ".join(f"w{i}" for i in range(200))
+    texts = [base + f" x{i}" for i in range(3)] + ["same copy"] * 300
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    assert {r.term for r in imatch.lexicon(docs, low=0.0, high=0.6).collect()} == set()
+    plain = docs.filter("id < 2").select("id", imatch._plain(imatch.F.col("text")).alias("p")).collect()
+    a, b = sorted(plain)[0].p, sorted(plain)[1].p
+    near = spark.createDataFrame([(a, b)], "a string, b string").select(imatch.likeness(imatch.F.col("a"), imatch.F.col("b")).alias("x")).first().x
+    assert 0.9 < near < 1 and all(x == "-" or len(x) == 16 for x in a.split(".")[1:])
+
+
 # --- 8 ---
 
 

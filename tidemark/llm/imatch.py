@@ -6,8 +6,8 @@ broadcast behind a check of its size, and shuffled beyond it. The lexicon is dea
 the term, and all are used: few terms each, so that an edit changes some of them. For each subset, the document's distinct terms in it are sorted and hashed; the hashes, joined, are the fingerprint. The
 likeness of two fingerprints is the share of subsets, of those that either has terms in, whose hashes are equal.
 
-Terms are runs of letters and digits in lower case. A text without terms of the lexicon has one hash of all its sorted
-distinct terms. Defined results: a null text counts as empty; empty texts are alike. Equal texts have equal fingerprints.
+Document frequencies are of distinct texts, so exact copies count once. Terms are runs of letters and digits in lower
+case. A text without terms of the lexicon has 64-bit hashes of all its sorted distinct terms, dealt into the same subsets. Defined results: a null text counts as empty; empty texts are alike. Equal texts have equal fingerprints.
 A row without an id has no place in the order of documents: it is returned with its length alone, and likeness 0.
 """
 
@@ -30,10 +30,12 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.array_remove(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), ""))
 
 
-def lexicon(docs: DataFrame, text: str = "text", low: float = LOW, high: float = HIGH) -> DataFrame:
-    """term, subset, h (its hash) of the terms in the band. Frequencies are of all documents; counts are summed in each task before they are shuffled."""
-    n = docs.count()
-    counts = docs.select(F.explode(terms(F.col(text))).alias("term")).groupBy("term").count()
+def lexicon(docs: DataFrame, text: str = "text", low: float = LOW, high: float = HIGH, key: str = "id") -> DataFrame:
+    """term, subset, h (its hash) of the terms in the band. Frequencies are of all distinct texts; counts are summed in each task before they are shuffled."""
+    digest = [F.xxhash64(F.col(text), F.lit(seed)) for seed in (1, 2)]
+    firsts = written(docs.groupBy(*digest).agg(F.min(key).alias(key)).select(key), "distinct-texts")
+    n = firsts.count()
+    counts = docs.join(sized(firsts, n), key, "left_semi").select(F.explode(terms(F.col(text))).alias("term")).groupBy("term").count()
     return counts.filter((F.col("count") >= max(2, low * n)) & (F.col("count") <= max(2, high * n))).select(
         "term", F.pmod(F.xxhash64("term", F.lit(17)), F.lit(SUBSETS)).cast("int").alias("subset"), F.xxhash64("term").alias("h")
     )
@@ -71,16 +73,18 @@ def fingerprints(texts: DataFrame, lexicon: DataFrame, key: str, columns: list[s
 
 
 def _plain(text: Column) -> Column:
-    """For texts without terms of the lexicon."""
-    return F.concat(F.lit("all."), _hash(F.array_sort(terms(text))))
+    """For texts without terms of the lexicon: whole hashes of all terms by subset."""
+    dealt = F.transform(F.array_sort(terms(text)), lambda t: F.struct(F.pmod(F.xxhash64(t, F.lit(17)), F.lit(SUBSETS)).alias("subset"), t.alias("term")))
+    parts = F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda j: F.transform(F.filter(dealt, lambda x: x["subset"] == j), lambda x: x["term"]))
+    return F.concat(F.lit("all."), F.array_join(F.transform(parts, lambda p: F.when(F.size(p) > 0, F.lower(F.lpad(F.hex(F.xxhash64(p)), 16, "0"))).otherwise(F.lit("-"))), "."))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Of two fingerprints, from 0 to 1; 1 if they are equal."""
-    pairs = F.arrays_zip(F.split(a, "\\.").alias("x"), F.split(b, "\\.").alias("y"))
+    pairs = F.filter(F.arrays_zip(F.split(a, "\\.").alias("x"), F.split(b, "\\.").alias("y")), lambda p: p["x"] != "all")
     used = F.filter(pairs, lambda p: (p["x"] != "-") | (p["y"] != "-"))
     same = F.filter(used, lambda p: p["x"] == p["y"])
-    return F.when(a == b, 1.0).when(F.startswith(a, F.lit("all.")) | F.startswith(b, F.lit("all.")), 0.0).otherwise(F.size(same) / F.size(used)).cast("double")
+    return F.when(a == b, 1.0).when(F.startswith(a, F.lit("all.")) != F.startswith(b, F.lit("all.")), 0.0).otherwise(F.size(same) / F.size(used)).cast("double")
 
 
 def next_ids(ids: DataFrame, key: str) -> DataFrame:
@@ -120,10 +124,10 @@ def compare_edited(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     edited = F.concat(F.substring(F.col("text"), F.lit(1), (length - F.floor(length / 4)).cast("int")), F.coalesce(F.col("head"), F.lit("")))
     both = texts.join(heads, "id", "left").select("id", "text", edited.alias("edited"))
     prints = fingerprints(both, words, "id", ["text", "edited"])
-    plain = both.select("id", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), _plain(F.col("text")).alias("plain"), _plain(F.col("edited")).alias("edited_plain"))
+    plain = both.select("id", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "text", "edited")
     result = written(
         plain.join(prints, "id", "left").select(
-            "id", "edited_sha256", F.coalesce("print0", "plain").alias("fingerprint"), F.coalesce("print1", "edited_plain").alias("edited_fingerprint")
+            "id", "edited_sha256", F.coalesce(F.col("print0"), _plain(F.col("text"))).alias("fingerprint"), F.coalesce(F.col("print1"), _plain(F.col("edited"))).alias("edited_fingerprint")
         ),
         "prints",
     )
