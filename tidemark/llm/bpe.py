@@ -2,8 +2,8 @@
 
 Every token's bytes are mapped to printable characters, one per byte; a piece is scored by minus its rank, and
 normalisation is the identity. Sentencepiece's BPE then merges the pair of highest score first, which is the pair of
-lowest rank. Pre-tokens are cut by the published pattern, each is encoded by itself, and equal pre-tokens of a block
-are encoded once. Decoding maps ids to pieces and characters back to bytes.
+lowest rank. Pre-tokens are cut by the published pattern, and each is encoded by itself. A worker remembers pre-tokens by
+their own text, so equal ones are encoded once and different ones never share an answer. Decoding maps ids to pieces and characters back to bytes.
 
 Defined results: a null text counts as empty; an empty text has no ids, and its digests are those of no bytes.
 """
@@ -15,19 +15,20 @@ import hashlib
 import os
 import struct
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain, pairwise
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import batches_by_size, mix, span_hashes
+from tidemark.llm.common import arrow_pieces
 
-#: Characters in a block whose equal pre-tokens are encoded once.
-BLOCK_CHARS = 1_000_000
-#: Pre-tokens that a worker remembers between blocks; then it starts anew.
-CACHE_ENTRIES = 400_000
+#: Bytes of text in a block whose pre-tokens are in memory together.
+BLOCK_BYTES = 1_000_000
+#: Pre-tokens that a worker remembers between blocks, and their characters; then it starts anew.
+CACHE_ENTRIES, CACHE_CHARS = 200_000, 4_000_000
 
 
 def vocabulary_path(name: str) -> str:
@@ -79,40 +80,35 @@ def pre_token_spans(codes: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
-def pre_token_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The codes of all texts; where each pre-token starts and stops in them, and its 64-bit hash; for each text its first pre-token (and the end)."""
+def pre_tokens(texts: list[str]) -> list[list[str]]:
+    """Each text's pre-tokens."""
     codes = np.frombuffer("".join(t + "\0" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32).copy()
-    ends = np.cumsum([len(t) + 1 for t in texts]) - 1
+    ends = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64) - 1
     codes[ends] = _END_CODE
     edges = pre_token_spans(codes)
-    starts, stops = edges[:-1], edges[1:]
-    real = codes[starts] != _END_CODE
-    firsts = np.concatenate(([0], np.cumsum(real)[np.searchsorted(starts, ends)]))
-    starts, stops = starts[real], stops[real]
-    return codes, starts, stops, span_hashes(mix(codes.astype(np.uint64), 3), starts, stops), firsts
+    places, found, start = np.searchsorted(edges, ends), [], 0
+    first = 0
+    for t, last, end in zip(texts, places.tolist(), ends.tolist(), strict=True):
+        found.append([t[a:b] for a, b in pairwise((edges[first : last + 1] - start).tolist())])
+        first, start = last + 1, end + 1
+    return found
 
 
 class Blocks:
-    """Turns blocks of texts into pre-tokens and, for each distinct one, what `encode` makes of it."""
-
-    def __init__(self, encode) -> None:
-        self.encode = encode  #: list of pre-token strings -> list of results
-        self.known: dict[int, object] = {}
-        self.hashes = np.zeros(0, np.uint64)  #: of the last block's distinct pre-tokens, ascending
-
-    def __call__(self, texts: list[str]) -> tuple[list, np.ndarray, np.ndarray]:
-        """The distinct pre-tokens' results; for each pre-token the place of its result; for each text its first pre-token (and the end)."""
-        codes, starts, stops, hashes, firsts = pre_token_hashes(texts)
-        self.hashes, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.known) > CACHE_ENTRIES:
-            self.known.clear()
-        known, keys = self.known, self.hashes.tolist()
-        if missing := [i for i, k in enumerate(keys) if k not in known]:
-            raw = codes.tobytes()
-            spans = zip(starts[at[missing]].tolist(), stops[at[missing]].tolist(), strict=True)
-            new = self.encode([raw[4 * a : 4 * b].decode("utf-32-le", "surrogatepass") for a, b in spans])
-            known.update(zip((keys[i] for i in missing), new, strict=True))
-        return [known[k] for k in keys], inverse, firsts
+    """Turns blocks of texts into pre-tokens; remembers what `encode` makes of each distinct one."""
+
+    def __init__(self, encode: Callable[[list[str]], list]) -> None:
+        self.encode, self.known, self.chars = encode, {}, 0
+
+    def __call__(self, texts: list[str]) -> tuple[dict, list[list[str]]]:
+        """The results by pre-token, and each text's pre-tokens."""
+        tokens = pre_tokens(texts)
+        if len(self.known) > CACHE_ENTRIES or self.chars > CACHE_CHARS:
+            self.known, self.chars = {}, 0
+        if missing := list(set(chain.from_iterable(tokens)).difference(self.known)):
+            self.known.update(zip(missing, self.encode(missing), strict=True))
+            self.chars += sum(map(len, missing))
+        return self.known, tokens
 
 
 # --- the sentencepiece model ------------------------------------------------------------------------------------------
@@ -199,32 +195,34 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", key: str =
     """Encodes and decodes every whole text.
 
     Returns key, n_tokens, ids_sha256 (of the decimal ids joined by a blank), decoded_sha256 (of the decoded bytes), and
-    with keep_ids the ids themselves as array<int>. One row per input row, with no shuffle; a task holds one Arrow
-    batch and the arrays of one block of about BLOCK_CHARS characters.
+    with keep_ids the ids themselves as array<int>; other columns of docs are not carried, so their names don't matter. One row per
+    input row, with no shuffle; a task holds one Arrow batch and the pre-tokens of one block of about BLOCK_BYTES (or of one longer text).
     """
     name = os.path.basename(path)
+    if key in ("n_tokens", "ids_sha256", "decoded_sha256", "ids"):
+        raise ValueError(f"the key must not be named like a result: {key}")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path if os.path.exists(path) else vocabulary_path(name))
 
-        def both(pre_tokens: list[str]) -> list[tuple[str, bytes, int]]:
-            return [(" ".join(map(str, ids)), own.decode(ids), len(ids)) for ids in own.encode(pre_tokens)]
+        def both(tokens: list[str]) -> list[tuple[str, bytes, int]]:
+            return [(" ".join(map(str, ids)), own.decode(ids), len(ids)) for ids in own.encode(tokens)]
 
         blocks = Blocks(both)
-        for frame in batches_by_size(frames, text, BLOCK_CHARS):
-            found, inverse, firsts = blocks(frame[text].fillna("").tolist())
-            numbers, decoded = [x[0] for x in found], [x[1] for x in found]
-            counts = np.concatenate(([0], np.cumsum(np.array([x[2] for x in found], np.int64)[inverse]))) if found else np.zeros(1, np.int64)
-            at, rows = inverse.tolist(), []
-            for a, b in zip(firsts[:-1].tolist(), firsts[1:].tolist(), strict=True):
-                mine = at[a:b]
-                ids = " ".join([numbers[i] for i in mine])
-                row = [int(counts[b] - counts[a]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(b"".join([decoded[i] for i in mine])).hexdigest()]
-                rows.append(row + [list(map(int, ids.split()))] * keep_ids)
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep_ids)
-            out.insert(0, key, frame[key].to_numpy())
-            yield out
+        for piece in arrow_pieces(batches, text, BLOCK_BYTES):
+            known, tokens = blocks([t or "" for t in piece.column(text).to_pylist()])
+            counts, digests, decoded, all_ids = [], [], [], []
+            for mine in tokens:
+                found = list(map(known.__getitem__, mine))
+                ids = " ".join([x[0] for x in found])
+                counts.append(sum([x[2] for x in found]))
+                digests.append(hashlib.sha256(ids.encode()).hexdigest())
+                decoded.append(hashlib.sha256(b"".join([x[1] for x in found])).hexdigest())
+                if keep_ids:
+                    all_ids.append(list(map(int, ids.split())))
+            columns = [piece.column(key), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())] + [pa.array(all_ids, pa.list_(pa.int32()))] * keep_ids
+            yield pa.RecordBatch.from_arrays(columns, [key, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep_ids)
 
     kind = dict(docs.dtypes)[key]
     schema = f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
-    return docs.select(F.col(key), F.col(text)).mapInPandas(run, schema)
+    return docs.select(F.col(key), F.col(text)).mapInArrow(run, schema)

@@ -1,12 +1,16 @@
-"""What the text operators share: reading, cutting lineage, and span hashing with numpy."""
+"""What the text operators share: reading, cutting lineage, and hashes of words and shingles with numpy."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,10 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a folder of this machine only where it names none (tests)."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where none is named, a folder of this machine in local mode only."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoints-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", context.master or ""):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoints-"))
     return context.getCheckpointDir()
 
 
@@ -34,6 +41,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(*tables: DataFrame) -> None:
+    """Deletes tables that `written` has made, once what was derived from them is written too."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            target = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def sized(df: DataFrame, rows: int) -> DataFrame:
     """df with a broadcast hint if its counted rows are within BROADCAST_IDS; else as it is, for a shuffled join."""
     return F.broadcast(df) if rows <= BROADCAST_IDS else df
@@ -42,14 +57,11 @@ def sized(df: DataFrame, rows: int) -> DataFrame:
 # --- numpy helpers, used inside tasks ---------------------------------------------------------------------------------
 
 _U = np.uint64
-#: An odd base; its inverse modulo 2**64 takes a span's hash back to offset 0.
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: list[np.ndarray] = [np.ones(1, _U), np.ones(1, _U)]
-
 _lower = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-_space = np.zeros(256, bool)
-_space[[9, 10, 11, 12, 13, 32]] = True
+_blank = re.compile(rb"[\x20\x09-\x0D]")
+#: Words that a worker remembers, and bytes of the longest of them.
+MEMORY_WORDS, MEMORY_BYTES = 150_000, 48
+PIECE_BYTES = 1 << 21
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -61,35 +73,38 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
         return x ^ (x >> _U(31))
 
 
-_of_byte = mix(np.arange(256, dtype=_U), 7)
+class WordHashes(dict):
+    """word -> 64 bits of its BLAKE2b digest. Words are remembered by themselves, so no answer hangs on another hash."""
 
+    def __missing__(self, word: bytes) -> int:
+        found = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= MEMORY_BYTES:
+            if len(self) >= MEMORY_WORDS:
+                self.clear()
+            self[word] = found
+        return found
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 17, 2 * len(_powers[0]))
-        with np.errstate(over="ignore"):
-            for k, base in enumerate((_BASE, _BASE_INVERSE)):
-                p = np.full(size, base, _U)
-                p[0] = 1
-                _powers[k] = np.cumprod(p, dtype=_U)
-    return _powers[0], _powers[1]
 
+_words = WordHashes()
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of values[start:end] for all spans at once; values are 64-bit numbers, one per character."""
-    n = len(values)
-    powers, inverses = _power_tables(n + 1)
-    with np.errstate(over="ignore"):
-        total = np.zeros(n + 1, _U)
-        np.cumsum(values * powers[:n], dtype=_U, out=total[1:])
-        return mix((total[ends] - total[starts]) * inverses[starts] + (ends - starts).astype(_U))
+
+def _pieces(raw: bytes) -> Iterator[bytes]:
+    """A long text in pieces that end between words, so that the words of one piece are in memory at a time."""
+    start = 0
+    while len(raw) - start > PIECE_BYTES:
+        end = _blank.search(raw, start + PIECE_BYTES)
+        if not end:
+            break
+        yield raw[start : end.start()]
+        start = end.end()
+    yield raw[start:] if start else raw
 
 
 def word_hashes(text: str) -> np.ndarray:
     """Hashes of the words ``[^\\x20\\x09-\\x0D]+`` of a text after lower-casing A-Z, in order."""
-    raw = np.frombuffer(text.encode("utf-8", "surrogatepass").translate(_lower), np.uint8)
-    edges = np.flatnonzero(np.diff(np.concatenate(([True], _space[raw], [True])).view(np.int8)))
-    return span_hashes(_of_byte[raw], edges[::2], edges[1::2]) if len(edges) else np.zeros(0, _U)
+    raw = text.encode("utf-8", "surrogatepass").translate(_lower)
+    found = [np.fromiter(map(_words.__getitem__, words), _U, len(words)) for words in (piece.split() for piece in _pieces(raw))]
+    return found[0] if len(found) == 1 else np.concatenate(found)
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -115,3 +130,13 @@ def batches_by_size(frames: Iterator, column: str, most: int) -> Iterator:
         for a, b in zip([0, *cuts], [*cuts, len(frame)], strict=True):
             if b > a:
                 yield frame.iloc[a:b]
+
+
+def arrow_pieces(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Cuts Arrow batches into pieces whose texts have about `most` bytes together (or one longer text alone)."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        cuts = np.flatnonzero(np.diff((np.cumsum(lengths) - lengths) // most)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(lengths)], strict=True):
+            if b > a:
+                yield batch.slice(a, b - a)

@@ -1,91 +1,153 @@
 """Packing by lexical retrieval: windows of tokens are filled with the seed document's BM25 neighbours.
 
-Document frequencies and the mean length are those of all documents (`statistics`). Documents are dealt into shards by
-content (`placed`): a shard is named by a document's most telling term, that of the greatest tf-idf in the corpus that
-another document has too, so documents that share it meet wherever they lie. A term of more than SHARD_DOCS documents is dealt by the next most
-telling term as well, and a pair of more by a hash of the row. A shard's documents are indexed by all their words: the
-index gives, for a word, the documents that hold it with their BM25 weights. The largest rest of a document opens a
-window; the shard's unused documents follow in order of their BM25 score for all of the seed's words (then, where no
-word is shared, in order of their rows). A document that doesn't fit is cut, and its rest opens the next window. So only
-the last window of a shard is padded. Shards depend on the documents alone, not on their partitions.
+Texts are encoded once; the terms of the index are their token ids, so its statistics (document frequencies and the mean
+length of all documents) are bounded by the vocabulary. Documents are dealt into shards by content (`placed`): a shard is
+named by a document's most telling term, that of the greatest tf-idf in the corpus that another document has too, so
+documents that share it meet wherever they lie. A term of more than SHARD_DOCS documents is dealt by the next most
+telling term as well, and a pair of more by a hash of the row. A shard's documents are indexed by all their terms: the
+index gives, for a term, the documents that hold it with their BM25 weights. The largest rest of a document opens a
+window; the shard's unused documents follow in order of their BM25 score for all of the seed's terms (then, where no
+term is shared, in order of their rows). A document that doesn't fit is cut, and its rest opens the next window. So only
+the last window of a shard is padded. Shards depend on the documents alone, not on their partitions: ties are broken by
+a hash of the row and then by the key, and equal rows are packed alike in any order.
 
 Neighbours are those of the shard: documents whose most telling terms differ are compared only if they fall into one.
 
-Defined results: a null text counts as empty; an empty text is the end mark alone. Equal rows are packed each by itself.
+Defined results: a null text counts as empty; an empty text is the end mark alone. Equal rows are packed each by itself,
+with repeated ids or null ones too. Other columns of docs are not carried, so their names don't matter.
 """
 
 from __future__ import annotations
 
+import os
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.bpe import Blocks, pre_token_hashes, read_ranks, vocabulary_path
-from tidemark.llm.common import batches_by_size, sized, written
+from tidemark.llm.bpe import Blocks, read_ranks, vocabulary_path
+from tidemark.llm.common import arrow_pieces, removed, sized, written
 
-#: A shard's documents and, about, its characters. Both bound what a task holds.
-SHARD_DOCS, SHARD_CHARS = 512, 4_000_000
-#: Terms (of two documents or more) whose frequencies may be broadcast, 12 bytes each. Beyond that they are joined.
-BROADCAST_TERMS = 4_000_000
+#: A shard's documents and, about, its tokens. Both bound what a task holds.
+SHARD_DOCS, SHARD_TOKENS = 2_048, 2_000_000
+#: Bytes of text, and of ids, that a task works on at a time.
+TEXT_BYTES, IDS_BYTES = 1_000_000, 4_000_000
+#: A term of more than this share of a shard has its weights in a row for all of its documents, 0 where it is absent.
+DENSE = 0.1
 K1, B = 1.2, 0.75
+RESULTS = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
-_encoders: dict[str, object] = {}
+_encoders: dict[str, tuple] = {}
 
 
-def _encoder(name: str):
-    """A function from pre-tokens to arrays of ids, once for a Python worker."""
-    if name not in _encoders:
+def _encoder(path: str):
+    """A function from pre-tokens to the bytes of their ids, once for a Python worker, and the ids' type."""
+    if path not in _encoders:
         import public_tokenizers
         import tiktoken
 
-        ranks = {t: i for i, t in enumerate(read_ranks(vocabulary_path(name)))}
+        ranks = {t: i for i, t in enumerate(read_ranks(path if os.path.exists(path) else vocabulary_path(os.path.basename(path))))}
         encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        _encoders[name] = encoding.encode_single_piece if hasattr(encoding, "encode_single_piece") else encoding._encode_single_piece
-    return _encoders[name]
+        one = encoding.encode_single_piece if hasattr(encoding, "encode_single_piece") else encoding._encode_single_piece
+        kind = np.dtype("<u2") if len(ranks) <= 1 << 16 else np.dtype("<u4")
+        _encoders[path] = (lambda tokens: [np.array(one(t.encode("utf-8", "surrogatepass")), kind).tobytes() for t in tokens]), kind, len(ranks)
+    return _encoders[path]
 
 
-def _idf(frequency: np.ndarray, n_docs: int) -> np.ndarray:
-    return np.log1p((n_docs - frequency + 0.5) / (frequency + 0.5))
+def encoded(docs: DataFrame, vocabulary: str, text: str, key: str) -> DataFrame:
+    """key, _row (a hash of the row) and _ids (the ids of the whole text, as bytes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = Blocks(_encoder(vocabulary)[0])
+        for piece in arrow_pieces(batches, "_text", TEXT_BYTES):
+            known, tokens = blocks(piece.column("_text").to_pylist())
+            ids = [b"".join(map(known.__getitem__, mine)) for mine in tokens]
+            yield pa.RecordBatch.from_arrays([piece.column(key), piece.column("_row"), pa.array(ids, pa.binary())], [key, "_row", "_ids"])
+
+    whole = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.col(key), F.xxhash64(F.col(key).cast("string"), whole).alias("_row"), whole.alias("_text"))
+    return rows.mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, _row long, _ids binary")
+
+
+@dataclass
+class Statistics:
+    """Of all documents: their number, their mean tokens, and for each term the documents that have it."""
+
+    n_docs: int
+    mean: float
+    frequency: np.ndarray
+
+    @property
+    def idf(self) -> np.ndarray:
+        return np.log1p((self.n_docs - self.frequency + 0.5) / (self.frequency + 0.5))
+
+
+def term_counts(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each pair of a document and a term of it, by document and term: the two numbers and how often it occurs."""
+    owner = np.repeat(np.arange(len(ids), dtype=np.int64), [len(x) for x in ids])
+    pairs, tf = np.unique(owner << 32 | np.concatenate([*ids, np.zeros(0, np.uint16)]).astype(np.int64), return_counts=True)
+    return pairs >> 32, pairs & 0xFFFFFFFF, tf
+
+
+def statistics(tokens: DataFrame, vocabulary: str) -> Statistics:
+    """Counts documents and terms in each batch, then over batches; the driver gets a row for each token of the vocabulary at most."""
+    _, kind, size = _encoder(vocabulary)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in arrow_pieces(batches, "_ids", IDS_BYTES):
+            ids = [np.frombuffer(x, kind) for x in piece.column("_ids").to_pylist()]
+            n = np.bincount(term_counts(ids)[1], minlength=size)
+            terms = np.flatnonzero(n)
+            rows = [np.append(terms, [-1, -2]), np.append(n[terms], [len(ids), sum(map(len, ids))])]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], ["term", "n"])
+
+    found = {r.term: r.n for r in tokens.select("_ids").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    n_docs, total = found.pop(-1, 0), found.pop(-2, 0)
+    frequency = np.zeros(size, np.int64)
+    frequency[list(found)] = list(found.values())
+    return Statistics(n_docs, total / max(1, n_docs), frequency)
 
 
 class Shard:
     """A BM25 inverted index over one shard's documents."""
 
-    def __init__(self, words: np.ndarray, firsts: np.ndarray, n_words: int, frequency: np.ndarray | None = None, n_docs: int = 0, mean: float = 0.0) -> None:
-        """words: word numbers below n_words of all documents, one after the other; firsts: where each begins, and the end.
-
-        frequency (by word number), n_docs and mean length: those of the corpus; without them, of these documents.
-        """
-        n, lengths = len(firsts) - 1, np.diff(firsts)
-        owner = np.repeat(np.arange(n), lengths)
-        pairs, tf = np.unique(words.astype(np.int64) * n + owner, return_counts=True)
-        word, doc = pairs // n, pairs % n
-        df = np.bincount(word, minlength=n_words)
-        if frequency is None:
-            frequency, n_docs, mean = df, n, lengths.mean() if n else 0.0
-        idf = _idf(frequency, n_docs)
-        mean = max(1.0, mean)
-        self.n, self.docs = n, doc
-        self.weights = idf[word] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / mean))
-        self.places = np.concatenate(([0], np.cumsum(df)))
-        #: For each document its words. A word of no other document finds nothing.
-        shared = df[word] > 1
-        order = np.lexsort((word[shared], doc[shared]))
-        self.by_doc, self.doc_places = word[shared][order], np.concatenate(([0], np.cumsum(np.bincount(doc[shared], minlength=n))))
+    def __init__(self, ids: list[np.ndarray], stats: Statistics, idf: np.ndarray) -> None:
+        n, lengths = len(ids), np.array([len(x) for x in ids], np.int64)
+        doc, term, tf = term_counts(ids)
+        weights = (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / max(1.0, stats.mean)))).astype(np.float32)
+        df = np.bincount(term, minlength=len(idf))
+        self.n, self.terms, self.firsts = n, term, np.searchsorted(doc, np.arange(n + 1))
+        #: Rows of weights of frequent terms by number, and postings of the others. A term of no other document finds nothing.
+        self.row = np.full(len(idf), -1, np.int64)
+        frequent = np.flatnonzero(df > max(1, DENSE * n))
+        self.row[frequent] = np.arange(len(frequent))
+        self.rows = np.zeros((len(frequent), n), np.float32)
+        dense = self.row[term] >= 0
+        self.rows[self.row[term[dense]], doc[dense]] = weights[dense]
+        sparse = ~dense & (df[term] > 1)
+        order = np.argsort(term[sparse], kind="stable")
+        self.docs, self.weights = doc[sparse][order], weights[sparse][order]
+        self.places = np.searchsorted(term[sparse][order], np.arange(len(idf) + 1))
+
+    def scores(self, seed: int) -> np.ndarray:
+        """BM25 of all documents of the shard for all terms of the seed."""
+        terms = self.terms[self.firsts[seed] : self.firsts[seed + 1]]
+        row = self.row[terms]
+        found = self.rows[row[row >= 0]].sum(0, dtype=np.float64)
+        terms = terms[row < 0]
+        starts, sizes = self.places[terms], self.places[terms + 1] - self.places[terms]
+        at = np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        return found + np.bincount(self.docs[at], self.weights[at], self.n)
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share one of the seed's words, best first; ties by row."""
-        words = self.by_doc[self.doc_places[seed] : self.doc_places[seed + 1]]
-        if not len(words) or not unused.any():
-            return words[:0]
-        starts, sizes = self.places[words], self.places[words + 1] - self.places[words]
-        at = np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-        scores = np.bincount(self.docs[at], self.weights[at], self.n)
+        """Unused documents that share one of the seed's terms, best first; ties by row."""
+        if not unused.any():
+            return np.zeros(0, np.int64)
+        scores = self.scores(seed)
         found = np.flatnonzero((scores > 0) & unused)
         return found[np.argsort(-scores[found], kind="stable")]
 
@@ -114,7 +176,7 @@ def pack(lengths: list[int], index: Shard, window: int) -> list[tuple[int, int,
         n = int(rest[seed])
         out.append((seed, int(begun[seed]), n, sequence, 0))
         space, offset, cut = window - n, n, None
-        following = iter(index.neighbours(seed, unused).tolist())
+        following = iter(index.neighbours(seed, unused).tolist()) if space else iter(())
         spare = iter(order[place:])
         while space:
             d = next(following, None)
@@ -136,195 +198,86 @@ def pack(lengths: list[int], index: Shard, window: int) -> list[tuple[int, int,
         seed = cut
 
 
-# --- statistics of the corpus, and shards by content ------------------------------------------------------------------
-
-
-def _digest(text: str) -> list:
-    return [F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.lit(seed)) for seed in (1, 2)]
-
-
-def _doc_terms(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct term hashes, ascending; of each pair of a document and a term of it, by document and hash, the two numbers and how often it occurs."""
-    *_, hashes, firsts = pre_token_hashes(texts)
-    terms, inverse = np.unique(hashes, return_inverse=True)
-    owner = np.repeat(np.arange(len(texts)), np.diff(firsts))
-    pairs, tf = np.unique(owner * max(1, len(terms)) + inverse, return_counts=True)
-    return terms, pairs // max(1, len(terms)), pairs % max(1, len(terms)), tf
-
-
-@dataclass
-class Statistics:
-    """Of all documents: their number, their mean pre-tokens, and document frequencies, either by sorted hash or as a column of docs."""
-
-    docs: DataFrame  #: the documents; with a column _df if frequencies don't fit a broadcast: of a text's distinct terms, by hash
-    n_docs: int
-    mean: float
-    table: object | None  #: broadcast (hashes, frequencies) of terms in two documents or more; others have 1
-
-    def lookup(self) -> Callable[[np.ndarray], np.ndarray] | None:
-        table = self.table
-        if table is None:
-            return None
-
-        def find(terms: np.ndarray) -> np.ndarray:
-            hashes, counts = table.value
-            if not len(hashes):
-                return np.ones(len(terms), np.int64)
-            at = np.minimum(np.searchsorted(hashes, terms), len(hashes) - 1)
-            return np.where(hashes[at] == terms, counts[at], 1).astype(np.int64)
-
-        return find
-
-
-def statistics(docs: DataFrame, text: str = "text", broadcast_terms: int | None = None) -> Statistics:
-    """Counts documents and their terms; counts are summed in each batch before they are shuffled."""
-    limit = BROADCAST_TERMS if broadcast_terms is None else broadcast_terms
-
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches_by_size(frames, text, SHARD_CHARS):
-            terms, _, places, tf = _doc_terms(frame[text].fillna("").tolist())
-            yield pd.DataFrame({"term": terms.view(np.int64), "n": np.bincount(places, minlength=len(terms))})
-            yield pd.DataFrame({"term": pd.array([None], "Int64"), "n": [tf.sum()]})
-
-    def blob(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame({"term": [frame["term"].to_numpy(np.int64).tobytes()], "n": [frame["n"].to_numpy(np.int64).astype(np.int32).tobytes()]})
-
-    counts = docs.select(text).mapInPandas(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).filter("term IS NULL OR n > 1")
-    counts = written(counts, "terms")
-    n_docs = docs.count()
-    total = counts.filter("term IS NULL").agg(F.sum("n").alias("n")).first().n or 0
-    shared = counts.filter("term IS NOT NULL")
-    mean, n_shared = total / max(1, n_docs), shared.count()
-    if n_shared <= limit:
-        # One partition after the other, 12 bytes a term, so that the driver holds little more than the table.
-        hashes, numbers, at = np.empty(n_shared, np.uint64), np.empty(n_shared, np.int32), 0
-        for row in shared.mapInPandas(blob, "term binary, n binary").toLocalIterator():
-            part = np.frombuffer(row.term, np.uint64)
-            hashes[at : at + len(part)], numbers[at : at + len(part)] = part, np.frombuffer(row.n, np.int32)
-            at += len(part)
-        order = np.argsort(hashes)
-        hashes, numbers = hashes[order], numbers[order]
-        return Statistics(docs, n_docs, mean, docs.sparkSession.sparkContext.broadcast((hashes, numbers)))
-
-    def explode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches_by_size(frames, "_text", SHARD_CHARS // 4):
-            terms, owner, places, _ = _doc_terms(frame["_text"].tolist())
-            firsts = np.searchsorted(owner, np.arange(len(frame)))
-            yield pd.DataFrame({
-                "_d1": frame["_d1"].to_numpy()[owner], "_d2": frame["_d2"].to_numpy()[owner], "place": np.arange(len(owner)) - firsts[owner], "term": terms[places].view(np.int64),
-            })
-
-    one, two = _digest(text)
-    texts = docs.select(one.alias("_d1"), two.alias("_d2"), F.coalesce(F.col(text), F.lit("")).alias("_text")).dropDuplicates(["_d1", "_d2"])
-    terms = texts.mapInPandas(explode, "_d1 long, _d2 long, place long, term long").join(shared, "term", "left")
-    ordered = F.array_sort(F.collect_list(F.struct("place", F.coalesce("n", F.lit(1)).alias("n"))))
-    lists = terms.groupBy("_d1", "_d2").agg(F.transform(ordered, lambda x: x["n"]).alias("_df"))
-    keyed = docs.withColumns({"_d1": one, "_d2": two}).join(lists, ["_d1", "_d2"], "left").drop("_d1", "_d2")
-    return Statistics(written(keyed, "frequencies"), n_docs, mean, None)
-
-
-def placed(stats: Statistics, text: str, key: str) -> DataFrame:
-    """Adds _shard, and _k1 and _k2: the hashes of the two most telling terms (0 where there is none).
+def placed(tokens: DataFrame, stats: Statistics, vocabulary: str) -> DataFrame:
+    """Adds _shard, and _k1 and _k2: the two most telling terms (-1 where there is none).
 
     Near three quarters of SHARD_DOCS documents fall to a shard; a larger one is cut in the order of its terms.
     """
-    find, docs, n_docs = stats.lookup(), stats.docs, stats.n_docs
-
-    def tell(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches_by_size(frames, text, SHARD_CHARS):
-            terms, owner, places, tf = _doc_terms(frame[text].fillna("").tolist())
-            if find is not None:
-                df = find(terms)[places]
-            else:
-                df = np.concatenate([np.zeros(0, np.int64), *[x for x in frame["_df"] if x is not None]]).astype(np.int64)
-            keep = df > 1
-            owner, df, own = owner[keep], df[keep], terms[places[keep]]
-            order = np.lexsort((own, -tf[keep] * _idf(df, n_docs), owner))
-            owner, own = owner[order], own[order]
-            firsts = np.searchsorted(owner, np.arange(len(frame) + 1))
-            best = [np.zeros(len(frame), np.uint64), np.zeros(len(frame), np.uint64)]
+    kind = _encoder(vocabulary)[1]
+    frequency, idf = stats.frequency, stats.idf
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in arrow_pieces(batches, "_ids", IDS_BYTES):
+            owner, term, tf = term_counts([np.frombuffer(x, kind) for x in piece.column("_ids").to_pylist()])
+            keep = frequency[term] > 1
+            owner, term, tf = owner[keep], term[keep], tf[keep]
+            order = np.lexsort((term, -tf * idf[term], owner))
+            owner, term = owner[order], term[order]
+            firsts = np.searchsorted(owner, np.arange(len(piece) + 1))
+            best = [np.full(len(piece), -1, np.int64) for _ in range(2)]
             for j, b in enumerate(best):
                 has = np.diff(firsts) > j
-                b[has] = own[firsts[:-1][has] + j]
-            yield frame.assign(_k1=best[0].view(np.int64), _k2=best[1].view(np.int64))
-
-    schema = docs.withColumns({"_k1": F.lit(0).cast("long"), "_k2": F.lit(0).cast("long")}).schema
-    told = written(docs.mapInPandas(tell, schema), "told")
-    pairs = told.groupBy("_k1", "_k2").agg(F.count("*").alias("n"))
-    hot = written(told.groupBy("_k1").agg(F.count("*").alias("_n1")).filter(F.col("_n1") > SHARD_DOCS), "hot-terms")
-    both = written(pairs.filter(F.col("n") > SHARD_DOCS).withColumnRenamed("n", "_n2"), "hot-pairs")
+                b[has] = term[firsts[:-1][has] + j]
+            yield pa.RecordBatch.from_arrays([*piece.columns, *map(pa.array, best)], [*piece.schema.names, "_k1", "_k2"])
+
+    schema = tokens.withColumns({"_k1": F.lit(0).cast("long"), "_k2": F.lit(0).cast("long")}).schema
+    told = written(tokens.mapInArrow(tell, schema), "told")
+    pairs = told.groupBy("_k1", "_k2").agg(F.count("*").alias("_n2"))
+    counted = written(pairs, "telling-terms")
+    hot = written(counted.groupBy("_k1").agg(F.sum("_n2").alias("_n1")).filter(F.col("_n1") > SHARD_DOCS), "hot-terms")
+    both = written(counted.filter(F.col("_n2") > SHARD_DOCS), "hot-pairs")
     shards = max(1, -(-4 * stats.n_docs // (3 * SHARD_DOCS)))
-    row = F.xxhash64(F.col(key).cast("string"), F.col(text))
-    salt = F.when(F.col("_n2").isNotNull(), F.pmod(row, F.ceil(F.col("_n2") / SHARD_DOCS))).otherwise(0)
+    salt = F.when(F.col("_n2").isNotNull(), F.pmod(F.col("_row"), F.ceil(F.col("_n2") / SHARD_DOCS))).otherwise(0)
     name = F.when(F.col("_n1").isNull(), F.xxhash64("_k1")).otherwise(F.xxhash64("_k1", "_k2", salt))
     return (
         told.join(sized(hot, hot.count()), "_k1", "left").join(sized(both, both.count()), ["_k1", "_k2"], "left")
-        .withColumns({"_shard": F.pmod(name, F.lit(shards)).cast("long"), "_row": row}).drop("_n1", "_n2")
+        .withColumn("_shard", F.pmod(name, F.lit(shards)).cast("long")).drop("_n1", "_n2")
     )
 
 
-def pack_documents(
-    docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", window: int = 1024, end: int = 0, text: str = "text", key: str = "doc_id", broadcast_terms: int | None = None
-) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", window: int = 1024, end: int = 0, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Packs all documents into sequences of at most `window` tokens.
 
     A document is the ids of its whole text, then `end`. Returns per piece: key, start, length, ids_crc32 (of its
     unsigned little-endian 32-bit ids), doc_tokens, sequence_id, offset. A sequence's id holds the shard's number
     above 2**32 and a running number below.
     """
-    stats = statistics(docs.select(F.col(key), F.col(text)), text, broadcast_terms)
-    find, n_docs, mean = stats.lookup(), stats.n_docs, stats.mean
+    if key in RESULTS:
+        raise ValueError(f"the key must not be named like a result: {key}")
+    tokens = written(encoded(docs, vocabulary, text, key), "ids")
+    stats = statistics(tokens, vocabulary)
+    idf, dtype = stats.idf, _encoder(vocabulary)[1]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = _encoder(vocabulary)
-        blocks = Blocks(lambda pre_tokens: [np.array(encode(t.encode("utf-8", "surrogatepass")), np.uint32) for t in pre_tokens])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = sequence = None
 
-        def frequencies(frame: pd.DataFrame, at: np.ndarray, firsts: np.ndarray) -> np.ndarray:
-            if find is not None:
-                return find(blocks.hashes)
-            out = np.ones(len(blocks.hashes), np.int64)
-            for a, b, own in zip(firsts[:-1], firsts[1:], frame["_df"], strict=True):
-                if b > a:
-                    out[np.unique(at[a:b])] = own
-            return out
-
-        def pieces(frame: pd.DataFrame) -> pd.DataFrame:
+        def pieces(own: int, keys: list, raw: list[bytes], kind: pa.DataType) -> pa.RecordBatch:
             nonlocal shard, sequence
-            own = int(frame["_shard"].iat[0])
             if own != shard:
                 shard, sequence = own, own << 32
-            found, at, firsts = blocks(frame[text].fillna("").tolist())
-            sizes = np.array([len(x) for x in found], np.int64)
-            flat = np.concatenate([*found, np.zeros(1, np.uint32)])
-            per = sizes[at]
-            ends = np.cumsum(per)
-            ids = flat[np.repeat(np.concatenate(([0], np.cumsum(sizes)))[:-1][at] - ends + per, per) + np.arange(per.sum())] if len(at) else flat[:0]
-            bounds = np.concatenate(([0], ends))[firsts]
-            tokens = [np.append(ids[a:b], np.uint32(end)).astype("<u4") for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            rows = pack([len(t) for t in tokens], Shard(at, firsts, len(found), frequencies(frame, at, firsts), n_docs, mean), window)
-            keys = frame[key].tolist()
-            out = pd.DataFrame(
-                [(keys[d], s, n, zlib.crc32(tokens[d][s : s + n].tobytes()), len(tokens[d]), sequence + q, o) for d, s, n, q, o in rows],
-                columns=[key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
-            )
-            sequence += max((q for *_, q, _ in rows), default=-1) + 1
-            return out
-
-        held: list[pd.DataFrame] = []
-        current, n, chars = None, 0, 0
-        for frame in frames:
-            sizes, first = frame[text].str.len().fillna(0).astype(int).tolist(), 0
-            for i, (own, size) in enumerate(zip(frame["_shard"].tolist(), sizes, strict=True)):
-                if n and (own != current or n == SHARD_DOCS or chars + size > SHARD_CHARS):
-                    yield pieces(pd.concat([*held, frame.iloc[first:i]]))
-                    held, first, n, chars = [], i, 0, 0
-                current, n, chars = own, n + 1, chars + size
-            held.append(frame.iloc[first:])
-        if n:
-            yield pieces(pd.concat(held))
-
-    kind = dict(docs.dtypes)[key]
-    dealt = placed(stats, text, key).repartition("_shard").sortWithinPartitions("_shard", "_k1", "_k2", "_row", key).drop("_k1", "_k2", "_row")
-    return dealt.mapInPandas(run, f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+            ids = [np.frombuffer(x, dtype) for x in raw]
+            rows = pack([len(x) + 1 for x in ids], Shard(ids, stats, idf), window)
+            whole = [np.append(x, end).astype("<u4") for x in ids]
+            d, start, length, q, offset = (np.array(x, np.int64) for x in zip(*rows, strict=True))
+            crc = [zlib.crc32(whole[i][s : s + n]) for i, s, n, *_ in rows]
+            sizes = np.array([len(x) for x in whole], np.int64)
+            columns = [pa.array([keys[i] for i in d.tolist()], kind), *map(pa.array, (start, length)), pa.array(crc, pa.int64()), *map(pa.array, (sizes[d], sequence + q, offset))]
+            sequence += int(q.max()) + 1
+            return pa.RecordBatch.from_arrays(columns, [key, *RESULTS])
+
+        keys, raw, current, n, kind = [], [], None, 0, None
+        for batch in batches:
+            kind = batch.schema.field(key).type
+            for own, k, x in zip(batch.column("_shard").to_pylist(), batch.column(key).to_pylist(), batch.column("_ids").to_pylist(), strict=True):
+                if keys and (own != current or len(keys) == SHARD_DOCS or n + len(x) // dtype.itemsize > SHARD_TOKENS):
+                    yield pieces(current, keys, raw, kind)
+                    keys, raw, n = [], [], 0
+                keys.append(k)
+                raw.append(x)
+                current, n = own, n + len(x) // dtype.itemsize
+        if keys:
+            yield pieces(current, keys, raw, kind)
+
+    dealt = placed(tokens, stats, vocabulary).repartition("_shard").sortWithinPartitions("_shard", "_k1", "_k2", "_row", key).select(key, "_shard", "_ids")
+    removed(tokens)
+    return dealt.mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

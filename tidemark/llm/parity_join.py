@@ -1,44 +1,52 @@
 """Near duplicates by n-gram Jaccard similarity, exactly, by a parity-sketch join.
 
-A text's set is its distinct shingles of words. XOR-ing one bit for each shingle into a sketch gives parities: two
-sketches differ in no more bits than the two sets differ in shingles. Sets of similar size that are linked differ in at
-most d shingles, so of more than d parts of the sketch at least one is alike in both (pigeonhole). That gives candidates
-by an equality join, for each band of sizes; a candidate pair is first held against the Hamming distance of a short
-sketch, and then verified on the whole sets.
-
-A part is the slice of shingles whose hash lies in its range; its parities (2**64 possible bits, of which few are odd)
-are held as the XOR of 64-bit numbers, one for each shingle. Nearly all equal parts hold equal shingles. An empty part
-joins nothing as long as enough parts remain; a text with too many empty parts is cut anew by another hash (RECUTS times).
-
-Equal sets are one class, of which only the first document joins. Within a bucket of equal parts, documents are first
-paired with its first document only; large buckets that stay in more than one component get a few further leaders. What
-then is open forms families (documents that share open buckets). A family is cut into blocks; the sketches of each pair
-of blocks are compared in one task, and only pairs of different components within the Hamming bound come out. So a bucket
-of copies is never expanded into its pairs, yet no component is missed. The driver sees counts.
+A text's set is its distinct shingles of words. Shingles are dealt into the parts of a sketch by their hash's range, and
+a part is the XOR of the 64-bit hashes of its shingles: its parities, 64 bits of them. A shingle changes the bits of one
+part only, so two sketches differ in no more parts than the two sets differ in shingles (their Hamming distance over parts bounds
+the symmetric difference from below). Sets of similar size that are linked differ in at most d shingles, so of more than
+d parts at least one is alike in both (pigeonhole). That gives candidates by an equality join of parts, for each band of
+sizes; a candidate pair is first held against the Hamming distance of a short sketch of single bits (which bounds
+it likewise), and then verified on the whole sets. An empty part joins nothing as long as enough parts remain; a text
+with too many empty parts is cut anew by another hash (RECUTS times).
+
+A node is a distinct set, named by 64 bits of the BLAKE2b digest of its hashes, so equal sets are one node wherever they
+lie, and only one row of each is cut into parts. Within a bucket of equal parts, nodes are first paired with its least one only;
+large buckets that stay in more than one component get a few further leaders. What then is open forms families (nodes that
+share open buckets). A family is cut into blocks; the short sketches of each pair of blocks are compared in one task, and only
+pairs of different components within the Hamming bound come out. So a bucket of copies is never expanded into its pairs,
+yet no component is missed. A leader with many pairs is copied for a salt, a hub of the graph of links is
+broadcast, and the driver sees counts.
 
 Defined results: a null or empty text (or one without words) has no shingles and is linked with nothing, so is its own
 component; a text with fewer words than a shingle has its whole sequence as its only shingle. Repeated rows with equal
-text are linked. Ids are taken as unique; a null id is kept as a row of its own, linked with nothing.
+text are linked. One row comes out for each row, whether ids repeat or not: links are between texts, and a component is
+named by the least id of its rows. A row with a null id is linked with nothing.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BROADCAST_IDS, batches_by_size, mix, shingle_hashes, sized, written
+from tidemark.llm.common import BROADCAST_IDS, arrow_pieces, mix, shingle_hashes, sized, written
 
 SKETCH_WORDS = 16
 RECUTS = 6
 #: Rounds of further leaders, and members of a bucket from which a round is worth while.
 LEADER_ROUNDS, LEADER_BUCKET = 2, 64
-#: Documents of a block, about: a task compares two blocks.
-BLOCK = 2_048
+#: Nodes of a block, about: a task compares two blocks.
+BLOCK = 400
+#: Pairs of a leader from which it is copied for a salt, and edges of a node from which it counts as a hub.
+SALT_PAIRS, HUB = 2_000, 100_000
+#: Bytes of text that are turned into sets at a time.
+PIECE = 4_000_000
 _U = np.uint64
 
 
@@ -67,66 +75,91 @@ class Bands:
         d = self.difference(band)
         return d + 2 + d // 24
 
+    def edges(self, band: int) -> np.ndarray:
+        """Where the hash ranges of parts begin, but for the first."""
+        parts = self.parts(band)
+        return (np.arange(1, parts, dtype=np.float64) * (2.0**64 / parts)).astype(_U)
 
-def set_row(shingles: np.ndarray) -> tuple[int, int, int, np.ndarray]:
-    """Size, two signatures of the set, and the short sketch of parities."""
+
+def set_row(shingles: np.ndarray) -> tuple[int, int, np.ndarray]:
+    """Size, name and short sketch of a set: sorted distinct hashes."""
     mixed = mix(shingles, 21)
-    with np.errstate(over="ignore"):
-        signatures = np.array([mixed.sum(dtype=_U), np.bitwise_xor.reduce(mixed) if len(mixed) else 0], _U).view(np.int64)
-    odd = np.bincount((mixed & _U(64 * SKETCH_WORDS - 1)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
-    return len(shingles), int(signatures[0]), int(signatures[1]), np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+    odd = np.bincount((mixed & _U(64 * SKETCH_WORDS - 1)).view(np.int64), minlength=64 * SKETCH_WORDS) & 1
+    return len(shingles), node_name(shingles), np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def node_name(shingles: np.ndarray) -> int:
+    return int.from_bytes(blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
 def part_keys(shingles: np.ndarray, bands: Bands) -> np.ndarray:
-    """The keys of a set's parts, for the band of its size and the one below. Sets with no room for a difference have none: they are classes."""
+    """The keys of a set's parts, for the band of its size and the one below. Sets with no room for a difference have none: they are nodes."""
     n, found = len(shingles), []
     band = bands.of(n) if n else 0
     for group in (band, band - 1):
         if group < 0 or not n or (d := bands.difference(group)) < 1:
             continue
-        parts = bands.parts(group)
-        edges = (np.arange(1, parts, dtype=np.float64) * (2.0**64 / parts)).astype(_U)
+        edges = bands.edges(group)
+        parts = len(edges) + 1
         for cut in range(RECUTS):
             own = shingles if cut == 0 else np.sort(mix(shingles, 100 + cut))
             at = np.concatenate(([0], np.searchsorted(own, edges), [n]))
             parity = np.concatenate((np.zeros(1, _U), np.bitwise_xor.accumulate(mix(own, 33))))
             full = at[1:] > at[:-1]
-            use = np.ones(parts, bool) if cut == RECUTS - 1 else full
+            use = np.arange(parts) if cut == RECUTS - 1 else np.flatnonzero(full)
             tag = _U((group * RECUTS + cut) * 1_000_003)
             with np.errstate(over="ignore"):
-                found.append(mix((parity[at[1:]] ^ parity[at[:-1]])[use] + mix(np.flatnonzero(use).astype(_U) + tag, 44), 55))
-            if parts - int(full.sum()) < parts - d:  # some part that is alike is not empty
+                found.append(mix((parity[at[use + 1]] ^ parity[at[use]]) + mix(use.astype(_U) + tag, 44), 55))
+            if int(full.sum()) > d:  # some part that is alike is not empty
                 break
     return np.unique(np.concatenate(found)) if found else np.zeros(0, _U)
 
 
+def _mapped(docs: DataFrame, text: str, key: str, run: Callable[[pa.RecordBatch, list], pa.RecordBatch], schema: str) -> DataFrame:
+    """`run` over pieces of (id, text)."""
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in arrow_pieces(batches, "text", PIECE):
+            yield run(piece, piece.column("text").to_pylist())
+
+    return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(pieces, schema)
+
+
 def _sets(docs: DataFrame, width: int, text: str, key: str) -> DataFrame:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches_by_size(frames, text, 8_000_000):
-            rows = [set_row(shingle_hashes(t, width)) for t in frame[text]]
-            out = pd.DataFrame(rows, columns=["n", "s1", "s2", "sketch"])
-            out.insert(0, "id", frame[key].to_numpy())
-            yield out
+    """id, n, node (null without shingles or id), sketch."""
+
+    def run(piece: pa.RecordBatch, texts: list) -> pa.RecordBatch:
+        rows = [set_row(shingle_hashes(t, width)) for t in texts]
+        sketches = pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * SKETCH_WORDS, np.concatenate([r[2] for r in rows]))
+        columns = [piece.column("id"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] if r[0] else None for r in rows], pa.int64()), sketches]
+        return pa.RecordBatch.from_arrays(columns, ["id", "n", "node", "sketch"])
 
-    kind = dict(docs.dtypes)[key]
-    return docs.select(F.col(key), F.col(text)).mapInPandas(run, f"id {kind}, n long, s1 long, s2 long, sketch array<long>")
+    found = _mapped(docs, text, key, run, f"id {dict(docs.dtypes)[key]}, n long, node long, sketch array<long>")
+    return found.withColumn("node", F.when(F.col("id").isNotNull(), F.col("node")))
 
 
 def _keys(docs: DataFrame, width: int, percent: int, text: str, key: str) -> DataFrame:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bands = Bands(percent)
-        for frame in batches_by_size(frames, text, 2_000_000):
-            found = [part_keys(shingle_hashes(t, width), bands) for t in frame[text]]
-            ids = np.repeat(frame[key].to_numpy(), [len(x) for x in found])
-            yield pd.DataFrame({"part": np.concatenate([*found, np.zeros(0, _U)]).view(np.int64), "id": ids})
+    bands = Bands(percent)
+
+    def run(piece: pa.RecordBatch, texts: list) -> pa.RecordBatch:
+        parts, nodes = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
+        for t in texts:
+            shingles = shingle_hashes(t, width)
+            found = part_keys(shingles, bands)
+            parts.append(found)
+            nodes.append(np.full(len(found), node_name(shingles), np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), pa.array(np.concatenate(nodes))], ["part", "node"])
+
+    return _mapped(docs, text, key, run, "part long, node long")
 
-    kind = dict(docs.dtypes)[key]
-    return docs.select(F.col(key), F.col(text)).mapInPandas(run, f"part long, id {kind}")
 
+def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, percent: int, text: str, key: str) -> DataFrame:
+    """The pairs (a < b) whose sets are linked. Short sketches first; the rest is held against whole sets.
 
-def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, width: int, percent: int, text: str, key: str) -> DataFrame:
-    """The pairs (a < b) whose sets are linked. Sketches first; the rest is held against whole texts."""
-    a, b = (sets.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"sketch{x}")) for x in "ab")
+    Sets are made anew from the texts of the nodes that are left, once, and are shuffled as sorted hashes: of b with its
+    pair, and of a for each salt of its pairs.
+    """
+    a, b = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"sketch{x}")) for x in "ab")
     differing = F.zip_with("sketcha", "sketchb", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
     distance = F.aggregate(differing, F.lit(0), lambda x, y: x + y)
     total = F.col("na") + F.col("nb")
@@ -136,57 +169,68 @@ def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, width: int, pe
         .select("a", "b")
     )
     near = written(near, "near-pairs")
-    ids = written(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-ids")
-    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(sized(ids, ids.count()), "id", "left_semi")
-    both = near.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[object, np.ndarray] = {}
-
-        def of(i, t) -> np.ndarray:
-            if i not in held:
-                if len(held) >= 2_000:
-                    held.clear()
-                held[i] = shingle_hashes(t, width)
-            return held[i]
-
-        for frame in frames:
+    ids = written(near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "id"), "node").select("id").distinct(), "near-ids")
+    own = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(sized(ids, ids.count()), "id", "left_semi")
+
+    def hashed(piece: pa.RecordBatch, texts: list) -> pa.RecordBatch:
+        sets = [shingle_hashes(t, width) for t in texts]
+        return pa.RecordBatch.from_arrays([pa.array([node_name(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "shingles"])
+
+    sets = _mapped(own, "text", "id", hashed, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    leaders = near.groupBy("a").agg(F.count("*").alias("pairs"))
+    many = written(leaders.filter(F.col("pairs") > SALT_PAIRS).select("a", F.ceil(F.col("pairs") / SALT_PAIRS).cast("int").alias("salts")), "leaders")
+    many = sized(many, many.count())  # at most one for SALT_PAIRS pairs
+    salts = F.coalesce("salts", F.lit(1))
+    left = near.join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), salts).cast("int").alias("salt")).join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("other")), "b")
+    right = leaders.join(sets.select(F.col("node").alias("a"), "shingles"), "a").join(many, "a", "left").select("a", "shingles", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             linked = []
-            for i, j, t, u in zip(frame["a"], frame["b"], frame["ta"], frame["tb"], strict=True):
-                x, y = of(i, t), of(j, u)
+            for x, y in zip(batch.column("shingles"), batch.column("other"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 linked.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield frame.loc[linked, ["a", "b"]]
+            yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
+
+    return left.join(right, ["a", "salt"]).select("a", "b", "shingles", "other").mapInArrow(compare, "a long, b long")
 
-    kind = dict(docs.dtypes)[key]
-    return both.mapInPandas(run, f"a {kind}, b {kind}")
+
+def _with_least(rows: DataFrame, least: DataFrame, edges: int) -> DataFrame:
+    """rows (u, v) and m of `least` (u, m, n). Hubs, of which there are at most 2 * edges / HUB, are broadcast; others are joined."""
+    if edges > HUB:
+        hubs = written(least.filter(F.col("n") > HUB).select("u", F.col("m").alias("hub")), "hubs")
+        if n := hubs.count():
+            rows = rows.join(sized(hubs, n), "u", "left")
+            of_hubs = rows.filter("hub IS NOT NULL").withColumnRenamed("hub", "m")
+            return rows.filter("hub IS NULL").drop("hub").join(least.select("u", "m"), "u").unionByName(of_hubs)
+    return rows.join(least.select("u", "m"), "u")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component) of every end of the edges (a, b): the least id that can be reached.
+    """(node, component) of every end of the edges (a, b): the least node that can be reached.
 
     Large star and small star: each round links a node's neighbours to its least neighbour, until nothing changes. A
     hub's neighbours are aggregated to a minimum before they are shuffled, and are joined, not collected.
     """
     now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "edges")
-    before = None
+    state = None
     while True:
+        before, state = state, now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        if state == before or not state.n:
+            break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
+        large = _with_least(both, least, state.n).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = _with_least(large, least, state.n).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
         now = written(small.filter("u > v").distinct(), "stars")
-        state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if state == before:
-            break
-        before = state
-    found = now.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "id")
-    return found.unionByName(found.select(F.col("component").alias("id"), "component").distinct())
+    found = now.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
+    return found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
 
 
 def _labelled(members: DataFrame, comps: DataFrame) -> DataFrame:
-    return members.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    return members.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
 def near_sketches(a: pd.DataFrame, b: pd.DataFrame | None, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -205,61 +249,57 @@ def near_sketches(a: pd.DataFrame, b: pd.DataFrame | None, percent: int) -> Iter
         yield x[near] + i, y[near]
 
 
-def _family_pairs(labelled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a < b) of different components of a family that may be linked. labelled: part, id, component, a (the part's least id)."""
-    families = components(labelled.select(F.col("id"), "a").filter("id > a").select("a", F.col("id").alias("b")).distinct()).withColumnRenamed("component", "family")
-    rows = labelled.select("id", "component").distinct().join(families, "id").join(sets.select("id", "n", "sketch"), "id")
-    sizes = rows.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = rows.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    tiles = dealt.withColumn("other", other).select(
-        "family", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "component", "n", "sketch"
+def _family_pairs(labelled: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a < b) of different components of a family that may be linked. labelled: part, node, component, a (the part's least node)."""
+    families = components(labelled.filter("node > a").select("a", F.col("node").alias("b")).distinct()).withColumnRenamed("component", "family")
+    rows = labelled.select("node", "component").distinct().join(families, "node").join(nodes.select("node", "n", "sketch"), "node")
+    rows = written(rows, "families")
+    large = written(rows.groupBy("family").count().filter(F.col("count") > BLOCK).select("family", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "large-families")
+    blocks = F.coalesce("blocks", F.lit(1))
+    dealt = rows.join(sized(large, large.count()), "family", "left").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    tiles = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
+        "family", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "node", "component", "n", "sketch"
     )
-    kind = dict(labelled.dtypes)["id"]
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         p, q = rows["p"].iloc[0], rows["q"].iloc[0]
         a, b = (rows[rows["block"] == k].reset_index(drop=True) for k in (p, q))
-        found = [(a["id"].to_numpy()[x], (a if p == q else b)["id"].to_numpy()[y]) for x, y in near_sketches(a, None if p == q else b, percent)] if len(a) and len(b) else []
+        found = [(a["node"].to_numpy()[x], (a if p == q else b)["node"].to_numpy()[y]) for x, y in near_sketches(a, None if p == q else b, percent)] if len(a) and len(b) else []
         x, y = (np.concatenate([z[k] for z in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
         return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
 
     # Else Spark would keep a whole family where the join by family has put it.
-    return tiles.repartition("family", "p", "q").groupBy("family", "p", "q").applyInPandas(compare, f"a {kind}, b {kind}")
+    return tiles.repartition("family", "p", "q").groupBy("family", "p", "q").applyInPandas(compare, "a long, b long")
 
 
 def link(docs: DataFrame, width: int = 4, percent: int = 85, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, n_shingles, component_id, class_id (the least id with an equal set): one row per row of docs."""
     sets = written(_sets(docs, width, text, key), "sets")
-    filled = sets.filter("n > 0 AND id IS NOT NULL")
-    classes = written(filled.groupBy("n", "s1", "s2").agg(F.min("id").alias("class_id"), F.count("*").alias("copies")), "classes")
-    # Only a class's first document joins: the others are left out by an anti-join with them, or by a join with the first.
-    totals = classes.agg(F.count("*").alias("n"), F.coalesce(F.sum("copies"), F.lit(0)).alias("rows")).first()
+    nodes = written(sets.filter("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
+    totals = nodes.agg(F.count("*").alias("n"), F.coalesce(F.sum("copies"), F.lit(0)).alias("rows")).first()
     if not totals.n:
         return sets.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), F.col("id").alias("class_id"))
-    firsts = classes.select(F.col("class_id").alias(key))
-    left_out = sets.join(classes.filter("copies > 1").select(F.col("class_id").alias("id")), "id", "left_anti").join(
-        classes.filter("copies > 1").select("n", "s1", "s2"), ["n", "s1", "s2"], "left_semi"
-    )
-    if totals.rows - totals.n <= BROADCAST_IDS:
-        own = docs.filter(F.col(key).isNotNull()).join(F.broadcast(left_out.select(F.col("id").alias(key))), key, "left_anti")
+    # Only one row of a node is cut into parts.
+    taken = nodes.select(F.col("id").alias(key))
+    if (more := totals.rows - totals.n) <= BROADCAST_IDS:
+        left_out = sets.filter("node IS NOT NULL").join(F.broadcast(nodes.filter("copies > 1").select("node", F.col("id").alias("kept"))), "node").filter("id <> kept").select(F.col("id").alias(key))
+        # An id that repeats may be left out for one of its texts and taken for another.
+        left_out = written(left_out.join(taken, key, "left_anti").distinct(), "copies") if more else None
+        own = docs.join(F.broadcast(left_out), key, "left_anti") if more else docs
     else:
-        own = docs.join(firsts, key, "left_semi")
-    keys = _keys(own, width, percent, text, key)
-    shared = written(keys.groupBy("part").agg(F.count("*").alias("members"), F.min("id").alias("a"), F.max("id").alias("b")).filter("members > 1"), "buckets")
-    large = shared.filter("members > 2").select("part")
-    members = written(keys.join(large, "part"), "members")
-
-    # First round: pairs as they are, and a large bucket's members with its first document.
-    pairs = shared.select("a", "b").unionByName(
-        members.join(shared.filter("members > 2").select("part", "a"), "part").filter("id > a").select("a", F.col("id").alias("b"))
-    ).distinct()
-    edges = written(_verified(docs, sets, pairs, width, percent, text, key), "links")
+        own = docs.join(taken, key, "left_semi")
+    keys = _keys(own.filter(F.col(key).isNotNull()), width, percent, text, key)
+    shared = written(keys.groupBy("part").agg(F.count("*").alias("members"), F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b"), "buckets")
+    members = written(keys.join(shared.filter("members > 2").select("part", "a"), "part").filter("node > a"), "members")
+
+    # First round: pairs as they are, and a large bucket's members with its least node.
+    pairs = shared.select("a", "b").unionByName(members.select("a", F.col("node").alias("b"))).distinct()
+    edges = written(_verified(docs, nodes, pairs, width, percent, text, key), "links")
     comps = written(components(edges), "components")
-    members = members.join(shared.select("part", "a"), "part").filter("id > a").select("part", "id")
+    members = members.select("part", "node")
     for round_ in range(LEADER_ROUNDS + 1):
         labelled = _labelled(members, comps)
-        open_parts = labelled.groupBy("part").agg(F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high"), F.min("id").alias("a")).filter("low < high")
+        open_parts = labelled.groupBy("part").agg(F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("a")).filter("low < high")
         open_parts = written(open_parts, "open")
         state = open_parts.agg(F.count("*").alias("n"), F.max("members").alias("most")).first()
         if not state.n:
@@ -267,20 +307,23 @@ def link(docs: DataFrame, width: int = 4, percent: int = 85, text: str = "text",
         labelled = written(labelled.join(open_parts.select("part", "a"), "part"), "open-members")
         last = round_ == LEADER_ROUNDS or state.most <= LEADER_BUCKET
         if last:
-            pairs = _family_pairs(labelled, sets, percent)
+            pairs = _family_pairs(labelled, nodes, percent)
         else:
-            leader = labelled.filter("id = a").select("part", F.col("component").alias("ca"))
-            pairs = labelled.join(leader, "part").filter("component <> ca").select("a", F.col("id").alias("b")).distinct()
-        more = written(_verified(docs, sets, pairs, width, percent, text, key), "links")
+            leader = labelled.filter("node = a").select("part", F.col("component").alias("ca"))
+            pairs = labelled.join(leader, "part").filter("component <> ca").select("a", F.col("node").alias("b")).distinct()
+        more = written(_verified(docs, nodes, pairs, width, percent, text, key), "links")
         edges = edges.unionByName(more)
         comps = written(components(edges), "components")
         if last:
             break
-        members = labelled.filter("id > a").select("part", "id")
-
-    by_class = classes.join(comps.withColumnRenamed("id", "class_id"), "class_id", "left").select("n", "s1", "s2", "class_id", F.coalesce("component", "class_id").alias("component_id"))
-    return sets.join(by_class, ["n", "s1", "s2"], "left").select(
-        F.col("id").alias(key), F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id")).alias("component_id"),
-        F.when(F.col("n") > 0, F.coalesce("class_id", "id")).otherwise(F.col("id")).alias("class_id"),
+        members = labelled.filter("node > a").select("part", "node")
+
+    # Names: of every node that is linked or has copies, the least id of its component.
+    linked = nodes.join(comps, "node")
+    names = linked.groupBy("component").agg(F.min("id").alias("component_id"))
+    named = linked.join(sized(names, names.count()), "component").select("node", F.col("id").alias("class_id"), "component_id")
+    alone = nodes.filter("copies > 1").join(comps, "node", "left_anti").select("node", F.col("id").alias("class_id"), F.col("id").alias("component_id"))
+    named = written(named.unionByName(alone), "names")
+    return sets.join(sized(named, named.count()), "node", "left").select(
+        F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce("class_id", "id").alias("class_id")
     )
