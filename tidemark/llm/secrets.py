@@ -1,15 +1,19 @@
 """Secrets: fixed patterns, and candidates that a grammar inferred from labelled credentials finds likely.
 
-Grammar inference: the labelled credentials of a kind form a prefix tree over classes of characters. States are merged
-when their frequencies of ending and of each next class don't differ by Hoeffding's bound, and so do those of their
-successors; the tree becomes a probabilistic automaton. A candidate is a run of credential characters of any length, without marks at its ends, cut at '='. Its score is
-the greatest log likelihood of its format under an automaton, less that under the automaton of ordinary tokens, a
-character. Candidates that score above THRESHOLD are secrets of the kind `inferred`; they never replace a base span.
-
-The labelled credentials are the base matches in a sample of documents (SAMPLE_DOCS of them at most, chosen by a hash
-of their id; PER_DOC matches of each) and generated examples of published formats. Candidates are sought in all texts.
-
-Defined results: a null text counts as empty; an empty text has no spans.
+Grammar inference: the labelled credentials of a format form a prefix tree. A state that all of its (eight or more)
+examples leave by one character keeps that character; elsewhere the tree branches by classes of characters. States are
+merged when their shares of ending and of each next symbol don't differ by Hoeffding's bound, and so do those of their
+successors; of several compatible states the closest is taken. The tree becomes a probabilistic automaton: `ghp_` stays
+as it is, the random rest becomes a loop. A candidate is a piece of a run of credential characters, of any length, without marks at its ends,
+cut at '='. Its score is the greatest log likelihood under a credential's automaton, less the greatest under the automata
+of ordinary formats (words, identifiers, numbers, versions, UUIDs, digests, paths), a character. Candidates that score above
+THRESHOLD are secrets of the kind `inferred`. All are scored, but for those that lie within a base span; base spans always stay.
+
+The labelled credentials are the base matches in a sample of documents (about SAMPLE_DOCS of them, chosen by a hash
+of their id and text; PER_DOC matches of each, PER_KIND values of a kind) and generated examples of published formats. Candidates are sought in all texts.
+
+Defined results: a null text counts as empty; an empty text has no spans. Repeated rows are scanned each by itself. A column
+`spans` of docs is replaced.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import batches_by_size
@@ -36,12 +40,15 @@ CANDIDATE = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9+/_.-]*[A-Za-z0-9])?(?:={1,2}(?
 LEAST_CHARS = 16
 _RUN = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
 
-SAMPLE_DOCS, PER_DOC, PER_KIND = 4_000, 20, 300
-ALPHA, THRESHOLD = 0.05, 0.35
+SAMPLE_DOCS, PER_DOC, PER_KIND = 20_000, 20, 1_000
+ALPHA, THRESHOLD = 0.05, 0.25
+#: Examples from which a state keeps the one character that follows; the added count of a symbol that a state never saw.
+LITERAL_LEAST, UNSEEN = 8, 0.1
 
-_class_of = {c: k for k, group in enumerate(["0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "+", "/", "_", "=", ".", "-"]) for c in group}
-CLASSES = 11
-_END = CLASSES
+_GROUPS = ["0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "+", "/", "_", "=", ".", "-"]
+_class_of = {c: k for k, group in enumerate(_GROUPS) for c in group}
+_spread = [math.log(len(group)) for group in _GROUPS]
+_END = -1
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -65,143 +72,210 @@ def candidates(text: str) -> list[tuple[int, int]]:
 
 
 class Automaton:
-    """A probabilistic automaton over classes of characters. state -> counts of the next class (or the end), and successors."""
+    """A probabilistic automaton. state -> counts by symbol (a character, the number of a class, or the end), and successors."""
 
     def __init__(self, values: list[str], alpha: float = ALPHA) -> None:
-        self.counts: list[list[int]] = [[0] * (CLASSES + 1)]
-        self.next: list[dict[int, int]] = [{}]
-        for value in values:
-            s = 0
-            for c in value:
-                k = _class_of[c]
-                self.counts[s][k] += 1
-                if k not in self.next[s]:
-                    self.next[s][k] = len(self.counts)
-                    self.counts.append([0] * (CLASSES + 1))
-                    self.next.append({})
-                s = self.next[s][k]
-            self.counts[s][_END] += 1
+        self.counts: list[dict] = []
+        self.next: list[dict] = []
+        self._tree(values)
         self.bound = math.sqrt(0.5 * math.log(2 / alpha))
-        self._merge_states()
-        self.logs = [[math.log((x + 0.5) / (sum(row) + 0.5 * (CLASSES + 1))) for x in row] for row in self.counts]
-
-    def _differ(self, a: int, b: int) -> bool:
-        stack = [(a, b)]
+        self.states = self._merge_states()
+        self.logs, self.unseen = [], []
+        for counts in self.counts:
+            total = sum(counts.values()) + UNSEEN * (len(_GROUPS) + 1)
+            self.logs.append({k: math.log((n + UNSEEN) / total) - (_spread[k] if isinstance(k, int) and k != _END else 0.0) for k, n in counts.items()})
+            self.unseen.append(math.log(UNSEEN / total))
+
+    def _tree(self, values: list[str]) -> None:
+        self.counts.append({})
+        self.next.append({})
+        stack = [(0, 0, values)]
+        while stack:
+            s, depth, own = stack.pop()
+            going = [v for v in own if len(v) > depth]
+            if len(going) < len(own):
+                self.counts[s][_END] = len(own) - len(going)
+            literal = len(own) >= LITERAL_LEAST and len(going) == len(own) and len({v[depth] for v in own}) == 1
+            groups: dict = {}
+            for v in going:
+                groups.setdefault(v[depth] if literal else _class_of[v[depth]], []).append(v)
+            for symbol, group in groups.items():
+                self.counts[s][symbol] = len(group)
+                self.next[s][symbol] = len(self.counts)
+                stack.append((len(self.counts), depth + 1, group))
+                self.counts.append({})
+                self.next.append({})
+
+    def _distance(self, a: int, b: int) -> float | None:
+        """The greatest difference of shares of two states, or None if they or their successors differ by the bound."""
+        first, stack = None, [(a, b)]
         while stack:
             a, b = stack.pop()
-            n, m = sum(self.counts[a]), sum(self.counts[b])
+            x, y = self.counts[a], self.counts[b]
+            n, m = sum(x.values()), sum(y.values())
             if not n or not m:
                 continue
-            most = self.bound * (1 / math.sqrt(n) + 1 / math.sqrt(m))
-            if any(abs(x / n - y / m) > most for x, y in zip(self.counts[a], self.counts[b], strict=True)):
-                return True
+            most = max(abs(x.get(k, 0) / n - y.get(k, 0) / m) for k in {*x, *y})
+            first = most if first is None else first
+            if most > self.bound * (1 / math.sqrt(n) + 1 / math.sqrt(m)):
+                return None
             stack += [(t, self.next[b][k]) for k, t in self.next[a].items() if k in self.next[b]]
-        return False
+        return first or 0.0
 
     def _fold(self, a: int, b: int) -> None:
-        """Adds the tree below b to what is below a."""
+        """Adds the tree below b to what is below a; a character of b falls to its class where a has classes only."""
         stack = [(a, b)]
         while stack:
             a, b = stack.pop()
             if a == b:
                 continue
-            self.counts[a] = [x + y for x, y in zip(self.counts[a], self.counts[b], strict=True)]
-            for k, t in self.next[b].items():
-                if k in self.next[a]:
-                    stack.append((self.next[a][k], t))
-                else:
-                    self.next[a][k] = t
-
-    def _merge_states(self) -> None:
+            classes = any(isinstance(k, int) for k in self.next[a])
+            for k, n in self.counts[b].items():
+                own = _class_of[k] if isinstance(k, str) and k not in self.next[a] and classes else k
+                self.counts[a][own] = self.counts[a].get(own, 0) + n
+                if k != _END:
+                    if own in self.next[a]:
+                        stack.append((self.next[a][own], self.next[b][k]))
+                    else:
+                        self.next[a][own] = self.next[b][k]
+
+    def _merge_states(self) -> int:
         kept = [0]
         while True:
             inside = set(kept)
-            edge = next(((s, k, t) for s in kept for k, t in sorted(self.next[s].items()) if t not in inside), None)
-            if edge is None:
-                return
-            s, k, t = edge
-            same = next((r for r in kept if not self._differ(r, t)), None)
-            if same is None:
+            edges = [(-self.counts[s][k], s, str(k), k, t) for s in kept for k, t in self.next[s].items() if t not in inside]
+            if not edges:
+                return len(kept)
+            _, s, _, k, t = min(edges)
+            near = [(d, r) for r in kept if (d := self._distance(r, t)) is not None]
+            if not near:
                 kept.append(t)
             else:
+                same = min(near)[1]
                 self.next[s][k] = same
                 self._fold(same, t)
 
-    def log_likelihood(self, classes: list[int]) -> float:
-        """Of a whole format, a character; a class that a state never saw has its smoothed share and leads back to the start."""
+    def log_likelihood(self, value: str) -> float:
+        """Of the whole value; after a symbol that a state never saw it stays where it is."""
         s, total = 0, 0.0
-        for k in classes:
-            total += self.logs[s][k]
-            s = self.next[s].get(k, 0)
-        return total / max(1, len(classes))
+        for c in value:
+            logs = self.logs[s]
+            k = c if c in logs else _class_of[c]
+            if k in logs:
+                total += logs[k]
+                s = self.next[s][k]
+            else:
+                total += self.unseen[s] - _spread[k]
+        return total + self.logs[s].get(_END, self.unseen[s])
 
 
-def published_formats(n: int = 120, seed: int = 7) -> dict[str, list[str]]:
-    """Generated examples of published credential formats, labelled by format."""
+def _drawer(seed: int):
     draw = random.Random(seed)
-    some = lambda chars, k: "".join(draw.choice(chars) for _ in range(k))
-    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
-    mixed = upper + lower + digits
+    return draw, lambda chars, k: "".join(draw.choice(chars) for _ in range(k))
+
+
+_UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+_MIXED = _UPPER + _LOWER + _DIGITS
+
+
+def published_formats(n: int = 300, seed: int = 7) -> dict[str, list[str]]:
+    """Generated examples of published credential formats, labelled by format."""
+    draw, some = _drawer(seed)
     return {
-        "prefixed": [f"ghp_{some(mixed, 36)}" for _ in range(n)],
-        "live_key": [f"sk_live_{some(mixed, 24)}" for _ in range(n)],
-        "base64": [some(mixed + "+/", 40) for _ in range(n)],
-        "long_base64": [some(mixed + "+/", 43) + "=" for _ in range(n)],
-        "dotted": [f"eyJ{some(mixed, 17)}.eyJ{some(mixed, 20)}.{some(mixed + '_-', 43)}" for _ in range(n)],
+        "prefixed": [f"ghp_{some(_MIXED, 36)}" for _ in range(n)],
+        "live_key": [f"sk_live_{some(_MIXED, 24)}" for _ in range(n)],
+        "map_key": [f"AIza{some(_MIXED + '_-', 35)}" for _ in range(n)],
+        "bot": [f"xoxb-{some(_DIGITS, 12)}-{some(_DIGITS, 12)}-{some(_MIXED, 24)}" for _ in range(n)],
+        "alphanumeric": [some(_MIXED, draw.randint(20, 48)) for _ in range(n)],
+        "base64": [some(_MIXED + "+/", draw.choice([40, 64, 86])) for _ in range(n)],
+        "long_base64": [some(_MIXED + "+/", 43) + "=" for _ in range(n)],
+        "dotted": [f"eyJ{some(_MIXED, draw.randint(17, 33))}.eyJ{some(_MIXED, draw.randint(20, 60))}.{some(_MIXED + '_-', 43)}" for _ in range(n)],
     }
 
 
-def ordinary_tokens(n: int = 600, seed: int = 11) -> list[str]:
-    """Generated tokens that are no credentials: long words, hyphenated and dotted names, paths, numbers."""
-    draw = random.Random(seed)
-    word = lambda a, b: "".join(draw.choice("etaoinshrdlucmfwypvbgkjqxz"[: draw.choice([8, 12, 26])]) for _ in range(draw.randint(a, b)))
-    number = lambda k: "".join(draw.choice("0123456789") for _ in range(k))
-    makers = [
-        lambda: word(16, 30), lambda: word(8, 20).capitalize() + word(8, 10), lambda: word(16, 24).upper(), lambda: "-".join(word(3, 9) for _ in range(4)),
-        lambda: "_".join(word(3, 9) for _ in range(4)), lambda: ".".join(word(3, 9) for _ in range(4)), lambda: "/".join(word(3, 9) for _ in range(4)),
-        lambda: number(16), lambda: f"{number(4)}-{number(2)}-{number(2)}.{number(9)}", lambda: f"{word(5, 9)}-{number(4)}.{word(4, 9)}", lambda: "-" * 20, lambda: "=" * 20,
-    ]
-    return [draw.choice(makers)() for _ in range(n)]
+def ordinary_formats(n: int = 300, seed: int = 11) -> dict[str, list[str]]:
+    """Generated tokens that are no credentials, by format: words and names, numbers and dates, versions, UUIDs, digests, paths."""
+    draw, some = _drawer(seed)
+    hexadecimal = _DIGITS + "abcdef"
+    word = lambda a, b: some(_LOWER, draw.randint(a, b))
+    words = lambda a, b, least=2, most=5: [word(a, b) for _ in range(draw.randint(least, most))]
+    number = lambda a, b=None: some(_DIGITS, draw.randint(a, b or a))
+    tail = lambda: draw.choice(["", "", number(1, 4)])
+    makers = {
+        "word": lambda: draw.choice([word(16, 40), word(16, 40).capitalize(), word(16, 40).upper()]),
+        "camel": lambda: draw.choice(["", word(2, 8)]) + "".join(draw.choice([w.capitalize(), w.capitalize(), w.upper()[:4]]) + tail() for w in words(2, 10, 2, 6)),
+        "snake": lambda: "_".join(w + tail() for w in words(1, 10, 2, 6)),
+        "constant": lambda: "_".join(w.upper() + tail() for w in words(1, 10, 2, 6)),
+        "hyphens": lambda: "-".join(draw.choice([w, w.capitalize(), number(1, 4)]) for w in words(1, 12, 2, 7)),
+        "dots": lambda: ".".join(draw.choice([w, w.capitalize(), w + tail()]) for w in words(1, 12, 2, 6)),
+        "path": lambda: "/".join(draw.choice([w, w.capitalize(), w + tail(), number(1, 4), f"{w}.{word(2, 4)}", f"{w}_{word(2, 8)}", f"{w}-{word(2, 8)}"]) for w in words(1, 12, 2, 7)),
+        "number": lambda: number(16, 30),
+        "date": lambda: f"{number(4)}-{number(2)}-{number(2)}{draw.choice(['T', '_', '.', '-'])}{number(2, 9)}{draw.choice(['', '.' + number(3, 6), '-' + number(2, 4)])}",
+        "version": lambda: draw.choice(["", "v", word(3, 12) + "-", word(3, 12) + "_"]) + ".".join(number(1, 3) for _ in range(draw.randint(2, 4))) + draw.choice(["", "-", "+", "."]) + draw.choice(["rc", "beta.", "alpha", "dev", "post", word(3, 8)]) + number(1, 8),
+        "uuid": lambda: "-".join(some(hexadecimal, k) for k in (8, 4, 4, 4, 12)),
+        "upper_uuid": lambda: "-".join(some(_DIGITS + "ABCDEF", k) for k in (8, 4, 4, 4, 12)),
+        "digest": lambda: draw.choice(["", "", "sha256-", "sha1-", "md5-"]) + some(hexadecimal, draw.choice([16, 20, 32, 40, 64])),
+        "upper_digest": lambda: some(_DIGITS + "ABCDEF", draw.choice([16, 20, 32, 40, 64])),
+        "marks": lambda: draw.choice("-=_.+/") * draw.randint(16, 40),
+    }
+    return {name: [make() for _ in range(n)] for name, make in makers.items()}
 
 
 class Grammar:
+    """Automata of credentials by format, and of ordinary formats. Scores are remembered by value, up to a bound."""
+
+    MEMORY = 20_000
+
     def __init__(self, labelled: dict[str, list[str]]) -> None:
         clean = {k: [v for v in values if v and all(c in _class_of for c in v)] for k, values in labelled.items()}
         self.kinds = {k: Automaton(v) for k, v in clean.items() if v}
-        self.ordinary = Automaton(ordinary_tokens())
+        self.ordinary = {k: Automaton(v) for k, v in ordinary_formats().items()}
+        self._known: dict[str, float] = {}
 
     def score(self, value: str) -> float:
-        classes = [_class_of[c] for c in value]
-        return max((a.log_likelihood(classes) for a in self.kinds.values()), default=-99.0) - self.ordinary.log_likelihood(classes)
+        """Of the likeliest credential's format over the likeliest ordinary one, a character."""
+        if value not in self._known:
+            if len(self._known) >= self.MEMORY:
+                self._known.clear()
+            least = max(a.log_likelihood(value) for a in self.ordinary.values())
+            found = (max((a.log_likelihood(value) for a in self.kinds.values()), default=-math.inf) - least) / len(value)
+            if len(value) > 200:
+                return found
+            self._known[value] = found
+        return self._known[value]
 
     def spans(self, text: str, base: list[tuple[int, int, int]], threshold: float) -> list[tuple[int, int, int, float]]:
-        """(start, kind, end, score) of candidates that touch no base span, have a digit and score above the threshold."""
-        found = []
+        """(start, kind, end, score) of candidates that lie within no base span and score above the threshold."""
+        found, at, reach = [], 0, 0
         for start, end in candidates(text):
-            value = text[start:end]
-            if not any(map(str.isdigit, value)) or any(s < end and start < e for s, _, e in base):
-                continue
-            if (score := self.score(value)) > threshold:
+            # Base spans are in order of their starts; of those that begin by here, the one that reaches furthest counts.
+            while at < len(base) and base[at][0] <= start:
+                reach = max(reach, base[at][2])
+                at += 1
+            if end > reach and (score := self.score(text[start:end])) > threshold:
                 found.append((start, 3, end, score))
         return found
 
 
-def learn(docs: DataFrame, text: str = "text", key: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> Grammar:
-    """The grammar from a bounded sample's base matches and from published formats. The driver gets PER_KIND values of each kind at most."""
+def learn(docs: DataFrame, text: str = "text", key: str = "doc_id", sample_docs: int = SAMPLE_DOCS, per_doc: int = PER_DOC, per_kind: int = PER_KIND) -> Grammar:
+    """The grammar from a bounded sample's base matches and from published formats. The driver gets per_kind values of each kind at most, in one job.
+
+    The sample is chosen by a hash of id and text, so rows with one id (or none) are not all in or out.
+    """
     n = docs.count()
     step = -(-n // sample_docs) if n else 1
-    sample = docs.select(F.col(text)).filter(F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(5)), F.lit(step)) == 0)
+    sample = docs.select(F.col(text).alias("text")).filter(F.pmod(F.xxhash64(F.col(key).cast("string"), F.col(text), F.lit(5)), F.lit(step)) == 0)
 
     def values(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(KINDS[s[1]], credential(t, s)) for t in frame[text] if t for s in base_spans(t)[:PER_DOC]]
+            rows = [(KINDS[s[1]], credential(t, s)) for t in frame["text"] if t for s in base_spans(t)[:per_doc]]
             yield pd.DataFrame(rows, columns=["kind", "value"])
 
     found = sample.mapInPandas(values, "kind string, value string").distinct()
+    first = Window.partitionBy("kind").orderBy(F.xxhash64("value"), "value")
     labelled = published_formats()
-    for kind in KINDS[:3]:
-        rows = found.filter(F.col("kind") == kind).select("value").orderBy(F.xxhash64("value"), "value").limit(PER_KIND).collect()
-        labelled[kind] = [r.value for r in rows]
+    for row in found.withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") <= per_kind).orderBy("kind", "_rank").collect():
+        labelled.setdefault(row.kind, []).append(row.value)
     return Grammar(labelled)
 
 
