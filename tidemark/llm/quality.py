@@ -1,16 +1,20 @@
 """Ordinal quality: a cumulative-link regression on graded ratings over hashed words.
 
 P(grade >= j) = logistic(w.x - threshold_j): all grades share the weights w, and the thresholds are ordered. A text's
-features are the presence of its words and of their beginnings (lower case, hashed to BUCKETS buckets) and a few
+features are the presence of its words and of their beginnings (lower case, hashed to BUCKETS buckets, each with a weight) and a few
 measures of its shape, so one telling word counts alike in a short and in a long text. The model gives the expected
 grade and the tail probabilities.
 
+Texts have hundreds of words and most say nothing, so weights are shrunk by evidence: a weight's rate of learning is
+(z*z / (z*z + EVIDENCE**2)) ** 3, where z is the greatest z-score by which the grades of the bucket's documents differ from the rest.
+No bucket is cut off.
+
 Grades from the table of labels: 0 toxic, 1 of low quality, 2 good. The fit uses FIT_DOCS rated documents at most, the
-first by a hash of their id. Spark counts their buckets by grade; the MOST_BUCKETS whose grades differ most from the
-rest by a z-score of LEAST_Z or more get weights. Every document is scored.
+first by a hash of their id; their features are made by tasks, and the driver gets those of the chosen documents. Every document is scored.
 
 Defined results: a null or empty text has no words, so only its shape is scored; it is never kept (see `select`). If no
-document is rated, all scores are null and all documents with a word are kept. Several ratings of one document: the least.
+document is rated, all scores are null and all documents with a word are kept. Several ratings of one document: the least. Of rated rows
+with one id, the fit takes one (the least by its features); all are scored.
 """
 
 from __future__ import annotations
@@ -28,82 +32,105 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import batches_by_size
 
-BUCKETS, GRADES = 1 << 22, 3
-FIT_DOCS, MOST_BUCKETS, LEAST_Z, ROUNDS = 20_000, 4_096, 5.5, 300
+BUCKETS, GRADES = 1 << 20, 3
+FIT_DOCS, ROUNDS, EVIDENCE, L2 = 10_000, 150, 6.0, 0.002
 #: Lengths of words' beginnings that are features of their own.
 BEGINNINGS = (5, 6, 7)
 #: Least probability of the best grade at which a document is selected.
 LEAST_TAIL = 0.35
-CACHE_WORDS = 500_000
+#: Words that a worker remembers.
+CACHE_WORDS = 100_000
 _WORD = re.compile(r"[^\W\d_]+")
 SHAPES = 7
+_upper: np.ndarray | None = None
 
 
-def word_buckets(word: str) -> list[int]:
+def word_buckets(word: str) -> tuple[int, ...]:
     """The buckets of a word: its own and those of its beginnings."""
     names = [word, *(f"{word[:n]}~" for n in BEGINNINGS if len(word) > n)]
-    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % BUCKETS for x in names]
+    return tuple([zlib.crc32(x.encode("utf-8", "surrogatepass")) % BUCKETS for x in names])
 
 
 class _Buckets(dict):
-    """word -> its buckets, of those in `only` if that is given."""
-
-    def __init__(self, only: dict[int, int] | None = None) -> None:
-        self.only = only
+    """word -> its buckets."""
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > CACHE_WORDS:
+        if len(self) >= CACHE_WORDS:
             self.clear()
-        found = word_buckets(word)
-        self[word] = found = tuple(found if self.only is None else [self.only[b] for b in found if b in self.only])
+        self[word] = found = word_buckets(word)
         return found
 
 
+def capitals(text: str) -> int:
+    """Characters in upper case."""
+    global _upper
+    if _upper is None:
+        _upper = np.fromiter((chr(c).isupper() for c in range(0x110000)), bool, 0x110000)
+    return int(np.count_nonzero(_upper[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]))
+
+
 def shape(text: str, words: list[str], distinct: int) -> list[float]:
     """Measures between 0 and 1: symbols and marks to words, capitals to characters, repetition, shortness."""
     n, chars = len(words), max(1, len(text))
     symbols = sum(map(text.count, "#*$%&|<>"))
     marks = text.count("!")
-    capitals = sum(map(str.isupper, text)) / chars
     repeats = sum(a == b for a, b in zip(words, words[1:], strict=False))
-    return [1.0, min(1.0, symbols / max(1, n)), min(1.0, marks / max(1, n)), capitals, min(1.0, 2 * repeats / max(1, n)), 1 - distinct / max(1, n), 1 / (1 + n / 10)]
+    return [1.0, min(1.0, symbols / max(1, n)), min(1.0, marks / max(1, n)), capitals(text) / chars, min(1.0, 2 * repeats / max(1, n)), 1 - distinct / max(1, n), 1 / (1 + n / 10)]
 
 
-def features(text: str | None, buckets: _Buckets) -> tuple[list[int], list[float]]:
+def features(text: str | None, buckets: _Buckets) -> tuple[np.ndarray, list[float]]:
+    """Distinct buckets, ascending, and the shape."""
     text = text or ""
     words = _WORD.findall(text)
     distinct = {*map(str.lower, {*words})}
-    return sorted({*chain.from_iterable(map(buckets.__getitem__, distinct))}), shape(text, words, len(distinct))
+    at = {*chain.from_iterable(map(buckets.__getitem__, distinct))}
+    return np.sort(np.fromiter(at, np.int32, len(at))), shape(text, words, len(distinct))
 
 
 @dataclass
 class Model:
-    places: dict[int, int]  #: bucket -> its weight's place
-    weights: np.ndarray
+    weights: np.ndarray  #: by bucket
     shapes: np.ndarray
     thresholds: np.ndarray  #: of grades 1 and above, ascending
 
     def score(self, text: str | None, buckets: _Buckets) -> np.ndarray:
-        """Tail probabilities: of grade 1 or more, of grade 2 or more ... buckets: made with this model's places."""
+        """Tail probabilities: of grade 1 or more, of grade 2 or more ..."""
         at, own = features(text, buckets)
-        z = float(self.weights[at].sum() + self.shapes @ np.array(own))
+        z = float(self.weights[at].sum(dtype=np.float64) + self.shapes @ np.array(own))
         return 1 / (1 + np.exp(-np.clip(z - self.thresholds, -30, 30)))
 
 
-def fit(rows: list[tuple[list[int], list[float], int]], places: dict[int, int], rounds: int = ROUNDS, l2: float = 0.002) -> Model | None:
-    """Full-batch gradient descent with adaptive steps; deterministic. rows: places of weights, shape and grade of each document."""
+def evidence(places: np.ndarray, owner: np.ndarray, grade: np.ndarray) -> np.ndarray:
+    """The greatest z-score, over the grades, of the documents of each place against all."""
+    n = np.bincount(places)
+    z = np.zeros(len(n))
+    for j in range(1, GRADES):
+        p = float((grade >= j).mean())
+        if 0 < p < 1:
+            z = np.maximum(z, np.abs(np.bincount(places, (grade >= j)[owner], len(n)) - p * n) / np.sqrt(np.maximum(n, 1) * p * (1 - p)))
+    return z
+
+
+def fit(rows: list[tuple[np.ndarray, list[float], int]], rounds: int = ROUNDS, l2: float = L2, strength: float = EVIDENCE) -> Model | None:
+    """Full-batch gradient descent with adaptive steps; deterministic. rows: buckets, shape and grade of each document."""
     if not rows:
         return None
     n = len(rows)
-    row = np.repeat(np.arange(n), [len(r[0]) for r in rows])
-    col = np.fromiter(chain.from_iterable(r[0] for r in rows), np.int64, len(row))
+    sizes = np.array([len(r[0]) for r in rows])
+    used, col = np.unique(np.concatenate([*[r[0] for r in rows], np.zeros(0, np.int32)]), return_inverse=True)
+    row, col = np.repeat(np.arange(n, dtype=np.int32), sizes), col.astype(np.int32)
+    by_place = np.argsort(col, kind="stable")
+    of_place, firsts = row[by_place], np.concatenate(([0], np.cumsum(np.bincount(col, minlength=len(used)))))
+    del by_place
     dense, grade = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    z = evidence(col, row, grade) if len(used) else np.zeros(0)
+    rate = 0.1 * (z * z / (z * z + strength * strength)) ** 3
     tails = (grade[:, None] >= np.arange(1, GRADES)[None, :]).astype(float)
     # Rare grades count as much as frequent ones, up to a factor.
     share = np.bincount(grade, minlength=GRADES) / n
     weight = np.minimum(3.0, (1 / GRADES) / np.maximum(share[grade], 1e-9))
     weight /= weight.sum()
-    w, s, first, gaps = np.zeros(len(places)), np.zeros(SHAPES), np.array([-1.0]), np.full(GRADES - 2, 0.0)
+    w, s, first, gaps = np.zeros(len(used)), np.zeros(SHAPES), np.array([-1.0]), np.full(GRADES - 2, 0.0)
     squares = [np.full_like(x, 1e-8) for x in (w, s, first, gaps)]
     for _ in range(rounds):
         t = np.concatenate([first, first + np.cumsum(np.exp(gaps))])
@@ -111,14 +138,14 @@ def fit(rows: list[tuple[list[int], list[float], int]], places: dict[int, int],
         error = (1 / (1 + np.exp(-np.clip(z[:, None] - t[None, :], -30, 30))) - tails) * weight[:, None]
         g = error.sum(1)
         by_threshold = -error.sum(0)
-        gradients = [
-            np.bincount(col, g[row], len(w)) + l2 * w / max(1, len(w)), dense.T @ g + l2 * s / SHAPES, by_threshold.sum(keepdims=True),
-            np.cumsum(by_threshold[:0:-1])[::-1] * np.exp(gaps),
-        ]
-        for x, d, q, rate in zip((w, s, first, gaps), gradients, squares, (0.1, 0.3, 0.1, 0.1), strict=True):
+        of_words = np.add.reduceat(g[of_place], firsts[:-1]) if len(used) else np.zeros(0)  # every place has a document
+        gradients = [of_words + l2 * w / max(1, len(w)), dense.T @ g + l2 * s / SHAPES, by_threshold.sum(keepdims=True), np.cumsum(by_threshold[:0:-1])[::-1] * np.exp(gaps)]
+        for x, d, q, r in zip((w, s, first, gaps), gradients, squares, (rate, 0.3, 0.1, 0.1), strict=True):
             q += d * d
-            x -= rate * d / np.sqrt(q)
-    return Model(places, w, s, np.concatenate([first, first + np.cumsum(np.exp(gaps))]))
+            x -= r * d / np.sqrt(q)
+    weights = np.zeros(BUCKETS, np.float32)
+    weights[used] = w
+    return Model(weights, s, np.concatenate([first, first + np.cumsum(np.exp(gaps))]))
 
 
 def grades(labels: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -129,40 +156,22 @@ def grades(labels: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def learn(docs: DataFrame, ratings: DataFrame, text: str = "text", key: str = "doc_id", fit_docs: int = FIT_DOCS) -> Model | None:
     """The model from at most fit_docs rated documents; those ids are few enough to broadcast. Features are made on the executors."""
-    chosen = ratings.select(F.col(key), "grade").orderBy(F.xxhash64(F.col(key).cast("string")), key).limit(fit_docs)
+    # Ratings of documents that are there: else a pipeline's stage might choose ids that an earlier one has dropped.
+    there = ratings.join(docs.select(key), key, "left_semi")
+    chosen = there.select(F.col(key), "grade").orderBy(F.xxhash64(F.col(key).cast("string")), key).limit(fit_docs)
     sample = docs.select(F.col(key), F.col(text)).join(F.broadcast(chosen), key)
 
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        buckets = _Buckets()
-        for frame in batches_by_size(frames, text, 4_000_000):
-            found = [features(t, buckets)[0] for t in frame[text]]
-            flat = np.fromiter(chain.from_iterable(found), np.int64)
-            pairs, n = np.unique(flat * GRADES + np.repeat(frame["grade"].to_numpy(np.int64), [len(x) for x in found]), return_counts=True)
-            yield pd.DataFrame({"bucket": pairs // GRADES, "grade": pairs % GRADES, "n": n})
-
-    sizes = {r.grade: r.n for r in sample.groupBy("grade").agg(F.count("*").alias("n")).collect()}
-    total = sum(sizes.values())
-    if not total:
-        return None
-    by_bucket = sample.mapInPandas(count, "bucket long, grade long, n long").groupBy("bucket").agg(
-        F.sum("n").alias("n"), *[F.sum(F.when(F.col("grade") >= j, F.col("n")).otherwise(0)).alias(f"tail{j}") for j in range(1, GRADES)]
-    )
-    z = F.greatest(F.lit(0.0), *[
-        F.abs(F.col(f"tail{j}") - p * F.col("n")) / F.sqrt(F.col("n") * (p * (1 - p)))
-        for j in range(1, GRADES) if 0 < (p := sum(n for g, n in sizes.items() if g >= j) / total) < 1
-    ], F.lit(0.0))
-    best = by_bucket.filter("n >= 3").withColumn("z", z).filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "bucket").limit(MOST_BUCKETS)
-    places = {b: k for k, b in enumerate(sorted(r.bucket for r in best.select("bucket").collect()))}
-
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        buckets = _Buckets(places)
-        for frame in batches_by_size(frames, text, 4_000_000):
+        buckets = _Buckets()
+        for frame in batches_by_size(frames, text, 2_000_000):
             found = [features(t, buckets) for t in frame[text]]
-            yield pd.DataFrame({"key": frame[key].astype(str), "at": [x[0] for x in found], "shape": [x[1] for x in found], "grade": frame["grade"]})
+            yield pd.DataFrame({"key": frame[key].astype(str), "at": [x[0].tobytes() for x in found], "shape": [x[1] for x in found], "grade": frame["grade"]})
 
-    rows = sample.mapInPandas(place, "key string, at array<int>, shape array<double>, grade int").toPandas().sort_values("key", kind="stable")
-    rows = rows.drop_duplicates("key").head(fit_docs)
-    return fit([(list(a), list(s), int(g)) for a, s, g in zip(rows["at"], rows["shape"], rows["grade"], strict=True)], places)
+    rows: dict[str, tuple] = {}
+    for r in sample.mapInPandas(place, "key string, at binary, shape array<double>, grade int").toLocalIterator():
+        own = (bytes(r.at), r.shape, r.grade)
+        rows[r.key] = min(own, rows.get(r.key, own))
+    return fit([(np.frombuffer(at, np.int32), list(s), g) for _, (at, s, g) in sorted(rows.items())])
 
 
 def score(docs: DataFrame, model: Model | None, text: str = "text", outputs: tuple[str, ...] = ("expected_grade", "p_grade_1", "p_grade_2")) -> DataFrame:
@@ -170,11 +179,11 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", outputs: tup
     base = docs.drop(*outputs)
     if model is None:
         return base.withColumns({c: F.lit(None).cast("double") for c in outputs})
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_BUCKETS weights
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a weight for each bucket, 4 MB
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, buckets = shared.value, _Buckets(shared.value.places)
-        for frame in batches_by_size(frames, text, 4_000_000):
+        own, buckets = shared.value, _Buckets()
+        for frame in batches_by_size(frames, text, 2_000_000):
             tails = np.array([own.score(t, buckets) for t in frame[text]]).reshape(len(frame), GRADES - 1)
             yield frame.assign(**dict(zip(outputs, [tails.sum(1), *tails.T], strict=True)))
 
