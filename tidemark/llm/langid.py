@@ -2,12 +2,16 @@
 
 A known word adds its log frequency in each language. An unseen word is scored by its n-grams (with marks for its
 ends) of the greatest length of which any is known, from MOST_GRAM down to 1, as the mean of their log frequencies. The
-language of the greatest sum wins; ties go to the first by name.
+language of the greatest sum wins; ties go to the first by name. The score is the language's share of the likelihood of
+an average word (the sums are divided by the number of words), so it doesn't grow with the text.
 
-The model is learnt from a bounded sample: LEARN_DOCS documents at most, chosen by a hash of their id, MOST_WORDS words
-and MOST_GRAMS n-grams. Words are runs of letters in lower case.
+The model is learnt from a bounded sample: about LEARN_DOCS documents of each language, chosen by a hash of id and text. Words are
+runs of letters in lower case, in learning as in prediction; their n-grams are counted by Spark too. Of each language its MOST_WORDS most
+frequent words and MOST_GRAMS n-grams are kept, so a rare language keeps as many as a frequent one; words beyond are
+scored as unseen ones are.
 
-Defined results: a null text, or one without letters, is `und` with score 0; so is every text if nothing was learnt.
+Defined results: a null text, or one without letters, is `und` with score 0; so is every text if nothing was learnt. Repeated rows and
+ids are learnt and predicted each by itself.
 """
 
 from __future__ import annotations
@@ -19,54 +23,54 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import batches_by_size
 
-LEARN_DOCS, MOST_WORDS, MOST_GRAMS, MOST_GRAM = 20_000, 100_000, 60_000, 5
+LEARN_DOCS, MOST_WORDS, MOST_GRAMS, MOST_GRAM = 2_000, 25_000, 15_000, 5
 #: Unseen words that a worker remembers.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
-class Model:
-    """languages: sorted names; words and grams: row numbers of `logs`, whose columns are languages."""
-
-    def __init__(self, counts: dict[str, Counter]) -> None:
-        self.languages = sorted(counts)
-        totals = Counter()
-        for c in counts.values():
-            totals.update(c)
-        words = [w for w, _ in sorted(totals.items(), key=lambda x: (-x[1], x[0]))[:MOST_WORDS]]
-        grams: dict[str, Counter] = {x: Counter() for x in self.languages}
-        for language, c in counts.items():
-            for w, n in c.items():
-                for g in self.grams(w):
-                    grams[language][g] += n
-        gram_totals = Counter()
-        for c in grams.values():
-            gram_totals.update(c)
-        names = [g for g, _ in sorted(gram_totals.items(), key=lambda x: (-x[1], x[0]))[:MOST_GRAMS]]
-        self.words = {w: i for i, w in enumerate(words)}
-        self.gram_rows = {g: i for i, g in enumerate(names)}
-        self.logs = self._logs(words, counts, len(totals))
-        by_length: dict[str, Counter] = {x: Counter() for x in self.languages}
-        for language, c in grams.items():
-            for g, n in c.items():
-                by_length[language][len(g)] += n
-        self.gram_logs = np.array(
-            [[math.log((grams[x][g] + 0.5) / (by_length[x][len(g)] + 0.5 * len(names))) for x in self.languages] for g in names], np.float64
-        ).reshape(len(names), len(self.languages))
+def words_of(text: str | None) -> list[str]:
+    return [w for w in _LETTERS.findall(text.lower()) if w.isalpha()] if text else []
 
-    def _logs(self, words: list[str], counts: dict[str, Counter], size: int) -> np.ndarray:
-        sums = {x: sum(c.values()) for x, c in counts.items()}
-        return np.array([[math.log((counts[x][w] + 0.5) / (sums[x] + 0.5 * size)) for x in self.languages] for w in words], np.float64).reshape(len(words), len(self.languages))
 
-    @staticmethod
-    def grams(word: str) -> set[str]:
-        marked = f"<{word}>"
-        return {marked[i : i + n] for n in range(1, MOST_GRAM + 1) for i in range(len(marked) - n + 1)} - {"<", ">"}
+def grams_of(word: str) -> set[str]:
+    marked = f"<{word}>"
+    return {marked[i : i + n] for n in range(1, MOST_GRAM + 1) for i in range(len(marked) - n + 1)} - {"<", ">"}
+
+
+def _logs(names: list[str], counts: dict[str, Counter], totals: dict[str, dict[int, int]], sizes: Counter, group) -> np.ndarray:
+    """Log frequencies by name and language, within the names' groups (the length, for n-grams)."""
+    languages = sorted(counts)
+    table = [[math.log((counts[x][w] + 0.5) / (totals[x].get(group(w), 0) + 0.5 * sizes[group(w)])) for x in languages] for w in names]
+    return np.array(table, np.float32).reshape(len(names), len(languages))
+
+
+class Model:
+    """languages: sorted names; words and grams: row numbers of their log frequencies, whose columns are languages."""
+
+    def __init__(self, words: dict[str, Counter], grams: dict[str, Counter] | None = None) -> None:
+        """Counts of words, and of n-grams (weighted by the counts of the words that hold them), by language."""
+        if grams is None:
+            grams = {x: Counter() for x in words}
+            for x, counts in words.items():
+                for w, n in counts.items():
+                    for g in grams_of(w):
+                        grams[x][g] += n
+        self.languages = sorted(words)
+        grams = {x: grams.get(x, Counter()) for x in self.languages}
+        names, gram_names = (sorted(set().union(*counts.values())) if counts else [] for counts in (words, grams))
+        self.words, self.gram_rows = ({w: i for i, w in enumerate(x)} for x in (names, gram_names))
+        self.logs = _logs(names, words, {x: {0: c.total()} for x, c in words.items()}, Counter({0: len(names)}), lambda w: 0)
+        by_length: dict[str, dict[int, int]] = {x: defaultdict(int) for x in self.languages}
+        for x, c in grams.items():
+            for g, n in c.items():
+                by_length[x][len(g)] += n
+        self.gram_logs = _logs(gram_names, grams, by_length, Counter(map(len, gram_names)), len)
 
     def unseen(self, word: str) -> np.ndarray:
         marked = f"<{word}>"
@@ -81,64 +85,77 @@ class Predictor:
     """A worker's view of a model; it scores each distinct unseen word once, as long as its memory holds."""
 
     def __init__(self, model: Model) -> None:
-        self.model = model
+        self.model, self.known = model, len(model.words)
+        self.table = np.vstack([model.logs, np.zeros((CACHE_WORDS, len(model.languages)), np.float32)])
         self._forget()
 
     def _forget(self) -> None:
-        model = self.model
-        self.rows = [*model.logs]
-        outer = self
+        outer, self.filled = self, self.known
 
         class Rows(dict):
             def __missing__(self, word: str) -> int:
-                self[word] = len(outer.rows)
-                outer.rows.append(model.unseen(word))
-                return self[word]
+                row = outer.filled
+                outer.table[row] = outer.model.unseen(word)
+                outer.filled += 1
+                self[word] = row
+                return row
 
-        self.at = Rows(model.words)
-        self.table, self.filled = np.zeros((len(self.rows) + CACHE_WORDS, len(model.languages))), 0
+        self.at = Rows(self.model.words)
 
     def _scores(self, words: list[str]) -> np.ndarray:
-        if len(self.rows) > len(self.model.words) + CACHE_WORDS // 2:
-            self._forget()
-        at = list(map(self.at.__getitem__, words))
-        if len(self.rows) > len(self.table):
-            self.table = np.vstack([self.table, np.zeros((len(self.rows) - len(self.table) + CACHE_WORDS, self.table.shape[1]))])
-        if self.filled < len(self.rows):
-            self.table[self.filled : len(self.rows)] = self.rows[self.filled :]
-            self.filled = len(self.rows)
-        return self.table[at].sum(0)
+        total = np.zeros(len(self.model.languages))
+        for i in range(0, len(words), CACHE_WORDS):
+            some = words[i : i + CACHE_WORDS]
+            if self.filled + len(some) > len(self.table):
+                self._forget()
+            total += self.table[list(map(self.at.__getitem__, some))].sum(0, dtype=np.float64)
+        return total
 
     def __call__(self, text: str | None) -> tuple[str, float]:
-        words = _LETTERS.findall(text.lower()) if text else []
-        if not self.model.languages or not any(any(map(str.isalpha, w)) for w in words):
+        words = words_of(text)
+        if not self.model.languages or not words:
             return "und", 0.0
         scores = self._scores(words)
         best = int(np.argmax(scores))
-        return self.model.languages[best], float(1 / np.exp(np.clip(scores - scores[best], -700, 0)).sum())
+        return self.model.languages[best], float(1 / np.exp((scores - scores[best]) / len(words)).sum())
 
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", learn_docs: int = LEARN_DOCS) -> Model:
-    """A model from rows with a text and a language; words are counted by Spark, and the 2 * MOST_WORDS greatest counts come to the driver."""
-    known = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    n = known.count()
-    step = -(-n // learn_docs) if n else 1
-    sample = known.filter(F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(8)), F.lit(step)) == 0)
-    words = sample.select(F.col(lang).alias("lang"), F.explode(F.split(F.lower(F.col(text)), "[^\\p{L}]+")).alias("word")).filter("word <> ''")
-    counts = words.groupBy("lang", "word").count().orderBy(F.desc("count"), "word", "lang").limit(2 * MOST_WORDS)
-    found: dict[str, Counter] = defaultdict(Counter)
-    for row in counts.collect():
-        found[row.lang][row.word] = row["count"]
-    return Model(dict(found))
+    """A model from rows with a text and a language. Counting is Spark's; the kept counts come to the driver, a bounded number for each language."""
+    known = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("_lang"), F.col(text).alias("_text"), F.xxhash64(F.col(key).cast("string"), F.col(text), F.lit(8)).alias("_row"))
+    steps = known.groupBy("_lang").agg(F.ceil(F.count("*") / learn_docs).alias("_step"))  # a row for each language
+    sample = known.join(F.broadcast(steps), "_lang").filter(F.pmod("_row", "_step") == 0).select("_lang", "_text")
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches_by_size(frames, "_text", 1_000_000):
+            counts: dict[str, Counter] = defaultdict(Counter)
+            for x, t in zip(frame["_lang"], frame["_text"], strict=True):
+                counts[x].update(words_of(t))
+            rows = [(x, w, n, False) for x, c in counts.items() for w, n in c.items()]
+            for x, c in counts.items():
+                grams: Counter = Counter()
+                for w, n in c.items():
+                    for g in grams_of(w):
+                        grams[g] += n
+                rows += [(x, g, n, True) for g, n in grams.items()]
+            yield pd.DataFrame(rows, columns=["lang", "name", "n", "gram"])
+
+    counted = sample.mapInPandas(count, "lang string, name string, n long, gram boolean").groupBy("lang", "gram", "name").agg(F.sum("n").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("lang", "gram").orderBy(F.desc("n"), "name"))
+    kept = counted.withColumn("k", rank).filter(F.col("k") <= F.when(F.col("gram"), MOST_GRAMS).otherwise(MOST_WORDS))
+    found: dict[bool, dict[str, Counter]] = {False: defaultdict(Counter), True: defaultdict(Counter)}
+    for row in kept.drop("k").toLocalIterator():
+        found[row.gram][row.lang][row.name] = row.n
+    return Model(dict(found[False]), dict(found[True]))
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", outputs: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """Adds the predicted language and its share of the likelihood. Columns of these names are replaced. One row per input row; no shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_WORDS + MOST_GRAMS rows
+    """Adds the predicted language and its share of an average word's likelihood. Columns of these names are replaced. One row per input row; no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_WORDS + MOST_GRAMS rows for each language
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = Predictor(shared.value)
-        for frame in batches_by_size(frames, text, 4_000_000):
+        for frame in batches_by_size(frames, text, 2_000_000):
             found = [own(t) for t in frame[text]]
             yield frame.assign(**{outputs[0]: [x[0] for x in found], outputs[1]: np.array([x[1] for x in found], np.float64)})
 
