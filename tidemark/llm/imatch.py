@@ -3,12 +3,16 @@
 The lexicon holds the terms whose document frequency lies in a band (that of an inverse document frequency). A document
 has avg terms, so at most avg / LOW terms reach the band's lower end, however many documents there are: the lexicon is
 broadcast behind a check of its size, and shuffled beyond it. The lexicon is dealt into SUBSETS random subsets by a hash of
-the term, and all are used: few terms each, so that an edit changes some of them. For each subset, the document's distinct terms in it are sorted and hashed; the hashes, joined, are the fingerprint. The
+the term, and all are used: few terms each, so that an edit changes some of them. For each subset, the document's distinct
+terms in it are sorted (by their hashes) and hashed to 64 bits; the hashes, joined, are the fingerprint. The
 likeness of two fingerprints is the share of subsets, of those that either has terms in, whose hashes are equal.
 
 Document frequencies are of distinct texts, so exact copies count once. Terms are runs of letters and digits in lower
-case. A text without terms of the lexicon has 64-bit hashes of all its sorted distinct terms, dealt into the same subsets. Defined results: a null text counts as empty; empty texts are alike. Equal texts have equal fingerprints.
-A row without an id has no place in the order of documents: it is returned with its length alone, and likeness 0.
+case. A text without terms of the lexicon has hashes of all its sorted distinct terms, dealt into the same subsets.
+
+Defined results: a null text counts as empty; empty texts are alike. Equal texts have equal fingerprints. One row comes out
+for each row: rows with one id follow each other in the order of a hash of their texts, so of c equal rows the first c - 1
+are followed by their like. A row without an id has no place in the order of documents: it is returned with its length alone, and likeness 0.
 """
 
 from __future__ import annotations
@@ -21,8 +25,8 @@ from tidemark.llm.common import sized, written
 #: The band, as shares of all documents.
 LOW, HIGH = 0.002, 0.05
 SUBSETS = 64
-#: Rows of a bucket of ids, about, and the most buckets.
-BUCKET_ROWS, MOST_BUCKETS = 500, 1_024
+#: Rows of a range of ids, about.
+RANGE_ROWS = 5_000
 
 
 def terms(text: Column) -> Column:
@@ -31,52 +35,52 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, text: str = "text", low: float = LOW, high: float = HIGH, key: str = "id") -> DataFrame:
-    """term, subset, h (its hash) of the terms in the band. Frequencies are of all distinct texts; counts are summed in each task before they are shuffled."""
+    """term, subset, code (its hash) of the terms in the band. Frequencies are of all distinct texts; counts are summed in each task before they are shuffled."""
     digest = [F.xxhash64(F.col(text), F.lit(seed)) for seed in (1, 2)]
     firsts = written(docs.groupBy(*digest).agg(F.min(key).alias(key)).select(key), "distinct-texts")
     n = firsts.count()
     counts = docs.join(sized(firsts, n), key, "left_semi").select(F.explode(terms(F.col(text))).alias("term")).groupBy("term").count()
     return counts.filter((F.col("count") >= max(2, low * n)) & (F.col("count") <= max(2, high * n))).select(
-        "term", F.pmod(F.xxhash64("term", F.lit(17)), F.lit(SUBSETS)).cast("int").alias("subset"), F.xxhash64("term").alias("h")
+        "term", F.pmod(F.xxhash64("term", F.lit(17)), F.lit(SUBSETS)).cast("int").alias("subset"), F.xxhash64("term").alias("code")
     )
 
 
 def _hash(values: Column) -> Column:
-    return F.substring(F.lower(F.lpad(F.hex(F.xxhash64(values)), 16, "0")), 9, 8)
+    return F.lower(F.lpad(F.hex(F.xxhash64(values)), 16, "0"))
 
 
-def fingerprints(texts: DataFrame, lexicon: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """key and, for the text column of number i, print<i>: null without terms of the lexicon.
+def fingerprints(texts: DataFrame, lexicon: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """keys and, for the text column of number i, print<i>: null without terms of the lexicon.
 
-    `texts` should be partitioned by key: then nothing but the lexicon moves.
+    `texts` should be partitioned by the first key: then nothing but the lexicon moves.
     """
     lists = F.array(*[F.struct(F.lit(i).alias("which"), terms(F.col(c)).alias("terms")) for i, c in enumerate(columns)])
-    rows = texts.select(key, F.inline(lists)).select(key, "which", F.explode("terms").alias("term"))
+    rows = texts.select(*keys, F.inline(lists)).select(*keys, "which", F.explode("terms").alias("term"))
     found = (
-        rows.join(lexicon, "term").groupBy(key)
-        .agg(F.array_sort(F.collect_list(F.struct("which", "subset", "h"))).alias("found"))
+        rows.join(lexicon, "term").groupBy(*keys)
+        .agg(F.array_sort(F.collect_list(F.struct("which", "subset", "code"))).alias("found"))
     )
 
     def of(i: int) -> Column:
         return F.filter("found", lambda x: x["which"] == i).alias(f"own{i}")
 
-    split = found.select(key, *[of(i) for i in range(len(columns))])
+    split = found.select(*keys, *[of(i) for i in range(len(columns))])
 
     def joined(i: int) -> Column:
         parts = F.transform(
             F.sequence(F.lit(0), F.lit(SUBSETS - 1)),
-            lambda j: F.transform(F.filter(F.col(f"own{i}"), lambda x: x["subset"] == j), lambda x: x["h"]),
+            lambda j: F.transform(F.filter(F.col(f"own{i}"), lambda x: x["subset"] == j), lambda x: x["code"]),
         )
         return F.when(F.size(f"own{i}") > 0, F.array_join(F.transform(parts, lambda p: F.when(F.size(p) > 0, _hash(p)).otherwise(F.lit("-"))), "."))
 
-    return split.select(key, *[joined(i).alias(f"print{i}") for i in range(len(columns))])
+    return split.select(*keys, *[joined(i).alias(f"print{i}") for i in range(len(columns))])
 
 
 def _plain(text: Column) -> Column:
     """For texts without terms of the lexicon: whole hashes of all terms by subset."""
     dealt = F.transform(F.array_sort(terms(text)), lambda t: F.struct(F.pmod(F.xxhash64(t, F.lit(17)), F.lit(SUBSETS)).alias("subset"), t.alias("term")))
     parts = F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda j: F.transform(F.filter(dealt, lambda x: x["subset"] == j), lambda x: x["term"]))
-    return F.concat(F.lit("all."), F.array_join(F.transform(parts, lambda p: F.when(F.size(p) > 0, F.lower(F.lpad(F.hex(F.xxhash64(p)), 16, "0"))).otherwise(F.lit("-"))), "."))
+    return F.concat(F.lit("all."), F.array_join(F.transform(parts, lambda p: F.when(F.size(p) > 0, _hash(p)).otherwise(F.lit("-"))), "."))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -87,55 +91,62 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).when(F.startswith(a, F.lit("all.")) != F.startswith(b, F.lit("all.")), 0.0).otherwise(F.size(same) / F.size(used)).cast("double")
 
 
-def next_ids(ids: DataFrame, key: str) -> DataFrame:
-    """Adds next_id: the next greater id, and of the greatest the least. Null ids have none; they are passed over.
+def followed(rows: DataFrame, n: int) -> DataFrame:
+    """Adds next_id and next_h: those of the next row by (id, h), and of the last row the first. The n rows have no two equal pairs.
 
-    Ids are cut into buckets at quantiles (MOST_BUCKETS at most, so are the rows that come to the driver), and each
-    bucket is ordered by itself. A bucket's last id is followed by the first of the next bucket that has one.
+    Rows are dealt into ranges, and each is ordered by itself. A range's last row is followed by the first of the next one;
+    of each range a row comes to the driver.
     """
-    n = ids.count()
-    buckets = max(1, min(MOST_BUCKETS, n // BUCKET_ROWS))
-    cuts = ids.agg(F.percentile_approx(key, [i / buckets for i in range(1, buckets)] or [0.5], 10_000).alias("q")).first().q or []
-    cuts = F.array(*[F.lit(x) for x in sorted(set(cuts))]).cast(f"array<{dict(ids.dtypes)[key]}>")
-    bucket = F.when(F.col(key).isNotNull(), F.size(F.filter(cuts, lambda x: x <= F.col(key))))
-    known = ids.withColumn("_bucket", bucket)
-    firsts = {r._bucket: r.first for r in known.filter("_bucket IS NOT NULL").groupBy("_bucket").agg(F.min(key).alias("first")).collect()}
-    order = sorted(firsts)
-    after = {b: firsts[order[(i + 1) % len(order)]] for i, b in enumerate(order)}
-    follow = F.array(*[F.lit(after.get(b)).cast(dict(ids.dtypes)[key]) for b in range(max(order, default=0) + 1)])
-    within = F.lead(key).over(Window.partitionBy("_bucket").orderBy(key))
-    return known.withColumn("next_id", F.coalesce(within, F.when(F.col(key).isNotNull(), F.get(follow, F.col("_bucket"))))).drop("_bucket")
+    ranged = written(rows.repartitionByRange(max(1, -(-n // RANGE_ROWS)), "id", "h").withColumn("_range", F.spark_partition_id()), "ranges")
+    firsts = ranged.groupBy("_range").agg(F.min(F.struct("id", "h")).alias("x")).orderBy("_range").collect()
+    after = [(r["_range"], *firsts[(i + 1) % len(firsts)].x) for i, r in enumerate(firsts)]
+    starts = rows.sparkSession.createDataFrame(after, f"_range int, _id {dict(rows.dtypes)['id']}, _h long")
+    by = Window.partitionBy("_range").orderBy("id", "h")
+    within = ranged.withColumn("_next", F.lead(F.struct("id", "h")).over(by)).join(sized(starts, len(after)), "_range")
+    return within.withColumns({"next_id": F.coalesce("_next.id", "_id"), "next_h": F.coalesce("_next.h", "_h")}).drop("_range", "_next", "_id", "_h")
 
 
 def compare_edited(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Fingerprints of every text and of its edited text, in which the last quarter gives way to the next document's beginning.
 
-    Texts are shuffled once by id (both joins use that exchange), beginnings once; terms are counted and matched where the texts are.
+    Texts are shuffled once by (id, h), where h is a hash of the text (both joins use that exchange), beginnings once; terms are
+    counted and matched where the texts are. Of rows that are equal one is worked on: with the next row's beginning (kind 0), and with its own (kind 1).
     """
     all_texts = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    texts = all_texts.filter("id IS NOT NULL")  # both joins need the same rows, else the texts would be shuffled for each
-    chain = written(next_ids(texts.select("id", F.length("text").cast("long").alias("n_chars")), "id"), "next-ids")
+    texts = all_texts.filter("id IS NOT NULL").withColumn("h", F.xxhash64("text"))  # both joins need the same rows, else the texts would be shuffled for each
+    groups = written(texts.groupBy("id", "h").agg(F.count("*").alias("copies"), F.first(F.length("text").cast("long")).alias("n_chars")), "rows")
+    sizes = groups.agg(F.count("*").alias("n"), F.count(F.when(F.col("copies") > 1, 1)).alias("repeated")).first()
+    chain = written(followed(groups, sizes.n), "next-rows")
     words = written(lexicon(texts), "lexicon")
     words = sized(words, words.count())
-
-    asked = chain.select(F.col("next_id").alias("id"), F.col("id").alias("owner"), F.floor(F.col("n_chars") / 4).cast("int").alias("k"))
-    heads = texts.join(asked, "id").select(F.col("owner").alias("id"), F.substring(F.col("text"), F.lit(1), F.col("k")).alias("head"))
+    if sizes.repeated:
+        texts = texts.dropDuplicates(["id", "h"])
+
+    k = F.floor(F.col("n_chars") / 4).cast("int").alias("k")
+    asked = chain.select(F.col("next_id").alias("id"), F.col("next_h").alias("h"), F.col("id").alias("owner"), F.col("h").alias("owner_h"), F.lit(0).alias("kind"), k)
+    if sizes.repeated:
+        asked = asked.unionByName(chain.filter("copies > 1").select("id", "h", F.col("id").alias("owner"), F.col("h").alias("owner_h"), F.lit(1).alias("kind"), k))
+    heads = texts.join(asked, ["id", "h"]).select(F.col("owner").alias("id"), F.col("owner_h").alias("h"), "kind", F.substring(F.col("text"), F.lit(1), F.col("k")).alias("head"))
     length = F.length("text")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), (length - F.floor(length / 4)).cast("int")), F.coalesce(F.col("head"), F.lit("")))
-    both = texts.join(heads, "id", "left").select("id", "text", edited.alias("edited"))
-    prints = fingerprints(both, words, "id", ["text", "edited"])
-    plain = both.select("id", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "text", "edited")
+    both = texts.join(heads, ["id", "h"]).select("id", "h", "kind", "text", edited.alias("edited"))
+    keys = ["id", "h", "kind"]
+    prints = fingerprints(both, words, keys, ["text", "edited"])
+    plain = both.select(*keys, F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "text", "edited")
     result = written(
-        plain.join(prints, "id", "left").select(
-            "id", "edited_sha256", F.coalesce(F.col("print0"), _plain(F.col("text"))).alias("fingerprint"), F.coalesce(F.col("print1"), _plain(F.col("edited"))).alias("edited_fingerprint")
+        plain.join(prints, keys, "left").select(
+            *keys, "edited_sha256", F.coalesce(F.col("print0"), _plain(F.col("text"))).alias("fingerprint"), F.coalesce(F.col("print1"), _plain(F.col("edited"))).alias("edited_fingerprint")
         ),
         "prints",
     )
-    following = result.select(F.col("id").alias("next_id"), F.col("fingerprint").alias("next_fingerprint"))
-    found = result.join(chain, "id", "left").join(following, "next_id", "left").select(
+    following = result.filter("kind = 0").select(F.col("id").alias("next_id"), F.col("h").alias("next_h"), F.col("fingerprint").alias("next_fingerprint"))
+    one = F.col("kind") == 1
+    found = result.join(chain, ["id", "h"]).join(following, ["next_id", "next_h"]).withColumn("_times", F.when(one, F.col("copies") - 1).otherwise(1))
+    found = found.withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), "_times"))) if sizes.repeated else found
+    found = found.select(
         F.col("id").alias(key), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        F.coalesce(likeness(F.col("fingerprint"), F.col("next_fingerprint")), F.lit(0.0)).alias("near_next"),
+        F.when(one, 1.0).otherwise(likeness(F.col("fingerprint"), F.col("next_fingerprint"))).alias("near_next"),
     )
     loose = all_texts.filter("id IS NULL").select(F.col("id").alias(key), F.length("text").cast("long").alias("n_chars"), F.lit(0.0).alias("near_edited"), F.lit(0.0).alias("near_next"))
     return found.unionByName(loose, allowMissingColumns=True)
