@@ -6,11 +6,11 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,9 +59,9 @@ def sized(df: DataFrame, rows: int) -> DataFrame:
 _U = np.uint64
 _lower = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _blank = re.compile(rb"[\x20\x09-\x0D]")
-#: Words that a worker remembers, and bytes of the longest of them.
-MEMORY_WORDS, MEMORY_BYTES = 150_000, 48
 PIECE_BYTES = 1 << 21
+#: Odd multipliers of a shingle's words, by place; a shingle has at most as many words.
+_PLACES = [_U(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -73,21 +73,6 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
         return x ^ (x >> _U(31))
 
 
-class WordHashes(dict):
-    """word -> 64 bits of its BLAKE2b digest. Words are remembered by themselves, so no answer hangs on another hash."""
-
-    def __missing__(self, word: bytes) -> int:
-        found = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
-        if len(word) <= MEMORY_BYTES:
-            if len(self) >= MEMORY_WORDS:
-                self.clear()
-            self[word] = found
-        return found
-
-
-_words = WordHashes()
-
-
 def _pieces(raw: bytes) -> Iterator[bytes]:
     """A long text in pieces that end between words, so that the words of one piece are in memory at a time."""
     start = 0
@@ -101,9 +86,9 @@ def _pieces(raw: bytes) -> Iterator[bytes]:
 
 
 def word_hashes(text: str) -> np.ndarray:
-    """Hashes of the words ``[^\\x20\\x09-\\x0D]+`` of a text after lower-casing A-Z, in order."""
+    """XXH3 digests (64 bits) of the words ``[^\\x20\\x09-\\x0D]+`` of a text after lower-casing A-Z, in order."""
     raw = text.encode("utf-8", "surrogatepass").translate(_lower)
-    found = [np.fromiter(map(_words.__getitem__, words), _U, len(words)) for words in (piece.split() for piece in _pieces(raw))]
+    found = [np.fromiter(map(xxhash.xxh3_64_intdigest, words), _U, len(words)) for words in (piece.split() for piece in _pieces(raw))]
     return found[0] if len(found) == 1 else np.concatenate(found)
 
 
@@ -117,8 +102,9 @@ def shingle_hashes(text: str | None, width: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         sums = np.full(n - k + 1, k, _U)
         for i in range(k):
-            sums = mix(sums + words[i : n - k + 1 + i], i + 11)
-    return np.unique(sums)
+            sums += words[i : n - k + 1 + i] * _PLACES[i]
+    sums = np.sort(mix(sums, 11))
+    return sums[np.concatenate(([True], sums[1:] != sums[:-1]))]
 
 
 def batches_by_size(frames: Iterator, column: str, most: int) -> Iterator:

@@ -44,7 +44,7 @@ LEADER_ROUNDS, LEADER_BUCKET = 2, 64
 #: Nodes of a block, about: a task compares two blocks.
 BLOCK = 400
 #: Pairs of a leader from which it is copied for a salt, and edges of a node from which it counts as a hub.
-SALT_PAIRS, HUB = 2_000, 100_000
+SALT_PAIRS, HUB = 2_000, 1_000
 #: Bytes of text that are turned into sets at a time.
 PIECE = 4_000_000
 _U = np.uint64
@@ -55,6 +55,8 @@ class Bands:
 
     def __init__(self, percent: int) -> None:
         self.percent, self.starts = percent, [1, 2]
+        self._edges: dict[int, np.ndarray] = {}
+        self._names: dict[tuple[int, int], np.ndarray] = {}
 
     def _until(self, n: int) -> None:
         while self.starts[-1] <= n:
@@ -77,8 +79,16 @@ class Bands:
 
     def edges(self, band: int) -> np.ndarray:
         """Where the hash ranges of parts begin, but for the first."""
-        parts = self.parts(band)
-        return (np.arange(1, parts, dtype=np.float64) * (2.0**64 / parts)).astype(_U)
+        if band not in self._edges:
+            parts = self.parts(band)
+            self._edges[band] = (np.arange(1, parts, dtype=np.float64) * (2.0**64 / parts)).astype(_U)
+        return self._edges[band]
+
+    def names(self, band: int, cut: int) -> np.ndarray:
+        """A number for each part, by which parts of different places, bands and cuts differ."""
+        if (band, cut) not in self._names:
+            self._names[band, cut] = mix(np.arange(self.parts(band), dtype=_U) + _U((band * RECUTS + cut) * 1_000_003), 44)
+        return self._names[band, cut]
 
 
 def set_row(shingles: np.ndarray) -> tuple[int, int, np.ndarray]:
@@ -104,15 +114,17 @@ def part_keys(shingles: np.ndarray, bands: Bands) -> np.ndarray:
         for cut in range(RECUTS):
             own = shingles if cut == 0 else np.sort(mix(shingles, 100 + cut))
             at = np.concatenate(([0], np.searchsorted(own, edges), [n]))
-            parity = np.concatenate((np.zeros(1, _U), np.bitwise_xor.accumulate(mix(own, 33))))
-            full = at[1:] > at[:-1]
-            use = np.arange(parts) if cut == RECUTS - 1 else np.flatnonzero(full)
-            tag = _U((group * RECUTS + cut) * 1_000_003)
+            full = np.flatnonzero(at[1:] > at[:-1])
+            # Parts that are not empty follow one another, so each reaches to the next one's beginning.
+            parity = np.bitwise_xor.reduceat(own, at[full])
+            names = bands.names(group, cut)
             with np.errstate(over="ignore"):
-                found.append(mix((parity[at[use + 1]] ^ parity[at[use]]) + mix(use.astype(_U) + tag, 44), 55))
-            if int(full.sum()) > d:  # some part that is alike is not empty
+                found.append(mix(parity + names[full], 55))
+                if cut == RECUTS - 1:
+                    found.append(mix(np.delete(names, full), 55))
+            if len(full) > d:  # some part that is alike is not empty
                 break
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, _U)
+    return np.concatenate(found) if found else np.zeros(0, _U)
 
 
 def _mapped(docs: DataFrame, text: str, key: str, run: Callable[[pa.RecordBatch, list], pa.RecordBatch], schema: str) -> DataFrame:
