@@ -2,14 +2,17 @@
 
 A notice of L characters with at most k edits holds at least one of its k + 1 pieces unchanged. The pieces of all
 notices are sought at once with an Aho-Corasick automaton; around each hit the regex library's bounded-error matching
-verifies the whole notice, counts its edits and gives its span.
+verifies the whole notice, counts its edits and gives its span. Characters are code points, in windows as in edits. The
+work on a text is linear in its length and its hits.
 
 Texts are lower-cased (A-Z) and cut into words of digits, a-z and characters beyond ASCII; spans are numbers of words.
-Defined results: a null or empty text has no words and no spans.
+Defined results: a null or empty text has no words and no spans. Of overlapping spans of a label the one of the best score
+stays, then the first. Repeated rows are scanned each by itself; other columns of docs are not carried, so their names don't matter.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,7 +54,7 @@ class Scanner:
         import ahocorasick
         import regex
 
-        self.phrases = [(label, f" {phrase} ".encode("utf-8")) for label, phrase in phrases]
+        self.phrases = [(label, f" {phrase} ") for label, phrase in phrases]
         self.notices, self.seeds = [], ahocorasick.Automaton()
         by_seed: dict[str, list[tuple[int, int]]] = {}
         for k, (label, notice) in enumerate(notices):
@@ -64,45 +67,67 @@ class Scanner:
             self.seeds.add_word(seed, (len(seed), places))
         self.seeds.make_automaton()
 
-    def words(self, text: str | None) -> list[bytes]:
-        return (text or "").encode("utf-8", "surrogatepass").translate(_table).split()
+    def words(self, text: str | None) -> tuple[int, str]:
+        """How many words, and the words between single blanks, one before and one after. Characters beyond ASCII are part of words, so bytes can be cut."""
+        words = (text or "").encode("utf-8", "surrogatepass").translate(_table).split()
+        return len(words), f" {b' '.join(words).decode('utf-8', 'surrogatepass')} "
 
-    def base(self, joined: bytes) -> list[tuple[int, str]]:
-        """(first word, label) of every place of a phrase; joined: the words between single blanks, one before and one after."""
+    @staticmethod
+    def blanks(joined: str) -> np.ndarray:
+        """Places of the blanks in code points; word i follows the blank of number i."""
+        return np.flatnonzero(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32) == 0x20)
+
+    def base(self, joined: str) -> list[tuple[int, str]]:
+        """(first word, label) of every place of a phrase."""
         found = []
         for label, phrase in self.phrases:
             at = joined.find(phrase)
             while at >= 0:
-                found.append((joined.count(b" ", 0, at + 1) - 1, label))
+                found.append((at, label))
                 at = joined.find(phrase, at + 1)
-        return found
-
-    def fuzzy(self, joined: bytes) -> list[tuple[int, int, str, float]]:
-        """(first word, word after the last, label, score) of every notice within its edits; the best of overlapping ones of a label."""
-        windows: dict[int, list[list[int]]] = {}
-        for end, (size, places) in self.seeds.iter(joined.decode("latin-1")):
+        if not found:
+            return found
+        places = np.searchsorted(self.blanks(joined), [at for at, _ in found]).tolist()
+        return sorted(zip(places, [label for _, label in found], strict=True))
+
+    def windows(self, joined: str) -> dict[int, list[list[int]]]:
+        """By notice, the parts of the text around its seeds in which it may lie; they don't overlap."""
+        found: dict[int, list[tuple[int, int]]] = {}
+        for end, (size, places) in self.seeds.iter(joined):
             for k, offset in places:
                 _, length, edits, _ = self.notices[k]
                 a = max(0, end + 1 - size - offset - edits)
-                b = min(len(joined), a + length + 2 * edits + 1)
-                mine = windows.setdefault(k, [])
-                if mine and a <= mine[-1][1]:
-                    mine[-1][1] = max(b, mine[-1][1])
+                found.setdefault(k, []).append((a, min(len(joined), a + length + 2 * edits + 1)))
+        merged: dict[int, list[list[int]]] = {}
+        for k, mine in found.items():
+            own = merged[k] = []
+            for a, b in sorted(mine):
+                if own and a <= own[-1][1]:
+                    own[-1][1] = max(b, own[-1][1])
                 else:
-                    mine.append([a, b])
-        found = []
-        for k, mine in windows.items():
+                    own.append([a, b])
+        return merged
+
+    def fuzzy(self, joined: str) -> list[tuple[int, int, str, float]]:
+        """(first word, word after the last, label, score) of every notice within its edits; the best of overlapping ones of a label."""
+        hits = []
+        for k, mine in self.windows(joined).items():
             label, length, _, pattern = self.notices[k]
             for a, b in mine:
-                part = joined[a:b].decode("utf-8", "replace")
-                for m in pattern.finditer(part):
-                    s = a + len(part[: m.start()].encode("utf-8"))
-                    e = a + len(part[: m.end()].encode("utf-8"))
-                    found.append((max(0, joined.count(b" ", 0, s + 1) - 1), joined.count(b" ", 0, e - 1), label, 1 - sum(m.fuzzy_counts) / length))
+                hits += [(m.start(), m.end(), label, 1 - sum(m.fuzzy_counts) / length) for m in pattern.finditer(joined, a, b)]
+        if not hits:
+            return hits
+        blanks = self.blanks(joined)
+        firsts = np.maximum(np.searchsorted(blanks, [h[0] for h in hits], "right") - 1, 0).tolist()
+        ends = np.searchsorted(blanks, [h[1] - 1 for h in hits]).tolist()
         kept: list[tuple[int, int, str, float]] = []
-        for x in sorted(found, key=lambda x: (-x[3], x)):
-            if not any(y[2] == x[2] and x[0] < y[1] and y[0] < x[1] for y in kept):
-                kept.append(x)
+        taken: dict[str, list[tuple[int, int]]] = {}  # by label, in order; they don't overlap, so the two neighbours tell
+        for first, end, label, score in sorted(zip(firsts, ends, [h[2] for h in hits], [h[3] for h in hits], strict=True), key=lambda x: (-x[3], x)):
+            mine = taken.setdefault(label, [])
+            at = bisect_left(mine, (first, end))
+            if not any(x < end and first < y for x, y in mine[max(0, at - 1) : at + 1]):
+                mine.insert(at, (first, end))
+                kept.append((first, end, label, score))
         return sorted(kept)
 
 
@@ -114,10 +139,9 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", phrases=PHRAS
         for frame in batches_by_size(frames, text, 4_000_000):
             n, base, fuzzy = [], [], []
             for t in frame[text]:
-                words = scanner.words(t)
-                joined = b" " + b" ".join(words) + b" "
-                n.append(len(words))
-                base.append([{"word": w, "label": x} for w, x in sorted(scanner.base(joined))])
+                count, joined = scanner.words(t)
+                n.append(count)
+                base.append([{"word": w, "label": x} for w, x in scanner.base(joined)])
                 fuzzy.append([{"first": a, "end": b, "label": x, "score": s} for a, b, x, s in scanner.fuzzy(joined)])
             yield pd.DataFrame({key: frame[key].to_numpy(), "n_words": np.array(n, np.int64), "base": base, "notices": fuzzy})
 

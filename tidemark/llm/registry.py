@@ -25,7 +25,7 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.digest(licenses.scan(table(spark, sf_dir, "documents"))).drop("notices")
+    return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
