@@ -10,8 +10,8 @@ it likewise), and then verified on the whole sets. An empty part joins nothing a
 with too many empty parts is cut anew by another hash (RECUTS times).
 
 A node is a distinct set, named by 64 bits of the BLAKE2b digest of its hashes, so equal sets are one node wherever they
-lie, and only one row of each is cut into parts. Within a bucket of equal parts, nodes are first paired with its least one only;
-large buckets that stay in more than one component get a few further leaders. What then is open forms families (nodes that
+lie, and only one row of each is cut into parts. Within a bucket of equal parts, nodes are paired with its least one only,
+and a node first with that leader alone with which it shares most parts. Large buckets that stay in more than one component get a few further leaders. What then is open forms families (nodes that
 share open buckets). A family is cut into blocks; the short sketches of each pair of blocks are compared in one task, and only
 pairs of different components within the Hamming bound come out. So a bucket of copies is never expanded into its pairs,
 yet no component is missed. A leader with many pairs is copied for a salt, a hub of the graph of links is
@@ -127,14 +127,18 @@ def part_keys(shingles: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(0, _U)
 
 
-def _mapped(docs: DataFrame, text: str, key: str, run: Callable[[pa.RecordBatch, list], pa.RecordBatch], schema: str) -> DataFrame:
-    """`run` over pieces of (id, text)."""
+def _mapped(rows: DataFrame, run: Callable[[pa.RecordBatch, list], pa.RecordBatch], schema: str) -> DataFrame:
+    """`run` over pieces of rows and their column `text`."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in arrow_pieces(batches, "text", PIECE):
             yield run(piece, piece.column("text").to_pylist())
 
-    return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(pieces, schema)
+    return rows.mapInArrow(pieces, schema)
+
+
+def _texts(docs: DataFrame, text: str, key: str) -> DataFrame:
+    return docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
 
 
 def _sets(docs: DataFrame, width: int, text: str, key: str) -> DataFrame:
@@ -146,7 +150,7 @@ def _sets(docs: DataFrame, width: int, text: str, key: str) -> DataFrame:
         columns = [piece.column("id"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] if r[0] else None for r in rows], pa.int64()), sketches]
         return pa.RecordBatch.from_arrays(columns, ["id", "n", "node", "sketch"])
 
-    found = _mapped(docs, text, key, run, f"id {dict(docs.dtypes)[key]}, n long, node long, sketch array<long>")
+    found = _mapped(_texts(docs, text, key), run, f"id {dict(docs.dtypes)[key]}, n long, node long, sketch array<long>")
     return found.withColumn("node", F.when(F.col("id").isNotNull(), F.col("node")))
 
 
@@ -162,39 +166,51 @@ def _keys(docs: DataFrame, width: int, percent: int, text: str, key: str) -> Dat
             nodes.append(np.full(len(found), node_name(shingles), np.int64))
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), pa.array(np.concatenate(nodes))], ["part", "node"])
 
-    return _mapped(docs, text, key, run, "part long, node long")
+    return _mapped(_texts(docs, text, key), run, "part long, node long")
 
 
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, percent: int, text: str, key: str) -> DataFrame:
     """The pairs (a < b) whose sets are linked. Short sketches first; the rest is held against whole sets.
 
-    Sets are made anew from the texts of the nodes that are left, once, and are shuffled as sorted hashes: of b with its
-    pair, and of a for each salt of its pairs.
+    Sets are made anew from the texts of the nodes that are left and shuffled once, as sorted hashes: of b for each of its
+    pairs to a's place, and of a for each salt of its pairs.
     """
-    a, b = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"sketch{x}")) for x in "ab")
+    a, b = (nodes.select(F.col("node").alias(x), F.col("id").alias(f"id{x}"), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"sketch{x}")) for x in "ab")
     differing = F.zip_with("sketcha", "sketchb", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
     distance = F.aggregate(differing, F.lit(0), lambda x, y: x + y)
     total = F.col("na") + F.col("nb")
     near = (
         pairs.join(a, "a").join(b, "b")
         .filter((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & ((100 + percent) * distance <= (100 - percent) * total))
-        .select("a", "b")
+        .select("a", "b", "ida", "idb")
     )
     near = written(near, "near-pairs")
-    ids = written(near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "id"), "node").select("id").distinct(), "near-ids")
-    own = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(sized(ids, ids.count()), "id", "left_semi")
-
-    def hashed(piece: pa.RecordBatch, texts: list) -> pa.RecordBatch:
-        sets = [shingle_hashes(t, width) for t in texts]
-        return pa.RecordBatch.from_arrays([pa.array([node_name(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "shingles"])
-
-    sets = _mapped(own, "text", "id", hashed, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
-    leaders = near.groupBy("a").agg(F.count("*").alias("pairs"))
-    many = written(leaders.filter(F.col("pairs") > SALT_PAIRS).select("a", F.ceil(F.col("pairs") / SALT_PAIRS).cast("int").alias("salts")), "leaders")
-    many = sized(many, many.count())  # at most one for SALT_PAIRS pairs
-    salts = F.coalesce("salts", F.lit(1))
-    left = near.join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), salts).cast("int").alias("salt")).join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("other")), "b")
-    right = leaders.join(sets.select(F.col("node").alias("a"), "shingles"), "a").join(many, "a", "left").select("a", "shingles", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    n = near.count()
+    leaders = written(near.groupBy("a").agg(F.first("ida").alias("id"), F.ceil(F.count("*") / SALT_PAIRS).cast("int").alias("salts")), "leaders")
+    many = written(leaders.filter("salts > 1").select("a", "salts"), "salted-leaders")  # at most one for SALT_PAIRS pairs
+    wanted = near.join(sized(many, many.count()), "a", "left").select(F.col("idb").alias("id"), "a", "b", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"))
+    texts = _texts(docs, text, key)
+
+    def of_members(piece: pa.RecordBatch, rows: list) -> pa.RecordBatch:
+        sets, same, last = [], [], None
+        for t, name in zip(rows, piece.column("b").to_pylist(), strict=True):
+            if not sets or t != last:  # a text's pairs follow one another
+                own, last = shingle_hashes(t, width), t
+                node, raw = node_name(own), own.tobytes()
+            same.append(node == name)  # an id may have other texts
+            sets.append(raw)
+        columns = [piece.column("a"), piece.column("salt"), piece.column("b"), pa.array(sets, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["a", "salt", "b", "other"]).filter(pa.array(same, pa.bool_()))
+
+    def of_leaders(piece: pa.RecordBatch, rows: list) -> pa.RecordBatch:
+        sets = [shingle_hashes(t, width) for t in rows]
+        same = [node_name(x) == name for x, name in zip(sets, piece.column("a").to_pylist(), strict=True)]
+        columns = [piece.column("a"), piece.column("salts"), pa.array([x.tobytes() for x in sets], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["a", "salts", "shingles"]).filter(pa.array(same, pa.bool_()))
+
+    left = _mapped(texts.join(sized(wanted, n), "id").select("text", "a", "b", "salt"), of_members, "a long, salt int, b long, other binary")
+    right = _mapped(texts.join(sized(leaders, leaders.count()), "id").select("text", "a", "salts"), of_leaders, "a long, salts int, shingles binary")
+    right = right.groupBy("a", "salts").agg(F.first("shingles").alias("shingles")).select("a", "shingles", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -302,11 +318,14 @@ def link(docs: DataFrame, width: int = 4, percent: int = 85, text: str = "text",
         own = docs.join(taken, key, "left_semi")
     keys = _keys(own.filter(F.col(key).isNotNull()), width, percent, text, key)
     shared = written(keys.groupBy("part").agg(F.count("*").alias("members"), F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b"), "buckets")
-    members = written(keys.join(shared.filter("members > 2").select("part", "a"), "part").filter("node > a"), "members")
-
-    # First round: pairs as they are, and a large bucket's members with its least node.
-    pairs = shared.select("a", "b").unionByName(members.select("a", F.col("node").alias("b"))).distinct()
-    edges = written(_verified(docs, nodes, pairs, width, percent, text, key), "links")
+    pairs = shared.filter("members = 2")
+    members = keys.join(shared.filter("members > 2").select("part", "a"), "part").unionByName(pairs.select("part", "a", F.explode(F.array("a", "b")).alias("node")))
+    members = written(members, "members")
+
+    # First each node is held against one leader: that with which it shares most parts. Buckets stay open whose nodes are not in one component then.
+    votes = members.filter("node > a").groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("parts"))
+    tried = written(votes.groupBy("b").agg(F.max(F.struct("parts", "a")).alias("x")).select("x.a", "b"), "first-pairs")
+    edges = written(_verified(docs, nodes, tried, width, percent, text, key), "links")
     comps = written(components(edges), "components")
     members = members.select("part", "node")
     for round_ in range(LEADER_ROUNDS + 1):
@@ -323,7 +342,7 @@ def link(docs: DataFrame, width: int = 4, percent: int = 85, text: str = "text",
         else:
             leader = labelled.filter("node = a").select("part", F.col("component").alias("ca"))
             pairs = labelled.join(leader, "part").filter("component <> ca").select("a", F.col("node").alias("b")).distinct()
-        more = written(_verified(docs, nodes, pairs, width, percent, text, key), "links")
+        more = written(_verified(docs, nodes, pairs.join(tried, ["a", "b"], "left_anti"), width, percent, text, key), "links")
         edges = edges.unionByName(more)
         comps = written(components(edges), "components")
         if last:
