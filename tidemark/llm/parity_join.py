@@ -10,7 +10,7 @@ it likewise), and then verified on the whole sets. An empty part joins nothing a
 with too many empty parts is cut anew by another hash (RECUTS times).
 
 A node is a distinct set, named by 64 bits of the BLAKE2b digest of its hashes, so equal sets are one node wherever they
-lie, and only one row of each is cut into parts. Within a bucket of equal parts, nodes are paired with its least one only,
+lie, and only one row of each is cut into parts. Within a bucket of equal parts, nodes are paired with its leader only, the one that shares most parts with any others,
 and a node first with that leader alone with which it shares most parts. Large buckets that stay in more than one component get a few further leaders. What then is open forms families (nodes that
 share open buckets). A family is cut into blocks; the short sketches of each pair of blocks are compared in one task, and only
 pairs of different components within the Hamming bound come out. So a bucket of copies is never expanded into its pairs,
@@ -170,7 +170,7 @@ def _keys(docs: DataFrame, width: int, percent: int, text: str, key: str) -> Dat
 
 
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, percent: int, text: str, key: str) -> DataFrame:
-    """The pairs (a < b) whose sets are linked. Short sketches first; the rest is held against whole sets.
+    """The pairs (a, b) whose sets are linked. Short sketches first; the rest is held against whole sets.
 
     Sets are made anew from the texts of the nodes that are left and shuffled once, as sorted hashes: of b for each of its
     pairs to a's place, and of a for each salt of its pairs.
@@ -278,8 +278,8 @@ def near_sketches(a: pd.DataFrame, b: pd.DataFrame | None, percent: int) -> Iter
 
 
 def _family_pairs(labelled: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a < b) of different components of a family that may be linked. labelled: part, node, component, a (the part's least node)."""
-    families = components(labelled.filter("node > a").select("a", F.col("node").alias("b")).distinct()).withColumnRenamed("component", "family")
+    """Pairs (a, b) of different components of a family that may be linked. labelled: part, node, component, a (the part's leader)."""
+    families = components(labelled.filter("node <> a").select("a", F.col("node").alias("b")).distinct()).withColumnRenamed("component", "family")
     rows = labelled.select("node", "component").distinct().join(families, "node").join(nodes.select("node", "n", "sketch"), "node")
     rows = written(rows, "families")
     large = written(rows.groupBy("family").count().filter(F.col("count") > BLOCK).select("family", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "large-families")
@@ -294,7 +294,7 @@ def _family_pairs(labelled: DataFrame, nodes: DataFrame, percent: int) -> DataFr
         a, b = (rows[rows["block"] == k].reset_index(drop=True) for k in (p, q))
         found = [(a["node"].to_numpy()[x], (a if p == q else b)["node"].to_numpy()[y]) for x, y in near_sketches(a, None if p == q else b, percent)] if len(a) and len(b) else []
         x, y = (np.concatenate([z[k] for z in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
-        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+        return pd.DataFrame({"a": x, "b": y})
 
     # Else Spark would keep a whole family where the join by family has put it.
     return tiles.repartition("family", "p", "q").groupBy("family", "p", "q").applyInPandas(compare, "a long, b long")
@@ -318,19 +318,21 @@ def link(docs: DataFrame, width: int = 4, percent: int = 85, text: str = "text",
         own = docs.join(taken, key, "left_semi")
     keys = _keys(own.filter(F.col(key).isNotNull()), width, percent, text, key)
     shared = written(keys.groupBy("part").agg(F.count("*").alias("members"), F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b"), "buckets")
-    pairs = shared.filter("members = 2")
-    members = keys.join(shared.filter("members > 2").select("part", "a"), "part").unionByName(pairs.select("part", "a", F.explode(F.array("a", "b")).alias("node")))
+    members = keys.join(shared.filter("members > 2").select("part", "members"), "part").unionByName(shared.filter("members = 2").select("part", "members", F.explode(F.array("a", "b")).alias("node")))
     members = written(members, "members")
+    # A text that others are copies of shares more parts with them than they do with each other. It leads its buckets.
+    ranks = members.groupBy("node").agg(F.sum("members").alias("rank"))
+    members = written(members.select("part", "node").join(ranks, "node"), "ranked-members")
 
     # First each node is held against one leader: that with which it shares most parts. Buckets stay open whose nodes are not in one component then.
-    votes = members.filter("node > a").groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("parts"))
+    leading = members.groupBy("part").agg(F.max(F.struct("rank", "node")).alias("x")).select("part", F.col("x.node").alias("a"))
+    votes = members.join(leading, "part").filter("node <> a").groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("parts"))
     tried = written(votes.groupBy("b").agg(F.max(F.struct("parts", "a")).alias("x")).select("x.a", "b"), "first-pairs")
     edges = written(_verified(docs, nodes, tried, width, percent, text, key), "links")
     comps = written(components(edges), "components")
-    members = members.select("part", "node")
     for round_ in range(LEADER_ROUNDS + 1):
         labelled = _labelled(members, comps)
-        open_parts = labelled.groupBy("part").agg(F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("a")).filter("low < high")
+        open_parts = labelled.groupBy("part").agg(F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.struct("rank", "node")).alias("x")).filter("low < high").select("part", "members", F.col("x.node").alias("a"))
         open_parts = written(open_parts, "open")
         state = open_parts.agg(F.count("*").alias("n"), F.max("members").alias("most")).first()
         if not state.n:
@@ -347,7 +349,7 @@ def link(docs: DataFrame, width: int = 4, percent: int = 85, text: str = "text",
         comps = written(components(edges), "components")
         if last:
             break
-        members = labelled.filter("node > a").select("part", "node")
+        members = labelled.filter("node <> a").select("part", "node", "rank")
 
     # Names: of every node that is linked or has copies, the least id of its component.
     linked = nodes.join(comps, "node")
