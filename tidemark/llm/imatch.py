@@ -123,25 +123,25 @@ def compare_edited(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
         texts = texts.dropDuplicates(["id", "h"])
 
     k = F.floor(F.col("n_chars") / 4).cast("int").alias("k")
-    asked = chain.select(F.col("next_id").alias("id"), F.col("next_h").alias("h"), F.col("id").alias("owner"), F.col("h").alias("owner_h"), F.lit(0).alias("kind"), k)
+    asked = chain.select(F.col("next_id").alias("id"), F.col("next_h").alias("h"), F.col("id").alias("owner"), F.col("h").alias("owner_h"), F.lit(0).alias("kind"), "copies", k)
     if sizes.repeated:
-        asked = asked.unionByName(chain.filter("copies > 1").select("id", "h", F.col("id").alias("owner"), F.col("h").alias("owner_h"), F.lit(1).alias("kind"), k))
-    heads = texts.join(asked, ["id", "h"]).select(F.col("owner").alias("id"), F.col("owner_h").alias("h"), "kind", F.substring(F.col("text"), F.lit(1), F.col("k")).alias("head"))
+        asked = asked.unionByName(chain.filter("copies > 1").select("id", "h", F.col("id").alias("owner"), F.col("h").alias("owner_h"), F.lit(1).alias("kind"), "copies", k))
+    heads = texts.join(asked, ["id", "h"]).select(F.col("owner").alias("id"), F.col("owner_h").alias("h"), "kind", "copies", F.col("id").alias("next_id"), F.col("h").alias("next_h"), F.substring(F.col("text"), F.lit(1), F.col("k")).alias("head"))
     length = F.length("text")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), (length - F.floor(length / 4)).cast("int")), F.coalesce(F.col("head"), F.lit("")))
-    both = texts.join(heads, ["id", "h"]).select("id", "h", "kind", "text", edited.alias("edited"))
+    both = texts.join(heads, ["id", "h"]).select("id", "h", "kind", "copies", "next_id", "next_h", "text", edited.alias("edited"))
     keys = ["id", "h", "kind"]
     prints = fingerprints(both, words, keys, ["text", "edited"])
-    plain = both.select(*keys, F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "text", "edited")
+    plain = both.select(*keys, "copies", "next_id", "next_h", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "text", "edited")
     result = written(
         plain.join(prints, keys, "left").select(
-            *keys, "edited_sha256", F.coalesce(F.col("print0"), _plain(F.col("text"))).alias("fingerprint"), F.coalesce(F.col("print1"), _plain(F.col("edited"))).alias("edited_fingerprint")
+            "kind", "id", "h", "copies", "next_id", "next_h", "n_chars", "edited_sha256", F.coalesce(F.col("print0"), _plain(F.col("text"))).alias("fingerprint"), F.coalesce(F.col("print1"), _plain(F.col("edited"))).alias("edited_fingerprint")
         ),
         "prints",
     )
     following = result.filter("kind = 0").select(F.col("id").alias("next_id"), F.col("h").alias("next_h"), F.col("fingerprint").alias("next_fingerprint"))
     one = F.col("kind") == 1
-    found = result.join(chain, ["id", "h"]).join(following, ["next_id", "next_h"]).withColumn("_times", F.when(one, F.col("copies") - 1).otherwise(1))
+    found = result.join(following, ["next_id", "next_h"]).withColumn("_times", F.when(one, F.col("copies") - 1).otherwise(1))
     found = found.withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), "_times"))) if sizes.repeated else found
     found = found.select(
         F.col("id").alias(key), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
