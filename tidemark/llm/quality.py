@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import batches_by_size
 
 BUCKETS, GRADES = 1 << 20, 3
-FIT_DOCS, ROUNDS, EVIDENCE, L2 = 10_000, 150, 6.0, 0.002
+FIT_DOCS, ROUNDS, EVIDENCE, L2 = 10_000, 220, 6.0, 0.002
 #: Lengths of words' beginnings that are features of their own.
 BEGINNINGS = (5, 6, 7)
 #: Least probability of the best grade at which a document is selected.
@@ -140,7 +140,7 @@ def fit(rows: list[tuple[np.ndarray, list[float], int]], rounds: int = ROUNDS, l
         by_threshold = -error.sum(0)
         of_words = np.add.reduceat(g[of_place], firsts[:-1]) if len(used) else np.zeros(0)  # every place has a document
         gradients = [of_words + l2 * w / max(1, len(w)), dense.T @ g + l2 * s / SHAPES, by_threshold.sum(keepdims=True), np.cumsum(by_threshold[:0:-1])[::-1] * np.exp(gaps)]
-        for x, d, q, r in zip((w, s, first, gaps), gradients, squares, (rate, 0.3, 0.1, 0.1), strict=True):
+        for x, d, q, r in zip((w, s, first, gaps), gradients, squares, (rate, 0.6, 0.2, 0.2), strict=True):
             q += d * d
             x -= r * d / np.sqrt(q)
     weights = np.zeros(BUCKETS, np.float32)
