@@ -37,7 +37,7 @@ FIT_DOCS, ROUNDS, EVIDENCE, L2 = 10_000, 220, 6.0, 0.002
 #: Lengths of words' beginnings that are features of their own.
 BEGINNINGS = (5, 6, 7)
 #: Least probability of the best grade at which a document is selected.
-LEAST_TAIL = 0.35
+LEAST_TAIL = 0.43
 #: Words that a worker remembers.
 CACHE_WORDS = 100_000
 _WORD = re.compile(r"[^\W\d_]+")
