@@ -291,3 +291,65 @@ def test_analytics_have_their_columns(spark):
     assert {"symbol", "annualized_return_pct", "annualized_volatility_pct", "sharpe_ratio"} <= set(analytics.asset_performance(s).columns) and analytics.asset_performance(s).count() == 2
     assert analytics.correlation_summary(s, "NATION_0").filter("symbol = 'NATION_0'").first().market_beta == 1.0
     assert analytics.risk_metrics(s).count() == 2 and analytics.volatility_ranking(s).count() == 2
+
+
+def test_wealth_is_lost_for_good(spark):
+    rows = [(f"2024-01-0{i + 1}", r) for i, r in enumerate((0.1, -1.0, 0.5))]
+    daily = spark.createDataFrame(rows, "date string, portfolio_return double")
+    found = risk.portfolio_wealth(daily).orderBy("date").collect()
+    assert [round(r.wealth, 9) for r in found] == [1.1, 0.0, 0.0] and [r.drawdown for r in found] == [0.0, -1.0, -1.0]
+    returns = daily.selectExpr("'A' AS symbol", "date", "portfolio_return AS daily_return")
+    one = risk.portfolio_summary(returns, {"A": 2.0}).first()
+    assert (one.days, one.total_return, one.cagr, one.max_drawdown, one.cvar_95) == (3, -1.0, -1.0, -1.0, 0.0)
+    both = risk.benchmark_wealth(returns, {"A": 1.0}, "A").orderBy("date").collect()
+    assert [round(r.benchmark_wealth, 9) for r in both] == [round(r.portfolio_wealth, 9) for r in both] == [1.1, 0.0, 0.0]
+    assert "CartesianProduct" not in risk.portfolio_summary(returns, {"A": 2.0})._jdf.queryExecution().toString()
+
+
+def test_momentum_of_one_asset(spark):
+    bars_ = spark.createDataFrame([("A", f"2024-01-0{i + 1}", float(p)) for i, p in enumerate((10, 11, 15))], "symbol string, date string, close double")
+    assert [risk.momentum(bars_, "A", n).first().momentum for n in (2, 3)] == [0.5, 0.0] and risk.momentum(bars_, "B", 1).first().momentum == 0.0
+
+
+def test_star_tables_refuse_broken_keys(spark):
+    from tidemark.operators import star
+
+    star.create_tables(spark, "market_test")
+    assets = spark.createDataFrame([(1, "A")], "asset_key int, symbol string").selectExpr("*", *[f"'x' AS {c}" for c in ("asset_name", "asset_type", "sector", "industry", "currency", "exchange")])
+    dates = star.dim_date(spark.createDataFrame([("2024-01-02",)], "date string"))
+    star.load_table(assets, "market_test", "dim_asset")
+    star.load_table(dates, "market_test", "dim_date")
+    fact = lambda day, asset: spark.range(1).selectExpr(f"cast({day} AS int) AS market_date_key", f"cast({asset} AS int) AS asset_key", *[f"1.0 AS {c}" for c in ("open", "high", "low", "close", "adjusted_close", *star.METRICS)], "1L AS volume", "0 AS is_abnormal_volume")
+    star.load_table(fact(20240102, 1), "market_test", "fact_market_daily")
+    for rows, why in ((fact(20240102, 1), "repeated key"), (fact(20240103, 1), "no dim_date"), (fact(20240102, 2), "no dim_asset"), (fact(20240102, "NULL"), "null")):
+        with pytest.raises(ValueError, match=why):
+            star.load_table(rows, "market_test", "fact_market_daily")
+    assert spark.table("market_test.fact_market_daily").count() == 1
+    with pytest.raises(ValueError, match="repeated key"):
+        star.load_table(assets, "market_test", "dim_asset")
+
+
+def test_append_and_sql_views(spark, tmp_path):
+    from tidemark.sources import files
+
+    rows = spark.createDataFrame([(1, "a")], "k int, v string")
+    for df in (rows, rows.select("v", "k")):
+        files.append(df, "append_test")
+    assert [tuple(r) for r in spark.table("append_test").collect()] == [(1, "a")] * 2
+    spark.range(3).createOrReplaceTempView("kept")
+    (tmp_path / "q.sql").write_text("SELECT count(*) AS n FROM kept JOIN other ON kept.k = other.k")
+    assert files.run_sql_file(spark, str(tmp_path / "q.sql"), kept=rows, other=rows).first().n == 1
+    assert spark.table("kept").count() == 3 and not spark.catalog.tableExists("other")
+
+
+def test_champion_is_stored_and_read_back(spark, market, tmp_path):
+    from pyspark.sql import functions as F
+
+    rows = market if "regime_target" in getattr(market, "columns", []) else None
+    if rows is None:
+        rows = spark.range(90).select(F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")).alias("date"), (F.col("id") % 4).cast("int").alias("regime_target"), *[(F.col("id") % 4 + F.rand(i) / 9).alias(c) for i, c in enumerate(regimes.COLUMNS)])
+    best, model, scores = regimes.train({"train": rows, "val": rows})
+    assert set(scores) == {"logistic", "random_forest", "boosted"} and scores[best]["macro_f1"] == max(x["macro_f1"] for x in scores.values())
+    regimes.save(str(tmp_path), best, model, scores, spark)
+    again, metrics = regimes.load(spark, str(tmp_path))
+    assert metrics["champion"] == best and regimes.latest(again, rows)["regime"] == regimes.latest(model, rows)["regime"]

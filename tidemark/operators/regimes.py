@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import trailing
+from tidemark.sources.files import write_text
 
 #: Labels of regimes, and the columns that the models see.
 LABELS = {0: "Low Vol / Bull (Calm Expansion)", 1: "Low Vol / Stagnant (Grinding Drift)", 2: "High Vol / Bear (Crisis / Selloff)", 3: "High Vol / Dynamic Rally (Volatile Rebound)"}
@@ -108,3 +111,14 @@ def latest(model: PipelineModel, rows: DataFrame) -> dict:
     values = [max(0.0, float(x)) for x in scores]
     total = sum(values) or 1.0
     return {"date": str(row["date"]), "regime": int(row["prediction"]), "label": LABELS[int(row["prediction"])], "probabilities": {LABELS[i]: v / total for i, v in enumerate(values) if i in LABELS}}
+
+
+def save(folder: str, name: str, model: PipelineModel, scores: dict[str, dict], spark: SparkSession) -> None:
+    """The champion as a model of pyspark.ml, and its name and the scores of all models as JSON beside it."""
+    model.write().overwrite().save(f"{folder}/model")
+    write_text(spark, json.dumps({"champion": name, "scores": scores}, sort_keys=True), f"{folder}/metrics")
+
+
+def load(spark: SparkSession, folder: str) -> tuple[PipelineModel, dict]:
+    """A stored champion and its metrics; `latest` infers from it in another session."""
+    return PipelineModel.load(f"{folder}/model"), json.loads(spark.read.text(f"{folder}/metrics", wholetext=True).first().value)

@@ -143,6 +143,12 @@ def momentum_ranking(bars: DataFrame, horizons: dict[str, int] | None = None) ->
     return last.select("symbol", "m.*")
 
 
+def momentum(bars: DataFrame, symbol: str, lookback: int) -> DataFrame:
+    """One row: the change of one asset's last price against that `lookback` rows before; 0.0 with too few rows or a first price of 0."""
+    own = bars.filter(F.col("symbol") == symbol).select("symbol", "date", change("close", lookback).alias("m"))
+    return own.agg(F.coalesce(F.max_by("m", "date"), F.lit(0.0)).alias("momentum"))
+
+
 def correlations(returns: DataFrame, method: str = "pearson") -> DataFrame:
     """symbol_a, symbol_b, correlation over the days that both have; Spearman's is that of mean ranks among those days."""
     x = returns.select("date", F.col("symbol").alias("symbol_a"), F.col(R).alias("a")).filter("a IS NOT NULL")
@@ -176,26 +182,37 @@ def portfolio_daily(returns: DataFrame, weights: dict[str, float]) -> DataFrame:
     return rows.groupBy("date").agg(F.sum(F.col("w") * F.col(R)).alias("portfolio_return"), F.count("*").alias("n"), F.first("held").alias("held")).filter("n = held").select("date", "portfolio_return")
 
 
+def _wealth(log: str, r: Column, daily: DataFrame) -> DataFrame:
+    """Adds the sum of logarithms of 1 + r so far, and whether a day has lost everything by then."""
+    w = so_far()
+    return daily.withColumn(f"log_{log}", F.sum(F.ln(1 + r)).over(w)).withColumn(f"_lost_{log}", F.coalesce(F.min(1 + r).over(w) <= 0, F.lit(False)))
+
+
 def portfolio_wealth(daily: DataFrame) -> DataFrame:
-    """Adds log_wealth, wealth (product of 1 + return) and drawdown of it. One series: a single ordered window.
+    """Adds log_wealth, wealth (product of 1 + return) and drawdown of it. One series: a single ordered window, a row for each day.
 
-    Sums of logarithms hold any horizon; a day that loses everything has no logarithm and is passed over.
+    Sums of logarithms hold any horizon. A day that loses everything has no logarithm: from there on wealth is 0 and the drawdown -1.
     """
-    one = daily.withColumn("symbol", F.lit("portfolio"))
-    return one.withColumn("log_wealth", F.sum(F.ln(1 + F.col("portfolio_return"))).over(so_far())).withColumn("wealth", F.exp("log_wealth")).withColumn(
-        "drawdown", F.exp(F.col("log_wealth") - F.max("log_wealth").over(so_far())) - 1
-    )
+    one = _wealth("wealth", F.col("portfolio_return"), daily.withColumn("symbol", F.lit("portfolio")))
+    lost = F.col("_lost_wealth")
+    return one.withColumn("wealth", F.when(lost, 0.0).otherwise(F.exp("log_wealth"))).withColumn(
+        "drawdown", F.when(lost, -1.0).otherwise(F.exp(F.col("log_wealth") - F.max("log_wealth").over(so_far())) - 1)
+    ).drop("_lost_wealth")
 
 
-def portfolio_summary(returns: DataFrame, weights: dict[str, float], risk_free: float = RISK_FREE) -> DataFrame:
-    """One row: return, volatility, Sharpe, Sortino, drawdown, VaR and CVaR of the portfolio."""
+def portfolio_summary(returns: DataFrame, weights: dict[str, float], risk_free: float = RISK_FREE, level: float = 0.95) -> DataFrame:
+    """One row: return, volatility, Sharpe, Sortino, drawdown, VaR and CVaR of the portfolio. Its days are a list within one row."""
     wealth = portfolio_wealth(portfolio_daily(returns, weights)).withColumnRenamed("portfolio_return", R)
     main = wealth.groupBy("symbol").agg(
         F.count("*").alias("days"), F.max_by("log_wealth", "date").alias("log_wealth"), (F.max_by("log_wealth", "date") * TRADING_DAYS / F.count("*")).alias("log_growth"),
-        annualized_volatility().alias("annualized_volatility"), sharpe(risk_free).alias("sharpe"), sortino(risk_free).alias("sortino"), F.min("drawdown").alias("max_drawdown"), var_historical().alias("var_95"),
+        annualized_volatility().alias("annualized_volatility"), sharpe(risk_free).alias("sharpe"), sortino(risk_free).alias("sortino"), F.min("drawdown").alias("max_drawdown"), var_historical(level).alias("var_95"),
+        F.percentile(R, F.lit(round(1 - level, 10))).alias("_cut"), F.collect_list(R).alias("_all"), (F.min("wealth") <= 0).alias("_lost"),
     )
-    out = main.join(cvar(wealth), "symbol").withColumnRenamed("cvar", "cvar_95").drop("symbol")
-    return out.withColumn("total_return", F.exp("log_wealth") - 1).withColumn("cagr", F.exp("log_growth") - 1)
+    tail = F.filter("_all", lambda x: x <= F.col("_cut"))
+    mean = F.abs(F.aggregate(tail, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(tail), F.lit(0)))
+    out = main.withColumn("cvar_95", F.when(F.size("_all") < 10, 0.0).otherwise(F.coalesce(mean, F.lit(0.0))))
+    grown = lambda c: F.when(F.col("_lost"), -1.0).otherwise(F.exp(c) - 1)
+    return out.withColumn("total_return", grown("log_wealth")).withColumn("cagr", grown("log_growth")).drop("symbol", "_cut", "_all", "_lost")
 
 
 def risk_decomposition(returns: DataFrame, weights: dict[str, float], scale: float = TRADING_DAYS) -> DataFrame:
@@ -247,8 +264,9 @@ def benchmark_wealth(returns: DataFrame, weights: dict[str, float], benchmark: s
     """Wealth of a portfolio and of the benchmark over the portfolio's days."""
     daily = portfolio_daily(returns, weights)
     both = daily.join(returns.filter(F.col("symbol") == benchmark).select("date", F.col(R).alias("b")), "date").withColumn("symbol", F.lit("all"))
-    logs = both.select("date", F.sum(F.ln(1 + F.col("portfolio_return"))).over(so_far()).alias("log_portfolio"), F.sum(F.ln(1 + F.coalesce("b", F.lit(0.0)))).over(so_far()).alias("log_benchmark"))
-    return logs.withColumn("portfolio_wealth", F.exp("log_portfolio")).withColumn("benchmark_wealth", F.exp("log_benchmark"))
+    logs = _wealth("benchmark", F.coalesce("b", F.lit(0.0)), _wealth("portfolio", F.col("portfolio_return"), both))
+    wealth = lambda c: F.when(F.col(f"_lost_{c}"), 0.0).otherwise(F.exp(f"log_{c}")).alias(f"{c}_wealth")
+    return logs.select("date", "log_portfolio", "log_benchmark", wealth("portfolio"), wealth("benchmark"))
 
 
 def returns_pivot(returns: DataFrame, symbols: list[str]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,28 +57,31 @@ class Silver:
             .withColumn("low", F.when(F.col("_broken") > 0, bottom).otherwise(F.col("low"))).drop("_broken", self.order)
         )
 
+    def ordered(self) -> DataFrame:
+        """The clean rows by symbol and date, as a stored layer has them."""
+        return self.clean().orderBy("symbol", "date")
+
     def metrics(self) -> DataFrame:
-        """One row. Counts before dropping, after dropping and after filtering come from one pass each over the same plan."""
+        """One row, from one pass: rows are marked instead of dropped, and every count is a condition of one aggregate."""
+        first = F.col("_n") == 1
+        complete = first & reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in ("symbol", "date", *PRICES)])
+        ok = complete & F.expr(" AND ".join(f"{c} > 0" for c in PRICES))
+        rows = normalised(self.bronze.withColumn("_n", F.row_number().over(Window.partitionBy("symbol", "date").orderBy(self.order))))
+        rows = rows.withColumn("_first", first).withColumn("_complete", complete).withColumn("_ok", ok)
+        earlier = Window.partitionBy("symbol").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
+        before = F.last(F.when(F.col("_ok"), F.col("close")), ignorenulls=True).over(earlier)
+        rows = rows.withColumn("_change", F.when(F.col("_ok"), (F.col("close") - before) / before))
         count = lambda cond: F.coalesce(F.sum(F.when(cond, 1).otherwise(0)), F.lit(0)).cast("long")
-        total = self.bronze.agg(F.count("*").alias("total_rows_ingested"))
-        missing = lambda c: count(F.col(c).isNull())
-        unique = self.unique.agg(
-            F.count("*").alias("_unique"), missing("close").alias("missing_close_prices"),
+        missing = lambda c: count(F.col("_first") & F.col(c).isNull())
+        good = lambda c: F.when(F.col("_ok"), F.col(c))
+        found = rows.agg(
+            F.count("*").alias("total_rows_ingested"), count(~F.col("_first")).alias("duplicate_records_removed"), missing("close").alias("missing_close_prices"),
             (missing("open") + missing("high") + missing("low")).alias("missing_open_high_low"), missing("volume").alias("missing_volumes"),
+            count(F.col("_complete") & ~F.col("_ok")).alias("non_positive_price_records"), count(F.col("_ok") & (F.col("volume") < 0)).alias("negative_volume_records"),
+            count(F.col("_ok") & _violation()).alias("invalid_ohlc_relationships_reconciled"), count((F.col("_change") > SURGE) | (F.col("_change") < COLLAPSE)).alias("extreme_price_anomalies"),
+            count(F.col("_ok")).alias("silver_clean_rows"), F.countDistinct(good("symbol")).alias("distinct_symbols"), F.min(good("date")).alias("start_date"), F.max(good("date")).alias("end_date"),
         )
-        ok = F.expr(" AND ".join(f"{c} > 0" for c in PRICES))
-        complete = self.complete.agg(count(~ok).alias("non_positive_price_records"), count(ok & (F.col("volume") < 0)).alias("negative_volume_records"))
-        w = Window.partitionBy("symbol").orderBy("date")
-        before = F.lag("close").over(w)
-        change = (F.col("close") - before) / before
-        positive = self.positive.withColumn("_change", change).agg(
-            count(_violation()).alias("invalid_ohlc_relationships_reconciled"), count((F.col("_change") > SURGE) | (F.col("_change") < COLLAPSE)).alias("extreme_price_anomalies"),
-            F.count("*").alias("silver_clean_rows"), F.countDistinct("symbol").alias("distinct_symbols"), F.min("date").alias("start_date"), F.max("date").alias("end_date"),
-        )
-        rows = total.join(F.broadcast(unique)).join(F.broadcast(complete)).join(F.broadcast(positive))  # one row each
-        return rows.withColumn("duplicate_records_removed", F.col("total_rows_ingested") - F.col("_unique")).withColumn(
-            "quality_pass_rate_pct", F.round(F.col("silver_clean_rows") / F.nullif(F.col("total_rows_ingested"), F.lit(0)) * 100.0, 4)
-        ).drop("_unique")
+        return found.withColumn("quality_pass_rate_pct", F.round(F.col("silver_clean_rows") / F.nullif(F.col("total_rows_ingested"), F.lit(0)) * 100.0, 4))
 
 
 def report(metrics: dict) -> str:

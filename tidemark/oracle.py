@@ -224,6 +224,7 @@ SELECT symbol, round(dd, 4) + 0.0 AS max_drawdown, strftime(pd, '%Y-%m-%d') AS p
     # --- portfolios
     held = "held(symbol, weight) AS (VALUES " + ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in weights.items()) + ")"
     port = f"{ret}, {held}, known AS (SELECT held.symbol, weight / sum(weight) OVER () AS w, count(*) OVER () AS k FROM held WHERE symbol IN (SELECT symbol FROM ret)), pf AS (SELECT date, sum(w * r) AS r FROM ret JOIN known USING (symbol) WHERE r IS NOT NULL GROUP BY date HAVING count(*) = any_value(k)), pw AS (SELECT date, r, sum(ln(1 + r)) OVER (ORDER BY date) AS lw FROM pf), pd AS (SELECT *, exp(lw - max(lw) OVER (ORDER BY date)) - 1 AS dd FROM pw)"
+    q["momentum_of_one"] = f"WITH {_TYPE}, c AS (SELECT date, close / nullif(lag(close, 63) OVER (ORDER BY date), 0) - 1 AS m FROM bars WHERE symbol = '{benchmark}') SELECT {_r('coalesce(arg_max_null(m, date), 0.0)', 'momentum')} FROM c"
     q["portfolio_daily"] = f"{port} SELECT {_DAY}, {_r('r', 'portfolio_return')}, {_r('lw', 'log_wealth')}, {_r('dd', 'drawdown')} FROM pd"
     cv = "(SELECT CASE WHEN count(*) < 10 THEN 0 ELSE abs(avg(CASE WHEN r <= cut THEN r END)) END FROM pf, (SELECT quantile_cont(r, 0.05) AS cut FROM pf))"
     q["portfolio_summary"] = f"""{port} SELECT count(*) AS days, {_r('arg_max(lw, date)', 'log_wealth')}, {_r('arg_max(lw, date) * 252.0 / count(*)', 'log_growth')}, {_r(vol, 'annualized_volatility')}, {_r(zero(2, sharpe), 'sharpe')}, {_r(zero(2, sortino), 'sortino')},

@@ -25,8 +25,9 @@ def run(spark: SparkSession, bronze: DataFrame, folder: str, order: str = "inges
 
     raw = stored("bronze", bronze)
     steps = silver.Silver(raw, order)
-    clean = stored("silver", steps.clean())
+    clean = stored("silver", steps.ordered())
     metrics = steps.metrics().first().asDict()
+    files.write_text(spark, silver.report(metrics), f"{folder}/quality_report")
     features = stored("gold", gold.features(clean.withColumn("date", F.to_date("date"))))
     star_frames = Star.of(clean.withColumn("date", F.to_date("date")))
     star_frames = Star(stored("dim_asset", star_frames.assets), stored("dim_date", star_frames.dates), stored("fact_market_daily", star_frames.fact))

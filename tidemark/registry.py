@@ -106,6 +106,12 @@ def _predictions(s: SparkSession, d: str) -> DataFrame:
     return model.transform(parts["test"])
 
 
+def _champion(s: SparkSession, d: str) -> DataFrame:
+    """Scores on the validation part, with a mark for the champion. A row for each model; boosted trees are left to the default of `train`, as they take a minute at any size."""
+    best, _, scores = regimes.train(_split(s, d), ("logistic", "random_forest"))
+    return _out(s.createDataFrame([(name, float(x["accuracy"] or 0), float(x["macro_f1"] or 0), name == best) for name, x in sorted(scores.items())], "model string, accuracy double, macro_f1 double, is_champion boolean"))
+
+
 def queries() -> dict[str, Query]:
     q: dict[str, Query] = {
         "bars_type": lambda s, d: _out(bars.bars_type(s, d)),
@@ -177,6 +183,8 @@ def queries() -> dict[str, Query]:
         "majority_baseline": lambda s, d: _out(regimes.majority(_split(s, d)["train"]).select("regime_target", F.col("count").alias("n"))),
         "regime_predictions": lambda s, d: _out(_predictions(s, d).select("date", "regime_target", F.col("prediction").cast("int").alias("prediction"))),
         "confusion_matrix": lambda s, d: _out(regimes.confusion(_predictions(s, d))),
+        "regime_champion": _champion,
+        "momentum_of_one": lambda s, d: _out(risk.momentum(bars.bars_type(s, d), BENCHMARK, 63)),
         "regime_scores": lambda s, d: _out(regimes.macro_scores(regimes.confusion(_predictions(s, d)))),
     }
     return q

@@ -61,10 +61,32 @@ def instruments(spark: SparkSession, path: str) -> DataFrame:
 
 
 def run_sql(spark: SparkSession, sql: str, **views: DataFrame) -> DataFrame:
+    """The views exist for this statement only; views of the session by their names come back afterwards."""
+    before = {name: spark.table(name) for name in views if name.lower() in {t.name.lower() for t in spark.catalog.listTables() if t.isTemporary}}
     for name, df in views.items():
         df.createOrReplaceTempView(name)
-    return spark.sql(sql)
+    try:
+        return spark.sql(sql)
+    finally:
+        for name in views:
+            spark.catalog.dropTempView(name)
+        for name, df in before.items():
+            df.createOrReplaceTempView(name)
 
 
 def run_sql_file(spark: SparkSession, path: str, **views: DataFrame) -> DataFrame:
     return run_sql(spark, Path(path).read_text(), **views)
+
+
+def append(df: DataFrame, table: str) -> None:
+    """Adds rows to a table of the catalog by the names of its columns; the table is made if there is none."""
+    spark = df.sparkSession
+    if spark.catalog.tableExists(table):
+        df.select(spark.table(table).columns).write.insertInto(table)
+    else:
+        df.write.format("parquet").saveAsTable(table)
+
+
+def write_text(spark: SparkSession, text: str, folder: str) -> None:
+    """A small text (a report, metrics as JSON) as one file of a folder that any file system of Spark may hold."""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(folder)
