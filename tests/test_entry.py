@@ -13,7 +13,7 @@ ROOT = Path(__file__).resolve().parent.parent
 
 
 def test_every_market_query_has_sql_but_for_trained_models():
-    assert set(registry.queries()) - set(registry.oracle_sql()) == {"regime_predictions", "confusion_matrix", "regime_scores"}
+    assert set(registry.queries()) - set(registry.oracle_sql()) == {"regime_predictions", "confusion_matrix", "regime_scores", "regime_champion"}
     assert set(registry.oracle_sql()) <= set(registry.queries())
 
 
