@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BROADCAST_IDS, arrow_pieces, mix, shingle_hashes, sized, written
+from tidemark.llm.common import BROADCAST_IDS, arrow_pieces, mix, removed, shingle_hashes, sized, written
 
 SKETCH_WORDS = 16
 RECUTS = 6
@@ -170,7 +170,7 @@ def _keys(docs: DataFrame, width: int, percent: int, text: str, key: str) -> Dat
 
 
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, percent: int, text: str, key: str) -> DataFrame:
-    """The pairs (a, b) whose sets are linked. Short sketches first; the rest is held against whole sets.
+    """The pairs (a, b) whose sets are linked, written. Short sketches first; the rest is held against whole sets.
 
     Sets are made anew from the texts of the nodes that are left and shuffled once, as sorted hashes: of b for each of its
     pairs to a's place, and of a for each salt of its pairs.
@@ -221,7 +221,9 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, p
                 linked.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    return left.join(right, ["a", "salt"]).select("a", "b", "shingles", "other").mapInArrow(compare, "a long, b long")
+    links = written(left.join(right, ["a", "salt"]).select("a", "b", "shingles", "other").mapInArrow(compare, "a long, b long"), "links")
+    removed(near, leaders, many)
+    return links
 
 
 def _with_least(rows: DataFrame, least: DataFrame, edges: int) -> DataFrame:
@@ -236,7 +238,7 @@ def _with_least(rows: DataFrame, least: DataFrame, edges: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of every end of the edges (a, b): the least node that can be reached.
+    """(node, component) of every end of the edges (a, b), written: the least node that can be reached.
 
     Large star and small star: each round links a node's neighbours to its least neighbour, until nothing changes. A
     hub's neighbours are aggregated to a minimum before they are shuffled, and are joined, not collected.
@@ -252,9 +254,12 @@ def components(edges: DataFrame) -> DataFrame:
         large = _with_least(both, least, state.n).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = _with_least(large, least, state.n).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
-        now = written(small.filter("u > v").distinct(), "stars")
+        last, now = now, written(small.filter("u > v").distinct(), "stars")
+        removed(last)
     found = now.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
-    return found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
+    found = written(found.unionByName(found.select(F.col("component").alias("node"), "component").distinct()), "components")
+    removed(now)
+    return found
 
 
 def _labelled(members: DataFrame, comps: DataFrame) -> DataFrame:
@@ -318,38 +323,42 @@ def link(docs: DataFrame, width: int = 4, percent: int = 85, text: str = "text",
         own = docs.join(taken, key, "left_semi")
     keys = _keys(own.filter(F.col(key).isNotNull()), width, percent, text, key)
     shared = written(keys.groupBy("part").agg(F.count("*").alias("members"), F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b"), "buckets")
-    members = keys.join(shared.filter("members > 2").select("part", "members"), "part").unionByName(shared.filter("members = 2").select("part", "members", F.explode(F.array("a", "b")).alias("node")))
+    large = shared.filter("members > 2").select("part", "members")
+    members = keys.join(sized(large, large.count()), "part").unionByName(shared.filter("members = 2").select("part", "members", F.explode(F.array("a", "b")).alias("node")))
     members = written(members, "members")
+    removed(shared)
     # A text that others are copies of shares more parts with them than they do with each other. It leads its buckets.
     ranks = members.groupBy("node").agg(F.sum("members").alias("rank"))
-    members = written(members.select("part", "node").join(ranks, "node"), "ranked-members")
+    plain, members = members, written(members.select("part", "node").join(ranks, "node"), "ranked-members")
+    removed(plain)
 
     # First each node is held against one leader: that with which it shares most parts. Buckets stay open whose nodes are not in one component then.
     leading = members.groupBy("part").agg(F.max(F.struct("rank", "node")).alias("x")).select("part", F.col("x.node").alias("a"))
     votes = members.join(leading, "part").filter("node <> a").groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("parts"))
     tried = written(votes.groupBy("b").agg(F.max(F.struct("parts", "a")).alias("x")).select("x.a", "b"), "first-pairs")
-    edges = written(_verified(docs, nodes, tried, width, percent, text, key), "links")
-    comps = written(components(edges), "components")
+    edges = _verified(docs, nodes, tried, width, percent, text, key)
+    comps = components(edges)
     for round_ in range(LEADER_ROUNDS + 1):
         labelled = _labelled(members, comps)
         open_parts = labelled.groupBy("part").agg(F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.struct("rank", "node")).alias("x")).filter("low < high").select("part", "members", F.col("x.node").alias("a"))
         open_parts = written(open_parts, "open")
         state = open_parts.agg(F.count("*").alias("n"), F.max("members").alias("most")).first()
         if not state.n:
+            removed(open_parts)
             break
         labelled = written(labelled.join(open_parts.select("part", "a"), "part"), "open-members")
+        removed(members, open_parts, comps)
         last = round_ == LEADER_ROUNDS or state.most <= LEADER_BUCKET
         if last:
             pairs = _family_pairs(labelled, nodes, percent)
         else:
             leader = labelled.filter("node = a").select("part", F.col("component").alias("ca"))
             pairs = labelled.join(leader, "part").filter("component <> ca").select("a", F.col("node").alias("b")).distinct()
-        more = written(_verified(docs, nodes, pairs.join(tried, ["a", "b"], "left_anti"), width, percent, text, key), "links")
-        edges = edges.unionByName(more)
-        comps = written(components(edges), "components")
+        edges = edges.unionByName(_verified(docs, nodes, pairs.join(tried, ["a", "b"], "left_anti"), width, percent, text, key))
+        comps = components(edges)
+        members = labelled.filter("node <> a").select("part", "node", "rank")
         if last:
             break
-        members = labelled.filter("node <> a").select("part", "node", "rank")
 
     # Names: of every node that is linked or has copies, the least id of its component.
     linked = nodes.join(comps, "node")
@@ -357,6 +366,7 @@ def link(docs: DataFrame, width: int = 4, percent: int = 85, text: str = "text",
     named = linked.join(sized(names, names.count()), "component").select("node", F.col("id").alias("class_id"), "component_id")
     alone = nodes.filter("copies > 1").join(comps, "node", "left_anti").select("node", F.col("id").alias("class_id"), F.col("id").alias("component_id"))
     named = written(named.unionByName(alone), "names")
+    removed(nodes, members, tried, edges, comps)
     return sets.join(sized(named, named.count()), "node", "left").select(
         F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce("class_id", "id").alias("class_id")
     )
