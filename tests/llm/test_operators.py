@@ -749,4 +749,11 @@ def test_shingles():
     assert len(shingle_hashes("a b c d e", 4)) == 2 and len(shingle_hashes("a  b\nc", 4)) == 1 and len(shingle_hashes(None, 4)) == 0
     assert shingle_hashes("A b c d", 4).tolist() == shingle_hashes("a B\tc d ", 4).tolist() != shingle_hashes("b a c d", 4).tolist()
     long = " ".join(f"w{i}" for i in range(600_000))  # cut into pieces between words
-    assert len(word_hashes(long)) == 600_000 and word_hashes(long)[-1] == word_hashes("w599999")[0]
\ No newline at end of file
+    assert len(word_hashes(long)) == 600_000 and word_hashes(long)[-1] == word_hashes("w599999")[0]
+
+def test_long_blanks_are_encoded_as_by_pre_tokens():
+    path = bpe.vocabulary_path("byte_bpe_50k.tiktoken")
+    encode, kind, _ = packing._encoder(path)
+    for text in (" " * 600_000 + "x", "\n" * (packing.MOST_BLANKS + 1) + "it's", "a  b\n\n c we'll 日本 12x <|endoftext|> "):
+        expected = [i for ids in bpe.codec(path).encode(bpe.pre_tokens([text])[0]) for i in ids]
+        assert np.frombuffer(encode(text), kind).tolist() == expected

@@ -20,6 +20,7 @@ with repeated ids or null ones too. Other columns of docs are not carried, so th
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.bpe import Blocks, read_ranks, vocabulary_path
+from tidemark.llm.bpe import pre_tokens, read_ranks, vocabulary_path
 from tidemark.llm.common import arrow_pieces, removed, sized, written
 
 #: A shard's documents and, about, its tokens. Both bound what a task holds.
@@ -39,13 +40,16 @@ TEXT_BYTES, IDS_BYTES = 1_000_000, 4_000_000
 #: A term of more than this share of a shard has its weights in a row for all of its documents, 0 where it is absent.
 DENSE = 0.1
 K1, B = 1.2, 0.75
+#: A longer run of white space is too much for the tokenizer's pattern; in texts with one, the same matches are found by `pre_tokens`.
+MOST_BLANKS = 100_000
 RESULTS = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
+_blanks = re.compile(r"\s+")
 _encoders: dict[str, tuple] = {}
 
 
 def _encoder(path: str):
-    """A function from pre-tokens to the bytes of their ids, once for a Python worker, and the ids' type."""
+    """A function from a text to the bytes of its ids, once for a Python worker, the ids' type and their number."""
     if path not in _encoders:
         import public_tokenizers
         import tiktoken
@@ -54,7 +58,15 @@ def _encoder(path: str):
         encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         one = encoding.encode_single_piece if hasattr(encoding, "encode_single_piece") else encoding._encode_single_piece
         kind = np.dtype("<u2") if len(ranks) <= 1 << 16 else np.dtype("<u4")
-        _encoders[path] = (lambda tokens: [np.array(one(t.encode("utf-8", "surrogatepass")), kind).tobytes() for t in tokens]), kind, len(ranks)
+
+        def encode(text: str) -> bytes:
+            if len(text) > MOST_BLANKS and max(map(len, _blanks.findall(text)), default=0) > MOST_BLANKS:
+                ids = [i for t in pre_tokens([text])[0] for i in one(t.encode("utf-8", "surrogatepass"))]
+            else:
+                ids = encoding.encode_ordinary(text)
+            return np.array(ids, kind).tobytes()
+
+        _encoders[path] = encode, kind, len(ranks)
     return _encoders[path]
 
 
@@ -62,10 +74,9 @@ def encoded(docs: DataFrame, vocabulary: str, text: str, key: str) -> DataFrame:
     """key, _row (a hash of the row) and _ids (the ids of the whole text, as bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = Blocks(_encoder(vocabulary)[0])
+        encode = _encoder(vocabulary)[0]
         for piece in arrow_pieces(batches, "_text", TEXT_BYTES):
-            known, tokens = blocks(piece.column("_text").to_pylist())
-            ids = [b"".join(map(known.__getitem__, mine)) for mine in tokens]
+            ids = [encode(t) for t in piece.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([piece.column(key), piece.column("_row"), pa.array(ids, pa.binary())], [key, "_row", "_ids"])
 
     whole = F.coalesce(F.col(text), F.lit(""))
@@ -137,7 +148,7 @@ class Shard:
         """BM25 of all documents of the shard for all terms of the seed."""
         terms = self.terms[self.firsts[seed] : self.firsts[seed + 1]]
         row = self.row[terms]
-        found = self.rows[row[row >= 0]].sum(0, dtype=np.float64)
+        found = self.rows[row[row >= 0]].sum(0)
         terms = terms[row < 0]
         starts, sizes = self.places[terms], self.places[terms + 1] - self.places[terms]
         at = np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
