@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from tidemark.llm import bpe, imatch, langid, licenses, packing, parity_join, quality, rules, secrets, url_filter
+from tidemark.llm import bpe, imatch, langid, licenses, packing, parity_join, quality, rules, secrets, token_counts, url_filter
 from tidemark.llm.common import shingle_hashes, word_hashes
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, kept boolean, spans string, host string, _url_h1 long, n_words int, component_id string, id int"
@@ -757,3 +757,36 @@ def test_long_blanks_are_encoded_as_by_pre_tokens():
     for text in (" " * 600_000 + "x", "\n" * (packing.MOST_BLANKS + 1) + "it's", "a  b\n\n c we'll 日本 12x <|endoftext|> "):
         expected = [i for ids in bpe.codec(path).encode(bpe.pre_tokens([text])[0]) for i in ids]
         assert np.frombuffer(encode(text), kind).tolist() == expected
+
+
+# --- token counts ---
+
+
+@pytest.mark.parametrize("name", ["piece_bpe_32k.model", "byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_spliced_counts_are_those_of_whole_texts(name):
+    draw = random.Random(5)
+    own, parts = token_counts.encoder(name), ["a", "b", "aa", "▁", " ", "  ", "\n", "é", "é", "日本", "\U0001F600", "ሴ", "the ", "ing", "'s", "1", "<|endoftext|>", "!!", "\t", "ab", "\0"]
+    assert own.local
+    for k in range(300):
+        text = "".join(draw.choice(parts) for _ in range(draw.randint(1, 300))) if k % 3 else draw.choice("ab1é ") * draw.randint(1, 2000)
+        assert token_counts.count_long(own, text, draw.choice([30, 100, 300]), draw.choice([1, 8, 20])) == own.counts([text])[0], text
+
+
+def test_a_long_text_is_never_encoded_whole(monkeypatch):
+    own = token_counts.encoder("piece_bpe_32k.model")
+    whole, text = own.counts([PROSE * 2000])[0], PROSE * 2000
+    monkeypatch.setattr(own, "counts", lambda texts: pytest.fail("encoded at once"))
+    assert token_counts.count_long(own, text) == whole
+
+
+def test_token_counts(spark, odd, none):
+    from sentencepiece import SentencePieceProcessor
+
+    model = SentencePieceProcessor(model_file=bpe.vocabulary_path("piece_bpe_32k.model"))
+    rows = token_counts.count_tokens(odd, "piece_bpe_32k.model", chunk=1000, overlap=64).collect()
+    source = [(r.doc_id, r.text or "") for r in odd.collect()]
+    expected = sorted((str(i), len(t.encode()), len(model.encode(t)), len(model.encode(t)) > 4096) for i, t in source)
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_tokens, r.over_limit) for r in rows) == expected and any(r.over_limit for r in rows)
+    assert token_counts.count_tokens(none, "piece_bpe_32k.model").count() == 0
+    with pytest.raises(ValueError):
+        token_counts.count_tokens(odd, "piece_bpe_32k.model", key="n_tokens")

@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, imatch, langid, licenses, packing, parity_join, quality, rules, secrets, url_filter
+from tidemark.llm import bpe, imatch, langid, licenses, packing, parity_join, quality, rules, secrets, token_counts, url_filter
 from tidemark.llm.common import table
 
-RANKS = "byte_bpe_50k.tiktoken"
+RANKS, PIECES = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +66,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), bpe.vocabulary_path(RANKS))
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), PIECES)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": op1_url_filter,
@@ -78,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_jaccard_join": op9_jaccard_join,
         "op4_packing": op4_packing,
         "op10_byte_bpe": op10_byte_bpe,
+        "op13_token_counts": op13_token_counts,
     }
 
 
