@@ -6,8 +6,9 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, imatch, langid, licenses, packing, parity_join, quality, rules, secrets, token_counts, url_filter
+from tidemark.llm import bpe, imatch, langid, licenses, packing, parity_join, quality, resampling, rules, secrets, token_counts, url_filter
 from tidemark.llm.common import shingle_hashes, word_hashes
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, kept boolean, spans string, host string, _url_h1 long, n_words int, component_id string, id int"
@@ -790,3 +791,58 @@ def test_token_counts(spark, odd, none):
     assert token_counts.count_tokens(none, "piece_bpe_32k.model").count() == 0
     with pytest.raises(ValueError):
         token_counts.count_tokens(odd, "piece_bpe_32k.model", key="n_tokens")
+
+
+# --- importance resampling ---
+
+
+def _resampled(rows, target, runs, buckets, least, share, seed):
+    """A plain version; rows: (key, text)."""
+    import math
+    import re
+
+    def features(text):
+        ws = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+        return len(ws), [zlib.crc32(" ".join(ws[i : i + n]).encode()) % buckets for n in range(1, runs + 1) for i in range(len(ws) - n + 1)]
+
+    s, t = [0] * buckets, [0] * buckets
+    for counts, texts in ((s, [x for _, x in rows]), (t, target)):
+        for x in texts:
+            for b in features(x)[1]:
+                counts[b] += 1
+    gain = [math.floor(1000 * math.log((t[b] + 1) * (sum(s) + buckets) / ((s[b] + 1) * (sum(t) + buckets)))) for b in range(buckets)]
+    out = []
+    for key, text in rows:
+        n, found = features(text)
+        h = int(hashlib.sha256(f"{seed}:{'' if key is None else key}".encode()).hexdigest()[:8], 16)
+        w = sum(gain[b] for b in found)
+        out.append([key, len(found), w, w + math.floor(-1000 * math.log(-math.log((h + 0.5) / 2**32))), n])
+    fit = sorted((x for x in out if x[4] >= least), key=lambda x: (-x[3], x[0] is None, x[0] or 0))
+    k = len(fit) * share // 100
+    return {(x[0], *x[1:4]) for x in out}, [tuple(x[:4]) for x in fit[:k]]
+
+
+@pytest.mark.parametrize(("runs", "share"), [(1, 30), (2, 55), (1, 100), (1, 0)])
+def test_resampling_like_a_plain_version(spark, runs, share):
+    draw = random.Random(runs)
+    rows = [(i if i != 7 else None, " ".join(draw.choice(["Alpha", "beta", "été", "x1", "日本-b", "C_d"]) for _ in range(draw.randint(0, 40)))) for i in range(120)] + [(200, None), (201, ""), (5, "beta " * 30), (5, "beta " * 30), (2**60 + 1, "alpha " * 25)]
+    target = ["alpha x1", None, "", "d d d"]
+    docs, aim = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame([(x,) for x in target], "text string")
+    got = resampling.resample(docs, aim, runs=runs, buckets=50, least_words=5, share=share, seed=9).collect()
+    every, drawn = _resampled(rows, target, runs, 50, 5, share, 9)
+    assert {tuple(r[:4]) for r in got} == every and len(got) == len(rows)
+    winners = sorted((r for r in got if r["rank"] is not None), key=lambda r: r["rank"])
+    assert [r["rank"] for r in winners] == list(range(1, len(drawn) + 1)) and [tuple(r[:4]) for r in winners] == drawn
+
+
+def test_resampling_of_empty_tables_and_clashing_names(spark, odd, none):
+    assert resampling.resample(none, odd).count() == 0
+    assert resampling.resample(odd.withColumnRenamed("host", "_row").withColumnRenamed("spans", "weight"), none, share=50).count() == 15
+
+
+def test_the_kth_key_is_found_by_a_few_counts(spark):
+    rows = spark.range(3000).select((F.col("id") * 7919 % 1000).alias("_minus"), F.lit(False).alias("_keyless"), (F.col("id") % 10).alias("_key"), F.col("id").alias("_row")).cache()
+    keys = sorted(map(tuple, rows.collect()))
+    for k in (1, 2, 1500, 2999, 3000):
+        assert resampling.kth_key(rows, k, pivots=5) == keys[k - 1]
+    assert resampling.kth_key(rows, 3001) is None and resampling.kth_key(rows, 0) is None

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, imatch, langid, licenses, packing, parity_join, quality, rules, secrets, token_counts, url_filter
+from tidemark.llm import bpe, imatch, langid, licenses, packing, parity_join, quality, resampling, rules, secrets, token_counts, url_filter
 from tidemark.llm.common import table
 
 RANKS, PIECES = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
@@ -66,6 +66,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), bpe.vocabulary_path(RANKS))
 
 
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), runs=1, buckets=10_000, least_words=20, share=10, seed=2024)
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), PIECES)
 
@@ -82,12 +86,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_jaccard_join": op9_jaccard_join,
         "op4_packing": op4_packing,
         "op10_byte_bpe": op10_byte_bpe,
+        "op12_resampling": op12_resampling,
         "op13_token_counts": op13_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": _OP1, "op6_quality_rules": _OP6, "op9_jaccard_join": _OP9}
+    return {"op1_url_filter": _OP1, "op6_quality_rules": _OP6, "op9_jaccard_join": _OP9, "op12_resampling": _OP12}
 
 
 _OP1 = r"""
@@ -141,3 +146,29 @@ reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, l
 SELECT t.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, (SELECT min(r) FROM reach WHERE reach.doc_id = t.doc_id) AS component_id
 FROM t LEFT JOIN n ON n.doc_id = t.doc_id
 """
+
+_OP12 = r"""
+WITH RECURSIVE bit(i, c, k) AS (
+  SELECT i, i, 0 FROM range(256) r(i) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bit WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM bit WHERE k = 8),
+d AS (
+  SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+o AS (SELECT row, unnest(ws) AS w FROM d),
+b AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+v AS (
+  SELECT w, xor(list_reduce(list_transform(range(1, octet_length(encode(w)) + 1), lambda i: CAST('0x' || substr(hex(encode(w)), 2 * i - 1, 2) AS BIGINT)),
+         lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1]), 4294967295), 4294967295) % 10000 AS k
+  FROM (SELECT w FROM o UNION SELECT w FROM b), crc),
+s AS (SELECT k, count(*) AS n FROM o JOIN v USING (w) GROUP BY k),
+t AS (SELECT k, count(*) AS n FROM b JOIN v USING (w) GROUP BY k),
+g AS (
+  SELECT k, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM s) + 10000)::DOUBLE / ((coalesce(s.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM t) + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM range(10000) r(k) LEFT JOIN s USING (k) LEFT JOIN t USING (k)),
+w AS (SELECT row, sum(gain)::BIGINT AS weight FROM o JOIN v USING (w) JOIN g USING (k) GROUP BY row),
+x AS (
+  SELECT doc_id, row, len(ws)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+         coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM d LEFT JOIN w USING (row)),
+r AS (SELECT row, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM x WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT count(*) FROM r) * 10 // 100 THEN rank END AS rank FROM x LEFT JOIN r USING (row)
+"""
