@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, imatch, langid, licenses, packing, parity_join, quality, resampling, rules, secrets, token_counts, url_filter
+from tidemark.llm import bpe, collocations, imatch, langid, licenses, packing, parity_join, quality, resampling, rules, secrets, token_counts, url_filter
 from tidemark.llm.common import shingle_hashes, word_hashes
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, kept boolean, spans string, host string, _url_h1 long, n_words int, component_id string, id int"
@@ -846,3 +846,59 @@ def test_the_kth_key_is_found_by_a_few_counts(spark):
     for k in (1, 2, 1500, 2999, 3000):
         assert resampling.kth_key(rows, k, pivots=5) == keys[k - 1]
     assert resampling.kth_key(rows, 3001) is None and resampling.kth_key(rows, 0) is None
+
+
+# --- collocations ---
+
+
+def _collocations(rows, support, most, covered, top):
+    """A plain version; rows: (text, lang)."""
+    import re
+    from collections import Counter
+
+    f, n = Counter(), Counter()
+    for text, lang in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate({c: c + 32 for c in range(65, 91)})):
+            ws = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(ws)
+            f.update((lang, tuple(ws[i : i + m])) for m in range(1, most + 1) for i in range(len(ws) - m + 1))
+    found = {}
+    for (lang, p), a in f.items():
+        if a >= support and len(p) > 1:
+            score, k = min((2_000_000 * a // (f[lang, p[:k]] + f[lang, p[k:]]), k) for k in range(1, len(p)))
+            found[lang, p] = (score, a, f[lang, p[:k]], f[lang, p[k:]])
+    inside = lambda p, q: any(q[i : i + len(p)] == p for i in range(len(q) - len(p) + 1))
+    kept = [(x, v) for x, v in found.items() if not any(y[0] == x[0] and len(y[1]) > len(x[1]) and inside(x[1], y[1]) and 100 * w[1] >= covered * v[1] for y, w in found.items())]
+    out = []
+    for lang in n:
+        own = sorted((-v[0], -v[1], " ".join(p).encode(), v) for (at, p), v in kept if at == lang)[:top]
+        out += [(lang, i, p.decode(), v[1], v[2], v[3], n[lang], v[0]) for i, (_, _, p, v) in enumerate(own, 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("most", "shards", "support"), [(4, 3, 6), (2, 1, 4), (3, 50, 3)])
+def test_collocations_like_a_plain_version(spark, most, shards, support):
+    draw = random.Random(most)
+    rows = [(" ".join(draw.choice(["New York", "new", "york\tcity", "big", "apple,", "été", "a.b", "c\nd", " x"]) for _ in range(draw.randint(0, 30))), draw.choice(["en", "en", "fr", None])) for _ in range(150)] + [(None, "de"), ("", None), ("Only once", "xx")]
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(5)
+    got = collocations.collocations(docs, support=support, most=most, top=40, shards=shards).collect()
+    assert sorted(map(tuple, got)) == _collocations(rows, support, most, 80, 40) and len(got) > 20
+
+
+def test_phrases_within_longer_ones_go_even_if_those_go_too(spark):
+    rows = [("a b c d", "en")] * 10 + [("b c", "en")] * 2
+    got = {r.phrase: (r.a, r.score) for r in collocations.collocations(spark.createDataFrame(rows, "text string, lang string"), support=5).collect()}
+    assert got == {"a b c d": (10, 1_000_000)}
+
+
+def test_products_beyond_64_bits_are_exact(spark):
+    big = 9 * 10**12
+    counts = spark.createDataFrame([("en", "a b", 2, big), ("en", "a", 1, big + 1), ("en", "b", 1, big + 2)], "lang string, phrase string, words int, f long")
+    assert collocations.scored(counts).first().score == 2_000_000 * big // (2 * big + 3)
+
+
+def test_collocations_of_odd_and_empty_tables(spark, odd, none):
+    assert collocations.collocations(none).count() == 0
+    rows = collocations.collocations(odd, support=100).collect()
+    assert rows and {r.lang for r in rows} == {"en"} and all(r.a >= 100 for r in rows)

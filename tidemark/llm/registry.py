@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, imatch, langid, licenses, packing, parity_join, quality, resampling, rules, secrets, token_counts, url_filter
+from tidemark.llm import bpe, collocations, imatch, langid, licenses, packing, parity_join, quality, resampling, rules, secrets, token_counts, url_filter
 from tidemark.llm.common import table
 
 RANKS, PIECES = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
@@ -66,6 +66,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), bpe.vocabulary_path(RANKS))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), support=30, most=4, covered=80, top=2000)
+
+
 def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), runs=1, buckets=10_000, least_words=20, share=10, seed=2024)
 
@@ -86,13 +90,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_jaccard_join": op9_jaccard_join,
         "op4_packing": op4_packing,
         "op10_byte_bpe": op10_byte_bpe,
+        "op11_collocations": op11_collocations,
         "op12_resampling": op12_resampling,
         "op13_token_counts": op13_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": _OP1, "op6_quality_rules": _OP6, "op9_jaccard_join": _OP9, "op12_resampling": _OP12}
+    return {"op1_url_filter": _OP1, "op6_quality_rules": _OP6, "op9_jaccard_join": _OP9, "op11_collocations": _OP11, "op12_resampling": _OP12}
 
 
 _OP1 = r"""
@@ -172,3 +177,29 @@ x AS (
 r AS (SELECT row, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM x WHERE n_features >= 20)
 SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT count(*) FROM r) * 10 // 100 THEN rank END AS rank FROM x LEFT JOIN r USING (row)
 """
+
+_OP11 = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, row_number() OVER () AS id, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+u AS (SELECT lang, id, unnest(ws) AS w1, generate_subscripts(ws, 1) AS j FROM w),
+v AS (SELECT lang, w1, lead(w1, 1) OVER z AS w2, lead(w1, 2) OVER z AS w3, lead(w1, 3) OVER z AS w4 FROM u WINDOW z AS (PARTITION BY id ORDER BY j)),
+o AS (
+  SELECT lang, 1 AS m, w1 AS phrase FROM v UNION ALL SELECT lang, 2, w1 || ' ' || w2 FROM v WHERE w2 IS NOT NULL
+  UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3 FROM v WHERE w3 IS NOT NULL UNION ALL SELECT lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 FROM v WHERE w4 IS NOT NULL),
+f AS (SELECT lang, m, phrase, count(*) AS n FROM o GROUP BY ALL HAVING count(*) >= 30),
+t AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+c AS (
+  SELECT a.lang, a.phrase, a.m, a.n AS a, k, l.n AS l, r.n AS r, ((2000000::HUGEINT * a.n) // (l.n + r.n))::BIGINT AS score
+  FROM f a JOIN range(1, 4) x(k) ON k < a.m
+  JOIN f l ON l.lang = a.lang AND l.phrase = array_to_string(string_split(a.phrase, ' ')[1:k], ' ')
+  JOIN f r ON r.lang = a.lang AND r.phrase = array_to_string(string_split(a.phrase, ' ')[k + 1:], ' ')),
+s AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (
+  SELECT lang, array_to_string(string_split(phrase, ' ')[j:j + m2 - 1], ' ') AS phrase, max(s.a) AS longer
+  FROM s JOIN range(2, 4) y(m2) ON m2 < m JOIN range(1, 4) z(j) ON j + m2 - 1 <= m GROUP BY ALL),
+b AS (
+  SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, encode(s.phrase)) AS rank
+  FROM s LEFT JOIN i ON i.lang = s.lang AND i.phrase = s.phrase WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a)
+SELECT b.lang, rank, phrase, a, l, r, t.n AS n, score FROM b JOIN t USING (lang) WHERE rank <= 2000
+"""
