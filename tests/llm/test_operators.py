@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -902,3 +903,39 @@ def test_collocations_of_odd_and_empty_tables(spark, odd, none):
     assert collocations.collocations(none).count() == 0
     rows = collocations.collocations(odd, support=100).collect()
     assert rows and {r.lang for r in rows} == {"en"} and all(r.a >= 100 for r in rows)
+
+
+# --- ids, letters and repeated rows ---
+
+BIG = [2**53 + 1, 2**53 + 3, 2**53 + 5]
+
+
+def test_ids_beyond_doubles_beside_a_null(spark):
+    rows = [(i, f"{PROSE} {k} password: hunter2hunter2", "en", i) for k, i in enumerate([*BIG, None])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long").coalesce(1)
+    key = lambda x: (x is None, x or 0)
+    expected = sorted([*BIG, None], key=key)
+    ratings = spark.createDataFrame([(BIG[0], 2), (BIG[1], 0)], "doc_id long, grade int")
+    found = {
+        "secrets": secrets.scan(docs, secrets.learn(docs)), "licenses": licenses.scan(docs), "langid": langid.predict(docs, langid.learn(docs)), "quality": quality.score(docs, quality.learn(docs, ratings)),
+        "packing": packing.pack_documents(docs), "imatch": imatch.compare_edited(docs), "join": parity_join.link(docs), "bpe": bpe.encode_documents(docs, bpe.vocabulary_path("byte_bpe_50k.tiktoken")), "rules": rules.ledger(docs),
+        "counts": token_counts.count_tokens(docs, "piece_bpe_32k.model"), "resampling": resampling.resample(docs, docs),
+    }
+    for name, df in found.items():
+        assert sorted((r.doc_id for r in df.select("doc_id").collect()), key=key) == expected, name
+    for name in ("secrets", "langid", "quality"):
+        assert sorted((r.n_chars for r in found[name].collect()), key=key) == expected, name
+
+
+def test_texts_with_letters_have_a_language():
+    assert langid.words_of("m² H₂O ½a CO₂x Ⅷ 12") == ["m", "h", "o", "a", "co", "x"]
+    model = langid.Predictor(langid.Model({"en": Counter({"the": 3, "of": 2}), "fr": Counter({"le": 3})}))
+    assert model("m²")[0] != "und" and model("²½ 12")[0] == "und"
+
+
+def test_lexicon_counts_distinct_texts_only(spark):
+    rows = [(1, "rare common"), (2, "rare common"), (2, "other common"), (3, "common x"), (4, "common y")]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    assert {r.term for r in imatch.lexicon(docs, low=0.3, high=0.9).collect()} == set()
+    got = imatch.compare_edited(spark.createDataFrame([*rows, (2, "rare common"), (None, "rare common"), (None, "rare common"), (None, None)], "doc_id long, text string")).collect()
+    assert len(got) == 9 and len({r.fingerprint for r in got if r.n_chars == 11}) == 1 and sum(r.doc_id is None for r in got) == 3 and all(r.fingerprint for r in got)

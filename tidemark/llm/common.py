@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +13,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows that a broadcast of ids may hold (16 bytes each or so in memory). Beyond that the same join is shuffled.
 BROADCAST_IDS = 1_000_000
@@ -126,3 +127,21 @@ def arrow_pieces(batches: Iterator[pa.RecordBatch], column: str, most: int) -> I
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(lengths)], strict=True):
             if b > a:
                 yield batch.slice(a, b - a)
+
+
+def with_made(docs: DataFrame, text: str, most: int, start: Callable[[], Callable[[pa.RecordBatch], dict[str, pa.Array]]], made: str) -> DataFrame:
+    """docs with the columns of the schema `made`, which `start()`'s function makes of a batch; those of equal names are replaced in their places.
+
+    All other columns pass through as Arrow has them: longs beyond 2**53 beside nulls stay as they are. A batch's texts have about `most` bytes together.
+    """
+    new = StructType.fromDDL(made)
+    kinds = {f.name: f for f in new.fields}
+    fields = [kinds.get(f.name, f) for f in docs.schema.fields] + [f for f in new.fields if f.name not in docs.columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = start()
+        for piece in arrow_pieces(batches, text, most):
+            found = make(piece)
+            yield pa.RecordBatch.from_arrays([found[f.name] if f.name in found else piece.column(f.name) for f in fields], [f.name for f in fields])
+
+    return docs.mapInArrow(run, StructType(fields))

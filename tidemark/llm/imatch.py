@@ -12,7 +12,7 @@ case. A text without terms of the lexicon has hashes of all its sorted distinct
 
 Defined results: a null text counts as empty; empty texts are alike. Equal texts have equal fingerprints. One row comes out
 for each row: rows with one id follow each other in the order of a hash of their texts, so of c equal rows the first c - 1
-are followed by their like. A row without an id has no place in the order of documents: it is returned with its length alone, and likeness 0.
+are followed by their like. A row without an id has a fingerprint, but no place in the order of documents: it has no edited text, and likeness 0.
 """
 
 from __future__ import annotations
@@ -35,11 +35,16 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, text: str = "text", low: float = LOW, high: float = HIGH, key: str = "id") -> DataFrame:
-    """term, subset, code (its hash) of the terms in the band. Frequencies are of all distinct texts; counts are summed in each task before they are shuffled."""
-    digest = [F.xxhash64(F.col(text), F.lit(seed)) for seed in (1, 2)]
-    firsts = written(docs.groupBy(*digest).agg(F.min(key).alias(key)).select(key), "distinct-texts")
+    """term, subset, code (its hash) of the terms in the band. Frequencies are of all distinct texts; counts are summed in each task before they are shuffled.
+
+    docs has no two equal rows. Of each distinct text one row counts: that of the least key (none before all others).
+    """
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), *[F.xxhash64(F.col(text), F.lit(seed)).alias(f"_h{seed}") for seed in (1, 2)])
+    firsts = written(rows.groupBy("_h1", "_h2").agg(F.min(F.struct(F.col("_key").isNotNull().alias("has"), "_key")).alias("x")).select("_h1", "_h2", F.col("x._key").alias("_key")), "distinct-texts")
     n = firsts.count()
-    counts = docs.join(sized(firsts, n), key, "left_semi").select(F.explode(terms(F.col(text))).alias("term")).groupBy("term").count()
+    one = sized(firsts, n).alias("one")
+    same = (F.col("all._h1") == F.col("one._h1")) & (F.col("all._h2") == F.col("one._h2")) & F.col("all._key").eqNullSafe(F.col("one._key"))
+    counts = rows.alias("all").join(one, same, "left_semi").select(F.explode(terms(F.col("_text"))).alias("term")).groupBy("term").count()
     return counts.filter((F.col("count") >= max(2, low * n)) & (F.col("count") <= max(2, high * n))).select(
         "term", F.pmod(F.xxhash64("term", F.lit(17)), F.lit(SUBSETS)).cast("int").alias("subset"), F.xxhash64("term").alias("code")
     )
@@ -112,15 +117,14 @@ def compare_edited(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     Texts are shuffled once by (id, h), where h is a hash of the text (both joins use that exchange), beginnings once; terms are
     counted and matched where the texts are. Of rows that are equal one is worked on: with the next row's beginning (kind 0), and with its own (kind 1).
     """
-    all_texts = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    texts = all_texts.filter("id IS NOT NULL").withColumn("h", F.xxhash64("text"))  # both joins need the same rows, else the texts would be shuffled for each
-    groups = written(texts.groupBy("id", "h").agg(F.count("*").alias("copies"), F.first(F.length("text").cast("long")).alias("n_chars")), "rows")
-    sizes = groups.agg(F.count("*").alias("n"), F.count(F.when(F.col("copies") > 1, 1)).alias("repeated")).first()
-    chain = written(followed(groups, sizes.n), "next-rows")
-    words = written(lexicon(texts), "lexicon")
+    all_texts = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    groups = written(all_texts.groupBy("id", "h").agg(F.count("*").alias("copies"), F.first(F.length("text").cast("long")).alias("n_chars")), "rows")
+    sizes = groups.agg(F.count("id").alias("n"), F.count(F.when(F.col("copies") > 1, 1)).alias("repeated"), F.count(F.when(F.col("id").isNull(), 1)).alias("loose")).first()
+    chain = written(followed(groups.filter("id IS NOT NULL"), sizes.n), "next-rows")
+    distinct = all_texts.dropDuplicates(["id", "h"]) if sizes.repeated else all_texts
+    words = written(lexicon(distinct), "lexicon")
     words = sized(words, words.count())
-    if sizes.repeated:
-        texts = texts.dropDuplicates(["id", "h"])
+    texts = distinct.filter("id IS NOT NULL")  # both joins need the same rows, else the texts would be shuffled for each
 
     k = F.floor(F.col("n_chars") / 4).cast("int").alias("k")
     asked = chain.select(F.col("next_id").alias("id"), F.col("next_h").alias("h"), F.col("id").alias("owner"), F.col("h").alias("owner_h"), F.lit(0).alias("kind"), "copies", k)
@@ -148,5 +152,9 @@ def compare_edited(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         F.when(one, 1.0).otherwise(likeness(F.col("fingerprint"), F.col("next_fingerprint"))).alias("near_next"),
     )
-    loose = all_texts.filter("id IS NULL").select(F.col("id").alias(key), F.length("text").cast("long").alias("n_chars"), F.lit(0.0).alias("near_edited"), F.lit(0.0).alias("near_next"))
-    return found.unionByName(loose, allowMissingColumns=True)
+    if not sizes.loose:
+        return found
+    loose = distinct.filter("id IS NULL")
+    own = loose.join(fingerprints(loose, words, ["h"], ["text"]), "h", "left").select("h", F.coalesce(F.col("print0"), _plain(F.col("text"))).alias("fingerprint"))
+    rows = groups.filter("id IS NULL").join(own, "h").withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return found.unionByName(rows.select(F.col("id").alias(key), "n_chars", "fingerprint", F.lit(0.0).alias("near_edited"), F.lit(0.0).alias("near_next")), allowMissingColumns=True)

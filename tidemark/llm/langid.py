@@ -23,10 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import batches_by_size
+from tidemark.llm.common import batches_by_size, with_made
 
 LEARN_DOCS, MOST_WORDS, MOST_GRAMS, MOST_GRAM = 2_000, 25_000, 15_000, 5
 #: Unseen words that a worker remembers.
@@ -35,7 +36,14 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    return [w for w in _LETTERS.findall(text.lower()) if w.isalpha()] if text else []
+    """Runs of letters in lower case; other characters that count as parts of words (superscripts, fractions, Roman numerals) end a run."""
+    found: list[str] = []
+    for w in _LETTERS.findall(text.lower()) if text else ():
+        if w.isalpha():
+            found.append(w)
+        else:
+            found += "".join(c if c.isalpha() else " " for c in w).split()
+    return found
 
 
 def grams_of(word: str) -> set[str]:
@@ -153,12 +161,13 @@ def predict(docs: DataFrame, model: Model, text: str = "text", outputs: tuple[st
     """Adds the predicted language and its share of an average word's likelihood. Columns of these names are replaced. One row per input row; no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_WORDS + MOST_GRAMS rows for each language
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         own = Predictor(shared.value)
-        for frame in batches_by_size(frames, text, 2_000_000):
-            found = [own(t) for t in frame[text]]
-            yield frame.assign(**{outputs[0]: [x[0] for x in found], outputs[1]: np.array([x[1] for x in found], np.float64)})
 
-    base = docs.drop(*outputs)
-    schema = base.withColumn(outputs[0], F.lit("")).withColumn(outputs[1], F.lit(0.0)).schema
-    return base.mapInPandas(run, schema)
+        def make(piece: pa.RecordBatch) -> dict[str, pa.Array]:
+            found = [own(t) for t in piece.column(text).to_pylist()]
+            return {outputs[0]: pa.array([x[0] for x in found], pa.string()), outputs[1]: pa.array([x[1] for x in found], pa.float64())}
+
+        return make
+
+    return with_made(docs.drop(*outputs), text, 2_000_000, start, f"`{outputs[0]}` string, `{outputs[1]}` double")

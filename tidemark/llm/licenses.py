@@ -13,14 +13,13 @@ stays, then the first. Repeated rows are scanned each by itself; other columns o
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import batches_by_size
+from tidemark.llm.common import with_made
 
 #: Label and phrase; a phrase's words stand one after the other.
 PHRASES = [("cc-by", "cc by"), ("gpl", "general public license"), ("reserved", "all rights reserved")]
@@ -134,20 +133,27 @@ class Scanner:
 def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", phrases=PHRASES, notices=NOTICES, edit_chars: int = EDIT_CHARS) -> DataFrame:
     """key, n_words, base (array of place and label), notices (array of span, label and score), one row per input row; no shuffle."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    if key in ("n_words", "base", "notices"):
+        raise ValueError(f"the key must not be named like a result: {key}")
+
+    def start():
         scanner = Scanner(phrases, notices, edit_chars)
-        for frame in batches_by_size(frames, text, 4_000_000):
+
+        def make(piece: pa.RecordBatch) -> dict[str, pa.Array]:
             n, base, fuzzy = [], [], []
-            for t in frame[text]:
+            for t in piece.column("_text").to_pylist():
                 count, joined = scanner.words(t)
                 n.append(count)
                 base.append([{"word": w, "label": x} for w, x in scanner.base(joined)])
                 fuzzy.append([{"first": a, "end": b, "label": x, "score": s} for a, b, x, s in scanner.fuzzy(joined)])
-            yield pd.DataFrame({key: frame[key].to_numpy(), "n_words": np.array(n, np.int64), "base": base, "notices": fuzzy})
+            place, span = pa.struct([("word", pa.int64()), ("label", pa.string())]), pa.struct([("first", pa.int64()), ("end", pa.int64()), ("label", pa.string()), ("score", pa.float64())])
+            return {"n_words": pa.array(n, pa.int64()), "base": pa.array(base, pa.list_(place)), "notices": pa.array(fuzzy, pa.list_(span))}
+
+        return make
 
-    kind = dict(docs.dtypes)[key]
-    schema = f"`{key}` {kind}, n_words long, base array<struct<word: long, label: string>>, notices array<struct<first: long, end: long, label: string, score: double>>"
-    return docs.select(F.col(key), F.col(text)).mapInPandas(run, schema)
+    rows = docs.select(F.col(key), F.col(text).alias("_text"))
+    made = "n_words long, base array<struct<word: long, label: string>>, notices array<struct<first: long, end: long, label: string, score: double>>"
+    return with_made(rows, "_text", 4_000_000, start, made).drop("_text")
 
 
 def digest(scanned: DataFrame, key: str = "doc_id") -> DataFrame:

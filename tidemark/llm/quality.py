@@ -27,10 +27,11 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import batches_by_size
+from tidemark.llm.common import batches_by_size, with_made
 
 BUCKETS, GRADES = 1 << 20, 3
 FIT_DOCS, ROUNDS, EVIDENCE, L2 = 10_000, 220, 6.0, 0.002
@@ -159,13 +160,13 @@ def learn(docs: DataFrame, ratings: DataFrame, text: str = "text", key: str = "d
     # Ratings of documents that are there: else a pipeline's stage might choose ids that an earlier one has dropped.
     there = ratings.join(docs.select(key), key, "left_semi")
     chosen = there.select(F.col(key), "grade").orderBy(F.xxhash64(F.col(key).cast("string")), key).limit(fit_docs)
-    sample = docs.select(F.col(key), F.col(text)).join(F.broadcast(chosen), key)
+    sample = docs.select(F.col(key), F.col(text)).join(F.broadcast(chosen), key).withColumn(key, F.col(key).cast("string"))
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         buckets = _Buckets()
         for frame in batches_by_size(frames, text, 2_000_000):
             found = [features(t, buckets) for t in frame[text]]
-            yield pd.DataFrame({"key": frame[key].astype(str), "at": [x[0].tobytes() for x in found], "shape": [x[1] for x in found], "grade": frame["grade"]})
+            yield pd.DataFrame({"key": frame[key], "at": [x[0].tobytes() for x in found], "shape": [x[1] for x in found], "grade": frame["grade"]})
 
     rows: dict[str, tuple] = {}
     for r in sample.mapInPandas(place, "key string, at binary, shape array<double>, grade int").toLocalIterator():
@@ -181,16 +182,18 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", outputs: tup
         return base.withColumns({c: F.lit(None).cast("double") for c in outputs})
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a weight for each bucket, 4 MB
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         own, buckets = shared.value, _Buckets()
-        for frame in batches_by_size(frames, text, 2_000_000):
-            tails = np.array([own.score(t, buckets) for t in frame[text]]).reshape(len(frame), GRADES - 1)
-            yield frame.assign(**dict(zip(outputs, [tails.sum(1), *tails.T], strict=True)))
 
-    schema = base.withColumns({c: F.lit(0.0) for c in outputs}).schema
-    return base.mapInPandas(run, schema)
+        def make(piece: pa.RecordBatch) -> dict[str, pa.Array]:
+            tails = np.array([own.score(t, buckets) for t in piece.column(text).to_pylist()], float).reshape(piece.num_rows, GRADES - 1)
+            return {c: pa.array(x, pa.float64()) for c, x in zip(outputs, [tails.sum(1), *tails.T], strict=True)}
+
+        return make
+
+    return with_made(base, text, 2_000_000, start, ", ".join(f"`{c}` double" for c in outputs))
 
 
 def select(tail: Column, text: Column, least: float = LEAST_TAIL) -> Column:
-    """Whether a document is selected: it has a character other than blanks, and its tail probability is at least `least` (or unknown)."""
-    return (F.length(F.trim(F.coalesce(text, F.lit("")))) > 0) & (F.coalesce(tail, F.lit(1.0)) >= least)
+    """Whether a document is selected: it has a character other than white space, and its tail probability is at least `least` (or unknown)."""
+    return F.coalesce(text, F.lit("")).rlike(r"[^\x20\x09-\x0D]") & (F.coalesce(tail, F.lit(1.0)) >= least)

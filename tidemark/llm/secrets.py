@@ -24,10 +24,11 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import batches_by_size
+from tidemark.llm.common import with_made
 
 #: Fixed patterns in the order of kinds. An assigned value needs 6 characters.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -279,6 +280,9 @@ def learn(docs: DataFrame, text: str = "text", key: str = "doc_id", sample_docs:
     return Grammar(labelled)
 
 
+_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
+
+
 def scan(docs: DataFrame, grammar: Grammar, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD, redact: str | None = None) -> DataFrame:
     """All columns of docs and spans (array of kind, start, end in code points, end exclusive, and score: 1 for base spans), by start, then kind.
 
@@ -286,11 +290,12 @@ def scan(docs: DataFrame, grammar: Grammar, text: str = "text", key: str = "doc_
     input row; no shuffle.
     """
     docs = docs.drop("spans")
+    counted = redact is not None and dict(docs.dtypes).get("n_chars") in ("bigint", "int")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches_by_size(frames, text, 4_000_000):
+    def start():
+        def make(piece: pa.RecordBatch) -> dict[str, pa.Array]:
             all_spans, texts = [], []
-            for t in frame[text]:
+            for t in piece.column(text).to_pylist():
                 base = base_spans(t or "")
                 spans = sorted([(*s, 1.0) for s in base] + grammar.spans(t or "", base, threshold))
                 all_spans.append([{"kind": KINDS[k], "start": a, "end": b, "score": x} for a, k, b, x in spans])
@@ -302,15 +307,17 @@ def scan(docs: DataFrame, grammar: Grammar, text: str = "text", key: str = "doc_
                             at = b
                     t = "".join(parts) + t[at:]
                 texts.append(t)
-            frame = frame.assign(spans=all_spans)
+            found = {"spans": pa.array(all_spans, _SPANS)}
             if redact is not None:
-                frame[text] = texts
-                if "n_chars" in frame:
-                    frame["n_chars"] = [a if t is None else len(t) for t, a in zip(texts, frame["n_chars"], strict=True)]
-            yield frame
+                found[text] = pa.array(texts, pa.string())
+            if counted:
+                own = piece.column("n_chars")
+                found["n_chars"] = pa.array([n if t is None else len(t) for t, n in zip(texts, own.to_pylist(), strict=True)], own.type)
+            return found
+
+        return make
 
-    schema = docs.withColumn("spans", F.lit(None).cast("array<struct<kind: string, start: long, end: long, score: double>>")).schema
-    return docs.mapInPandas(run, schema)
+    return with_made(docs, text, 4_000_000, start, "spans array<struct<kind: string, start: long, end: long, score: double>>")
 
 
 def digest(scanned: DataFrame, key: str = "doc_id") -> DataFrame:
