@@ -67,3 +67,12 @@ def test_bands_hold_every_linked_pair():
         b = a * 100 // 85
         assert bands.of(b) - bands.of(a) in (0, 1)
         assert bands.parts(bands.of(a)) > bands.difference(bands.of(a)) >= (15 * (a + b)) // 185 - 1
+
+
+def test_rows_are_dropped_by_their_own_group(spark, tmp_path):
+    long = lambda w: " ".join(f"{w}{i}" for i in range(30))
+    rows = [(1, long("a")), (2, long("a")), (2, long("b")), (3, long("c")), (3, long("c")), (4, None), (4, None), (None, long("a")), (5, long("b") + " z")]
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = corpus_pipeline.distinct_documents(spark, docs, str(tmp_path))
+    found = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert kept.columns == COLUMNS and found == sorted([(1, long("a")), (2, long("b")), (3, long("c")), (4, None), (4, None), (None, long("a"))], key=str)
