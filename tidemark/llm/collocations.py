@@ -35,7 +35,7 @@ SUPPORT, MOST_WORDS, COVERED, TOP = 30, 4, 80, 2000
 SHARDS = 6
 #: Bits that hold the candidates of a pass, 8 MB at any size of the corpus.
 FILTER_BITS = 1 << 26
-MINE_WORDS, COUNT_WORDS, BLOCK_BYTES = 4_000_000, 1_000_000, 4_000_000
+MINE_WORDS, COUNT_WORDS, BLOCK_BYTES = 1_500_000, 600_000, 1_000_000
 
 _U = np.uint64
 #: After lower-casing, the marks that end a piece become line ends and tabs become blanks.
@@ -55,8 +55,8 @@ class Block:
     def __init__(self, digests: list[np.ndarray], languages: list[int]) -> None:
         self.words = np.concatenate(digests)
         self.salt = np.repeat(np.array(languages, _U), [len(d) for d in digests])
-        broken = self.words == 0
-        self.breaks = np.append(0, np.cumsum(broken))
+        self.breaks = np.zeros(len(self.words) + 1, np.int32)
+        np.cumsum(self.words == 0, out=self.breaks[1:])
 
     def phrases(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Places and digests of the phrases of n words."""
