@@ -5,12 +5,13 @@ from __future__ import annotations
 import json
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import trailing
+from tidemark.operators import boosting
 from tidemark.sources.files import write_text
 
 #: Labels of regimes, and the columns that the models see.
@@ -56,11 +57,10 @@ def majority(rows: DataFrame) -> DataFrame:
 
 def estimators(n: int) -> dict[str, object]:
     shared = {"featuresCol": "features", "labelCol": "regime_target"}
-    trees = GBTClassifier(maxIter=100, maxDepth=3, stepSize=0.05, seed=42, **shared)
     return {
         "logistic": LogisticRegression(family="multinomial", maxIter=1000, regParam=1 / max(1, n), weightCol="_weight", **shared),
         "random_forest": RandomForestClassifier(numTrees=100, maxDepth=4, minInstancesPerNode=5, seed=42, **shared),
-        "boosted": OneVsRest(classifier=trees, parallelism=4, **shared),
+        "boosted": "softmax",
     }
 
 
@@ -71,7 +71,10 @@ def weighted(train: DataFrame) -> DataFrame:
     return train.join(F.broadcast(counts.join(F.broadcast(total)).select("regime_target", (F.col("n") / (F.col("k") * F.col("count"))).alias("_weight"))), "regime_target")
 
 
-def fit(train: DataFrame, estimator) -> PipelineModel:
+def fit(train: DataFrame, estimator) -> PipelineModel | boosting.Boosted:
+    """A fitted model with transform(); boosted trees see the features as they are, since cuts don't depend on their scale."""
+    if estimator == "softmax":
+        return boosting.fit(train, COLUMNS, "regime_target")
     scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True)
     return Pipeline(stages=[VectorAssembler(inputCols=COLUMNS, outputCol="raw"), scaler, estimator]).fit(train)
 
@@ -91,7 +94,7 @@ def macro_scores(confusion: DataFrame) -> DataFrame:
     return rows.agg((F.sum("hit") / F.nullif(F.sum("n_true"), F.lit(0))).alias("accuracy"), F.avg(p).alias("macro_precision"), F.avg(r).alias("macro_recall"), F.avg(f1).alias("macro_f1"))
 
 
-def train(parts: dict[str, DataFrame], names: tuple[str, ...] = ("logistic", "random_forest", "boosted")) -> tuple[str, PipelineModel, dict[str, dict]]:
+def train(parts: dict[str, DataFrame], names: tuple[str, ...] = ("logistic", "random_forest", "boosted")) -> tuple[str, PipelineModel | boosting.Boosted, dict[str, dict]]:
     """Fits the models and picks the champion by macro F1 on the validation part: (name, model, scores by name)."""
     rows = weighted(parts["train"]).persist()
     models, scores = {}, {}
@@ -104,21 +107,25 @@ def train(parts: dict[str, DataFrame], names: tuple[str, ...] = ("logistic", "ra
     return best, models[best], scores
 
 
-def latest(model: PipelineModel, rows: DataFrame) -> dict:
+def latest(model: PipelineModel | boosting.Boosted, rows: DataFrame) -> dict:
     """The last row's regime, with a probability for each class id where the model gives one."""
     row = model.transform(rows.orderBy(F.desc("date")).limit(1)).first()
-    scores = row["probability"] if "probability" in row.asDict() else row["rawPrediction"]
-    values = [max(0.0, float(x)) for x in scores]
+    values = [float(x) for x in row["probability"]]
     total = sum(values) or 1.0
     return {"date": str(row["date"]), "regime": int(row["prediction"]), "label": LABELS[int(row["prediction"])], "probabilities": {LABELS[i]: v / total for i, v in enumerate(values) if i in LABELS}}
 
 
-def save(folder: str, name: str, model: PipelineModel, scores: dict[str, dict], spark: SparkSession) -> None:
-    """The champion as a model of pyspark.ml, and its name and the scores of all models as JSON beside it."""
-    model.write().overwrite().save(f"{folder}/model")
+def save(folder: str, name: str, model: PipelineModel | boosting.Boosted, scores: dict[str, dict], spark: SparkSession) -> None:
+    """The champion (a model of pyspark.ml, or boosted trees as JSON), and its name and the scores of all models as JSON beside it."""
+    if isinstance(model, boosting.Boosted):
+        write_text(spark, model.to_json(), f"{folder}/model")
+    else:
+        model.write().overwrite().save(f"{folder}/model")
     write_text(spark, json.dumps({"champion": name, "scores": scores}, sort_keys=True), f"{folder}/metrics")
 
 
-def load(spark: SparkSession, folder: str) -> tuple[PipelineModel, dict]:
+def load(spark: SparkSession, folder: str) -> tuple[PipelineModel | boosting.Boosted, dict]:
     """A stored champion and its metrics; `latest` infers from it in another session."""
-    return PipelineModel.load(f"{folder}/model"), json.loads(spark.read.text(f"{folder}/metrics", wholetext=True).first().value)
+    text = lambda name: spark.read.text(f"{folder}/{name}", wholetext=True).first().value
+    metrics = json.loads(text("metrics"))
+    return boosting.Boosted.from_json(text("model")) if metrics["champion"] == "boosted" else PipelineModel.load(f"{folder}/model"), metrics
