@@ -2,9 +2,9 @@
 
 The corpus is cut into SHARDS shards (every SHARDS-th partition of the input; a shard is as many tasks as it needs). A phrase that occurs
 `support` times in all occurs in some shard at least support * (the shard's share of the words) times, so each shard is mined
-completely at that lower support, and what any shard finds frequent is a candidate. Mining goes by length: words, then pairs of
-words, then longer phrases, each only where its parts are candidates. Then one pass counts all candidates, exactly, by
-their own text.
+completely at that lower support, and what any shard finds frequent is a candidate, unless the shards' counts together already
+show that it is too rare. Mining goes by length: words, then pairs of words, then longer phrases, each only where its parts are
+candidates. Then one pass counts all candidates, exactly, by their own text.
 
 Mining compares phrases by 64-bit digests, and hands candidates to the next pass as bits of a fixed number (FILTER_BITS). Two phrases that
 share a digest or a bit can only add candidates; the last pass gives each its own count, so that none of this changes the result. In a block
@@ -18,8 +18,8 @@ Defined results: null texts count as empty and null languages as 'und'; repeated
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,18 +35,24 @@ SUPPORT, MOST_WORDS, COVERED, TOP = 30, 4, 80, 2000
 SHARDS = 6
 #: Bits that hold the candidates of a pass, 8 MB at any size of the corpus.
 FILTER_BITS = 1 << 26
-MINE_WORDS, COUNT_WORDS, BLOCK_BYTES = 1_500_000, 600_000, 1_000_000
+MINE_WORDS, COUNT_WORDS, BLOCK_BYTES = 1_500_000, 1_000_000, 1_000_000
 
 _U = np.uint64
 #: After lower-casing, the marks that end a piece become line ends and tabs become blanks.
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + b".,;:!?\x0b\x0c\r" + b"\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
-_TOKEN = re.compile(rb"[^ \n]+|\n")
 _PLACES = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
 
-def tokens(text: str) -> list[bytes]:
-    """The words of a text in order, with a line end between pieces and at the end."""
-    return [*_TOKEN.findall(text.encode().translate(_TABLE)), b"\n"]
+def tokens(text: str) -> tuple[list[bytes], np.ndarray]:
+    """The words of a text in order, and their 64-bit digests with a 0 after each piece (no word has the digest 0)."""
+    pieces = [piece.split() for piece in text.encode().translate(_TABLE).split(b"\n")]
+    found = list(chain.from_iterable(pieces))
+    ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces))) + np.arange(len(pieces))
+    inside = np.ones(len(found) + len(pieces), bool)
+    inside[ends] = False
+    out = np.zeros(len(inside), _U)
+    out[inside] = np.maximum(np.fromiter(map(xxhash.xxh3_64_intdigest, found), _U, len(found)), _U(1))
+    return found, out
 
 
 class Block:
@@ -92,14 +98,6 @@ def _language(lang: str | None) -> int:
     return xxhash.xxh3_64_intdigest(("und" if lang is None else lang).encode())
 
 
-def _digests(found: list[bytes]) -> np.ndarray:
-    """64-bit digests, 0 for breaks (and for no word)."""
-    out = np.fromiter(map(xxhash.xxh3_64_intdigest, found), _U, len(found))
-    np.maximum(out, _U(1), out=out)
-    out[np.fromiter((w == b"\n" for w in found), bool, len(found))] = 0
-    return out
-
-
 def _local_counts(docs: DataFrame, lengths: tuple[int, ...], bits, shards: int) -> DataFrame:
     """shard, lang, digest, n: what each shard has of phrases of these lengths (lang null), and with length 1 its words by language (digest null).
 
@@ -126,7 +124,7 @@ def _local_counts(docs: DataFrame, lengths: tuple[int, ...], bits, shards: int)
 
         for piece in arrow_pieces(batches, "_text", BLOCK_BYTES):
             for text, lang in zip(piece.column("_text").to_pylist(), piece.column("_lang").to_pylist(), strict=True):
-                own = _digests(tokens(text))
+                _, own = tokens(text)
                 digests.append(own)
                 languages.append(_language(lang))
                 size += len(own)
@@ -142,7 +140,8 @@ def _local_counts(docs: DataFrame, lengths: tuple[int, ...], bits, shards: int)
             yield pa.RecordBatch.from_arrays([pa.array([shard] * m, pa.int32()), pa.array(list(totals), pa.string()), pa.nulls(m, pa.int64()), pa.array(list(totals.values()), pa.int64())], ["shard", "lang", "digest", "n"])
 
     counts = docs.mapInArrow(run, "shard int, lang string, digest long, n long")
-    return counts.groupBy("shard", "lang", "digest").agg(F.sum("n").alias("n"))
+    # Blocks are summed already, and so partial sums would save little: all shards' rows of a digest meet in one place, for this sum and for that over the shards.
+    return counts.repartition("digest").groupBy("shard", "lang", "digest").agg(F.sum("n").alias("n"))
 
 
 def _bits(spark, candidates: DataFrame):
@@ -168,15 +167,15 @@ def _counted(docs: DataFrame, bits, most: int) -> DataFrame:
                 _, first, counts = np.unique(own, return_index=True, return_counts=True)
                 at = at[first]
                 lang = [names[i] for i in np.searchsorted(ends, at, side="right").tolist()]
-                phrases = [b" ".join(found[i : i + n]).decode() for i in at.tolist()]
+                phrases = [b" ".join(found[i : i + n]).decode() for i in (at - block.breaks[at]).tolist()]
                 m = len(at)
                 yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(phrases, pa.string()), pa.array(np.full(m, n, np.int32)), pa.array(counts.astype(np.int64))], ["lang", "phrase", "words", "n"])
 
         for piece in arrow_pieces(batches, "_text", BLOCK_BYTES):
             for text, lang in zip(piece.column("_text").to_pylist(), piece.column("_lang").to_pylist(), strict=True):
-                own = tokens(text)
-                found += own
-                digests.append(_digests(own))
+                words, own = tokens(text)
+                found += words
+                digests.append(own)
                 languages.append(_language(lang))
                 names.append(lang)
                 if len(found) >= COUNT_WORDS:
@@ -201,7 +200,11 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", suppo
     every = sum(shares.values())
     # The least whole number that is not below support * share.
     least = F.element_at(F.create_map(*[F.lit(x) for s in range(shards) for x in (s, max(1, -(-support * shares.get(s, 0) // max(1, every))))]), F.col("shard"))
-    candidates = lambda df: df.filter("digest IS NOT NULL").filter(F.col("n") >= least).select("digest")
+
+    def candidates(local: DataFrame) -> DataFrame:
+        by_digest = local.filter("digest IS NOT NULL").groupBy("digest").agg(F.max(F.col("n") >= least).alias("frequent"), F.sum("n").alias("f"))
+        return by_digest.filter(F.col("frequent") & (F.col("f") >= support)).select("digest")
+
     mined = [candidates(words)]
     bits = _bits(spark, mined[0])
     for lengths in [(2,)] + ([tuple(range(3, most + 1))] if most > 2 else []):
