@@ -116,22 +116,28 @@ def periodic_returns(bars: DataFrame, period: str) -> DataFrame:
 
 
 def max_drawdown_path(bars: DataFrame) -> DataFrame:
-    """Deepest drawdown of each symbol with its peak, trough, recovery (or 'Unrecovered') and rows from the peak on. Ties go to the first day."""
-    down = bars.withColumn("peak", F.max("close").over(so_far())).withColumn("dd", (F.col("close") - F.col("peak")) / F.nullif("peak", F.lit(0.0)))
-    trough = down.groupBy("symbol").agg(F.min_by(F.struct("dd", "date", "peak"), F.struct("dd", "date")).alias("t")).select(
-        "symbol", F.col("t.dd").alias("max_drawdown"), F.col("t.date").alias("trough"), F.col("t.peak").alias("peak_price")
-    )
-    rows = bars.join(F.broadcast(trough), "symbol")  # a row for each symbol
-    marks = rows.groupBy("symbol").agg(
-        F.first("max_drawdown").alias("max_drawdown"), F.first("trough").alias("trough"),
-        F.min(F.when((F.col("close") == F.col("peak_price")) & (F.col("date") <= F.col("trough")), F.col("date"))).alias("peak"),
-        F.min(F.when((F.col("close") >= F.col("peak_price")) & (F.col("date") >= F.col("trough")), F.col("date"))).alias("recovery"),
+    """Deepest drawdown of each symbol with its peak, trough, recovery (or 'Unrecovered') and rows from the peak on. Ties go to the first day.
+
+    One sort of the series carries all that is known so far: the peak and where it was first reached, and the place of the last row below all rows before it,
+    which at the end is the trough. Rows are then grouped by that place, so the recovery is the first row at the peak within the last group. Nothing is read again,
+    and groups and symbols lie where the windows have put them. A symbol without a drawdown (no prices, peaks of 0) is left out.
+    """
+    before = ordered().rowsBetween(Window.unboundedPreceding, -1)
+    highest, lowest = F.max("close").over(before), F.min("dd").over(before)
+    rows = bars.select("symbol", "date", "close", F.max("close").over(so_far()).alias("peak"), F.row_number().over(ordered()).alias("n"), (F.col("close").isNotNull() & (highest.isNull() | (F.col("close") > highest))).alias("new_peak"))
+    rows = rows.withColumns({"dd": (F.col("close") - F.col("peak")) / F.nullif("peak", F.lit(0.0)), "peak_n": F.max(F.when(F.col("new_peak"), F.col("n"))).over(so_far()), "peak_date": F.max(F.when(F.col("new_peak"), F.col("date"))).over(so_far())})
+    rows = rows.withColumn("new_low", F.col("dd").isNotNull() & (lowest.isNull() | (F.col("dd") < lowest))).withColumn("low_n", F.max(F.when(F.col("new_low"), F.col("n"))).over(so_far()))
+    low, high = F.col("n") == F.col("low_n"), F.col("close") >= F.col("peak")
+    at_low = {c: F.max(F.when(low, F.col(x))) for c, x in (("max_drawdown", "dd"), ("trough", "date"), ("peak", "peak_date"), ("from_n", "peak_n"))}
+    lows = rows.filter("low_n IS NOT NULL").groupBy("symbol", "low_n").agg(
+        *[x.alias(c) for c, x in at_low.items()], F.min(F.when(high, F.col("date"))).alias("recovery"), F.min(F.when(high, F.col("n"))).alias("to_n"), F.max("n").alias("last_n")
     )
-    spans = bars.join(F.broadcast(marks), "symbol").filter("date >= peak AND (recovery IS NULL OR date <= recovery)")
+    # A missing recovery must not give way to that of an earlier low, so that the last low's values are picked with their nulls.
+    last = lows.groupBy("symbol").agg(*[F.max_by(c, "low_n").alias(c) for c in (*at_low, "recovery", "to_n")], F.max("last_n").alias("last_n"))
     text = lambda c: F.date_format(c, "yyyy-MM-dd")
-    return spans.groupBy("symbol").agg(
-        F.round(F.first("max_drawdown"), 4).alias("max_drawdown"), text(F.first("peak")).alias("peak_date"), text(F.first("trough")).alias("trough_date"),
-        F.coalesce(text(F.first("recovery")), F.lit("Unrecovered")).alias("recovery_date"), F.count("*").alias("duration_rows"),
+    return last.select(
+        "symbol", F.round("max_drawdown", 4).alias("max_drawdown"), text("peak").alias("peak_date"), text("trough").alias("trough_date"), F.coalesce(text("recovery"), F.lit("Unrecovered")).alias("recovery_date"),
+        (F.coalesce("to_n", "last_n") - F.col("from_n") + 1).cast("long").alias("duration_rows"),
     )
 
 
@@ -139,8 +145,7 @@ def momentum_ranking(bars: DataFrame, horizons: dict[str, int] | None = None) ->
     """Momenta of the last row of each symbol in per cent; null where the series is too short."""
     horizons = horizons or {"momentum_1m": 21, "momentum_3m": 63, "momentum_6m": 126, "momentum_12m": 252}
     rows = bars.select("symbol", "date", *[(change("close", n) * 100.0).alias(name) for name, n in horizons.items()])
-    last = rows.groupBy("symbol").agg(F.max_by(F.struct(*horizons), "date").alias("m"))
-    return last.select("symbol", "m.*")
+    return rows.groupBy("symbol").agg(*[F.max_by(name, "date").alias(name) for name in horizons])
 
 
 def momentum(bars: DataFrame, symbol: str, lookback: int) -> DataFrame:

@@ -79,7 +79,7 @@ class Silver:
             (missing("open") + missing("high") + missing("low")).alias("missing_open_high_low"), missing("volume").alias("missing_volumes"),
             count(F.col("_complete") & ~F.col("_ok")).alias("non_positive_price_records"), count(F.col("_ok") & (F.col("volume") < 0)).alias("negative_volume_records"),
             count(F.col("_ok") & _violation()).alias("invalid_ohlc_relationships_reconciled"), count((F.col("_change") > SURGE) | (F.col("_change") < COLLAPSE)).alias("extreme_price_anomalies"),
-            count(F.col("_ok")).alias("silver_clean_rows"), F.countDistinct(good("symbol")).alias("distinct_symbols"), F.min(good("date")).alias("start_date"), F.max(good("date")).alias("end_date"),
+            count(F.col("_ok")).alias("silver_clean_rows"), F.countDistinct(good("symbol")).alias("distinct_symbols"), *[F.date_format(f(F.to_date(good("date"))), "yyyy-MM-dd").alias(name) for f, name in ((F.min, "start_date"), (F.max, "end_date"))],
         )
         return found.withColumn("quality_pass_rate_pct", F.round(F.col("silver_clean_rows") / F.nullif(F.col("total_rows_ingested"), F.lit(0)) * 100.0, 4))
 

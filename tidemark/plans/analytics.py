@@ -28,7 +28,12 @@ class Star:
     def daily(self, *asset_columns: str) -> DataFrame:
         """Fact rows with their asset's columns and calendar day."""
         rows = self.fact.join(F.broadcast(self.assets.select("asset_key", *asset_columns)), "asset_key")
-        return rows.withColumn("calendar_date", F.concat_ws("-", *[F.substring(F.col("market_date_key").cast("string"), a, n) for a, n in ((1, 4), (5, 2), (7, 2))]))
+        return rows.withColumn("calendar_date", _calendar_date("market_date_key"))
+
+
+def _calendar_date(key: str) -> Column:
+    """yyyy-MM-dd of a date key."""
+    return F.concat_ws("-", *[F.substring(F.col(key).cast("string"), a, n) for a, n in ((1, 4), (5, 2), (7, 2))])
 
 
 def _spread(x: str) -> Column:
@@ -77,7 +82,8 @@ def monthly_returns(s: Star, digits: int = 2) -> DataFrame:
 
 def volatility_ranking(s: Star, digits: int = 2) -> DataFrame:
     keys = ["symbol", "asset_name", "asset_type", "sector"]
-    latest = s.daily(*keys).filter("volatility_20d IS NOT NULL").groupBy(*keys).agg(F.max_by(F.struct("volatility_20d", "volatility_60d", "calendar_date"), "market_date_key").alias("x")).select(*keys, "x.*")
+    rows = s.daily(*keys).filter("volatility_20d IS NOT NULL").groupBy(*keys)
+    latest = rows.agg(*[F.max_by(c, "market_date_key").alias(c) for c in ("volatility_20d", "volatility_60d")], F.max("market_date_key").alias("day")).withColumn("calendar_date", _calendar_date("day"))
     v = F.col("volatility_20d")
     return latest.select(
         F.dense_rank().over(Window.orderBy(v.desc())).alias("rank_20d"), *keys, rounded(v * 100.0, digits).alias("annualized_volatility_20d_pct"), rounded(F.col("volatility_60d") * 100.0, digits).alias("annualized_volatility_60d_pct"),
@@ -88,9 +94,13 @@ def volatility_ranking(s: Star, digits: int = 2) -> DataFrame:
 def drawdown_analysis(s: Star, digits: int = 2) -> DataFrame:
     """The trough is the first day of the deepest drawdown."""
     keys = ["symbol", "asset_name", "sector"]
-    rows = s.daily(*keys).groupBy(*keys).agg(
-        F.min("drawdown").alias("deepest"), F.avg("drawdown").alias("mean"), F.max_by("drawdown", "market_date_key").alias("now"), F.min_by("calendar_date", F.struct("drawdown", "market_date_key")).alias("max_drawdown_trough_date"),
-    )
+    earlier = Window.partitionBy("asset_key").orderBy("market_date_key").rowsBetween(Window.unboundedPreceding, -1)
+    lowest = F.min("drawdown").over(earlier)
+    new_low = F.col("drawdown").isNotNull() & (lowest.isNull() | (F.col("drawdown") < lowest))
+    # The last day that is lower than all before it is the first day of the deepest drawdown.
+    rows = s.daily(*keys).withColumn("low_day", F.when(new_low, F.col("market_date_key"))).groupBy(*keys).agg(
+        F.min("drawdown").alias("deepest"), F.avg("drawdown").alias("mean"), F.max_by("drawdown", "market_date_key").alias("now"), F.max("low_day").alias("low_day"),
+    ).withColumn("max_drawdown_trough_date", _calendar_date("low_day"))
     steps = [(-0.02, "At or Near All-Time High"), (-0.10, "Minor Pullback (2% - 10%)"), (-0.20, "Correction (10% - 20%)")]
     pct = lambda c: rounded(F.col(c) * 100.0, digits)
     return rows.select(

@@ -111,11 +111,11 @@ def int_risk_metrics(rows: DataFrame, digits: int | None = None) -> DataFrame:
 
 @registry.model("stg_assets", "int_risk_metrics", "int_rolling_metrics", materialized="table")
 def mart_asset_performance(assets: DataFrame, risk: DataFrame, rolling: DataFrame, digits: int | None = None) -> DataFrame:
-    latest = rolling.groupBy("asset_key").agg(F.max_by(F.struct("close_price", "drawdown", "sma_200_ratio"), "date_key").alias("x"))
+    latest = rolling.groupBy("asset_key").agg(*[F.max_by(c, "date_key").alias(c) for c in ("close_price", "drawdown", "sma_200_ratio")])
     pct = lambda c: rounded(F.col(c) * 100.0, _d(digits, 2))
     return assets.join(risk, "asset_key").join(latest, "asset_key").select(
-        "symbol", "asset_name", "asset_type", "sector", "industry", F.col("x.close_price").alias("latest_price"), pct("annualized_return").alias("annualized_return_pct"), pct("annualized_volatility").alias("annualized_volatility_pct"),
-        "sharpe_ratio", "sortino_ratio", pct("x.drawdown").alias("current_drawdown_pct"), F.col("x.sma_200_ratio").alias("sma_200_ratio"),
+        "symbol", "asset_name", "asset_type", "sector", "industry", F.col("close_price").alias("latest_price"), pct("annualized_return").alias("annualized_return_pct"), pct("annualized_volatility").alias("annualized_volatility_pct"),
+        "sharpe_ratio", "sortino_ratio", pct("drawdown").alias("current_drawdown_pct"), "sma_200_ratio",
     )
 
 
