@@ -7,10 +7,11 @@ import json
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import trailing
+from tidemark.functions.columns import so_far, trailing
+from tidemark.functions.medians import with_expanding_median
 from tidemark.operators import boosting
 from tidemark.sources.files import write_text
 
@@ -27,15 +28,15 @@ def labelled(gold: DataFrame, benchmark: str) -> DataFrame:
     Volatility is low if it is at or below the trailing median of the 60-day one (252 rows, 60 of them needed; else of all rows so far, 30 needed).
     """
     own = gold.filter(F.col("symbol") == benchmark)
-    w, cum = trailing(252), Window.partitionBy("symbol").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    half = lambda over: F.percentile("volatility_60d", F.lit(0.5)).over(over)
+    w = trailing(252)
     n = lambda over: F.count("volatility_60d").over(over)
-    median = F.coalesce(F.when(n(w) >= 60, half(w)), F.when(n(cum) >= 30, half(cum)))
-    rows = own.withColumn("_median", median)
+    rolling = F.when(n(w) >= 60, F.percentile("volatility_60d", F.lit(0.5)).over(w))
+    rows = with_expanding_median(own, "volatility_60d", "_expanding")
+    rows = rows.withColumn("_median", F.coalesce(rolling, F.when(n(so_far()) >= 30, F.col("_expanding"))))
     low, up = F.coalesce(F.col("volatility_20d") <= F.col("_median"), F.lit(False)), F.coalesce(F.col("momentum_3m") > 0, F.lit(False))
     target = F.when(low & up, 0).when(low, 1).when(~up, 2).otherwise(3)
     label = F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair])
-    return rows.withColumn("regime_target", target).withColumn("regime_label", label[F.col("regime_target")]).drop("_median").na.drop(subset=COLUMNS)
+    return rows.withColumn("regime_target", target).withColumn("regime_label", label[F.col("regime_target")]).drop("_median", "_expanding").na.drop(subset=COLUMNS)
 
 
 def split(rows: DataFrame, train_end: str, val_end: str, test_end: str) -> dict[str, DataFrame]:

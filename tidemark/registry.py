@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import oracle
+from tidemark.functions import series
 from tidemark.functions.columns import rounded
 from tidemark.operators import checks, gold, regimes, risk, silver
 from tidemark.plans import analytics, models
@@ -132,6 +133,8 @@ def queries() -> dict[str, Query]:
         "gold_features": lambda s, d: _out(_gold(s, d)),
         "gold_features_ungated": lambda s, d: _out(gold.features(bars.bars_type(s, d), gate=False).select("symbol", "date", *gold.VOLATILITIES, "sma_20", "sma_50")),
         "gold_features_hourly": lambda s, d: _out(gold.features(bars.bars_event(s, d)).select("symbol", "date", "daily_return", "volatility_20d", "sma_50", "volume_ratio", "drawdown")),
+        "gold_features_blocks": lambda s, d: _out(gold.features_in_blocks(bars.bars_type(s, d), rows=500)),
+        "gold_features_hourly_blocks": lambda s, d: _out(gold.features_in_blocks(bars.bars_event(s, d), rows=300, cell=series.by_days(days=30)).select("symbol", "date", "daily_return", "volatility_20d", "sma_50", "volume_ratio", "drawdown")),
         "dim_asset": lambda s, d: _out(_star(s, d).assets),
         "dim_date": lambda s, d: _out(_star(s, d).dates),
         "fact_market_daily": lambda s, d: _out(_star(s, d).fact),
