@@ -7,7 +7,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import medians, series
+from tidemark.functions import medians, quantiles, series
 from tidemark.operators import gold, risk
 from tidemark.sources import bars
 
@@ -84,3 +84,17 @@ def test_market_plans_have_no_aggregate_that_sorts(spark, tmp_path):
         assert "SortAggregate" not in plan, name
     assert registry.queries()["max_drawdown_path"](spark, folder)._jdf.queryExecution().executedPlan().toString().count("Scan parquet") == 2  # trades and parts
     assert risk.max_drawdown_path(_bars(spark, {"a": 5})).count() == 1
+
+
+def test_quantiles_by_refined_counts(spark):
+    draw = random.Random(4)
+    values = {"even": [draw.uniform(-1, 1) for _ in range(700)], "ties": [draw.choice([0.5, 0.5, 0.25, -3.0]) for _ in range(500)], "far": [1e-9 * i for i in range(400)] + [1e12], "one": [7.0], "none": []}
+    rows = [(s, v) for s, x in values.items() for v in [*x, None, float("nan")]]
+    df = spark.createDataFrame(rows, "symbol string, v double").repartition(4)
+    wanted = spark.createDataFrame([(s, r) for s, x in values.items() for r in (0, 1, 2, len(x) // 3, len(x), len(x) + 1)], "symbol string, rank int")
+    got = {(r.symbol, r.rank): r.v for r in quantiles.at_ranks(df, "v", wanted, enough=20, buckets=8).collect()}
+    assert got == {(s, r): sorted(x)[r - 1] for s, x in values.items() for r in (0, 1, 2, len(x) // 3, len(x), len(x) + 1) if 1 <= r <= len(x)}
+    plain = {r.symbol: r.q for r in df.filter("NOT isnan(v)").groupBy("symbol").agg(F.percentile("v", F.lit(0.05)).alias("q")).collect()}
+    found = {r.symbol: (r.n, r.quantile) for r in quantiles.quantile(df, "v", 0.05, enough=30, buckets=16).collect()}
+    assert {s: n for s, (n, _) in found.items()} == {s: len(x) for s, x in values.items() if x}
+    assert all(abs(found[s][1] - plain[s]) <= 1e-12 * max(1, abs(plain[s])) for s in found)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import RISK_FREE, TRADING_DAYS, YEAR, change, ordered, ratio, so_far, trailing
+from tidemark.functions.quantiles import quantile
 
 R = "daily_return"
 
@@ -77,12 +78,23 @@ def moments() -> list[Column]:
     return [n.alias("n"), s.alias("skewness"), k.alias("excess_kurtosis"), jb.alias("jarque_bera"), F.exp(-jb / 2.0).alias("p_value")]
 
 
+def value_at_risk(returns: DataFrame, level: float = 0.95) -> DataFrame:
+    """symbol, var_hist: as var_historical, for series of any length: no task holds all returns of a symbol. 0 with fewer than 10 returns."""
+    cut = quantile(returns, R, round(1 - level, 10), name="cut")
+    return _all_symbols(returns, cut.select("symbol", F.when(F.col("n") < 10, 0.0).otherwise(F.abs("cut")).alias("var_hist")))
+
+
 def cvar(returns: DataFrame, level: float = 0.95) -> DataFrame:
-    """symbol, cvar: the mean of returns at or below the quantile; 0 with fewer than 10 returns."""
-    cut = returns.groupBy("symbol").agg(F.percentile(R, F.lit(round(1 - level, 10))).alias("cut"), F.count(R).alias("n"))
-    tail = returns.join(F.broadcast(cut), "symbol").filter(F.col(R) <= F.col("cut"))  # a row for each symbol
-    means = tail.groupBy("symbol").agg(F.abs(F.avg(R)).alias("cvar"))
-    return cut.join(means, "symbol", "left").select("symbol", F.when(F.col("n") < 10, 0.0).otherwise(F.coalesce("cvar", F.lit(0.0))).alias("cvar"))
+    """symbol, cvar: the mean of returns at or below the quantile; 0 with fewer than 10 returns. The tail is an aggregate, and the quantile one of refined counts."""
+    cut = quantile(returns, R, round(1 - level, 10), name="cut")
+    tail = returns.join(cut, "symbol").filter(F.col(R) <= F.col("cut")).groupBy("symbol").agg(F.when(F.max("n") < 10, 0.0).otherwise(F.abs(F.avg(R))).alias("cvar"))
+    return _all_symbols(returns, tail)
+
+
+def _all_symbols(returns: DataFrame, found: DataFrame) -> DataFrame:
+    """Symbols without returns too, with 0."""
+    own = next(c for c in found.columns if c != "symbol")
+    return returns.select("symbol").distinct().join(found, "symbol", "left").select("symbol", F.coalesce(own, F.lit(0.0)).alias(own))
 
 
 def parkinson(bars: DataFrame, n: int = 20) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import RISK_FREE, TRADING_DAYS, YEAR, rounded, trailing
+from tidemark.functions.quantiles import at_ranks
 from tidemark.operators import gold as gold_features
 from tidemark.operators import star
 
@@ -147,8 +148,8 @@ def risk_metrics(s: Star, digits: int = 2) -> DataFrame:
     rows = s.daily(*keys).filter("daily_return IS NOT NULL")
     down = F.sqrt(F.sum(F.when(F.col("daily_return") < 0, F.col("daily_return") * F.col("daily_return")).otherwise(0.0)) / F.nullif(F.count("daily_return").cast("double"), F.lit(0.0)))
     stats = rows.groupBy(*keys).agg(F.avg("daily_return").alias("mean"), F.min("daily_return").alias("worst"), down.alias("down"))
-    ranked = rows.select("symbol", "daily_return", F.row_number().over(Window.partitionBy("symbol").orderBy("daily_return")).alias("k"), F.count("*").over(Window.partitionBy("symbol")).alias("n"))
-    var = ranked.filter(F.col("k") == F.round(F.col("n") * 0.05).cast("int")).select("symbol", F.abs("daily_return").alias("var"))
+    wanted = rows.groupBy("symbol").agg(F.round(F.count("*") * 0.05).cast("int").alias("rank"))
+    var = at_ranks(rows, "daily_return", wanted).select("symbol", F.abs("daily_return").alias("var"))
     pct = lambda x: rounded(x * 100.0, digits)
     return stats.join(var, "symbol").select(
         *keys, pct(F.col("var")).alias("var_95_daily_pct"), pct(F.col("worst")).alias("worst_single_day_pct"), pct(F.col("down") * YEAR).alias("annualized_downside_deviation_pct"),

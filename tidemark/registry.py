@@ -155,7 +155,7 @@ def queries() -> dict[str, Query]:
         "sharpe": _aggregate("sharpe", risk.sharpe),
         "sortino": _aggregate("sortino", risk.sortino),
         "downside_dev": _aggregate("downside_dev", risk.downside_deviation),
-        "var_hist": _aggregate("var_hist", risk.var_historical),
+        "var_hist": lambda s, d: _out(risk.value_at_risk(_type_returns(s, d))),
         "var_param": _aggregate("var_param", risk.var_parametric),
         "cvar": lambda s, d: _out(risk.cvar(_type_returns(s, d))),
         "return_moments": lambda s, d: _out(_type_returns(s, d).groupBy("symbol").agg(*risk.moments())),
