@@ -35,7 +35,7 @@ SUPPORT, MOST_WORDS, COVERED, TOP = 30, 4, 80, 2000
 SHARDS = 6
 #: Bits that hold the candidates of a pass, 8 MB at any size of the corpus.
 FILTER_BITS = 1 << 26
-MINE_WORDS, COUNT_WORDS, BLOCK_BYTES = 1_500_000, 1_000_000, 1_000_000
+MINE_WORDS, COUNT_WORDS, BLOCK_BYTES = 2_500_000, 2_500_000, 1_000_000
 
 _U = np.uint64
 #: After lower-casing, the marks that end a piece become line ends and tabs become blanks.
