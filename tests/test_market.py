@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.columns import percentage_change, rounded
 from tidemark.operators import checks, gold, regimes, risk, silver, star
 from tidemark.plans import analytics, models, pipeline
-from tidemark.sources import bars, files
+from tidemark.sources import bars, files, publication
 from tidemark.streaming.bars import hourly_bars
 
 BARS = "symbol string, date string, open double, high double, low double, close double, adjusted_close double, volume long"
@@ -209,7 +209,7 @@ def test_pipeline_end_to_end(spark, tmp_path):
             rows.append((s, str(datetime.date(2024, 1, 1) + datetime.timedelta(days=i)), price, price * 1.01, price * 0.99, price, price, 1000 + i))
     out = pipeline.run(spark, bronze(spark, rows), str(tmp_path))
     assert set(out["checks"].values()) == {"PASSED"} and out["metrics"]["silver_clean_rows"] == 240 and "gold" in out["seconds"]
-    assert spark.read.parquet(f"{tmp_path}/mart_asset_performance").count() == 2
+    assert publication.published(spark, f"{tmp_path}/mart_asset_performance").count() == 2
 
 
 def test_files(spark, tmp_path):
@@ -353,3 +353,51 @@ def test_champion_is_stored_and_read_back(spark, market, tmp_path):
     regimes.save(str(tmp_path), best, model, scores, spark)
     again, metrics = regimes.load(spark, str(tmp_path))
     assert metrics["champion"] == best and regimes.latest(again, rows)["regime"] == regimes.latest(model, rows)["regime"]
+
+
+def test_publications_are_whole_or_not_there(spark, tmp_path):
+    folder = f"{tmp_path}/table"
+    with pytest.raises(ValueError, match="nothing is published"):
+        publication.published(spark, folder)
+    runs = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        runs.add(1)
+        yield from batches
+
+    first = files.write_raw(spark.range(3).coalesce(1).mapInArrow(counted, "id long"), folder, "20240101")
+    assert runs.value == 1  # one run of the plan for both names
+    before = publication.published(spark, folder)
+    with pytest.raises(Exception, match="broken"):
+        publication.publish(spark.range(5).selectExpr("CASE WHEN id < 4 THEN id ELSE raise_error('broken') END AS id"), folder)
+    assert publication.current(spark, folder) == first and publication.published(spark, folder).count() == 3
+    second = files.write_raw(spark.range(7), folder, "20240102")
+    assert before.count() == 3 and publication.published(spark, folder).count() == 7 and publication.published(spark, folder, "raw_20240101").count() == 3
+    publication.point(spark, folder, first)
+    assert publication.current(spark, folder) == first
+    with pytest.raises(ValueError, match="not complete"):
+        publication.point(spark, folder, "other")
+    third = publication.publish(spark.range(1), folder)
+    assert len(publication.prune(spark, folder)) == 1 and {publication.current(spark, folder, x) for x in ("latest", "raw_20240101", "raw_20240102")} == {first, second, third}
+
+
+def test_correlations_by_blocks(spark):
+    draw, rows = random.Random(12), []
+    for k, s in enumerate("ABCDEFG"):
+        rows += [(s, datetime.date(2024, 1, 1) + datetime.timedelta(days=i), None if draw.random() < 0.2 else 5.0 if s == "G" else 1e6 * (s == "F") + draw.gauss(0, 1) + k * i % 3) for i in range(60)]
+    rows.append(("H", datetime.date(2024, 1, 1), 1.0))
+    df = spark.createDataFrame(rows, "symbol string, date date, daily_return double").repartition(3)
+    got = {(r.symbol_a, r.symbol_b): r.correlation for r in risk.correlations(df, symbols=2, days=7).collect()}
+    by = {s: {d: v for x, d, v in rows if x == s and v is not None} for s in "ABCDEFGH"}
+
+    def plain(a, b):
+        both = [(by[a][d], by[b][d]) for d in by[a] if d in by[b]]
+        mx, my = (sum(x) / len(both) for x in zip(*both, strict=True))
+        xx, yy, xy = sum((x - mx) ** 2 for x, _ in both), sum((y - my) ** 2 for _, y in both), sum((x - mx) * (y - my) for x, y in both)
+        return xy / math.sqrt(xx * yy) if len(both) > 1 and xx > 0 and yy > 0 else None
+
+    pairs = {(a, b) for a in by for b in by if any(d in by[b] for d in by[a])}
+    assert set(got) == pairs
+    for p in pairs:
+        assert (got[p] is None) == (plain(*p) is None) and (got[p] is None or abs(got[p] - plain(*p)) < 1e-8), p
+    assert "CartesianProduct" not in risk.correlations(df)._jdf.queryExecution().toString()

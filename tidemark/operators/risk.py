@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from statistics import NormalDist
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -166,15 +168,60 @@ def momentum(bars: DataFrame, symbol: str, lookback: int) -> DataFrame:
     return own.agg(F.coalesce(F.max_by("m", "date"), F.lit(0.0)).alias("momentum"))
 
 
-def correlations(returns: DataFrame, method: str = "pearson") -> DataFrame:
-    """symbol_a, symbol_b, correlation over the days that both have; Spearman's is that of mean ranks among those days."""
-    x = returns.select("date", F.col("symbol").alias("symbol_a"), F.col(R).alias("a")).filter("a IS NOT NULL")
-    y = returns.select("date", F.col("symbol").alias("symbol_b"), F.col(R).alias("b")).filter("b IS NOT NULL")
-    pairs = x.join(y, "date")
+#: Symbols of a block of the correlation matrix, and days that a task holds of two blocks: 2 * 64 * 1,024 numbers.
+BLOCK_SYMBOLS, BLOCK_DAYS = 64, 1_024
+_MOMENTS = ["n", "x", "y", "xx", "yy", "xy"]
+
+
+def _co_moments(values: DataFrame, symbols: int, days: int) -> DataFrame:
+    """symbol_a <= symbol_b and sums over the days that both have: n, x, y, xx, yy, xy.
+
+    The matrix is made in blocks: a value goes to the pairs of blocks that its symbol's block is in (one of them, up to `symbols` symbols), cut by time. A task turns
+    what it gets into two dense matrices and multiplies them; sums of the cuts are added. No value meets another in a join.
+    """
+    index = values.groupBy("symbol").agg(F.avg("v").alias("mean")).withColumn("s", F.row_number().over(Window.orderBy("symbol")) - 1)  # one row for each symbol
+    index = index.withColumn("blocks", F.floor((F.count("*").over(Window.partitionBy(F.lit(0))) + symbols - 1) / symbols).cast("int"))
+    own = F.floor(F.col("s") / symbols).cast("int")
+    # Values are taken from their symbol's mean: sums of squares keep their digits, and correlations don't see it.
+    rows = values.join(index, "symbol").select("s", F.datediff("date", F.lit("1970-01-01")).alias("day"), (F.col("v") - F.col("mean")).alias("v"), own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("s", "day", "v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.floor(F.col("day") / days).alias("part"))
+
+    def multiply(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        i, j = key[0].as_py(), key[1].as_py()
+        names, s = np.unique(table.column("s").to_numpy(), return_inverse=True)
+        dates, d = np.unique(table.column("day").to_numpy(), return_inverse=True)
+        x, has = np.zeros((len(dates), len(names))), np.zeros((len(dates), len(names)))
+        x[d, s], has[d, s] = table.column("v").to_numpy(), 1.0
+        square = x * x
+        sums = {"n": has.T @ has, "x": x.T @ has, "y": has.T @ x, "xx": square.T @ has, "yy": has.T @ square, "xy": x.T @ x}
+        a, b = np.nonzero((names[:, None] // symbols == i) & (names[None, :] // symbols == j) & (names[:, None] <= names[None, :]) & (sums["n"] > 0))
+        return pa.table({"a": names[a].astype(np.int32), "b": names[b].astype(np.int32)} | {c: sums[c][a, b] for c in _MOMENTS})
+
+    parts = rows.groupBy("i", "j", "part").applyInArrow(multiply, "a int, b int, " + ", ".join(f"{c} double" for c in _MOMENTS))
+    sums = parts.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in _MOMENTS])
+    name = lambda c: index.select(F.col("s").alias(c), F.col("symbol").alias(f"symbol_{c}"))
+    return sums.join(name("a"), "a").join(name("b"), "b").select("symbol_a", "symbol_b", *_MOMENTS)
+
+
+def correlations(returns: DataFrame, method: str = "pearson", symbols: int = BLOCK_SYMBOLS, days: int = BLOCK_DAYS) -> DataFrame:
+    """symbol_a, symbol_b, correlation over the days that both have; null with fewer than two, or for a series that doesn't change.
+
+    A day's return of a symbol is one row. Both methods work on pairs a <= b and mirror them. Spearman's is that of mean ranks among the pair's own days, which differ from pair to pair where
+    days are missing; so its values do meet by day.
+    """
+    values = returns.select("date", "symbol", F.col(R).alias("v")).filter("v IS NOT NULL")
     if method == "spearman":
+        x, y = values.select("date", F.col("symbol").alias("symbol_a"), F.col("v").alias("a")), values.select("date", F.col("symbol").alias("symbol_b"), F.col("v").alias("b"))
+        pairs = x.join(y, "date").filter("symbol_a <= symbol_b")
         mean_rank = lambda c: F.rank().over(Window.partitionBy("symbol_a", "symbol_b").orderBy(c)) + (F.count("*").over(Window.partitionBy("symbol_a", "symbol_b", c)) - 1) / 2.0
-        pairs = pairs.select("symbol_a", "symbol_b", mean_rank("a").alias("a"), mean_rank("b").alias("b"))
-    return pairs.groupBy("symbol_a", "symbol_b").agg(F.when(F.count("*") >= 2, F.corr("a", "b")).alias("correlation"))
+        ranked = pairs.select("symbol_a", "symbol_b", mean_rank("a").alias("a"), mean_rank("b").alias("b"))
+        half = ranked.groupBy("symbol_a", "symbol_b").agg(F.when(F.count("*") >= 2, F.corr("a", "b")).alias("correlation"))
+    else:
+        n, x, y, xx, yy, xy = map(F.col, _MOMENTS)
+        spread = F.sqrt(F.greatest(n * xx - x * x, F.lit(0.0))) * F.sqrt(F.greatest(n * yy - y * y, F.lit(0.0)))
+        half = _co_moments(values, symbols, days).select("symbol_a", "symbol_b", F.when(n >= 2, (n * xy - x * y) / F.nullif(spread, F.lit(0.0))).alias("correlation"))
+    twice = F.explode(F.when(F.col("symbol_a") == F.col("symbol_b"), F.array(F.struct("symbol_a", "symbol_b"))).otherwise(F.array(F.struct("symbol_a", "symbol_b"), F.struct(F.col("symbol_b").alias("symbol_a"), F.col("symbol_a").alias("symbol_b")))))
+    return half.select(twice.alias("p"), "correlation").select("p.symbol_a", "p.symbol_b", "correlation")
 
 
 def rolling_correlation(returns: DataFrame, a: str, b: str, n: int = 60, least: int | None = None) -> DataFrame:

@@ -10,18 +10,21 @@ from pyspark.sql import functions as F
 from tidemark.operators import checks, gold, silver
 from tidemark.plans import models
 from tidemark.plans.analytics import Star
-from tidemark.sources import files
+from tidemark.sources import files, publication
 
 
 def run(spark: SparkSession, bronze: DataFrame, folder: str, order: str = "ingest_seq") -> dict:
-    """Writes layers and models below folder and returns seconds by stage, the metrics of cleaning, and check results."""
+    """Publishes layers and models below folder and returns seconds by stage, the metrics of cleaning, and check results.
+
+    Each is a new version beside the ones before (see sources.publication): a batch that fails half-way leaves every layer readable as it was.
+    """
     seconds, began = {}, time.time()
 
     def stored(name: str, df: DataFrame, **options) -> DataFrame:
         nonlocal began
-        files.write_layer(df, f"{folder}/{name}", **options)
+        publication.publish(df, f"{folder}/{name}", **options)
         seconds[name], began = round(time.time() - began, 3), time.time()
-        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+        return publication.published(spark, f"{folder}/{name}", schema=df.schema)
 
     raw = stored("bronze", bronze)
     steps = silver.Silver(raw, order)

@@ -12,7 +12,7 @@ from tidemark.functions import series
 from tidemark.functions.columns import rounded
 from tidemark.operators import checks, gold, regimes, risk, silver
 from tidemark.plans import analytics, models
-from tidemark.sources import bars
+from tidemark.sources import bars, files
 
 #: Held types of parts, the benchmarks of both kinds of bars, and the ends of the splits.
 WEIGHTS = {"STANDARD": 0.35, "ECONOMY": 0.25, "PROMO": 0.20, "SMALL": 0.20}
@@ -51,6 +51,14 @@ def _silver_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     return faulty.unionByName(twice).drop("n")
 
 
+def _quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotes as a feed has them, a column for each symbol and field, and back to a row for each symbol and day."""
+    daily, fields = bars.bars_type(spark, sf_dir), ["open", "high", "low", "close", "adjusted_close", "volume"]
+    symbols = sorted(r.symbol for r in bars.table(spark, sf_dir, "part").select(F.col("p_type").alias("symbol")).distinct().collect())  # the feed's columns: a few names
+    wide = daily.groupBy("date").pivot("symbol", symbols).agg(*[F.max(f).alias(f) for f in fields])
+    return files.wide_to_long(wide, symbols, fields)
+
+
 def _type_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk.with_returns(bars.bars_type(spark, sf_dir))
 
@@ -118,6 +126,7 @@ def queries() -> dict[str, Query]:
         "bars_type": lambda s, d: _out(bars.bars_type(s, d)),
         "bars_nation": lambda s, d: _out(bars.bars_nation(s, d)),
         "bars_event": lambda s, d: _out(bars.bars_event(s, d)),
+        "quotes_wide_to_long": lambda s, d: _out(_quotes(s, d)),
         "bronze_enrich": lambda s, d: bars.bronze(bars.bars_type(s, d), "trades", "batch-1", "2026-01-01 00:00:00 UTC"),
         "silver_dedup": lambda s, d: _out(silver.first_of_each(_silver_input(s, d))),
         "silver_clean": lambda s, d: _out(silver.Silver(_silver_input(s, d)).clean()),

@@ -6,8 +6,11 @@ import json
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
+from tidemark.sources import publication
+
 BARS = StructType([StructField("symbol", StringType()), StructField("date", StringType()), *(StructField(c, DoubleType()) for c in ("open", "high", "low", "close", "adjusted_close")), StructField("volume", LongType())])
 BRONZE = StructType([*BARS.fields, *(StructField(c, StringType()) for c in ("ingestion_timestamp", "source", "batch_id"))])
 SILVER_COLUMNS = BRONZE.fieldNames()
@@ -30,20 +33,15 @@ def write_layer(df: DataFrame, path: str, csv_path: str | None = None, partition
         df.sparkSession.read.parquet(path).write.mode("overwrite").csv(csv_path, header=True)
 
 
-def write_raw(df: DataFrame, folder: str, stamp: str) -> None:
-    """A dated copy and the latest one."""
-    for name in (f"raw_{stamp}", "raw_latest"):
-        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+def write_raw(df: DataFrame, folder: str, stamp: str) -> str:
+    """Publishes a raw batch as `raw_<stamp>` and as `latest`: one run of the plan and one copy, and the batch before stays readable until both are there."""
+    return publication.publish(df, folder, f"raw_{stamp}", publication.LATEST)
 
 
 def wide_to_long(wide: DataFrame, symbols: list[str], fields: list[str], date: str = "date") -> DataFrame:
-    """Columns `<symbol>_<field>` of a wide table become rows; rows without any value go."""
-    from functools import reduce
-
-    from pyspark.sql import functions as F
-
-    frames = [wide.select(F.lit(s).alias("symbol"), F.col(date).alias("date"), *[F.col(f"{s}_{f}").alias(f) for f in fields]) for s in symbols]
-    return reduce(DataFrame.unionByName, frames).na.drop(how="all", subset=fields)
+    """Columns `<symbol>_<field>` of a wide table become rows, from one scan; rows without any value go."""
+    one = F.array(*[F.struct(F.lit(s).alias("symbol"), *[F.col(f"{s}_{f}").alias(f) for f in fields]) for s in symbols])
+    return wide.select(F.col(date).alias("date"), F.inline(one)).select("symbol", "date", *fields).na.drop(how="all", subset=fields)
 
 
 def instruments(spark: SparkSession, path: str) -> DataFrame:
