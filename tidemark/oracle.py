@@ -234,6 +234,25 @@ SELECT symbol, round(dd, 4) + 0.0 AS max_drawdown, strftime(pd, '%Y-%m-%d') AS p
     q["portfolio_risk_decomposition"] = f"""{port}, sg AS (SELECT stddev_samp(r) * sqrt(252) AS s FROM pf), c AS (SELECT symbol, any_value(w) AS w, covar_samp(ret.r, pf.r) * 252 AS c FROM ret JOIN known USING (symbol) JOIN pf USING (date) GROUP BY symbol)
 SELECT symbol, {_r('w', 'weight')}, {_r('c / s', 'marginal_risk')}, {_r('w * c / s', 'component_risk')}, {_r('w * c / s / s * 100', 'share_pct')} FROM c, sg"""
     q["benchmark_wealth"] = f"{port} SELECT strftime(pf.date, '%Y-%m-%d') AS date, {_r('sum(ln(1 + pf.r)) OVER (ORDER BY pf.date)', 'log_portfolio')}, {_r('sum(ln(1 + coalesce(b.r, 0))) OVER (ORDER BY pf.date)', 'log_benchmark')} FROM pf JOIN ret b ON b.date = pf.date AND b.symbol = '{benchmark}'"
+    # Monthly mean prices instead of daily ones: the same statements over other returns, with what would overflow over days.
+    monthly = port.replace(_RETURNS, _RETURNS.replace("FROM bars)", "FROM months)")).replace("ret AS (", "months AS (SELECT symbol, CAST(date_trunc('month', date) AS DATE) AS date, avg(close) AS close FROM bars GROUP BY ALL), ret AS (", 1)
+    q["portfolio_monthly"] = f"{monthly} SELECT {_DAY}, {_r('r', 'portfolio_return')}, {_r('lw', 'log_wealth')}, {_r('exp(lw)', 'wealth')}, {_r('dd', 'drawdown')} FROM pd"
+    q["portfolio_monthly_summary"] = q["portfolio_summary"].replace(port, monthly).replace(" FROM pd", f", {_r('exp(arg_max(lw, date)) - 1', 'total_return')}, {_r('exp(arg_max(lw, date) * 252.0 / count(*)) - 1', 'cagr')} FROM pd")
+    q["benchmark_wealth_monthly"] = f"""{monthly} SELECT date, {_rounded('log_portfolio', 'log_benchmark')}, {_r('exp(log_portfolio)', 'portfolio_wealth')}, {_r('exp(log_benchmark)', 'benchmark_wealth')} FROM (
+ SELECT strftime(pf.date, '%Y-%m-%d') AS date, sum(ln(1 + pf.r)) OVER (ORDER BY pf.date) AS log_portfolio, sum(ln(1 + coalesce(b.r, 0))) OVER (ORDER BY pf.date) AS log_benchmark FROM pf JOIN ret b ON b.date = pf.date AND b.symbol = '{benchmark}')"""
+    for name in ("q01_asset_performance", "q02_monthly_returns", "q03_volatility_ranking", "q04_drawdown_analysis", "q06_sector_performance", "q07_correlation_summary", "q08_risk_metrics"):
+        q[f"{name[:3]}_two_digits"] = q[name].replace(", 6) + 0.0", ", 2) + 0.0")
+    faulty = f"""{star}, two AS (SELECT date_key AS k, asset_key AS a FROM fact UNION ALL SELECT date_key, asset_key FROM fact WHERE date_key % 29 = 0),
+ff AS (SELECT CASE WHEN k % 19 = 0 THEN NULL WHEN k % 31 = 0 THEN k - 10000000 ELSE k END AS k, CASE WHEN k % 23 = 0 THEN a + 1000 ELSE a END AS a FROM two),
+fa AS (SELECT asset_key, CASE WHEN asset_key % 7 <> 0 THEN symbol END AS symbol, CASE WHEN asset_key % 6 = 0 THEN 'bond' ELSE asset_type END AS asset_type FROM (SELECT * FROM assets UNION ALL SELECT * FROM assets WHERE asset_key % 5 = 0))"""
+    counted = {
+        "check_positive_prices": "SELECT 1 FROM fact WHERE CASE WHEN date_key % 13 = 0 THEN -close ELSE close END <= 0", "check_drawdown_bounds": "SELECT 1 FROM fact WHERE date_key % 17 = 0 OR date_key % 37 = 0",
+        "check_unique_asset_key": "SELECT asset_key FROM fa GROUP BY 1 HAVING count(*) > 1", "check_unique_fact_key": "SELECT k, a FROM ff GROUP BY ALL HAVING count(*) > 1", "check_not_null_symbol": "SELECT 1 FROM fa WHERE symbol IS NULL",
+        "check_not_null_fact_key": "SELECT 1 FROM ff WHERE k IS NULL OR a IS NULL", "check_accepted_asset_types": "SELECT 1 FROM fa WHERE asset_type NOT IN ('equity', 'etf')",
+        "check_fact_asset": "SELECT 1 FROM ff WHERE a IS NOT NULL AND a NOT IN (SELECT asset_key FROM assets)", "check_fact_date": "SELECT 1 FROM ff WHERE k IS NOT NULL AND k NOT IN (SELECT date_key FROM fact)",
+    }
+    each = " UNION ALL ".join(f"SELECT '{name}' AS name, count(*) AS violations FROM ({sql})" for name, sql in counted.items())
+    q["checks_of_faulty_tables"] = f"{faulty} SELECT name, violations, CASE WHEN violations = 0 THEN 'PASSED' ELSE 'FAILED (' || violations || ' violations)' END AS status FROM ({each})"
     # --- boards
     dd = "rd AS (SELECT *, (close - max(close) OVER (PARTITION BY symbol ORDER BY date)) / max(close) OVER (PARTITION BY symbol ORDER BY date) AS dd FROM ret)"
     perf = f"""SELECT symbol, {_r('(arg_max(close, date) - arg_min(close, date)) / arg_min(close, date) * 100', 'total_return_pct')}, {_r(f'({cagr}) * 100', 'cagr_pct')}, {_r(f'({vol}) * 100', 'annualized_vol_pct')}, {_r(zero(2, sharpe), 'sharpe_ratio')}, {_r('min(dd) * 100', 'max_drawdown_pct')} FROM rd GROUP BY symbol"""

@@ -95,6 +95,29 @@ def _check(name: str) -> Query:
     return query
 
 
+def _faulty_checks(s: SparkSession, d: str) -> DataFrame:
+    """All checks over tables with faults at keys that a fixed arithmetic picks: every one of them finds something."""
+    frames = _frames(s, d, "stg_assets", "int_rolling_metrics")
+    day, asset = F.col("market_date_key"), F.col("asset_key")
+    fact = frames["fact_market_daily"]
+    fact = fact.unionByName(fact.filter(day % 29 == 0)).select(
+        F.when(day % 19 == 0, F.lit(None)).when(day % 31 == 0, day - 10_000_000).otherwise(day).alias("market_date_key"), F.when(day % 23 == 0, asset + 1_000).otherwise(asset).alias("asset_key")
+    )
+    assets = frames["stg_assets"]
+    assets = assets.unionByName(assets.filter(asset % 5 == 0)).withColumns({"symbol": F.when(asset % 7 != 0, F.col("symbol")), "asset_type": F.when(asset % 6 == 0, "bond").otherwise(F.col("asset_type"))})
+    day = F.col("date_key")
+    prices = frames["stg_market_prices"].withColumn("close_price", F.when(day % 13 == 0, -F.col("close_price")).otherwise(F.col("close_price")))
+    rolling = frames["int_rolling_metrics"].withColumn("drawdown", F.when(day % 17 == 0, 0.5).when(day % 37 == 0, -1.5).otherwise(F.col("drawdown")))
+    found = models.tests(frames | {"fact_market_daily": fact, "stg_assets": assets, "stg_market_prices": prices, "int_rolling_metrics": rolling})
+    return checks.results(found)
+
+
+def _monthly_returns(s: SparkSession, d: str) -> DataFrame:
+    """Returns of monthly mean prices: they are mild, so that wealth itself can be compared over the whole span."""
+    months = bars.bars_type(s, d).groupBy("symbol", F.to_date(F.date_trunc("month", "date")).alias("date")).agg(F.avg("close").alias("close"))
+    return risk.with_returns(months)
+
+
 def _labels(s: SparkSession, d: str) -> DataFrame:
     return regimes.labelled(_gold(s, d), BENCHMARK)
 
@@ -159,6 +182,17 @@ def queries() -> dict[str, Query]:
         **{name: _check(name) for name in (
             "check_positive_prices", "check_drawdown_bounds", "check_unique_asset_key", "check_unique_fact_key", "check_not_null_symbol", "check_not_null_fact_key", "check_accepted_asset_types", "check_fact_asset", "check_fact_date",
         )},
+        "checks_of_faulty_tables": _faulty_checks,
+        "q01_two_digits": lambda s, d: _out(analytics.asset_performance(_star(s, d))),
+        "q02_two_digits": lambda s, d: _out(analytics.monthly_returns(_star(s, d))),
+        "q03_two_digits": lambda s, d: _out(analytics.volatility_ranking(_star(s, d))),
+        "q04_two_digits": lambda s, d: _out(analytics.drawdown_analysis(_star(s, d))),
+        "q06_two_digits": lambda s, d: _out(analytics.sector_performance(_star(s, d))),
+        "q07_two_digits": lambda s, d: _out(analytics.correlation_summary(_star(s, d), NATION_BENCHMARK)),
+        "q08_two_digits": lambda s, d: _out(analytics.risk_metrics(_star(s, d))),
+        "portfolio_monthly": lambda s, d: _out(risk.portfolio_wealth(risk.portfolio_daily(_monthly_returns(s, d), WEIGHTS)).drop("symbol")),
+        "portfolio_monthly_summary": lambda s, d: _out(risk.portfolio_summary(_monthly_returns(s, d), WEIGHTS)),
+        "benchmark_wealth_monthly": lambda s, d: _out(risk.benchmark_wealth(_monthly_returns(s, d), WEIGHTS, BENCHMARK)),
         "cagr": _aggregate("cagr", risk.cagr),
         "annualized_vol": _aggregate("annualized_vol", risk.annualized_volatility),
         "sharpe": _aggregate("sharpe", risk.sharpe),
