@@ -401,3 +401,29 @@ def test_correlations_by_blocks(spark):
     for p in pairs:
         assert (got[p] is None) == (plain(*p) is None) and (got[p] is None or abs(got[p] - plain(*p)) < 1e-8), p
     assert "CartesianProduct" not in risk.correlations(df)._jdf.queryExecution().toString()
+
+
+def test_cleaning_and_its_record_are_one_job(spark):
+    rows = [("A", "2024-01-01", 100.0, 95.0, 105.0, 102.0, 102.0, -5), ("A", "2024-01-01", 1.0, 1.0, 1.0, 1.0, 1.0, 1), (" b", "2024-01-02", 1.0, 2.0, 0.5, 9.0, None, None), ("b", "2024-01-03", 1.0, 2.0, 0.5, None, None, 3), ("C", "2024-01-04", -1.0, 1.0, 1.0, 1.0, 1.0, 1), (None, None, 1.0, 1.0, 1.0, 1.0, 1.0, 1)]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    for some in (rows, rows[1:2], rows[2:3], []):
+        source = bronze(spark, some)
+        jobs = []
+        read.value = 0
+
+        def store(df):
+            jobs.append(1)
+            df.write.mode("overwrite").saveAsTable("kept_rows")
+            return spark.table("kept_rows")
+
+        clean, record = silver.Silver(source.mapInArrow(counted, source.schema)).clean_and_metrics(store)
+        assert read.value == len(some) and len(jobs) == 1
+        plain = silver.Silver(source)
+        assert one(record) == one(plain.metrics())
+        assert clean.columns == plain.clean().columns and sorted(map(str, clean.collect())) == sorted(map(str, plain.clean().collect()))

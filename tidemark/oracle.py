@@ -119,6 +119,7 @@ SELECT (SELECT count(*) FROM raw) AS total_rows_ingested, (SELECT count(*) FROM
     q["gold_features"] = f"{gold} SELECT symbol, {_DAY}, {_rounded(*_MONEY)}, volume, {_rounded(*every)}, {abnormal} FROM gold"
     q["gold_features_ungated"] = f"WITH {_TYPE}, {_gold(False)} SELECT symbol, {_DAY}, {_rounded('volatility_20d', 'volatility_60d', 'sma_20', 'sma_50')} FROM gold"
     q["gold_features_hourly"] = f"WITH {_EVENT}, {_gold()} SELECT symbol, strftime(date, '%Y-%m-%d %H:%M:%S') AS date, {_rounded('daily_return', 'volatility_20d', 'sma_50', 'volume_ratio', 'drawdown')} FROM gold"
+    q["silver_observed_metrics"] = q["silver_metrics"]
     q["quotes_wide_to_long"] = q["bars_type"]
     q["gold_features_blocks"], q["gold_features_hourly_blocks"] = q["gold_features"], q["gold_features_hourly"]
     star = f"WITH {_STAR}"

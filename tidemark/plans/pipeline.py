@@ -27,9 +27,10 @@ def run(spark: SparkSession, bronze: DataFrame, folder: str, order: str = "inges
         return publication.published(spark, f"{folder}/{name}", schema=df.schema)
 
     raw = stored("bronze", bronze)
-    steps = silver.Silver(raw, order)
-    clean = stored("silver", steps.ordered())
-    metrics = steps.metrics().first().asDict()
+    # Cleaning and its record are one job over bronze; the layer is what that job stored, with ranges mended and in order.
+    kept, record = silver.Silver(raw, order).clean_and_metrics(lambda df: stored("silver_kept", df))
+    clean = stored("silver", kept.orderBy("symbol", "date"))
+    metrics = record.first().asDict()
     files.write_text(spark, silver.report(metrics), f"{folder}/quality_report")
     features = stored("gold", gold.features(clean.withColumn("date", F.to_date("date"))))
     star_frames = Star.of(clean.withColumn("date", F.to_date("date")))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark import oracle
 from tidemark.functions import series
 from tidemark.functions.columns import rounded
+from tidemark.functions.lineage import cut
 from tidemark.operators import checks, gold, regimes, risk, silver
 from tidemark.plans import analytics, models
 from tidemark.sources import bars, files
@@ -152,8 +153,9 @@ def queries() -> dict[str, Query]:
         "quotes_wide_to_long": lambda s, d: _out(_quotes(s, d)),
         "bronze_enrich": lambda s, d: bars.bronze(bars.bars_type(s, d), "trades", "batch-1", "2026-01-01 00:00:00 UTC"),
         "silver_dedup": lambda s, d: _out(silver.first_of_each(_silver_input(s, d))),
-        "silver_clean": lambda s, d: _out(silver.Silver(_silver_input(s, d)).clean()),
+        "silver_clean": lambda s, d: _out(silver.Silver(_silver_input(s, d)).clean_and_metrics(cut)[0]),
         "silver_ohlc_reconcile": lambda s, d: _out(silver.Silver(_silver_input(s, d)).clean().select("symbol", "date", "high", "low")),
+        "silver_observed_metrics": lambda s, d: _out(silver.Silver(_silver_input(s, d)).clean_and_metrics(cut)[1]),
         "silver_metrics": lambda s, d: _out(silver.Silver(_silver_input(s, d)).metrics()),
         "gold_returns": _gold_query(*gold.RETURNS),
         "gold_volatility": _gold_query(*gold.VOLATILITIES),
