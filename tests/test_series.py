@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import medians, quantiles, series
 from tidemark.operators import gold, risk
-from tidemark.sources import bars
+from tidemark.sources import bars, files
 
 
 def _bars(spark, sizes, seed=3):
@@ -98,3 +98,21 @@ def test_quantiles_by_refined_counts(spark):
     found = {r.symbol: (r.n, r.quantile) for r in quantiles.quantile(df, "v", 0.05, enough=30, buckets=16).collect()}
     assert {s: n for s, (n, _) in found.items()} == {s: len(x) for s, x in values.items() if x}
     assert all(abs(found[s][1] - plain[s]) <= 1e-12 * max(1, abs(plain[s])) for s in found)
+
+
+def test_stored_buckets_need_no_exchange(spark):
+    df = _bars(spark, {"a": 300, "b": 40, "c": 7})
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    files.save_bucketed(df, "gold_bucketed", 4)
+    stored = spark.table("gold_bucketed")
+    features = gold.features(stored)
+    assert "Exchange" not in features._jdf.queryExecution().executedPlan().toString()
+    digits = lambda out: sorted(str([round(v, 9) if isinstance(v, float) else v for v in r]) for r in out.select(*df.columns, *gold.FEATURES).collect())
+    assert digits(features) == digits(gold.features(df))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        both = stored.join(stored.groupBy("symbol").agg(F.max("close").alias("top")), "symbol")
+        assert "Exchange" not in both._jdf.queryExecution().executedPlan().toString() and both.count() == 347
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    spark.sql("DROP TABLE gold_bucketed")

@@ -33,6 +33,14 @@ def write_layer(df: DataFrame, path: str, csv_path: str | None = None, partition
         df.sparkSession.read.parquet(path).write.mode("overwrite").csv(csv_path, header=True)
 
 
+def save_bucketed(df: DataFrame, table: str, buckets: int, key: str = "symbol", by: str = "date") -> None:
+    """Replaces a table of the catalog, dealt into buckets by the key and sorted by (key, by) within each: one file for each bucket.
+
+    Windows over the key, and joins and groups by it, then need no exchange, which is what indexes on these columns are for elsewhere. A bucket is a task's work, so take about as many as tasks; symbols beyond a task's size want gold.features_in_blocks.
+    """
+    df.repartition(buckets, key).write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key, by).saveAsTable(table)
+
+
 def write_raw(df: DataFrame, folder: str, stamp: str) -> str:
     """Publishes a raw batch as `raw_<stamp>` and as `latest`: one run of the plan and one copy, and the batch before stays readable until both are there."""
     return publication.publish(df, folder, f"raw_{stamp}", publication.LATEST)
