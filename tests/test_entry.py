@@ -23,7 +23,7 @@ def test_entry_point():
     found = entry.queries()
     assert set(entry.oracle_sql()) <= set(found) and "q01_asset_performance" in found
     if (ROOT / "tidemark/llm/registry.py").exists() and (ROOT / "corpus_pipeline.py").exists():
-        assert [n for n in range(1, 11) if not any(x.startswith(f"op{n}_") for x in found)] == [] and "pipeline" in found
+        assert [n for n in range(1, 14) if not any(x.startswith(f"op{n}_") for x in found)] == [] and "pipeline" in found
 
 
 def test_entry_point_without_the_subpackage(monkeypatch):

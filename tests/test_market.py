@@ -207,7 +207,9 @@ def test_pipeline_end_to_end(spark, tmp_path):
         for i in range(120):
             price *= 1 + draw.gauss(0, 0.01)
             rows.append((s, str(datetime.date(2024, 1, 1) + datetime.timedelta(days=i)), price, price * 1.01, price * 0.99, price, price, 1000 + i))
-    out = pipeline.run(spark, bronze(spark, rows), str(tmp_path))
+    for _ in range(2):  # a second batch replaces the first
+        out = pipeline.run(spark, bronze(spark, rows), str(tmp_path), database="batch_test")
+        assert spark.table("batch_test.dim_asset").count() == 2 and spark.table("batch_test.fact_market_daily").count() == spark.table("batch_test.dim_date").count() * 2
     assert set(out["checks"].values()) == {"PASSED"} and out["metrics"]["silver_clean_rows"] == 240 and "gold" in out["seconds"]
     assert publication.published(spark, f"{tmp_path}/mart_asset_performance").count() == 2
 

@@ -265,7 +265,7 @@ def portfolio_wealth(daily: DataFrame) -> DataFrame:
 
 
 def portfolio_summary(returns: DataFrame, weights: dict[str, float], risk_free: float = RISK_FREE, level: float = 0.95) -> DataFrame:
-    """One row: return, volatility, Sharpe, Sortino, drawdown, VaR and CVaR of the portfolio. Its days are a list within one row."""
+    """One row: return, volatility, Sharpe, Sortino, drawdown, VaR and CVaR of the portfolio. Its days are a list within one row. Growth a year of a single day is 0."""
     wealth = portfolio_wealth(portfolio_daily(returns, weights)).withColumnRenamed("portfolio_return", R)
     main = wealth.groupBy("symbol").agg(
         F.count("*").alias("days"), F.max_by("log_wealth", "date").alias("log_wealth"), (F.max_by("log_wealth", "date") * TRADING_DAYS / F.count("*")).alias("log_growth"),
@@ -276,7 +276,7 @@ def portfolio_summary(returns: DataFrame, weights: dict[str, float], risk_free:
     mean = F.abs(F.aggregate(tail, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(tail), F.lit(0)))
     out = main.withColumn("cvar_95", F.when(F.size("_all") < 10, 0.0).otherwise(F.coalesce(mean, F.lit(0.0))))
     grown = lambda c: F.when(F.col("_lost"), -1.0).otherwise(F.exp(c) - 1)
-    return out.withColumn("total_return", grown("log_wealth")).withColumn("cagr", grown("log_growth")).drop("symbol", "_cut", "_all", "_lost")
+    return out.withColumn("total_return", grown("log_wealth")).withColumn("cagr", F.when(F.col("days") < 2, 0.0).otherwise(grown("log_growth"))).drop("symbol", "_cut", "_all", "_lost")
 
 
 def risk_decomposition(returns: DataFrame, weights: dict[str, float], scale: float = TRADING_DAYS) -> DataFrame:
