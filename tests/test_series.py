@@ -83,6 +83,9 @@ def test_market_plans_have_no_aggregate_that_sorts(spark, tmp_path):
         plan = registry.queries()[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
         assert "SortAggregate" not in plan, name
     assert registry.queries()["max_drawdown_path"](spark, folder)._jdf.queryExecution().executedPlan().toString().count("Scan parquet") == 2  # trades and parts
+    for name in ("portfolio_risk_decomposition", "corr_pearson"):
+        plan = registry.queries()[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Scan parquet") <= (2 if name.startswith("portfolio") else 8), plan
     assert risk.max_drawdown_path(_bars(spark, {"a": 5})).count() == 1
 
 

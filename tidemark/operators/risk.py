@@ -6,6 +6,7 @@ sample here; the SQL models use that of a population.
 
 from __future__ import annotations
 
+from functools import reduce
 from statistics import NormalDist
 
 import numpy as np
@@ -280,15 +281,36 @@ def portfolio_summary(returns: DataFrame, weights: dict[str, float], risk_free:
 
 
 def risk_decomposition(returns: DataFrame, weights: dict[str, float], scale: float = TRADING_DAYS) -> DataFrame:
-    """symbol, weight, marginal and component risk and its share in per cent: covariance with the portfolio, no matrix."""
-    daily = portfolio_daily(returns, weights)
-    spark = returns.sparkSession
-    held = spark.createDataFrame(list(weights.items()), "symbol string, weight double")
-    total = returns.select("symbol").distinct().join(F.broadcast(held), "symbol").agg(F.sum("weight").alias("total"))
-    sigma = daily.agg((F.stddev_samp("portfolio_return") * scale**0.5).alias("sigma"))
-    rows = returns.join(F.broadcast(held), "symbol").join(daily, "date").groupBy("symbol").agg(F.first("weight").alias("weight"), (F.covar_samp(R, "portfolio_return") * scale).alias("cov"))
-    out = rows.join(F.broadcast(sigma)).join(F.broadcast(total)).withColumn("weight", F.col("weight") / F.col("total"))
-    out = out.withColumn("marginal_risk", F.col("cov") / F.nullif("sigma", F.lit(0.0))).withColumn("component_risk", F.col("weight") * F.col("marginal_risk"))
+    """symbol, weight, marginal and component risk and its share in per cent (Euler's: the covariance with the portfolio), from one scan of the returns.
+
+    A day becomes one row with a column for each held symbol. Days are summed by which of the symbols have a return, as counts, sums and sums of products:
+    a row for each such pattern. Only then is it known which symbols occur at all, and the patterns that have all of these make up the covariances.
+    """
+    names = list(weights)
+    places = range(len(names))
+    pairs = [(i, j) for i in places for j in places if i <= j]
+    own = lambda i, x: F.max(F.when(F.col("symbol") == names[i], x))
+    days = returns.filter(F.col("symbol").isin(names)).groupBy("date").agg(*[own(i, F.col(R)).alias(f"r{i}") for i in places], *[own(i, F.lit(1)).alias(f"k{i}") for i in places])
+    sums = days.groupBy(*[F.col(f"r{i}").isNotNull().alias(f"has{i}") for i in places]).agg(
+        F.count("*").alias("n"), *[F.max(f"k{i}").alias(f"k{i}") for i in places], *[F.sum(F.coalesce(F.col(f"r{i}"), F.lit(0.0))).alias(f"s{i}") for i in places],
+        *[F.sum(F.coalesce(F.col(f"r{i}") * F.col(f"r{j}"), F.lit(0.0))).alias(f"m{i}_{j}") for i, j in pairs],
+    )
+    every = Window.partitionBy(F.lit(0))  # a row for each pattern
+    sums = sums.withColumns({f"known{i}": F.max(f"k{i}").over(every).isNotNull() for i in places})
+    whole = sums.filter(reduce(lambda x, y: x & y, [F.col(f"has{i}") | ~F.col(f"known{i}") for i in places]))
+    one = whole.agg(F.sum("n").alias("n"), *[F.first(f"known{i}").alias(f"known{i}") for i in places], *[F.sum(c).alias(c) for c in [f"s{i}" for i in places] + [f"m{i}_{j}" for i, j in pairs]])
+    total = reduce(lambda x, y: x + y, [F.when(F.col(f"known{i}"), float(weights[names[i]])).otherwise(0.0) for i in places])
+    one = one.withColumns({f"w{i}": F.when(F.col(f"known{i}"), float(weights[names[i]])).otherwise(0.0) / F.nullif(total, F.lit(0.0)) for i in places})
+    n = F.col("n")
+
+    def covariance(i: int, j: int) -> Column:
+        i, j = min(i, j), max(i, j)
+        return (F.col(f"m{i}_{j}") - F.col(f"s{i}") * F.col(f"s{j}") / n) / F.nullif(n - 1, F.lit(0)) * scale
+
+    one = one.withColumns({f"c{i}": reduce(lambda x, y: x + y, [F.col(f"w{j}") * covariance(i, j) for j in places]) for i in places})
+    one = one.withColumn("sigma", F.sqrt(F.greatest(reduce(lambda x, y: x + y, [F.col(f"w{i}") * F.col(f"c{i}") for i in places]), F.lit(0.0))))
+    rows = one.select("sigma", F.inline(F.array(*[F.struct(F.lit(s).alias("symbol"), F.col(f"known{i}").alias("known"), F.col(f"w{i}").alias("weight"), F.col(f"c{i}").alias("cov")) for i, s in enumerate(names)])))
+    out = rows.filter("known").withColumn("marginal_risk", F.col("cov") / F.nullif("sigma", F.lit(0.0))).withColumn("component_risk", F.col("weight") * F.col("marginal_risk"))
     return out.select("symbol", "weight", "marginal_risk", "component_risk", (F.col("component_risk") / F.nullif("sigma", F.lit(0.0)) * 100.0).alias("share_pct"))
 
 
