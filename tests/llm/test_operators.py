@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -887,6 +888,21 @@ def test_collocations_like_a_plain_version(spark, most, shards, support):
     assert sorted(map(tuple, got)) == _collocations(rows, support, most, 80, 40) and len(got) > 20
 
 
+def test_words_cut_from_bytes_like_a_plain_split():
+    import re
+
+    draw = random.Random(5)
+    texts = ["".join(draw.choice(["A", "b", "É", "日", " ", "\t", "\n", "\r", ".", ",", "!", "\x00", "\x1c", "\u00a0", " of ", "x" * 50]) for _ in range(draw.choice([0, 1, 3, 40]))) for _ in range(300)]
+    for own in (texts, ["", " \n.. "], ["a"], [""] * 3, ["a" * 3_000_000 + " b"]):
+        cut = collocations.Cut(pa.array(own, pa.string()))
+        pieces = [(i, re.findall(r"[^\x20\x09]+", p)) for i, t in enumerate(own) for p in re.split(r"[.,;:!?\x0A-\x0D]", t.translate({c: c + 32 for c in range(65, 91)}))]
+        assert [w.decode() for w in cut.words.to_pylist()] == [w for _, p in pieces for w in p]
+        assert cut.text.tolist() == [i for i, p in pieces if p for _ in range(len(p) + 1)]
+        assert (cut.digests == 0).tolist() == [k == len(p) for _, p in pieces if p for k in range(len(p) + 1)]
+        by_word = {}
+        assert all(by_word.setdefault(w, d) == d for w, d in zip(cut.words.to_pylist(), cut.digests[cut.digests != 0].tolist(), strict=True))
+
+
 def test_phrases_within_longer_ones_go_even_if_those_go_too(spark):
     rows = [("a b c d", "en")] * 10 + [("b c", "en")] * 2
     got = {r.phrase: (r.a, r.score) for r in collocations.collocations(spark.createDataFrame(rows, "text string, lang string"), support=5).collect()}

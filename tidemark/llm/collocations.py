@@ -10,7 +10,9 @@ Mining compares phrases by 64-bit digests, and hands candidates to the next pass
 share a digest or a bit can only add candidates; the last pass gives each its own count, so that none of this changes the result. In a block
 of the last pass, equal phrases are found by digests that also depend on the language: two different ones agree by chance once in 2**64.
 
-Memory: a task holds the digests of a block of MINE_WORDS words, or the words of one of COUNT_WORDS. Counts of shards and phrases are shuffles of
+Words are cut from the bytes of many texts at a time, and each distinct one of these is hashed once.
+
+Memory: a task holds the digests of a block of MINE_WORDS words, or the words of one of COUNT_WORDS (each distinct word once, and 4 bytes a place). Counts of shards and phrases are shuffles of
 Spark with partial sums, which spill; no shard has to fit a task.
 
 Defined results: null texts count as empty and null languages as 'und'; repeated rows count each by itself. An empty corpus has no phrases.
@@ -19,10 +21,10 @@ Defined results: null texts count as empty and null languages as 'und'; repeated
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
@@ -35,7 +37,7 @@ SUPPORT, MOST_WORDS, COVERED, TOP = 30, 4, 80, 2000
 SHARDS = 6
 #: Bits that hold the candidates of a pass, 8 MB at any size of the corpus.
 FILTER_BITS = 1 << 26
-MINE_WORDS, COUNT_WORDS, BLOCK_BYTES = 2_500_000, 2_500_000, 1_000_000
+MINE_WORDS, COUNT_WORDS, BLOCK_BYTES, ROWS_BYTES = 4_000_000, 5_000_000, 2_000_000, 1 << 26
 
 _U = np.uint64
 #: After lower-casing, the marks that end a piece become line ends and tabs become blanks.
@@ -43,24 +45,53 @@ _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + b".,;:!?\x0b\x0c\r" + b
 _PLACES = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
 
-def tokens(text: str) -> tuple[list[bytes], np.ndarray]:
-    """The words of a text in order, and their 64-bit digests with a 0 after each piece (no word has the digest 0)."""
-    pieces = [piece.split() for piece in text.encode().translate(_TABLE).split(b"\n")]
-    found = list(chain.from_iterable(pieces))
-    ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces))) + np.arange(len(pieces))
-    inside = np.ones(len(found) + len(pieces), bool)
-    inside[ends] = False
-    out = np.zeros(len(inside), _U)
-    out[inside] = np.maximum(np.fromiter(map(xxhash.xxh3_64_intdigest, found), _U, len(found)), _U(1))
-    return found, out
+class Cut:
+    """The words of some texts: `words` in order, as places in a dictionary; `digests` with a 0 after each run of words of a piece; `text`, the number of each digest's text."""
+
+    def __init__(self, texts: pa.Array) -> None:
+        raw = np.frombuffer(b"\n".join([*texts.cast(pa.binary()).to_pylist(), b""]).translate(_TABLE), np.uint8)
+        line = raw == 10
+        inside = ~(line | (raw == 32))
+        # The bytes end with a line end, so that each word has its beginning and its end.
+        edges = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0)))
+        starts, ends = edges[::2], edges[1::2]
+        offsets = np.concatenate(([0], np.cumsum(ends - starts))).astype(np.int32)
+        self.words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw[inside])]).dictionary_encode()
+        lines = np.cumsum(line, dtype=np.int32)[starts]
+        last = np.ones(len(starts), bool)
+        last[:-1] = lines[1:] != lines[:-1]
+        at = np.arange(len(starts)) + np.cumsum(last) - last
+        self.digests = np.zeros(len(starts) + int(last.sum()), _U)
+        distinct = self.words.dictionary.to_pylist()
+        # No word has the digest 0.
+        self.digests[at] = np.maximum(np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), _U, len(distinct)), _U(1))[self.words.indices.to_numpy()]
+        before = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64) + 1)
+        number = np.searchsorted(before, starts, side="right").astype(np.int32)
+        self.text = np.zeros(len(self.digests), np.int32)
+        self.text[at] = number
+        self.text[at[last] + 1] = number[last]
+
+
+class Languages:
+    """Numbers of languages in the order in which a task meets them."""
+
+    def __init__(self) -> None:
+        self.names: dict[str, int] = {}
+
+    def numbers(self, langs: pa.Array) -> np.ndarray:
+        return np.array([self.names.setdefault(x, len(self.names)) for x in langs.to_pylist()], np.int32)
+
+    def salts(self) -> np.ndarray:
+        return np.array([xxhash.xxh3_64_intdigest(x.encode()) for x in self.names], _U)
 
 
 class Block:
     """Digests of the words of some texts, and of their phrases. Breaks between pieces have the digest 0."""
 
-    def __init__(self, digests: list[np.ndarray], languages: list[int]) -> None:
+    def __init__(self, digests: list[np.ndarray], languages: list[np.ndarray], salts: np.ndarray) -> None:
         self.words = np.concatenate(digests)
-        self.salt = np.repeat(np.array(languages, _U), [len(d) for d in digests])
+        self.language = np.concatenate(languages)
+        self.salts = salts
         self.breaks = np.zeros(len(self.words) + 1, np.int32)
         np.cumsum(self.words == 0, out=self.breaks[1:])
 
@@ -71,7 +102,7 @@ class Block:
             return np.zeros(0, np.int64), np.zeros(0, _U)
         at = np.flatnonzero(self.breaks[n : n + m] == self.breaks[:m])
         with np.errstate(over="ignore"):
-            sums = self.salt[at] + _U(n)
+            sums = self.salts[self.language[at]] + _U(n)
             for i in range(n):
                 sums += self.words[at + i] * _PLACES[i]
         return at, mix(sums)
@@ -94,10 +125,6 @@ def held(bits: np.ndarray, digests: np.ndarray) -> np.ndarray:
     return (bits[(place >> _U(6)).astype(np.int64)] >> (place & _U(63))) & _U(1) == 1
 
 
-def _language(lang: str | None) -> int:
-    return xxhash.xxh3_64_intdigest(("und" if lang is None else lang).encode())
-
-
 def _local_counts(docs: DataFrame, lengths: tuple[int, ...], bits, shards: int) -> DataFrame:
     """shard, lang, digest, n: what each shard has of phrases of these lengths (lang null), and with length 1 its words by language (digest null).
 
@@ -106,7 +133,7 @@ def _local_counts(docs: DataFrame, lengths: tuple[int, ...], bits, shards: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId() % shards
-        known, digests, languages, size, totals = bits and bits.value, [], [], 0, {}
+        known, digests, languages, own, size, totals = bits and bits.value, [], [], Languages(), 0, np.zeros(0, np.int64)
 
         def rows(found: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
             m = len(found)
@@ -115,7 +142,7 @@ def _local_counts(docs: DataFrame, lengths: tuple[int, ...], bits, shards: int)
             )
 
         def flush() -> Iterator[pa.RecordBatch]:
-            block = Block(digests, languages)
+            block = Block(digests, languages, own.salts())
             for n in lengths:
                 _, all_of_them = block.phrases(n) if known is None else block.made_of(n, lengths[0] - 1, known)
                 found, counts = np.unique(all_of_them, return_counts=True)
@@ -123,21 +150,22 @@ def _local_counts(docs: DataFrame, lengths: tuple[int, ...], bits, shards: int)
                     yield rows(found[a : a + 200_000], counts[a : a + 200_000])
 
         for piece in arrow_pieces(batches, "_text", BLOCK_BYTES):
-            for text, lang in zip(piece.column("_text").to_pylist(), piece.column("_lang").to_pylist(), strict=True):
-                _, own = tokens(text)
-                digests.append(own)
-                languages.append(_language(lang))
-                size += len(own)
-                if lengths[0] == 1:
-                    totals[lang] = totals.get(lang, 0) + int(np.count_nonzero(own))
-                if size >= MINE_WORDS:
-                    yield from flush()
-                    digests, languages, size = [], [], 0
+            cut = Cut(piece.column("_text"))
+            digests.append(cut.digests)
+            languages.append(own.numbers(piece.column("_lang"))[cut.text])
+            size += len(cut.digests)
+            if lengths[0] == 1:
+                more = np.bincount(languages[-1][cut.digests != 0], minlength=len(own.names))
+                more[: len(totals)] += totals
+                totals = more
+            if size >= MINE_WORDS:
+                yield from flush()
+                digests, languages, size = [], [], 0
         if digests:
             yield from flush()
-        if totals:
+        if len(totals):
             m = len(totals)
-            yield pa.RecordBatch.from_arrays([pa.array([shard] * m, pa.int32()), pa.array(list(totals), pa.string()), pa.nulls(m, pa.int64()), pa.array(list(totals.values()), pa.int64())], ["shard", "lang", "digest", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([shard] * m, pa.int32()), pa.array(list(own.names), pa.string()), pa.nulls(m, pa.int64()), pa.array(totals.astype(np.int64))], ["shard", "lang", "digest", "n"])
 
     counts = docs.mapInArrow(run, "shard int, lang string, digest long, n long")
     # Blocks are summed already, and so partial sums would save little: all shards' rows of a digest meet in one place, for this sum and for that over the shards.
@@ -157,30 +185,34 @@ def _counted(docs: DataFrame, bits, most: int) -> DataFrame:
     """lang, phrase, words, f of all candidates of 1 to `most` words, by their own text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, found, digests, languages, names = bits.value, [], [], [], []
+        known, found, digests, languages, own, size = bits.value, [], [], [], Languages(), 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            block = Block(digests, languages)
-            ends = np.cumsum([len(d) for d in digests])
+            block, words, names = Block(digests, languages, own.salts()), pa.chunked_array(found).unify_dictionaries().combine_chunks(), pa.array(list(own.names), pa.string())
+            distinct, codes = words.dictionary, words.indices.to_numpy()
+            chars = pc.binary_length(distinct).to_numpy().astype(np.int64)
             for n in range(1, most + 1):
-                at, own = block.made_of(n, n, known)
-                _, first, counts = np.unique(own, return_index=True, return_counts=True)
+                at, phrases = block.made_of(n, n, known)
+                _, first, counts = np.unique(phrases, return_index=True, return_counts=True)
                 at = at[first]
-                lang = [names[i] for i in np.searchsorted(ends, at, side="right").tolist()]
-                phrases = [b" ".join(found[i : i + n]).decode() for i in (at - block.breaks[at]).tolist()]
-                m = len(at)
-                yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(phrases, pa.string()), pa.array(np.full(m, n, np.int32)), pa.array(counts.astype(np.int64))], ["lang", "phrase", "words", "n"])
+                places = at - block.breaks[at]
+                # Rows leave in batches of ROWS_BYTES at most (or one longer phrase), so that long words don't pass what an array may hold.
+                bytes_so_far = np.cumsum(sum(chars[codes[places + i]] for i in range(n)) + 300)
+                cuts = (np.flatnonzero(np.diff(bytes_so_far // ROWS_BYTES)) + 1).tolist()
+                for a, b in zip([0, *cuts], [*cuts, len(at)], strict=True):
+                    parts = [distinct.take(pa.array(codes[places[a:b] + i])) for i in range(n)]
+                    phrase = pc.binary_join_element_wise(*parts, b" ").cast(pa.string())
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(block.language[at[a:b]])), phrase, pa.array(np.full(b - a, n, np.int32)), pa.array(counts[a:b].astype(np.int64))], ["lang", "phrase", "words", "n"])
 
         for piece in arrow_pieces(batches, "_text", BLOCK_BYTES):
-            for text, lang in zip(piece.column("_text").to_pylist(), piece.column("_lang").to_pylist(), strict=True):
-                words, own = tokens(text)
-                found += words
-                digests.append(own)
-                languages.append(_language(lang))
-                names.append(lang)
-                if len(found) >= COUNT_WORDS:
-                    yield from flush()
-                    found, digests, languages, names = [], [], [], []
+            cut = Cut(piece.column("_text"))
+            found.append(cut.words)
+            digests.append(cut.digests)
+            languages.append(own.numbers(piece.column("_lang"))[cut.text])
+            size += len(cut.digests)
+            if size >= COUNT_WORDS:
+                yield from flush()
+                found, digests, languages, size = [], [], [], 0
         if digests:
             yield from flush()
 
