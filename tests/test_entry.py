@@ -60,3 +60,14 @@ def test_queries_agree_with_sql(spark, name):
     text = lambda df: sorted(map(str, df[sorted(df.columns)].astype(object).where(df.notna(), None).values.tolist()))
     plain = lambda df: df.apply(lambda c: c.astype(float) if c.dtype.kind in "if" else c)
     assert text(plain(ours)) == text(plain(theirs))
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="needs the driver's tables")
+@pytest.mark.parametrize("name", [
+    "gold_features", "dim_asset", "dim_date", "fact_market_daily", "q01_asset_performance", "q04_drawdown_analysis", "q07_correlation_summary", "q08_risk_metrics", "mart_monthly_performance", "mart_risk_dashboard", "check_fact_asset",
+    "checks_of_faulty_tables", "var_hist", "cvar", "corr_pearson", "corr_spearman", "portfolio_daily", "portfolio_summary", "portfolio_risk_decomposition", "portfolio_monthly_summary", "benchmark_wealth", "benchmark_wealth_monthly", "market_kpis",
+    "top_bottom_leaders", "max_drawdown_path", "regime_labels", "regime_distribution",
+])
+def test_trades_are_read_once_at_most_by_what_a_query_returns(spark, name):
+    plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Relation [" in line and "l_shipdate" in line for line in plan.splitlines()) <= 1

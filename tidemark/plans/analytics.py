@@ -23,6 +23,7 @@ class Star:
 
     @classmethod
     def of(cls, bars: DataFrame) -> Star:
+        """Bars are read three times, so they should be stored ones (see functions.lineage.cut)."""
         assets = star.dim_asset(bars)
         return cls(assets, star.dim_date(bars), star.fact_market_daily(gold_features.features(bars), assets))
 

@@ -68,8 +68,18 @@ def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gold.features(bars.bars_type(spark, sf_dir))
 
 
+def _stored_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Returns for results that read them more than once: trades are read for them once."""
+    return cut(_type_returns(spark, sf_dir))
+
+
+def _stored_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut(_gold(spark, sf_dir))
+
+
 def _star(spark: SparkSession, sf_dir: str) -> analytics.Star:
-    return analytics.Star.of(bars.bars_nation(spark, sf_dir))
+    """Assets, dates and facts all come from the bars, which are made of the trades once."""
+    return analytics.Star.of(cut(bars.bars_nation(spark, sf_dir)))
 
 
 def _frames(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
@@ -116,7 +126,7 @@ def _faulty_checks(s: SparkSession, d: str) -> DataFrame:
 def _monthly_returns(s: SparkSession, d: str) -> DataFrame:
     """Returns of monthly mean prices: they are mild, so that wealth itself can be compared over the whole span."""
     months = bars.bars_type(s, d).groupBy("symbol", F.to_date(F.date_trunc("month", "date")).alias("date")).agg(F.avg("close").alias("close"))
-    return risk.with_returns(months)
+    return cut(risk.with_returns(months))
 
 
 def _labels(s: SparkSession, d: str) -> DataFrame:
@@ -200,9 +210,9 @@ def queries() -> dict[str, Query]:
         "sharpe": _aggregate("sharpe", risk.sharpe),
         "sortino": _aggregate("sortino", risk.sortino),
         "downside_dev": _aggregate("downside_dev", risk.downside_deviation),
-        "var_hist": lambda s, d: _out(risk.value_at_risk(_type_returns(s, d))),
+        "var_hist": lambda s, d: _out(risk.value_at_risk(_stored_returns(s, d))),
         "var_param": _aggregate("var_param", risk.var_parametric),
-        "cvar": lambda s, d: _out(risk.cvar(_type_returns(s, d))),
+        "cvar": lambda s, d: _out(risk.cvar(_stored_returns(s, d))),
         "return_moments": lambda s, d: _out(_type_returns(s, d).groupBy("symbol").agg(*risk.moments())),
         "log_returns": lambda s, d: _out(risk.log_returns(bars.bars_type(s, d)).select("symbol", "date", "log_return")),
         "cumulative_returns": lambda s, d: _out(risk.cumulative_returns(_type_returns(s, d)).select("symbol", "date", "cumulative_return")),
@@ -211,18 +221,18 @@ def queries() -> dict[str, Query]:
         **{f"periodic_returns_{p[0]}": (lambda s, d, p=p: _out(risk.periodic_returns(bars.bars_type(s, d), p))) for p in ("week", "month", "year")},
         "max_drawdown_path": lambda s, d: _out(risk.max_drawdown_path(bars.bars_type(s, d))),
         "momentum_rank": lambda s, d: _out(risk.momentum_ranking(bars.bars_type(s, d))),
-        "corr_pearson": lambda s, d: _out(risk.correlations(_type_returns(s, d))),
-        "corr_spearman": lambda s, d: _out(risk.correlations(_type_returns(s, d), "spearman")),
+        "corr_pearson": lambda s, d: _out(risk.correlations(_stored_returns(s, d))),
+        "corr_spearman": lambda s, d: _out(risk.correlations(_stored_returns(s, d), "spearman")),
         "rolling_corr": lambda s, d: _out(risk.rolling_correlation(_type_returns(s, d), *PAIR)),
         "rolling_corr_full_window": lambda s, d: _out(risk.rolling_correlation(_type_returns(s, d), *PAIR, least=60)),
-        "portfolio_daily": lambda s, d: _out(risk.portfolio_wealth(risk.portfolio_daily(_type_returns(s, d), WEIGHTS)).drop("symbol", "wealth")),
-        "portfolio_summary": lambda s, d: _out(risk.portfolio_summary(_type_returns(s, d), WEIGHTS).drop("total_return", "cagr")),
+        "portfolio_daily": lambda s, d: _out(risk.portfolio_wealth(risk.portfolio_daily(_stored_returns(s, d), WEIGHTS)).drop("symbol", "wealth")),
+        "portfolio_summary": lambda s, d: _out(risk.portfolio_summary(_stored_returns(s, d), WEIGHTS).drop("total_return", "cagr")),
         "portfolio_risk_decomposition": lambda s, d: _out(risk.risk_decomposition(_type_returns(s, d), WEIGHTS)),
         "performance_scorecard": lambda s, d: _out(risk.performance_scorecard(_gold(s, d))),
         "risk_scorecard": lambda s, d: _out(risk.risk_scorecard(_gold(s, d))),
-        "top_bottom_leaders": lambda s, d: _out(risk.leaders(risk.performance_scorecard(_gold(s, d)), k=2)),
-        "market_kpis": lambda s, d: _out(risk.market_kpis(_gold(s, d), BENCHMARK)),
-        "benchmark_wealth": lambda s, d: _out(risk.benchmark_wealth(_type_returns(s, d), WEIGHTS, BENCHMARK).drop("portfolio_wealth", "benchmark_wealth")),
+        "top_bottom_leaders": lambda s, d: _out(risk.leaders(risk.performance_scorecard(_stored_gold(s, d)), k=2)),
+        "market_kpis": lambda s, d: _out(risk.market_kpis(_stored_gold(s, d), BENCHMARK)),
+        "benchmark_wealth": lambda s, d: _out(risk.benchmark_wealth(_stored_returns(s, d), WEIGHTS, BENCHMARK).drop("portfolio_wealth", "benchmark_wealth")),
         "returns_pivot": lambda s, d: _out(risk.returns_pivot(_type_returns(s, d), sorted(WEIGHTS))),
         "data_profile": lambda s, d: _out(bars.bars_type(s, d).groupBy("symbol").agg(F.count("*").alias("n"), F.min("close").alias("min_close"), F.max("close").alias("max_close"), F.avg("close").alias("mean_close"))),
         "regime_labels": lambda s, d: _out(_labels(s, d).select("date", "regime_target", "regime_label")),
