@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.lineage import cut
 from tidemark.operators import checks
 
 METRICS = ["daily_return", "volatility_20d", "volatility_60d", "sma_20", "sma_50", "sma_200", "volume_ratio", "drawdown", "cumulative_return"]
@@ -60,7 +61,8 @@ def create_tables(spark: SparkSession, database: str) -> None:
 def load_table(df: DataFrame, database: str, name: str) -> None:
     """Appends rows to a declared table. Spark's file tables enforce no keys, so rows with null keys, repeated keys (of the rows and of the table) or without a parent are refused."""
     spark, (columns, key, parents) = df.sparkSession, TABLES[name]
-    rows = df.select(*[F.col(c.split()[0]).cast(c.split()[1]).alias(c.split()[0]) for c in columns.split(", ")])
+    # Stored, since the checks and the insert read the rows.
+    rows = cut(df.select(*[F.col(c.split()[0]).cast(c.split()[1]).alias(c.split()[0]) for c in columns.split(", ")]))
     required = [c.split()[0] for c in columns.split(", ") if "NOT NULL" in c]
     stored = spark.table(f"{database}.{name}").select(*key)
     broken = {"null": checks.not_null(rows, *required), "repeated key": checks.unique(rows.select(*key).unionByName(stored), *key)}
