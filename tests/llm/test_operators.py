@@ -104,6 +104,14 @@ def test_secret_patterns_against_plain_search():
         assert secrets.base_spans(text) == sorted(plain)
 
 
+def test_automata_hold_merged_states_only():
+    """The tree of all examples, of which most is folded into the states, is not kept (before, 193,560 nodes for all formats; now 382)."""
+    grammar = secrets.Grammar({k: v for k, v in secrets.published_formats().items() if k in ("prefixed", "dotted")})
+    for automaton in [*grammar.kinds.values(), *grammar.ordinary.values()]:
+        assert len(automaton.counts) == len(automaton.next) == len(automaton.logs) == automaton.states
+        assert all(t < automaton.states for own in automaton.next for t in own.values())
+
+
 def test_grammar_tells_credentials_from_words():
     """Recall on unseen values and on formats that were never labelled; false positives on names, versions, files, UUIDs and digests of other sources."""
     import importlib.metadata
@@ -397,6 +405,19 @@ def test_capitals_are_counted_over_the_whole_text():
     assert quality.capitals("éÉ日\U0001F600ßA") == 2
 
 
+def test_quality_fit_holds_few_bytes_a_feature():
+    """The driver's memory for a fit: 28 bytes a feature here, before 37."""
+    import tracemalloc
+
+    draw = np.random.default_rng(3)
+    rows = [(np.sort(draw.choice(100_000, draw.integers(0, 1500), replace=False)).astype(np.int32), [0.1] * quality.SHAPES, i % 3) for i in range(5000)]
+    tracemalloc.start()
+    quality.fit(rows, rounds=2)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 33 * sum(len(r[0]) for r in rows)
+
+
 def test_quality_fit_reaches_the_least_loss():
     """With all weights free (no shrinkage) the fit's loss comes near that of a plain gradient descent on the same problem."""
     draw = np.random.default_rng(3)

@@ -35,6 +35,8 @@ from tidemark.llm.common import batches_by_size, with_made
 
 BUCKETS, GRADES = 1 << 20, 3
 FIT_DOCS, ROUNDS, EVIDENCE, L2 = 10_000, 220, 6.0, 0.002
+#: Entries that a fit's sums take at a time.
+FIT_BLOCK = 1 << 18
 #: Lengths of words' beginnings that are features of their own.
 BEGINNINGS = (5, 6, 7)
 #: Least probability of the best grade at which a document is selected.
@@ -103,28 +105,43 @@ class Model:
 
 def evidence(places: np.ndarray, owner: np.ndarray, grade: np.ndarray) -> np.ndarray:
     """The greatest z-score, over the grades, of the documents of each place against all."""
-    n = np.bincount(places)
-    z = np.zeros(len(n))
+    most = int(places.max()) + 1
+    parts = [slice(i, i + FIT_BLOCK) for i in range(0, len(places), FIT_BLOCK)]
+    n = sum(np.bincount(places[x], minlength=most) for x in parts)
+    z = np.zeros(most)
     for j in range(1, GRADES):
         p = float((grade >= j).mean())
         if 0 < p < 1:
-            z = np.maximum(z, np.abs(np.bincount(places, (grade >= j)[owner], len(n)) - p * n) / np.sqrt(np.maximum(n, 1) * p * (1 - p)))
+            better = sum(np.bincount(places[x], (grade >= j)[owner[x]], most) for x in parts)  # whole numbers, so exact in any order
+            z = np.maximum(z, np.abs(better - p * n) / np.sqrt(np.maximum(n, 1) * p * (1 - p)))
     return z
 
 
+def _blocks(firsts: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """Groups from, until, and their entries from, until: about FIT_BLOCK entries (or one larger group). firsts: where each group begins, and the end."""
+    cuts = [*np.flatnonzero(np.diff(firsts[:-1] // FIT_BLOCK, prepend=-1)).tolist(), len(firsts) - 1]
+    return [(a, b, int(firsts[a]), int(firsts[b])) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
 def fit(rows: list[tuple[np.ndarray, list[float], int]], rounds: int = ROUNDS, l2: float = L2, strength: float = EVIDENCE) -> Model | None:
     """Full-batch gradient descent with adaptive steps; deterministic. rows: buckets, shape and grade of each document."""
     if not rows:
         return None
     n = len(rows)
     sizes = np.array([len(r[0]) for r in rows])
-    used, col = np.unique(np.concatenate([*[r[0] for r in rows], np.zeros(0, np.int32)]), return_inverse=True)
-    row, col = np.repeat(np.arange(n, dtype=np.int32), sizes), col.astype(np.int32)
+    places = np.concatenate([*[r[0] for r in rows], np.zeros(0, np.int32)])
+    used = np.flatnonzero(np.bincount(places, minlength=BUCKETS))
+    number = np.zeros(BUCKETS, np.int32)
+    number[used] = np.arange(len(used))
+    row, col = np.repeat(np.arange(n, dtype=np.int32), sizes), number[places]
+    del places, number
     by_place = np.argsort(col, kind="stable")
     of_place, firsts = row[by_place], np.concatenate(([0], np.cumsum(np.bincount(col, minlength=len(used)))))
     del by_place
     dense, grade = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
     z = evidence(col, row, grade) if len(used) else np.zeros(0)
+    # Sums go by blocks, as numpy makes 16 bytes of each entry: the driver's memory holds a few copies of 4 bytes an entry.
+    by_row, by_word = _blocks(np.concatenate(([0], np.cumsum(sizes)))), _blocks(firsts) if len(used) else []
     rate = 0.1 * (z * z / (z * z + strength * strength)) ** 3
     tails = (grade[:, None] >= np.arange(1, GRADES)[None, :]).astype(float)
     # Rare grades count as much as frequent ones, up to a factor.
@@ -135,11 +152,11 @@ def fit(rows: list[tuple[np.ndarray, list[float], int]], rounds: int = ROUNDS, l
     squares = [np.full_like(x, 1e-8) for x in (w, s, first, gaps)]
     for _ in range(rounds):
         t = np.concatenate([first, first + np.cumsum(np.exp(gaps))])
-        z = np.bincount(row, w[col], n) + dense @ s
+        z = np.concatenate([np.bincount(row[a:b] - lo, w[col[a:b]], hi - lo) for lo, hi, a, b in by_row]) + dense @ s
         error = (1 / (1 + np.exp(-np.clip(z[:, None] - t[None, :], -30, 30))) - tails) * weight[:, None]
         g = error.sum(1)
         by_threshold = -error.sum(0)
-        of_words = np.add.reduceat(g[of_place], firsts[:-1]) if len(used) else np.zeros(0)  # every place has a document
+        of_words = np.concatenate([np.zeros(0), *[np.add.reduceat(g[of_place[a:b]], firsts[lo:hi] - a) for lo, hi, a, b in by_word]])  # every place has a document
         gradients = [of_words + l2 * w / max(1, len(w)), dense.T @ g + l2 * s / SHAPES, by_threshold.sum(keepdims=True), np.cumsum(by_threshold[:0:-1])[::-1] * np.exp(gaps)]
         for x, d, q, r in zip((w, s, first, gaps), gradients, squares, (rate, 0.6, 0.2, 0.2), strict=True):
             q += d * d
@@ -168,11 +185,13 @@ def learn(docs: DataFrame, ratings: DataFrame, text: str = "text", key: str = "d
             found = [features(t, buckets) for t in frame[text]]
             yield pd.DataFrame({"key": frame[key], "at": [x[0].tobytes() for x in found], "shape": [x[1] for x in found], "grade": frame["grade"]})
 
-    rows: dict[str, tuple] = {}
-    for r in sample.mapInPandas(place, "key string, at binary, shape array<double>, grade int").toLocalIterator():
-        own = (bytes(r.at), r.shape, r.grade)
-        rows[r.key] = min(own, rows.get(r.key, own))
-    return fit([(np.frombuffer(at, np.int32), list(s), g) for _, (at, s, g) in sorted(rows.items())])
+    # As Arrow has them, features lie in a few buffers that go back to the system after the fit; as rows they would stay in the driver.
+    found = sample.mapInPandas(place, "key string, at binary, shape array<double>, grade int").toArrow().combine_chunks()
+    keys, at, shapes, marks = found["key"].to_pylist(), found["at"], found["shape"].to_pylist(), found["grade"].to_pylist()
+    rows: dict[str, int] = {}
+    for i, own in enumerate(keys):
+        rows[own] = min(rows.get(own, i), i, key=lambda j: (at[j].as_py(), shapes[j], marks[j])) if own in rows else i  # the least of rows with one id
+    return fit([(np.frombuffer(at[i].as_buffer(), np.int32) if len(at[i].as_buffer()) else np.zeros(0, np.int32), shapes[i], marks[i]) for _, i in sorted(rows.items())])
 
 
 def score(docs: DataFrame, model: Model | None, text: str = "text", outputs: tuple[str, ...] = ("expected_grade", "p_grade_1", "p_grade_2")) -> DataFrame:

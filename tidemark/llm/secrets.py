@@ -80,7 +80,7 @@ class Automaton:
         self.next: list[dict] = []
         self._tree(values)
         self.bound = math.sqrt(0.5 * math.log(2 / alpha))
-        self.states = self._merge_states()
+        self._keep(self._merge_states())
         self.logs, self.unseen = [], []
         for counts in self.counts:
             total = sum(counts.values()) + UNSEEN * (len(_GROUPS) + 1)
@@ -140,13 +140,21 @@ class Automaton:
                     else:
                         self.next[a][own] = self.next[b][k]
 
-    def _merge_states(self) -> int:
+    def _keep(self, kept: list[int]) -> None:
+        """Only these states, numbered anew: the tree's other nodes are folded into them, and would fill the driver's and each worker's memory."""
+        number = {s: i for i, s in enumerate(kept)}
+        self.counts = [dict(self.counts[s]) for s in kept]
+        self.next = [{k: number[t] for k, t in self.next[s].items()} for s in kept]
+        self.states = len(kept)
+
+    def _merge_states(self) -> list[int]:
+        """The states that are left, the first one being the root."""
         kept = [0]
         while True:
             inside = set(kept)
             edges = [(-self.counts[s][k], s, str(k), k, t) for s in kept for k, t in self.next[s].items() if t not in inside]
             if not edges:
-                return len(kept)
+                return kept
             _, s, _, k, t = min(edges)
             near = [(d, r) for r in kept if (d := self._distance(r, t)) is not None]
             if not near:
