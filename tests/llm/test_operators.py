@@ -769,6 +769,24 @@ def test_components(spark, monkeypatch):
     assert parity_join.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_in_one_partition_and_in_many(spark, monkeypatch):
+    """Few edges need no exchange at any number of shuffle partitions (before, a file for each partition); many are shuffled, hubs and all."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(201, 200), (201, 202)], "a long, b long")
+    spark.conf.set("spark.sql.shuffle.partitions", "37")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        few = parity_join.components(edges)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(few.inputFiles()) <= 2
+    monkeypatch.setattr(parity_join.common, "PARTITION_ROWS", 0)
+    monkeypatch.setattr(parity_join, "HUB", 20)
+    many = parity_join.components(edges)
+    expected = {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)} | {200: 200, 201: 200, 202: 200}
+    assert {r.node: r.component for r in few.collect()} == {r.node: r.component for r in many.collect()} == expected
+
+
 def test_shingles():
     assert len(shingle_hashes("a b c d e", 4)) == 2 and len(shingle_hashes("a  b\nc", 4)) == 1 and len(shingle_hashes(None, 4)) == 0
     assert shingle_hashes("A b c d", 4).tolist() == shingle_hashes("a B\tc d ", 4).tolist() != shingle_hashes("b a c d", 4).tolist()

@@ -17,6 +17,8 @@ from pyspark.sql.types import StructType
 
 #: Rows that a broadcast of ids may hold (16 bytes each or so in memory). Beyond that the same join is shuffled.
 BROADCAST_IDS = 1_000_000
+#: Rows of a few numbers that one partition holds: tables of no more are grouped and joined where they are, without a shuffle.
+PARTITION_ROWS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +57,11 @@ def sized(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_IDS else df
 
 
+def gathered(df: DataFrame, rows: int) -> DataFrame:
+    """df, of which rows were counted, as one partition if it fits one: Spark's groups and joins over it then need no exchange."""
+    return df.coalesce(1) if rows <= PARTITION_ROWS else df
+
+
 # --- numpy helpers, used inside tasks ---------------------------------------------------------------------------------
 
 _U = np.uint64

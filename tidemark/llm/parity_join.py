@@ -35,7 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BROADCAST_IDS, arrow_pieces, mix, removed, shingle_hashes, sized, written
+from tidemark.llm import common
+from tidemark.llm.common import BROADCAST_IDS, arrow_pieces, gathered, mix, removed, shingle_hashes, sized, written
 
 SKETCH_WORDS = 16
 RECUTS = 6
@@ -186,6 +187,7 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, p
     )
     near = written(near, "near-pairs")
     n = near.count()
+    near = gathered(near, n)
     leaders = written(near.groupBy("a").agg(F.first("ida").alias("id"), F.ceil(F.count("*") / SALT_PAIRS).cast("int").alias("salts")), "leaders")
     many = written(leaders.filter("salts > 1").select("a", "salts"), "salted-leaders")  # at most one for SALT_PAIRS pairs
     wanted = near.join(sized(many, many.count()), "a", "left").select(F.col("idb").alias("id"), "a", "b", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"))
@@ -241,19 +243,23 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every end of the edges (a, b), written: the least node that can be reached.
 
     Large star and small star: each round links a node's neighbours to its least neighbour, until nothing changes. A
-    hub's neighbours are aggregated to a minimum before they are shuffled, and are joined, not collected.
+    hub's neighbours are aggregated to a minimum before they are shuffled, and are joined, not collected. Edges that fit one partition
+    stay in one, so that their rounds have no exchange, whatever the number of shuffle partitions is.
     """
-    now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "edges")
+    edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v")
+    now = written(gathered(edges, edges.count()).distinct(), "edges")
     state = None
     while True:
         before, state = state, now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        now = gathered(now, state.n)
         if state == before or not state.n:
             break
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        hubs_of = state.n if state.n > common.PARTITION_ROWS else 0
+        both = now.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
-        large = _with_least(both, least, state.n).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
+        large = _with_least(both, least, hubs_of).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = _with_least(large, least, state.n).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
+        small = _with_least(large, least, hubs_of).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
         last, now = now, written(small.filter("u > v").distinct(), "stars")
         removed(last)
     found = now.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
@@ -263,7 +269,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _labelled(members: DataFrame, comps: DataFrame) -> DataFrame:
-    return members.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    few = comps.count() <= common.PARTITION_ROWS  # then members, which are many, stay where they are
+    return members.join(F.broadcast(comps) if few else comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
 def near_sketches(a: pd.DataFrame, b: pd.DataFrame | None, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -284,7 +291,7 @@ def near_sketches(a: pd.DataFrame, b: pd.DataFrame | None, percent: int) -> Iter
 
 def _family_pairs(labelled: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components of a family that may be linked. labelled: part, node, component, a (the part's leader)."""
-    families = components(labelled.filter("node <> a").select("a", F.col("node").alias("b")).distinct()).withColumnRenamed("component", "family")
+    families = components(labelled.filter("node <> a").select("a", F.col("node").alias("b"))).withColumnRenamed("component", "family")
     rows = labelled.select("node", "component").distinct().join(families, "node").join(nodes.select("node", "n", "sketch"), "node")
     rows = written(rows, "families")
     large = written(rows.groupBy("family").count().filter(F.col("count") > BLOCK).select("family", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "large-families")
@@ -346,7 +353,8 @@ def link(docs: DataFrame, width: int = 4, percent: int = 85, text: str = "text",
         if not state.n:
             removed(open_parts)
             break
-        labelled = written(labelled.join(open_parts.select("part", "a"), "part"), "open-members")
+        leading = open_parts.select("part", "a")
+        labelled = written(labelled.join(F.broadcast(leading) if state.n <= common.PARTITION_ROWS else leading, "part"), "open-members")
         removed(members, open_parts, comps)
         last = round_ == LEADER_ROUNDS or state.most <= LEADER_BUCKET
         if last:
