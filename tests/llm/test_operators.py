@@ -544,6 +544,23 @@ def test_imatch_near_copies_without_terms_of_the_band(spark):
     assert 0.9 < near < 1 and all(x == "-" or len(x) == 16 for x in a.split(".")[1:])
 
 
+def test_imatch_stores_fingerprints_as_longs(spark, monkeypatch):
+    """What is stored and shuffled holds 8 bytes a subset, not 17 characters; the text and the likeness are those of the text's functions."""
+    stored = {}
+    written = imatch.written
+    monkeypatch.setattr(imatch, "written", lambda df, name: stored.setdefault(name, written(df, name)))
+    docs = spark.createDataFrame([(i, f"common{i % 3} pair{i // 2} rare{i} and so on") for i in range(60)] + [(60, ""), (61, "!")], "doc_id long, text string")
+    found = imatch.compare_edited(docs)
+    assert not [f.name for f in stored["prints"].schema if "print" in f.name] and "array<bigint>" in stored["prints"].schema["own"].dataType.simpleString()
+    rows = found.withColumn("again", imatch.likeness(imatch.F.col("fingerprint"), imatch.F.col("edited_fingerprint"))).collect()
+    assert len(rows) == 62 and all(r.again == r.near_edited for r in rows) and {len(r.fingerprint.removeprefix("all.").split(".")) for r in rows} == {imatch.SUBSETS}
+    by_id = {r.doc_id: r for r in rows}
+    pairs = spark.createDataFrame([(by_id[i].fingerprint, by_id[(i + 1) % 62].fingerprint, by_id[i].near_next) for i in range(62)], "a string, b string, near double")
+    assert pairs.filter(imatch.likeness(imatch.F.col("a"), imatch.F.col("b")) == imatch.F.col("near")).count() == 62
+    plain = {r.doc_id: r.p for r in docs.select("doc_id", imatch._plain(imatch.F.col("text")).alias("p")).collect()}
+    assert by_id[60].fingerprint == plain[60] == by_id[61].fingerprint == "all." + ".".join(["-"] * imatch.SUBSETS)
+
+
 def test_imatch_with_repeated_ids(spark):
     """One row for each row; rows with one id follow each other, equal ones first their like."""
     rows = [(1, PROSE), (1, PROSE), (1, "other words here"), (2, "b c d e f g h"), (2, None), (3, "last one of all"), (1, PROSE), (None, "x")]

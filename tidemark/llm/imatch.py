@@ -50,8 +50,13 @@ def lexicon(docs: DataFrame, text: str = "text", low: float = LOW, high: float =
     )
 
 
-def _hash(values: Column) -> Column:
-    return F.lower(F.lpad(F.hex(F.xxhash64(values)), 16, "0"))
+def _hashes(parts: Column) -> Column:
+    """A long for each subset's terms, null for none: a fingerprint as it is stored and shuffled, in half the bytes of its text."""
+    return F.transform(parts, lambda p: F.when(F.size(p) > 0, F.xxhash64(p)))
+
+
+def _joined(hashes: Column) -> Column:
+    return F.array_join(F.transform(hashes, lambda x: F.coalesce(F.lower(F.lpad(F.hex(x), 16, "0")), F.lit("-"))), ".")
 
 
 def fingerprints(texts: DataFrame, lexicon: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -59,6 +64,11 @@ def fingerprints(texts: DataFrame, lexicon: DataFrame, keys: list[str], columns:
 
     `texts` should be partitioned by the first key: then nothing but the lexicon moves.
     """
+    return _hashed(texts, lexicon, keys, columns).select(*keys, *[_joined(F.col(f"hashes{i}")).alias(f"print{i}") for i in range(len(columns))])
+
+
+def _hashed(texts: DataFrame, lexicon: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """fingerprints() as hashes<i>."""
     lists = F.array(*[F.struct(F.lit(i).alias("which"), terms(F.col(c)).alias("terms")) for i, c in enumerate(columns)])
     rows = texts.select(*keys, F.inline(lists)).select(*keys, "which", F.explode("terms").alias("term"))
     found = (
@@ -71,21 +81,37 @@ def fingerprints(texts: DataFrame, lexicon: DataFrame, keys: list[str], columns:
 
     split = found.select(*keys, *[of(i) for i in range(len(columns))])
 
-    def joined(i: int) -> Column:
+    def hashes(i: int) -> Column:
         parts = F.transform(
             F.sequence(F.lit(0), F.lit(SUBSETS - 1)),
             lambda j: F.transform(F.filter(F.col(f"own{i}"), lambda x: x["subset"] == j), lambda x: x["code"]),
         )
-        return F.when(F.size(f"own{i}") > 0, F.array_join(F.transform(parts, lambda p: F.when(F.size(p) > 0, _hash(p)).otherwise(F.lit("-"))), "."))
+        return F.when(F.size(f"own{i}") > 0, _hashes(parts))
 
-    return split.select(*keys, *[joined(i).alias(f"print{i}") for i in range(len(columns))])
+    return split.select(*keys, *[hashes(i).alias(f"hashes{i}") for i in range(len(columns))])
 
 
-def _plain(text: Column) -> Column:
+def _plain_hashes(text: Column) -> Column:
     """For texts without terms of the lexicon: whole hashes of all terms by subset."""
     dealt = F.transform(F.array_sort(terms(text)), lambda t: F.struct(F.pmod(F.xxhash64(t, F.lit(17)), F.lit(SUBSETS)).alias("subset"), t.alias("term")))
     parts = F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda j: F.transform(F.filter(dealt, lambda x: x["subset"] == j), lambda x: x["term"]))
-    return F.concat(F.lit("all."), F.array_join(F.transform(parts, lambda p: F.when(F.size(p) > 0, _hash(p)).otherwise(F.lit("-"))), "."))
+    return _hashes(parts)
+
+
+def _plain(text: Column) -> Column:
+    return F.concat(F.lit("all."), _joined(_plain_hashes(text)))
+
+
+def _print(own: Column) -> Column:
+    """The fingerprint as text. own: hashes, and whether they are of all terms (plain)."""
+    return F.concat(F.when(own["plain"], "all.").otherwise(""), _joined(own["hashes"]))
+
+
+def _alike(a: Column, b: Column) -> Column:
+    """likeness() of stored fingerprints."""
+    used = F.filter(F.arrays_zip(a["hashes"].alias("x"), b["hashes"].alias("y")), lambda p: p["x"].isNotNull() | p["y"].isNotNull())
+    same = F.filter(used, lambda p: p["x"].eqNullSafe(p["y"]))
+    return F.when(a == b, 1.0).when(a["plain"] != b["plain"], 0.0).otherwise(F.size(same) / F.size(used)).cast("double")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -135,26 +161,27 @@ def compare_edited(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     edited = F.concat(F.substring(F.col("text"), F.lit(1), (length - F.floor(length / 4)).cast("int")), F.coalesce(F.col("head"), F.lit("")))
     both = texts.join(heads, ["id", "h"]).select("id", "h", "kind", "copies", "next_id", "next_h", "text", edited.alias("edited"))
     keys = ["id", "h", "kind"]
-    prints = fingerprints(both, words, keys, ["text", "edited"])
+    prints = _hashed(both, words, keys, ["text", "edited"])
+    own = lambda i, column: F.struct(F.col(f"hashes{i}").isNull().alias("plain"), F.coalesce(F.col(f"hashes{i}"), _plain_hashes(F.col(column))).alias("hashes"))
     plain = both.select(*keys, "copies", "next_id", "next_h", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "text", "edited")
     result = written(
         plain.join(prints, keys, "left").select(
-            "kind", "id", "h", "copies", "next_id", "next_h", "n_chars", "edited_sha256", F.coalesce(F.col("print0"), _plain(F.col("text"))).alias("fingerprint"), F.coalesce(F.col("print1"), _plain(F.col("edited"))).alias("edited_fingerprint")
+            "kind", "id", "h", "copies", "next_id", "next_h", "n_chars", "edited_sha256", own(0, "text").alias("own"), own(1, "edited").alias("own_edited")
         ),
         "prints",
     )
-    following = result.filter("kind = 0").select(F.col("id").alias("next_id"), F.col("h").alias("next_h"), F.col("fingerprint").alias("next_fingerprint"))
+    following = result.filter("kind = 0").select(F.col("id").alias("next_id"), F.col("h").alias("next_h"), F.col("own").alias("own_next"))
     one = F.col("kind") == 1
     found = result.join(following, ["next_id", "next_h"]).withColumn("_times", F.when(one, F.col("copies") - 1).otherwise(1))
     found = found.withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), "_times"))) if sizes.repeated else found
     found = found.select(
-        F.col("id").alias(key), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        F.when(one, 1.0).otherwise(likeness(F.col("fingerprint"), F.col("next_fingerprint"))).alias("near_next"),
+        F.col("id").alias(key), "n_chars", "edited_sha256", _print(F.col("own")).alias("fingerprint"), _print(F.col("own_edited")).alias("edited_fingerprint"),
+        _alike(F.col("own"), F.col("own_edited")).alias("near_edited"),
+        F.when(one, 1.0).otherwise(_alike(F.col("own"), F.col("own_next"))).alias("near_next"),
     )
     if not sizes.loose:
         return found
     loose = distinct.filter("id IS NULL")
-    own = loose.join(fingerprints(loose, words, ["h"], ["text"]), "h", "left").select("h", F.coalesce(F.col("print0"), _plain(F.col("text"))).alias("fingerprint"))
-    rows = groups.filter("id IS NULL").join(own, "h").withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    prints = loose.join(fingerprints(loose, words, ["h"], ["text"]), "h", "left").select("h", F.coalesce(F.col("print0"), _plain(F.col("text"))).alias("fingerprint"))
+    rows = groups.filter("id IS NULL").join(prints, "h").withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     return found.unionByName(rows.select(F.col("id").alias(key), "n_chars", "fingerprint", F.lit(0.0).alias("near_edited"), F.lit(0.0).alias("near_next")), allowMissingColumns=True)
