@@ -971,6 +971,31 @@ def test_products_beyond_64_bits_are_exact(spark):
     assert collocations.scored(counts).first().score == 2_000_000 * big // (2 * big + 3)
 
 
+def test_a_block_of_phrases_is_made_and_sorted_in_parts(monkeypatch):
+    """Beside what is kept, 4,000,000 places take no more than a step's temporary arrays, and parts give what the whole gives."""
+    import tracemalloc
+
+    draw = np.random.default_rng(7)
+    words = draw.integers(1, 1 << 63, 50_000).astype(np.uint64)[draw.integers(0, 50_000, 4_000_000)]
+    words[draw.random(len(words)) < 0.1] = 0
+    bits = np.zeros(collocations.FILTER_BITS >> 6, np.uint64)
+    bits[::50] = np.uint64((1 << 64) - 1)
+    block = collocations.Block([words], [np.zeros(len(words), np.int32)], np.array([3], np.uint64))
+    tracemalloc.start()
+    kept, digests = block.made_of(2, 2, bits)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 48_000_000
+    assert sorted(np.concatenate(list(collocations.ranges(digests))).tolist()) == list(range(len(kept))) and len(kept) > 40_000
+    assert len({(x, i) for i, own in enumerate(collocations.ranges(digests)) for x in digests[own].tolist()}) == len(set(digests.tolist()))
+    monkeypatch.setattr(collocations, "STEP", 1 << 22)
+    for n, part in ((2, 2), (3, 2), (1, 1)):
+        whole = block.made_of(n, part, bits)
+        monkeypatch.setattr(collocations, "STEP", 99_991)
+        assert all((a == b).all() for a, b in zip(whole, block.made_of(n, part, bits), strict=True))
+        monkeypatch.setattr(collocations, "STEP", 1 << 22)
+
+
 def test_collocations_of_odd_and_empty_tables(spark, odd, none):
     assert collocations.collocations(none).count() == 0
     rows = collocations.collocations(odd, support=100).collect()

@@ -12,7 +12,8 @@ of the last pass, equal phrases are found by digests that also depend on the lan
 
 Words are cut from the bytes of many texts at a time, and each distinct one of these is hashed once.
 
-Memory: a task holds the digests of a block of MINE_WORDS words, or the words of one of COUNT_WORDS (each distinct word once, and 4 bytes a place). Counts of shards and phrases are shuffles of
+Memory: a task holds the digests of a block of MINE_WORDS words, or the words of one of COUNT_WORDS (each distinct word once, and 4 bytes a place). Phrases are made
+from STEP places at a time and counted by RANGES ranges of their digests, so that what is made on the way takes a part of a block only. Counts of shards and phrases are shuffles of
 Spark with partial sums, which spill; no shard has to fit a task.
 
 Defined results: null texts count as empty and null languages as 'und'; repeated rows count each by itself. An empty corpus has no phrases.
@@ -20,7 +21,7 @@ Defined results: null texts count as empty and null languages as 'und'; repeated
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,8 @@ SHARDS = 6
 #: Bits that hold the candidates of a pass, 8 MB at any size of the corpus.
 FILTER_BITS = 1 << 26
 MINE_WORDS, COUNT_WORDS, BLOCK_BYTES, ROWS_BYTES = 4_000_000, 5_000_000, 2_000_000, 1 << 26
+#: Places of a block whose phrases are made at a time, and ranges of digests that are counted one after another.
+STEP, RANGES = 1 << 18, 16
 
 _U = np.uint64
 #: After lower-casing, the marks that end a piece become line ends and tabs become blanks.
@@ -95,28 +98,40 @@ class Block:
         self.breaks = np.zeros(len(self.words) + 1, np.int32)
         np.cumsum(self.words == 0, out=self.breaks[1:])
 
-    def phrases(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and digests of the phrases of n words."""
+    def phrases(self, n: int, keep: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Places and digests of the phrases of n words (those that `keep` says), made STEP places at a time: only what is kept is held for a whole block."""
+        found = [(np.zeros(0, np.int32), np.zeros(0, _U))]
         m = len(self.words) - n + 1
-        if m <= 0:
-            return np.zeros(0, np.int64), np.zeros(0, _U)
-        at = np.flatnonzero(self.breaks[n : n + m] == self.breaks[:m])
-        with np.errstate(over="ignore"):
-            sums = self.salts[self.language[at]] + _U(n)
-            for i in range(n):
-                sums += self.words[at + i] * _PLACES[i]
-        return at, mix(sums)
+        for a in range(0, m, STEP):
+            b = min(a + STEP, m)
+            at = np.flatnonzero(self.breaks[a + n : b + n] == self.breaks[a:b]) + a
+            with np.errstate(over="ignore"):
+                sums = self.salts[self.language[at]] + _U(n)
+                for i in range(n):
+                    sums += self.words[at + i] * _PLACES[i]
+            digests = mix(sums)
+            if keep:
+                good = keep(at, digests)
+                at, digests = at[good], digests[good]
+            found.append((at.astype(np.int32), digests))
+        at, digests = zip(*found, strict=True)
+        return np.concatenate(at), np.concatenate(digests)
 
     def made_of(self, n: int, part: int, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """phrases(n), those of which all parts of `part` words (the phrases themselves, if part is n) may be candidates."""
-        at, digests = self.phrases(part)
+        may_be = lambda at, digests: held(bits, digests)
+        if part == n:
+            return self.phrases(n, may_be)
         good = np.zeros(len(self.words) + 1, bool)
-        good[at[held(bits, digests)]] = True
-        at, digests = self.phrases(n) if part < n else (at, digests)
-        keep = good[at]
-        for i in range(1, n - part + 1):
-            keep &= good[at + i]
-        return at[keep], digests[keep]
+        good[self.phrases(part, may_be)[0]] = True
+        return self.phrases(n, lambda at, _: np.logical_and.reduce([good[at + i] for i in range(n - part + 1)]))
+
+
+def ranges(digests: np.ndarray) -> Iterator[np.ndarray]:
+    """The places of the digests of each of RANGES ranges, so that equal ones are found together and only a part is sorted at a time."""
+    of = (digests >> _U(56)).astype(np.uint8) // np.uint8(256 // RANGES)
+    for k in range(RANGES):
+        yield np.flatnonzero(of == k)
 
 
 def held(bits: np.ndarray, digests: np.ndarray) -> np.ndarray:
@@ -143,11 +158,14 @@ def _local_counts(docs: DataFrame, lengths: tuple[int, ...], bits, shards: int)
 
         def flush() -> Iterator[pa.RecordBatch]:
             block = Block(digests, languages, own.salts())
+            for pieces in (digests, languages):  # the block has its own copy
+                pieces.clear()
             for n in lengths:
                 _, all_of_them = block.phrases(n) if known is None else block.made_of(n, lengths[0] - 1, known)
-                found, counts = np.unique(all_of_them, return_counts=True)
-                for a in range(0, len(found), 200_000):
-                    yield rows(found[a : a + 200_000], counts[a : a + 200_000])
+                for own_range in ranges(all_of_them):
+                    found, counts = np.unique(all_of_them[own_range], return_counts=True)
+                    for a in range(0, len(found), 200_000):
+                        yield rows(found[a : a + 200_000], counts[a : a + 200_000])
 
         for piece in arrow_pieces(batches, "_text", BLOCK_BYTES):
             cut = Cut(piece.column("_text"))
@@ -160,7 +178,7 @@ def _local_counts(docs: DataFrame, lengths: tuple[int, ...], bits, shards: int)
                 totals = more
             if size >= MINE_WORDS:
                 yield from flush()
-                digests, languages, size = [], [], 0
+                size = 0
         if digests:
             yield from flush()
         if len(totals):
@@ -189,20 +207,23 @@ def _counted(docs: DataFrame, bits, most: int) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             block, words, names = Block(digests, languages, own.salts()), pa.chunked_array(found).unify_dictionaries().combine_chunks(), pa.array(list(own.names), pa.string())
+            for pieces in (found, digests, languages):  # the block and the words have their own copies
+                pieces.clear()
             distinct, codes = words.dictionary, words.indices.to_numpy()
             chars = pc.binary_length(distinct).to_numpy().astype(np.int64)
             for n in range(1, most + 1):
-                at, phrases = block.made_of(n, n, known)
-                _, first, counts = np.unique(phrases, return_index=True, return_counts=True)
-                at = at[first]
-                places = at - block.breaks[at]
-                # Rows leave in batches of ROWS_BYTES at most (or one longer phrase), so that long words don't pass what an array may hold.
-                bytes_so_far = np.cumsum(sum(chars[codes[places + i]] for i in range(n)) + 300)
-                cuts = (np.flatnonzero(np.diff(bytes_so_far // ROWS_BYTES)) + 1).tolist()
-                for a, b in zip([0, *cuts], [*cuts, len(at)], strict=True):
-                    parts = [distinct.take(pa.array(codes[places[a:b] + i])) for i in range(n)]
-                    phrase = pc.binary_join_element_wise(*parts, b" ").cast(pa.string())
-                    yield pa.RecordBatch.from_arrays([names.take(pa.array(block.language[at[a:b]])), phrase, pa.array(np.full(b - a, n, np.int32)), pa.array(counts[a:b].astype(np.int64))], ["lang", "phrase", "words", "n"])
+                everywhere, phrases = block.made_of(n, n, known)
+                for own_range in ranges(phrases):
+                    _, first, counts = np.unique(phrases[own_range], return_index=True, return_counts=True)
+                    at = everywhere[own_range[first]]
+                    places = at - block.breaks[at]
+                    # Rows leave in batches of ROWS_BYTES at most (or one longer phrase), so that long words don't pass what an array may hold.
+                    bytes_so_far = np.cumsum(sum(chars[codes[places + i]] for i in range(n)) + 300)
+                    cuts = (np.flatnonzero(np.diff(bytes_so_far // ROWS_BYTES)) + 1).tolist()
+                    for a, b in zip([0, *cuts], [*cuts, len(at)], strict=True):
+                        parts = [distinct.take(pa.array(codes[places[a:b] + i])) for i in range(n)]
+                        phrase = pc.binary_join_element_wise(*parts, b" ").cast(pa.string())
+                        yield pa.RecordBatch.from_arrays([names.take(pa.array(block.language[at[a:b]])), phrase, pa.array(np.full(b - a, n, np.int32)), pa.array(counts[a:b].astype(np.int64))], ["lang", "phrase", "words", "n"])
 
         for piece in arrow_pieces(batches, "_text", BLOCK_BYTES):
             cut = Cut(piece.column("_text"))
@@ -212,7 +233,7 @@ def _counted(docs: DataFrame, bits, most: int) -> DataFrame:
             size += len(cut.digests)
             if size >= COUNT_WORDS:
                 yield from flush()
-                found, digests, languages, size = [], [], [], 0
+                size = 0
         if digests:
             yield from flush()
 
