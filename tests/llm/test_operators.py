@@ -561,6 +561,27 @@ def test_imatch_stores_fingerprints_as_longs(spark, monkeypatch):
     assert by_id[60].fingerprint == plain[60] == by_id[61].fingerprint == "all." + ".".join(["-"] * imatch.SUBSETS)
 
 
+def test_imatch_stores_edited_texts_by_their_differences(spark, monkeypatch):
+    """Hashes that an edited text shares with its text are stored as 0, its digest as bytes; tables that were read for the last time are gone."""
+    import os
+
+    stored, written = {}, imatch.written
+    monkeypatch.setattr(imatch, "written", lambda df, name: stored.setdefault(name, written(df, name)))
+    docs = spark.createDataFrame([(i, f"common{i % 3} pair{i // 2} rare{i} and so on with group{i // 4} at the end") for i in range(60)], "doc_id long, text string")
+    found = _by_id(imatch.compare_edited(docs))
+    rows = stored["prints"].collect()
+    shared = [(x, y) for r in rows for x, y in zip(r.own.hashes, r.own_edited.hashes, strict=True) if x is not None and y is not None]
+    assert len(rows) == 60 and 0 < sum(y == 0 for _, y in shared) and all(x != y for x, y in shared) and {len(r.digest) for r in rows} == {32}
+    for r in rows:
+        name = lambda x: "-" if x is None else f"{x & (1 << 64) - 1:016x}"
+        edited = [y if y is None else y ^ (x or 0) for x, y in zip(r.own.hashes, r.own_edited.hashes, strict=True)]
+        assert found[r.id].edited_fingerprint == "all." * r.own_edited.plain + ".".join(map(name, edited))
+        text, following = (f"common{i % 3} pair{i // 2} rare{i} and so on with group{i // 4} at the end" for i in (r.id, (r.id + 1) % 60))
+        assert found[r.id].edited_sha256 == hashlib.sha256((text[: len(text) - len(text) // 4] + following[: len(text) // 4]).encode()).hexdigest()
+    for name in ("rows", "next-rows", "ranges", "lexicon"):
+        assert not any(os.path.exists(f.removeprefix("file://")) for f in stored[name].inputFiles())
+
+
 def test_imatch_with_repeated_ids(spark):
     """One row for each row; rows with one id follow each other, equal ones first their like."""
     rows = [(1, PROSE), (1, PROSE), (1, "other words here"), (2, "b c d e f g h"), (2, None), (3, "last one of all"), (1, PROSE), (None, "x")]

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import sized, written
+from tidemark.llm.common import removed, sized, written
 
 #: The band, as shares of all documents.
 LOW, HIGH = 0.002, 0.05
@@ -55,6 +55,11 @@ def _hashes(parts: Column) -> Column:
     return F.transform(parts, lambda p: F.when(F.size(p) > 0, F.xxhash64(p)))
 
 
+def _against(own: Column, other: Column) -> Column:
+    """The differences (XOR) of other hashes from a text's own: 0 where they are equal, which takes little room where it is compressed. Applied twice it gives the other hashes."""
+    return F.zip_with(own, other, lambda x, y: F.coalesce(x, F.lit(0).cast("long")).bitwiseXOR(y))
+
+
 def _joined(hashes: Column) -> Column:
     return F.array_join(F.transform(hashes, lambda x: F.coalesce(F.lower(F.lpad(F.hex(x), 16, "0")), F.lit("-"))), ".")
 
@@ -146,7 +151,9 @@ def compare_edited(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     all_texts = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     groups = written(all_texts.groupBy("id", "h").agg(F.count("*").alias("copies"), F.first(F.length("text").cast("long")).alias("n_chars")), "rows")
     sizes = groups.agg(F.count("id").alias("n"), F.count(F.when(F.col("copies") > 1, 1)).alias("repeated"), F.count(F.when(F.col("id").isNull(), 1)).alias("loose")).first()
-    chain = written(followed(groups.filter("id IS NOT NULL"), sizes.n), "next-rows")
+    following = followed(groups.filter("id IS NOT NULL"), sizes.n)
+    chain = written(following, "next-rows")
+    removed(following)  # the ranges, which only the chain has read
     distinct = all_texts.dropDuplicates(["id", "h"]) if sizes.repeated else all_texts
     words = written(lexicon(distinct), "lexicon")
     words = sized(words, words.count())
@@ -163,19 +170,18 @@ def compare_edited(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     keys = ["id", "h", "kind"]
     prints = _hashed(both, words, keys, ["text", "edited"])
     own = lambda i, column: F.struct(F.col(f"hashes{i}").isNull().alias("plain"), F.coalesce(F.col(f"hashes{i}"), _plain_hashes(F.col(column))).alias("hashes"))
-    plain = both.select(*keys, "copies", "next_id", "next_h", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "text", "edited")
-    result = written(
-        plain.join(prints, keys, "left").select(
-            "kind", "id", "h", "copies", "next_id", "next_h", "n_chars", "edited_sha256", own(0, "text").alias("own"), own(1, "edited").alias("own_edited")
-        ),
-        "prints",
-    )
+    plain = both.select(*keys, "copies", "next_id", "next_h", F.length("text").cast("long").alias("n_chars"), F.unhex(F.sha2(F.encode("edited", "UTF-8"), 256)).alias("digest"), "text", "edited")
+    result = plain.join(prints, keys, "left").select("kind", "id", "h", "copies", "next_id", "next_h", "n_chars", "digest", own(0, "text").alias("own"), own(1, "edited").alias("own_edited"))
+    # Most of an edited text's hashes are those of the text: stored and shuffled are its differences.
+    edited_hashes = F.struct(F.col("own_edited.plain").alias("plain"), _against(F.col("own.hashes"), F.col("own_edited.hashes")).alias("hashes"))
+    result = written(result.withColumn("own_edited", edited_hashes), "prints")
+    removed(chain, *([] if sizes.loose else [groups, words]))
     following = result.filter("kind = 0").select(F.col("id").alias("next_id"), F.col("h").alias("next_h"), F.col("own").alias("own_next"))
     one = F.col("kind") == 1
     found = result.join(following, ["next_id", "next_h"]).withColumn("_times", F.when(one, F.col("copies") - 1).otherwise(1))
     found = found.withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), "_times"))) if sizes.repeated else found
-    found = found.select(
-        F.col("id").alias(key), "n_chars", "edited_sha256", _print(F.col("own")).alias("fingerprint"), _print(F.col("own_edited")).alias("edited_fingerprint"),
+    found = found.withColumn("own_edited", edited_hashes).select(
+        F.col("id").alias(key), "n_chars", F.lower(F.hex("digest")).alias("edited_sha256"), _print(F.col("own")).alias("fingerprint"), _print(F.col("own_edited")).alias("edited_fingerprint"),
         _alike(F.col("own"), F.col("own_edited")).alias("near_edited"),
         F.when(one, 1.0).otherwise(_alike(F.col("own"), F.col("own_next"))).alias("near_next"),
     )
