@@ -798,6 +798,64 @@ def test_parity_join_with_repeated_ids(spark):
     assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in found) == sorted([(5, 117, 5), (5, 3, 5), (7, 117, 5), (7, 117, 5), (9, 3, 5), (0, 117, 0), (3, 1, 3), (5, 117, 5)])
 
 
+def test_parity_join_brings_keys_together_in_bundles():
+    """Keys that two texts share are found as they are by the whole keys, whatever the bundles and ranges; a key takes seven bytes."""
+    draw, bands = random.Random(31), parity_join.Bands(85)
+    texts = [[f"w{draw.randrange(5_000)}" for _ in range(300)] for _ in range(30)]
+    texts += [[*t[:-k], *("z" * k)] for k, t in enumerate(texts[:12], 1)]
+    sets = [shingle_hashes(" ".join(t), 4) for t in texts]
+    parts = [parity_join.part_keys(x, bands) for x in sets]
+    names = [parity_join.node_name(x) for x in sets]
+    owners = {}
+    for name, own in zip(names, parts, strict=True):
+        for k in own.tolist():
+            owners.setdefault(k, []).append(name)
+    expected = sorted(sorted(v) for v in owners.values() if len(v) > 1)
+    for ranges in (1, 5):
+        rows = [r for i in range(0, len(texts), 8) for r in parity_join.bundle_rows(parts[i : i + 8], names[i : i + 8], ranges).to_pylist()]
+        called = {r["bundle"]: np.frombuffer(r["names"], np.int64) for r in rows if r["names"]}
+        raw = [r for r in rows if r["keys"]]
+        assert sum(len(r["keys"]) for r in raw) == 7 * sum(map(len, parts))
+        found = {}
+        for k in range(ranges):
+            own = [r for r in raw if r["range"] == k]
+            for bundle, at, part, sizes in parity_join.shared_keys(k, [r["bundle"] for r in own], [r["keys"] for r in own]):
+                for i, p, n in zip(at.tolist(), part.tolist(), sizes.tolist(), strict=True):
+                    found.setdefault((p, n), []).append(int(called[bundle][i]))
+        assert sorted(map(sorted, found.values())) == expected and all(len(v) == n for (_, n), v in found.items())
+
+
+def _shuffled(spark):
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+
+def test_parity_join_shuffles_few_bytes_for_a_key(spark):
+    """Before, a key was a row of sixteen bytes and more, and was shuffled again where many buckets are shared."""
+    draw, bands = random.Random(32), parity_join.Bands(85)
+    texts = [" ".join(f"w{draw.randrange(10**9)}" for _ in range(4_000)) for _ in range(80)]
+    n = sum(len(parity_join.part_keys(shingle_hashes(t, 4), bands)) for t in texts)
+    docs, before = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), _shuffled(spark)
+    assert parity_join.link(docs).count() == 80
+    assert n > 80_000 and _shuffled(spark) - before < 9 * n
+
+
+def test_repeated_rows_are_cut_once(spark, monkeypatch):
+    """Rows of equal id and text are one node: none of its parts is a bucket. Copies under other ids too, with a broadcast of them and without."""
+    draw = random.Random(33)
+    texts = [" ".join(f"w{draw.randrange(10**9)}" for _ in range(200)) for _ in range(6)]
+    rows = [(i, t) for i, t in enumerate(texts) for _ in range(2)] + [(10, texts[0])]
+    made, write = [], parity_join.written
+    monkeypatch.setattr(parity_join, "written", lambda df, name: made.append((name, write(df, name))) or made[-1][1])
+    for broadcast in (1_000_000, 0):
+        monkeypatch.setattr(parity_join, "BROADCAST_IDS", broadcast)
+        made.clear()
+        monkeypatch.setattr(parity_join, "removed", lambda *tables: None)
+        found = parity_join.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted((r.doc_id, r.component_id) for r in found) == sorted((i, i % 10) for i, _ in rows)
+        assert next(df for name, df in made if name == "members").count() == 0
+
+
 def test_components(spark, monkeypatch):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 160)] + [(200, 201), (201, 202), (200, 202)]
     for hub in (1_000, 20):

@@ -52,6 +52,11 @@ def removed(*tables: DataFrame) -> None:
             target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def swept(df: DataFrame) -> None:
+    """Has the driver collect its garbage: Spark keeps the shuffle files of a finished query until then, however large they are."""
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def sized(df: DataFrame, rows: int) -> DataFrame:
     """df with a broadcast hint if its counted rows are within BROADCAST_IDS; else as it is, for a shuffled join."""
     return F.broadcast(df) if rows <= BROADCAST_IDS else df

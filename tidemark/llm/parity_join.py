@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import common
-from tidemark.llm.common import BROADCAST_IDS, arrow_pieces, gathered, mix, removed, shingle_hashes, sized, written
+from tidemark.llm.common import BROADCAST_IDS, arrow_pieces, gathered, mix, removed, shingle_hashes, sized, swept, written
 
 SKETCH_WORDS = 16
 RECUTS = 6
@@ -48,6 +48,8 @@ BLOCK = 400
 SALT_PAIRS, HUB = 2_000, 1_000
 #: Bytes of text that are turned into sets at a time.
 PIECE = 4_000_000
+#: Part keys of a bundle and, about, of a range; bits of a key within its range. By chance a key is alike another one of its range once in 2**19.
+BUNDLE_KEYS, RANGE_KEYS, KEY_BITS = 1_000_000, 2_000_000, 40
 _U = np.uint64
 
 
@@ -78,6 +80,10 @@ class Bands:
         d = self.difference(band)
         return d + 2 + d // 24
 
+    def most_keys(self, sets: int, shingles: int) -> int:
+        """About the most part keys of so many sets that have so many shingles together: a band's upper end is 100 / percent of a size."""
+        return 4 * sets + shingles * (100 - self.percent) * (100 + self.percent) * 25 // (24 * self.percent**2)
+
     def edges(self, band: int) -> np.ndarray:
         """Where the hash ranges of parts begin, but for the first."""
         if band not in self._edges:
@@ -155,19 +161,104 @@ def _sets(docs: DataFrame, width: int, text: str, key: str) -> DataFrame:
     return found.withColumn("node", F.when(F.col("id").isNotNull(), F.col("node")))
 
 
-def _keys(docs: DataFrame, width: int, percent: int, text: str, key: str) -> DataFrame:
-    bands = Bands(percent)
+def bundle_rows(parts: list[np.ndarray], names: list[int], ranges: int) -> pa.RecordBatch:
+    """The part keys of a bundle of texts, whose nodes are named: a row with the names, and one for each range with its keys.
 
-    def run(piece: pa.RecordBatch, texts: list) -> pa.RecordBatch:
-        parts, nodes = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
-        for t in texts:
-            shingles = shingle_hashes(t, width)
-            found = part_keys(shingles, bands)
-            parts.append(found)
-            nodes.append(np.full(len(found), node_name(shingles), np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), pa.array(np.concatenate(nodes))], ["part", "node"])
+    A key is KEY_BITS bits of the hash besides its range, and the place of its text in the bundle: seven bytes, of which the
+    highest are in order and so compress. A bundle is called by its names' digest: made anew in another order it has another one.
+    """
+    called = np.array(names, np.int64)
+    keys, texts = np.concatenate(parts), np.repeat(np.arange(len(parts), dtype="<u2"), [len(x) for x in parts])
+    keys = ((keys >> _U(32)) * _U(ranges) >> _U(32)) << _U(KEY_BITS) | keys & _U((1 << KEY_BITS) - 1)
+    order = np.argsort(keys)
+    keys, texts = keys[order], texts[order]
+    cuts = np.searchsorted(keys, np.arange(ranges + 1, dtype=_U) << _U(KEY_BITS))
+    own = np.flatnonzero(cuts[1:] > cuts[:-1])
+    low, high = keys.astype("<u4"), (keys >> _U(32)).astype(np.uint8)
+    raw = [b"".join(x[cuts[r] : cuts[r + 1]].tobytes() for x in (low, texts, high)) for r in own]
+    bundle = node_name(called)
+    columns = [[bundle % ranges, *own.tolist()], [bundle] * (len(own) + 1), [called.tobytes(), *[None] * len(own)], [None, *raw]]
+    return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["range", "bundle", "names", "keys"])
+
+
+def shared_keys(range_: int, bundles: list[int], raw: list) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(bundle, places of texts, parts, sizes of their buckets): of a range's keys, those that more texts than one have."""
+    n = [len(x) // 7 for x in raw]
+    low, texts, high = (np.concatenate([np.frombuffer(x, kind, k, at * k) for x, k in zip(raw, n, strict=True)]) for kind, at in (("<u4", 0), ("<u2", 4), ("u1", 6)))
+    keys = high.astype(_U) << _U(32) | low
+    order = np.argsort(keys)
+    keys = keys[order]
+    same = keys[1:] == keys[:-1]
+    several = np.append(same, False) | np.append(False, same)[: len(keys)]
+    run = np.cumsum(np.append(True, ~same)[: len(keys)]) - 1
+    sizes = np.bincount(run)[run][several]
+    owner, parts, texts = np.repeat(np.arange(len(raw)), n)[order][several], keys[several] | _U(range_ << KEY_BITS), texts[order][several]
+    order = np.argsort(owner, kind="stable")
+    cuts = np.searchsorted(owner[order], np.arange(len(raw) + 1))
+    for i in np.flatnonzero(cuts[1:] > cuts[:-1]):
+        at = order[cuts[i] : cuts[i + 1]]
+        yield bundles[i], texts[at], parts[at].view(np.int64), sizes[at].astype(np.int32)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[tuple[int, list[dict]]]:
+    """Rows by a column that they are sorted by, their binary columns as buffers."""
+    last, rows = None, []
+    for batch in batches:
+        for own, *values in zip(*(batch.column(c) for c in (by, *batch.schema.names)), strict=True):
+            if rows and own.as_py() != last:
+                yield last, rows
+                rows = []
+            last = own.as_py()
+            rows.append({c: (x.as_buffer() if hasattr(x, "as_buffer") else x.as_py()) if x.is_valid else None for c, x in zip(batch.schema.names, values, strict=True)})
+    if rows:
+        yield last, rows
+
+
+def _members(docs: DataFrame, width: int, percent: int, ranges: int, text: str, key: str) -> DataFrame:
+    """part, node, rank: the members of buckets that two texts or more share. A node's rank is the sum of its buckets' sizes.
+
+    Texts are cut into parts once. Their keys meet by ranges, in bundles of many texts; only what is shared goes back to its
+    bundle, where it is ranked and gets the nodes' names.
+    """
+    bands = Bands(percent)
 
-    return _mapped(_texts(docs, text, key), run, "part long, node long")
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, names, n = [], [], 0
+        for piece in arrow_pieces(batches, "text", PIECE):
+            for t in piece.column("text").to_pylist():
+                shingles = shingle_hashes(t, width)
+                if len(found := part_keys(shingles, bands)):
+                    parts.append(found)
+                    names.append(node_name(shingles))
+                    n += len(found)
+                if n >= BUNDLE_KEYS or len(parts) == 1 << 16:
+                    yield bundle_rows(parts, names, ranges)
+                    parts, names, n = [], [], 0
+        if parts:
+            yield bundle_rows(parts, names, ranges)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"bundle": pa.int64(), "names": pa.binary(), "texts": pa.binary(), "parts": pa.binary(), "sizes": pa.binary()}
+        for range_, rows in _groups(batches, "range"):
+            found = [(r["bundle"], r["names"].to_pybytes(), None, None, None) for r in rows if r["keys"] is None]
+            if rows := [r for r in rows if r["keys"] is not None]:
+                found += [(b, None, *(x.tobytes() for x in own)) for b, *own in shared_keys(range_, [r["bundle"] for r in rows], [r["keys"] for r in rows])]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*found, strict=True), kinds.values(), strict=True)], list(kinds))
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bundle, rows in _groups(batches, "bundle"):
+            names = next((r["names"] for r in rows if r["names"] is not None), None)
+            if names is None:  # its texts came in another order when a lost task ran again
+                raise ValueError(f"bundle {bundle} has no names")
+            if rows := [r for r in rows if r["names"] is None]:
+                texts, parts, sizes = (np.concatenate([np.frombuffer(r[c], kind) for r in rows]) for c, kind in (("texts", "<u2"), ("parts", np.int64), ("sizes", np.int32)))
+                ranks = np.bincount(texts, sizes).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (parts, np.frombuffer(names, np.int64)[texts], ranks[texts])], ["part", "node", "rank"])
+
+    bundles = _texts(docs, text, key).select("text").mapInArrow(cut, "range int, bundle long, names binary, keys binary")
+    met = bundles.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(meet, "bundle long, names binary, texts binary, parts binary, sizes binary")
+    return met.repartition("bundle").sortWithinPartitions("bundle").mapInArrow(name, "part long, node long, rank long")
 
 
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, percent: int, text: str, key: str) -> DataFrame:
@@ -225,6 +316,7 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, p
 
     links = written(left.join(right, ["a", "salt"]).select("a", "b", "shingles", "other").mapInArrow(compare, "a long, b long"), "links")
     removed(near, leaders, many)
+    swept(links)
     return links
 
 
@@ -316,29 +408,28 @@ def link(docs: DataFrame, width: int = 4, percent: int = 85, text: str = "text",
     """key, n_shingles, component_id, class_id (the least id with an equal set): one row per row of docs."""
     sets = written(_sets(docs, width, text, key), "sets")
     nodes = written(sets.filter("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
-    totals = nodes.agg(F.count("*").alias("n"), F.coalesce(F.sum("copies"), F.lit(0)).alias("rows")).first()
+    totals = nodes.agg(F.count("*").alias("n"), F.coalesce(F.sum("copies"), F.lit(0)).alias("rows"), F.sum("n").alias("shingles")).first()
     if not totals.n:
         return sets.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), F.col("id").alias("class_id"))
     # Only one row of a node is cut into parts.
-    taken = nodes.select(F.col("id").alias(key))
-    if (more := totals.rows - totals.n) <= BROADCAST_IDS:
-        left_out = sets.filter("node IS NOT NULL").join(F.broadcast(nodes.filter("copies > 1").select("node", F.col("id").alias("kept"))), "node").filter("id <> kept").select(F.col("id").alias(key))
-        # An id that repeats may be left out for one of its texts and taken for another.
-        left_out = written(left_out.join(taken, key, "left_anti").distinct(), "copies") if more else None
-        own = docs.join(F.broadcast(left_out), key, "left_anti") if more else docs
-    else:
-        own = docs.join(taken, key, "left_semi")
-    keys = _keys(own.filter(F.col(key).isNotNull()), width, percent, text, key)
-    shared = written(keys.groupBy("part").agg(F.count("*").alias("members"), F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b"), "buckets")
-    large = shared.filter("members > 2").select("part", "members")
-    members = keys.join(sized(large, large.count()), "part").unionByName(shared.filter("members = 2").select("part", "members", F.explode(F.array("a", "b")).alias("node")))
-    members = written(members, "members")
-    removed(shared)
-    # A text that others are copies of shares more parts with them than they do with each other. It leads its buckets.
-    ranks = members.groupBy("node").agg(F.sum("members").alias("rank"))
-    plain, members = members, written(members.select("part", "node").join(ranks, "node"), "ranked-members")
-    removed(plain)
-
+    own, taken = docs.filter(F.col(key).isNotNull()), nodes.select(F.col("id").alias(key))
+    if more := totals.rows - totals.n:
+        copied = sets.join(sized(nodes.filter("copies > 1").select("node", F.col("id").alias("kept")), more), "node")
+        repeated = written(copied.filter("id = kept").groupBy(F.col("id").alias(key)).count().filter("count > 1").select(key), "repeated-ids")
+        if more <= BROADCAST_IDS:
+            # An id that repeats may be left out for one of its texts and taken for another.
+            left_out = written(copied.filter("id <> kept").select(F.col("id").alias(key)).join(taken, key, "left_anti").distinct(), "copies")
+            own = own.join(F.broadcast(left_out), key, "left_anti")
+        else:
+            own = own.join(taken, key, "left_semi")
+        if n := repeated.count():
+            own, repeated = own.select(key, text), sized(repeated, n)
+            own = own.join(repeated, key, "left_anti").unionByName(own.join(repeated, key, "left_semi").dropDuplicates([key, text]))
+    keys = Bands(percent).most_keys(totals.n, totals.shingles)
+    members = written(_members(own, width, percent, max(1, -(-keys // RANGE_KEYS)), text, key), "members")
+    swept(members)
+
+    # A text that others are copies of shares more parts with them than they do with each other: its rank is high, and it leads its buckets.
     # First each node is held against one leader: that with which it shares most parts. Buckets stay open whose nodes are not in one component then.
     leading = members.groupBy("part").agg(F.max(F.struct("rank", "node")).alias("x")).select("part", F.col("x.node").alias("a"))
     votes = members.join(leading, "part").filter("node <> a").groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("parts"))
