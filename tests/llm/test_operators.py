@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -798,6 +799,27 @@ def test_parity_join_with_repeated_ids(spark):
     assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in found) == sorted([(5, 117, 5), (5, 3, 5), (7, 117, 5), (7, 117, 5), (9, 3, 5), (0, 117, 0), (3, 1, 3), (5, 117, 5)])
 
 
+def test_long_sketches_tell_large_sets_apart():
+    """Bits that differ are no more than the shingles that do, folded or not; large sets with nothing in common don't pass (before, all of them did)."""
+    draw = random.Random(34)
+    for n, k in ((5_000, 0), (5_000, 300), (5_000, 900), (4_000, 200), (8_200, 400), (1_030, 20)):
+        a = [f"w{draw.randrange(10**9)}" for _ in range(n)]
+        b = [*a[: len(a) - k], *(f"v{draw.randrange(10**9)}" for _ in range(k // 2))]
+        x, y = shingle_hashes(" ".join(a), 5), shingle_hashes(" ".join(b), 5)
+        (_, _, short, long), (_, _, _, other) = parity_join.set_row(x), parity_join.set_row(y)
+        assert parity_join.bits_apart(long, short.tobytes()) == 0 and (long == other or k)
+        difference, total = len(np.setxor1d(x, y)), len(x) + len(y)
+        assert parity_join.bits_apart(long, other or long) <= difference
+        if 180 * difference <= 20 * total:
+            assert parity_join.may_link(long, other, total, 80)
+    large = [parity_join.set_row(shingle_hashes(" ".join(f"{w}{draw.randrange(10**9)}" for _ in range(n)), 5)) for w, n in (("a", 5_000), ("b", 4_500), ("c", 4_000), ("d", 8_500))]
+    for i, x in enumerate(large):
+        for y in large[:i]:
+            assert not parity_join.may_link(x[3], y[3], x[0] + y[0], 80)
+    frame = pd.DataFrame({"n": [x[0] for x in large], "sketch": [x[2] for x in large], "long": [x[3] for x in large], "component": range(4)})
+    assert not sum(len(x) for x, _ in parity_join.near_sketches(frame, None, 80))
+
+
 def test_parity_join_brings_keys_together_in_bundles():
     """Keys that two texts share are found as they are by the whole keys, whatever the bundles and ranges; a key takes seven bytes."""
     draw, bands = random.Random(31), parity_join.Bands(85)

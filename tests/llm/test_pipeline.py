@@ -3,8 +3,9 @@
 import random
 
 import corpus_pipeline
-from tests.llm.test_operators import _linked
+from tests.llm.test_operators import _linked, _shuffled
 from tidemark.llm import parity_join
+from tidemark.llm.common import shingle_hashes
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -69,6 +70,31 @@ def test_bands_hold_every_linked_pair():
         assert bands.parts(bands.of(a)) > bands.difference(bands.of(a)) >= (15 * (a + b)) // 185 - 1
 
 
+def test_near_duplicates_shuffle_few_bytes_for_a_key(spark, tmp_path):
+    """Before, this stage shuffled each part key as a row of sixteen bytes and more, twice where many buckets are shared."""
+    draw, bands = random.Random(22), parity_join.Bands(corpus_pipeline.SIMILARITY)
+    texts = [" ".join(f"w{draw.randrange(10**9)}" for _ in range(3_000)) for _ in range(60)]
+    texts += [f"{texts[0]} and more", texts[1]]
+    n = sum(len(parity_join.part_keys(shingle_hashes(t, corpus_pipeline.SHINGLE_WORDS), bands)) for t in texts)
+    docs, before = spark.createDataFrame([(i, t, "en", "s", None) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long"), _shuffled(spark)
+    assert {r.doc_id for r in corpus_pipeline.distinct_documents(spark, docs, str(tmp_path)).collect()} == set(range(60))
+    assert n > 80_000 and _shuffled(spark) - before < 9 * n
+
+
+def test_pairs_are_verified_with_a_broadcast_and_without(spark, monkeypatch):
+    """Nodes are not shuffled for few pairs; the links are the same, also of a leader that is copied for salts."""
+    draw = random.Random(23)
+    base = [f"w{draw.randrange(10**9)}" for _ in range(120)]
+    texts = [" ".join([*base[:-1], f"z{i}"]) for i in range(12)] + [" ".join(f"w{draw.randrange(10**9)}" for _ in range(50)) for _ in range(5)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(parity_join, "SALT_PAIRS", 3)
+    found = []
+    for most in (1_000_000, 0):
+        monkeypatch.setattr(parity_join, "BROADCAST_IDS", most)
+        found.append({r.doc_id: r.component_id for r in parity_join.link(docs, 5, 80).collect()})
+    assert found[0] == found[1] == {i: 0 if i < 12 else i for i in range(17)}
+
+
 def test_rows_are_dropped_by_their_own_group(spark, tmp_path):
     long = lambda w: " ".join(f"{w}{i}" for i in range(30))
     rows = [(1, long("a")), (2, long("a")), (2, long("b")), (3, long("c")), (3, long("c")), (4, None), (4, None), (None, long("a")), (5, long("b") + " z")]

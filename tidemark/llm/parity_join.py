@@ -6,7 +6,7 @@ part only, so two sketches differ in no more parts than the two sets differ in s
 the symmetric difference from below). Sets of similar size that are linked differ in at most d shingles, so of more than
 d parts at least one is alike in both (pigeonhole). That gives candidates by an equality join of parts, for each band of
 sizes; a candidate pair is first held against the Hamming distance of a short sketch of single bits (which bounds
-it likewise), and then verified on the whole sets. An empty part joins nothing as long as enough parts remain; a text
+it likewise), of large sets also of a long sketch, and then verified on the whole sets. An empty part joins nothing as long as enough parts remain; a text
 with too many empty parts is cut anew by another hash (RECUTS times).
 
 A node is a distinct set, named by 64 bits of the BLAKE2b digest of its hashes, so equal sets are one node wherever they
@@ -48,8 +48,8 @@ BLOCK = 400
 SALT_PAIRS, HUB = 2_000, 1_000
 #: Bytes of text that are turned into sets at a time.
 PIECE = 4_000_000
-#: Part keys of a bundle and, about, of a range; bits of a key within its range. By chance a key is alike another one of its range once in 2**19.
-BUNDLE_KEYS, RANGE_KEYS, KEY_BITS = 1_000_000, 2_000_000, 40
+#: Part keys of a bundle and, about, of a range; bits of a key within its range. By chance a key is alike another one of its range once in 2**21.
+BUNDLE_KEYS, RANGE_KEYS, KEY_BITS = 500_000, 500_000, 40
 _U = np.uint64
 
 
@@ -98,11 +98,30 @@ class Bands:
         return self._names[band, cut]
 
 
-def set_row(shingles: np.ndarray) -> tuple[int, int, np.ndarray]:
-    """Size, name and short sketch of a set: sorted distinct hashes."""
-    mixed = mix(shingles, 21)
-    odd = np.bincount((mixed & _U(64 * SKETCH_WORDS - 1)).view(np.int64), minlength=64 * SKETCH_WORDS) & 1
-    return len(shingles), node_name(shingles), np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+def set_row(shingles: np.ndarray) -> tuple[int, int, np.ndarray, bytes | None]:
+    """Size, name, short sketch and long sketch of a set: sorted distinct hashes.
+
+    The long one has as many bits as the set has shingles or more, as the bits of the short one can't show the differences of a
+    large set. Both are made of the hashes' low bits, so a sketch folded in two is that of half the bits.
+    """
+    mixed, n = mix(shingles, 21), len(shingles)
+
+    def sketch(bits: int) -> np.ndarray:
+        odd = np.bincount((mixed & _U(bits - 1)).view(np.int64), minlength=bits) & 1
+        return np.packbits(odd.astype(np.uint8), bitorder="little")
+
+    return n, node_name(shingles), sketch(64 * SKETCH_WORDS).view(np.int64), sketch(1 << (n - 1).bit_length()).tobytes() if n > 64 * SKETCH_WORDS else None
+
+
+def bits_apart(x: bytes, y: bytes) -> int:
+    """The bits in which two sketches differ, of which the longer one is folded: no more than the shingles in which the sets differ."""
+    x, y = sorted((np.frombuffer(x, _U), np.frombuffer(y, _U)), key=len)
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum(dtype=np.int64))
+
+
+def may_link(x: bytes | None, y: bytes | None, total: int, percent: int) -> bool:
+    """Whether the long sketches of two sets, of `total` shingles together, allow a link; where one is missing, the short ones have told."""
+    return x is None or y is None or (100 + percent) * bits_apart(x, y) <= (100 - percent) * total
 
 
 def node_name(shingles: np.ndarray) -> int:
@@ -149,15 +168,15 @@ def _texts(docs: DataFrame, text: str, key: str) -> DataFrame:
 
 
 def _sets(docs: DataFrame, width: int, text: str, key: str) -> DataFrame:
-    """id, n, node (null without shingles or id), sketch."""
+    """id, n, node (null without shingles or id), sketch, long (null but for large sets)."""
 
     def run(piece: pa.RecordBatch, texts: list) -> pa.RecordBatch:
         rows = [set_row(shingle_hashes(t, width)) for t in texts]
         sketches = pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * SKETCH_WORDS, np.concatenate([r[2] for r in rows]))
-        columns = [piece.column("id"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] if r[0] else None for r in rows], pa.int64()), sketches]
-        return pa.RecordBatch.from_arrays(columns, ["id", "n", "node", "sketch"])
+        columns = [piece.column("id"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] if r[0] else None for r in rows], pa.int64()), sketches, pa.array([r[3] for r in rows], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["id", "n", "node", "sketch", "long"])
 
-    found = _mapped(_texts(docs, text, key), run, f"id {dict(docs.dtypes)[key]}, n long, node long, sketch array<long>")
+    found = _mapped(_texts(docs, text, key), run, f"id {dict(docs.dtypes)[key]}, n long, node long, sketch array<long>, long binary")
     return found.withColumn("node", F.when(F.col("id").isNotNull(), F.col("node")))
 
 
@@ -267,16 +286,29 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, p
     Sets are made anew from the texts of the nodes that are left and shuffled once, as sorted hashes: of b for each of its
     pairs to a's place, and of a for each salt of its pairs.
     """
-    a, b = (nodes.select(F.col("node").alias(x), F.col("id").alias(f"id{x}"), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"sketch{x}")) for x in "ab")
+    a, b = (nodes.select(F.col("node").alias(x), F.col("id").alias(f"id{x}"), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"sketch{x}"), F.col("long").alias(f"long{x}")) for x in "ab")
     differing = F.zip_with("sketcha", "sketchb", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
     distance = F.aggregate(differing, F.lit(0), lambda x, y: x + y)
     total = F.col("na") + F.col("nb")
+    pairs = written(pairs.select("a", "b"), "pairs")
+    if (n := pairs.count()) <= BROADCAST_IDS:  # then nodes, which are many, stay where they are, and pairs alone are shuffled
+        sides = a.join(F.broadcast(pairs), "a").join(b.join(F.broadcast(pairs), "b"), ["a", "b"])
+    else:
+        sides = pairs.join(a, "a").join(b, "b")
     near = (
-        pairs.join(a, "a").join(b, "b")
-        .filter((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & ((100 + percent) * distance <= (100 - percent) * total))
-        .select("a", "b", "ida", "idb")
+        sides.filter((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & ((100 + percent) * distance <= (100 - percent) * total))
+        .select("a", "b", "ida", "idb", total.alias("total"), "longa", "longb")
     )
+
+    def allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("longa", "longb", "total")), strict=True)
+            yield batch.select(["a", "b", "ida", "idb"]).filter(pa.array([may_link(x, y, n, percent) for x, y, n in rows], pa.bool_()))
+
+    kind = dict(nodes.dtypes)["id"]
+    near = near.mapInArrow(allowed, f"a long, b long, ida {kind}, idb {kind}")
     near = written(near, "near-pairs")
+    removed(pairs)
     n = near.count()
     near = gathered(near, n)
     leaders = written(near.groupBy("a").agg(F.first("ida").alias("id"), F.ceil(F.count("*") / SALT_PAIRS).cast("int").alias("salts")), "leaders")
@@ -303,7 +335,7 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, p
 
     left = _mapped(texts.join(sized(wanted, n), "id").select("text", "a", "b", "salt"), of_members, "a long, salt int, b long, other binary")
     right = _mapped(texts.join(sized(leaders, leaders.count()), "id").select("text", "a", "salts"), of_leaders, "a long, salts int, shingles binary")
-    right = right.groupBy("a", "salts").agg(F.first("shingles").alias("shingles")).select("a", "shingles", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    right = right.select("a", "shingles", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).groupBy("a", "salt").agg(F.first("shingles").alias("shingles"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -369,6 +401,7 @@ def near_sketches(a: pd.DataFrame, b: pd.DataFrame | None, percent: int) -> Iter
     """Places in a and b (b None: in a twice, each pair once) of pairs of different components whose sizes and sketches allow a link."""
     own, other = (np.vstack(x["sketch"].to_numpy()).view(_U) for x in (a, a if b is None else b))
     n, m = a["n"].to_numpy(), (a if b is None else b)["n"].to_numpy()
+    long, others = (x["long"].tolist() for x in (a, a if b is None else b))
     c, d = (pd.factorize(pd.concat([a["component"], (a if b is None else b)["component"]]))[0][x] for x in (slice(len(n)), slice(len(n), None)))
     for i in range(0, len(n), 32):
         rows = slice(i, i + 32)
@@ -378,19 +411,21 @@ def near_sketches(a: pd.DataFrame, b: pd.DataFrame | None, percent: int) -> Iter
         x, y = np.nonzero(allowed)
         distance = np.bitwise_count(own[rows][x] ^ other[y]).sum(1, dtype=np.int64)
         near = (100 + percent) * distance <= (100 - percent) * (n[rows][x] + m[y])
-        yield x[near] + i, y[near]
+        x, y = x[near] + i, y[near]
+        near = np.array([may_link(long[j], others[k], n[j] + m[k], percent) for j, k in zip(x.tolist(), y.tolist(), strict=True)], bool)
+        yield x[near], y[near]
 
 
 def _family_pairs(labelled: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components of a family that may be linked. labelled: part, node, component, a (the part's leader)."""
     families = components(labelled.filter("node <> a").select("a", F.col("node").alias("b"))).withColumnRenamed("component", "family")
-    rows = labelled.select("node", "component").distinct().join(families, "node").join(nodes.select("node", "n", "sketch"), "node")
+    rows = labelled.select("node", "component").distinct().join(families, "node").join(nodes.select("node", "n", "sketch", "long"), "node")
     rows = written(rows, "families")
     large = written(rows.groupBy("family").count().filter(F.col("count") > BLOCK).select("family", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "large-families")
     blocks = F.coalesce("blocks", F.lit(1))
     dealt = rows.join(sized(large, large.count()), "family", "left").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
     tiles = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
-        "family", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "node", "component", "n", "sketch"
+        "family", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "node", "component", "n", "sketch", "long"
     )
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
@@ -407,7 +442,7 @@ def _family_pairs(labelled: DataFrame, nodes: DataFrame, percent: int) -> DataFr
 def link(docs: DataFrame, width: int = 4, percent: int = 85, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, n_shingles, component_id, class_id (the least id with an equal set): one row per row of docs."""
     sets = written(_sets(docs, width, text, key), "sets")
-    nodes = written(sets.filter("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
+    nodes = written(sets.filter("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("long").alias("long")), "nodes")
     totals = nodes.agg(F.count("*").alias("n"), F.coalesce(F.sum("copies"), F.lit(0)).alias("rows"), F.sum("n").alias("shingles")).first()
     if not totals.n:
         return sets.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), F.col("id").alias("class_id"))
